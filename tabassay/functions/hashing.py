@@ -52,7 +52,12 @@ def poisson_steps() -> list[float]:
 
 def poisson1(u: Column) -> Column:
     """Poisson(1) draw for a uniform column: how many cumulative steps lie at or below it."""
-    draw = F.lit(len(poisson_steps()))
-    for count, step in reversed(list(enumerate(poisson_steps()))):
-        draw = F.when(u < F.lit(step), F.lit(count)).otherwise(draw)
-    return draw
+
+    def steps(x: Column) -> Column:
+        draw = F.lit(len(poisson_steps()))
+        for count, step in reversed(list(enumerate(poisson_steps()))):
+            draw = F.when(x < F.lit(step), F.lit(count)).otherwise(draw)
+        return draw
+
+    # Through an array of one, so that the hash is computed once and not per step.
+    return F.transform(F.array(u), steps)[0]

@@ -38,10 +38,14 @@ def _units(df: DataFrame, keys: Sequence[Column | str], units: int | None, seed:
 
 
 def _weighted(units: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Each unit once per replicate in which its weight is not 0."""
-    drawn = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    weight = poisson1(uniform(["unit", "replicate"], seed, "weight"))
-    return drawn.withColumn("weight", weight).where(F.col("weight") > 0)
+    """Each unit once per replicate, with its weight in it.
+
+    The units are few and would end up in one partition, so they are spread over
+    the cores before they multiply.
+    """
+    cores = units.sparkSession.sparkContext.defaultParallelism
+    drawn = units.repartition(cores, "unit").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return drawn.withColumn("weight", poisson1(uniform(["unit", "replicate"], seed, "weight")))
 
 
 def bootstrap_scores(

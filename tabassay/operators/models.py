@@ -8,7 +8,9 @@ import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -284,6 +286,7 @@ def grid_search(
     family: str,
     task: str | None = None,
     space: Mapping[str, Sequence] | None = None,
+    parallelism: int = 4,
 ) -> DataFrame:
     """``trial_id, name, params, score, rank`` by cross-validation on the ``fold`` column.
 
@@ -309,18 +312,21 @@ def grid_search(
     trials = _grid(space if space is not None else default)
     try:
         folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
-        scores = []
-        for params in trials:
+
+        def fold_score(params: Mapping, fold: int) -> float:
+            rest, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
             spec = {"name": name, "params": params}
-            parts = []
-            for f in folds:
-                rest, held = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
-                scored = fit_model(spec, rest, target, features, labels).score(held)
-                if task == "classification":
-                    parts.append(classification_metrics(scored, target, "yhat").first()["accuracy"])
-                else:
-                    parts.append(-regression_metrics(scored, target, "yhat").first()["mae"])
-            scores.append(sum(parts) / len(parts))
+            scored = fit_model(spec, rest, target, features, labels).score(held)
+            if task == "classification":
+                return classification_metrics(scored, target, "yhat").first()["accuracy"]
+            return -regression_metrics(scored, target, "yhat").first()["mae"]
+
+        # Fits of different trials wait on each other's small jobs when run one by one.
+        with ThreadPool(parallelism) as pool:
+            run = inheritable_thread_target(folded.sparkSession)(lambda job: fold_score(*job))
+            flat = pool.map(run, [(params, f) for params in trials for f in folds])
+        k = len(folds)
+        scores = [sum(flat[i * k : (i + 1) * k]) / k for i in range(len(trials))]
     finally:
         rows.unpersist()
     table = [

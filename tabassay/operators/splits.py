@@ -103,16 +103,17 @@ def random_split(
     rest = allocate(sizes, total - n_test)
     n_val = math.ceil(val_size / (1 - test_size) * (total - n_test))
     train = allocate(rest, total - n_test - n_val)
-    order = [uniform(keys, seed), uniform(keys, seed, "tie")]
+    hashed = df.withColumn("_u", uniform(keys, seed))
+    order = [F.col("_u"), uniform(keys, seed, "tie")]
     wanted = {
         s: (where, (sizes[s] - rest[s], sizes[s] - train[s])) for s, (where, _) in strata.items()
     }
-    cuts = rank_cuts(df, order, wanted)
+    cuts = rank_cuts(hashed, order, wanted)
     parts = []
     for s, (_, (test, val)) in wanted.items():
         parts.append((cuts[(s, test)], "test"))
         parts.append((cuts[(s, val)], "val"))
-    return df.withColumn("split", _label(parts, "train"))
+    return hashed.withColumn("split", _label(parts, "train")).drop("_u")
 
 
 def hashed_split(
@@ -123,11 +124,9 @@ def hashed_split(
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
     """Add ``split`` by comparing the hash with the shares: no job at all, sizes vary slightly."""
-    u = uniform(keys, seed)
-    return df.withColumn(
-        "split",
-        F.when(u < test_size, "test").when(u < test_size + val_size, "val").otherwise("train"),
-    )
+    u = F.col("_u")
+    split = F.when(u < test_size, "test").when(u < test_size + val_size, "val").otherwise("train")
+    return df.withColumn("_u", uniform(keys, seed)).withColumn("split", split).drop("_u")
 
 
 def instant(df: DataFrame, name: str) -> Column:
@@ -256,13 +255,14 @@ def assign_folds(
         strata = {_REST: (F.lit(True), df.count())}
     else:
         strata = _strata(df, target)
-    order = [uniform(keys, seed, "fold"), uniform(keys, seed, "fold tie")]
+    hashed = df.withColumn("_u", uniform(keys, seed, "fold"))
+    order = [F.col("_u"), uniform(keys, seed, "fold tie")]
     ends = {s: [n * i // n_folds for i in range(1, n_folds)] for s, (_, n) in strata.items()}
-    cuts = rank_cuts(df, order, {s: (where, ends[s]) for s, (where, _) in strata.items()})
+    cuts = rank_cuts(hashed, order, {s: (where, ends[s]) for s, (where, _) in strata.items()})
     fold = F.lit(n_folds - 1)
     for i in reversed(range(n_folds - 1)):
         here = F.lit(False)
         for s in strata:
             here = here | cuts[(s, ends[s][i])]
         fold = F.when(here, F.lit(i)).otherwise(fold)
-    return df.withColumn("fold", fold)
+    return hashed.withColumn("fold", fold).drop("_u")

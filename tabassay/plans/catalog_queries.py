@@ -647,7 +647,8 @@ def returned_table(spark, sf):
     chance = 0.1 + 0.7 * (F.col("l_quantity") > 25).cast("int") * (F.col("l_discount") > 0.04).cast("int")
     flag = (uniform(["key"], salt="flag") < chance).cast("int")
     table = rows.select("key", "l_linestatus", *PRICE_FEATURES, flag.alias("flag"))
-    return splits.hashed_split(table, ["key"])
+    parted = splits.hashed_split(table, ["key"])
+    return features.fit_transform(parted, "flag", ["key", "l_linestatus"])[0]
 
 
 def _parts(df):
