@@ -202,50 +202,55 @@ def quantiles(
 def rank_cuts(
     df: DataFrame,
     order: Sequence[Column],
-    cuts: Mapping[str, tuple[Column, Sequence[int]]],
+    cuts: Mapping[str, tuple[Column, int, Sequence[int]]],
     sortable_rows: int = SORTABLE_ROWS,
 ) -> dict[tuple[str, int], Column]:
     """Predicates that hold for the first k rows of a group in a given order.
 
-    ``order`` lists double expressions, compared one after the other. ``cuts``
-    maps a group name to its row condition and the sizes k wanted. Only the
-    boundary values come to the driver, so the caller labels rows with a plain
-    column expression: no sort, no rank column and no shuffle of the table. Rows
-    whose whole order key is equal fall on the same side.
+    ``order`` lists double expressions without nulls, compared one after the
+    other. ``cuts`` maps a group name to its row condition, its row count and the
+    sizes k wanted. Only the boundary values come to the driver, so the caller
+    labels rows with a plain column expression: no sort, no rank column and no
+    shuffle of the table. Rows whose whole order key is equal fall on the same
+    side.
     """
     predicates: dict[tuple[str, int], Column] = {}
-    # group, k -> condition of rows still tied, rows still to take, predicate so far
-    open_cuts = {
-        (g, k): (where, k, F.lit(False)) for g, (where, ks) in cuts.items() for k in set(ks)
-    }
+    # group, k -> rows still tied: condition and count; rows still to take; predicate so far
+    open_cuts = {}
+    for g, (where, size, ks) in cuts.items():
+        for k in set(ks):
+            if k <= 0:
+                predicates[(g, k)] = F.lit(False)
+            elif k >= size:
+                predicates[(g, k)] = where
+            else:
+                open_cuts[(g, k)] = (where, size, k, F.lit(False))
     for depth, key in enumerate(order):
         if not open_cuts:
             break
         names = {cut: str(i) for i, cut in enumerate(open_cuts)}
-        exprs = {names[c]: F.when(where, key) for c, (where, _, _) in open_cuts.items()}
+        exprs = {names[c]: F.when(tied[0], key) for c, tied in open_cuts.items()}
         if depth == 0:  # the cuts of one group share their rows, so search them together
             first = {}
             for (g, k), name in names.items():
                 names[(g, k)] = first.setdefault(g, name)
             exprs = {n: exprs[n] for n in first.values()}
-        sizes = counts(df, exprs)
         ranks: dict[str, list[int]] = {n: [] for n in exprs}
-        for cut, (_, take, _) in open_cuts.items():
+        sizes: dict[str, int] = {}
+        for cut, (_, size, take, _) in open_cuts.items():
             ranks[names[cut]].append(take - 1)
+            sizes[names[cut]] = size
         found = order_statistics(df, exprs, ranks, sizes, sortable_rows)
         still = {}
-        for cut, (where, take, before) in open_cuts.items():
-            if take <= 0:
-                predicates[cut] = before
-            elif take >= sizes[names[cut]]:
-                predicates[cut] = before | where
+        for cut, (where, _, take, before) in open_cuts.items():
+            at = found[(names[cut], take - 1)]
+            edge = F.lit(at.value)
+            if at.upto == take or depth == len(order) - 1:
+                predicates[cut] = before | (where & (key <= edge))
             else:
-                at = found[(names[cut], take - 1)]
-                if at.upto == take or depth == len(order) - 1:
-                    predicates[cut] = before | (where & (key <= F.lit(at.value)))
-                else:
-                    below = before | (where & (key < F.lit(at.value)))
-                    still[cut] = (where & (key == F.lit(at.value)), take - at.below, below)
+                tied = where & (key == edge)
+                below = before | (where & (key < edge))
+                still[cut] = (tied, at.upto - at.below, take - at.below, below)
         open_cuts = still
     return predicates
 

@@ -1,12 +1,33 @@
-"""Fixing an intermediate table so that later jobs see the very same rows."""
+"""Keeping an intermediate table that several jobs read."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Persist a narrow table while the jobs of one operator read it.
+
+    A result that is still lazy after the block computes the table once more.
+    """
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A stored table with fewer partitions than cores, over all cores; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 

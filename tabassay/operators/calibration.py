@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..functions.storage import kept
 from .curves import brier, ece
 
 METHODS = ("isotonic", "sigmoid")
@@ -53,6 +54,11 @@ def fit_calibrator(
         .groupBy(col(p).cast("double").alias("_score"))
         .agg(F.sum(truth).alias("ones"), F.sum(1 - truth).alias("zeros"))
     )
+    with kept(points):
+        return _fit(points, method)
+
+
+def _fit(points: DataFrame, method: str) -> Calibrator:
     if method == "isotonic":
         n = F.col("ones") + F.col("zeros")
         weighted = _vectors(points.select("_score", (F.col("ones") / n).alias("label"), n.alias("n")))

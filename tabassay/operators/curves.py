@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..functions.hashing import uniform
+from ..functions.hashing import key_text, uniform
 from ..functions.ordering import rank_cuts
+from ..functions.storage import kept
 from .metrics import positive_label, score_points
 
 # Shares 0.1, 0.2, ... 1.0 of a lift curve as running doubles
@@ -25,9 +26,9 @@ def pr_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "threshold double, precision double, recall double"
         )
-    points = score_points(df, positive, y, p)
-    n_pos = df.where(col(p).isNotNull()).agg(F.count_if(col(y) == F.lit(positive))).first()[0]
-    return points.select(
+    hit = col(p).isNotNull() & (col(y) == F.lit(positive))
+    n_pos = df.agg(F.count_if(hit)).first()[0]
+    return score_points(df, positive, y, p).select(
         F.col("p").alias("threshold"),
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
         F.try_divide(F.col("cum_pos").cast("double"), F.lit(float(n_pos))).alias("recall"),
@@ -73,26 +74,21 @@ def lift_curve(
     positive = positive_label(df, y)
     if positive is None:
         return df.sparkSession.createDataFrame([], schema)
-    score = col(p).cast("double")
-    scored = df.where(col(y).isNotNull() & score.isNotNull())
-    hit = col(y) == F.lit(positive)
-    n, n_pos = scored.agg(F.count(F.lit(1)), F.count_if(hit)).first()
-    tops = {share: int(share * n) for share in shares if int(share * n) > 0}
-    order = [-score, uniform(keys, seed, "lift"), uniform(keys, seed, "lift tie")]
-    cuts = rank_cuts(scored, order, {"top": (F.lit(True), list(tops.values()))})
-    found = scored.agg(
-        *[F.count_if(hit & cuts[("top", k)]).alias(f"h{i}") for i, k in enumerate(tops.values())]
+    needed = df.where(col(y).isNotNull() & col(p).isNotNull()).select(
+        key_text(keys).alias("key"),
+        col(p).cast("double").alias("p"),
+        (col(y) == F.lit(positive)).alias("hit"),
     )
-    rows = [
-        F.struct(
-            F.lit(share).alias("share"),
-            F.lit(k).cast("bigint").alias("n_top"),
-            F.col(f"h{i}").alias("positives"),
-            (F.col(f"h{i}") / F.lit(k) / F.lit(n_pos / n)).alias("lift"),
-        )
-        for i, (share, k) in enumerate(tops.items())
-    ]
-    return found.select(F.inline(F.array(*rows))) if rows else df.sparkSession.createDataFrame([], schema)
+    with kept(needed) as scored:
+        n, n_pos = scored.agg(F.count(F.lit(1)), F.count_if("hit")).first()
+        tops = {share: int(share * n) for share in shares if int(share * n) > 0}
+        order = [-F.col("p"), uniform(["key"], seed, "lift"), uniform(["key"], seed, "lift tie")]
+        cuts = rank_cuts(scored, order, {"top": (F.lit(True), n, list(tops.values()))})
+        found = scored.agg(
+            F.count("hit"), *[F.count_if(F.col("hit") & cuts[("top", k)]) for k in tops.values()]
+        ).first()
+    rows = [(share, k, hits, hits / k / (n_pos / n)) for (share, k), hits in zip(tops.items(), found[1:])]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def lift_summary(curve: DataFrame) -> DataFrame:
@@ -135,7 +131,7 @@ def calibration_curve(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """``bin, center, mean_p, accuracy, n_rows`` of each bin that holds rows (y is 0 or 1)."""
-    return _bins(df, y, p, closed, n_bins, by).where(F.col("bin").isNotNull())
+    return _bins(df, y, p, closed, n_bins, by).where(F.col("n_rows") > 0).drop("total")
 
 
 def _bins(df, y, p, closed, n_bins, by) -> DataFrame:
@@ -149,10 +145,17 @@ def _bins(df, y, p, closed, n_bins, by) -> DataFrame:
         .agg(
             F.avg("_p").alias("mean_p"),
             F.avg("_y").alias("accuracy"),
-            F.count(F.lit(1)).alias("n_rows"),
+            F.count("bin").alias("n_rows"),  # 0 for the rows in no bin
+            F.count(F.lit(1)).alias("total"),
         )
         .select(
-            *by, "bin", F.get(centers, F.col("bin")).alias("center"), "mean_p", "accuracy", "n_rows"
+            *by,
+            "bin",
+            F.get(centers, F.col("bin")).alias("center"),
+            "mean_p",
+            "accuracy",
+            "n_rows",
+            "total",
         )
     )
 
@@ -172,8 +175,8 @@ def ece(
     probability of a bin, ``closed='left', at='center'`` with its centre. Rows in
     no bin count as rows and add no error.
     """
-    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col(at) - F.col("accuracy")) * F.col("n_rows"))
-    rows = F.sum("n_rows")
+    gap = F.abs(F.col(at) - F.col("accuracy")) * F.col("n_rows")
+    rows = F.sum("total")
     return (
         _bins(df, y, p, closed, n_bins, by)
         .groupBy(*by)

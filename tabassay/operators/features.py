@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -125,12 +126,22 @@ def fit_numeric(
     if not columns:
         return {}
     values = {c: number(train, c) for c in columns}
-    medians = {c: m[0] for c, m in quantiles(train, values, [0.5]).items()}
-    filled = [F.coalesce(v, F.lit(medians[c])) for c, v in values.items()]
     row = train.agg(
-        *[F.struct(F.avg(v), F.stddev_pop(v)).alias(f"s{i}") for i, v in enumerate(filled)]
+        F.count(F.lit(1)),
+        *[F.struct(F.count(v), F.avg(v), F.var_pop(v)).alias(f"s{i}") for i, v in enumerate(values.values())],
     ).first()
-    return {c: (medians[c], row[i][0], row[i][1]) for i, c in enumerate(columns)}
+    moments = {c: row[i + 1] for i, c in enumerate(columns)}
+    medians = quantiles(train, values, [0.5], {c: m[0] for c, m in moments.items()})
+    return {c: (medians[c][0], *_filled(*moments[c], row[0], medians[c][0])) for c in columns}
+
+
+def _filled(present: int, mean: float, variance: float, rows: int, median: float):
+    """Mean and population std once the missing cells hold the median, without another scan."""
+    if not present:
+        return None, None
+    share = present / rows
+    gap = median - mean
+    return mean + (1 - share) * gap, math.sqrt(share * variance + share * (1 - share) * gap * gap)
 
 
 def fit_vocabulary(train: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:

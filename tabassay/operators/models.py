@@ -187,9 +187,13 @@ def fit_model(
     if name in REGRESSORS:
         labels = None
     ready = _labelled(assemble(train, features), target, labels).select("features", "label")
-    n_rows, sample_std, std = ready.agg(
-        F.count("label"), F.stddev_samp("label"), F.stddev_pop("label")
-    ).first()
+    n_rows, sample_std, std = 0, None, None
+    if name in ("logistic_regression", "ridge_regression"):  # their penalty depends on the rows
+        n_rows, sample_std, std = (
+            _labelled(train, target, labels)
+            .agg(F.count("label"), F.stddev_samp("label"), F.stddev_pop("label"))
+            .first()
+        )
     started = time.monotonic()
     model = estimator(spec, n_rows, len(features), (sample_std or 1.0, std or 1.0)).fit(ready)
     return TrainedModel(

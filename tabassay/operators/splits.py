@@ -106,11 +106,11 @@ def random_split(
     hashed = df.withColumn("_u", uniform(keys, seed))
     order = [F.col("_u"), uniform(keys, seed, "tie")]
     wanted = {
-        s: (where, (sizes[s] - rest[s], sizes[s] - train[s])) for s, (where, _) in strata.items()
+        s: (where, n, (n - rest[s], n - train[s])) for s, (where, n) in strata.items()
     }
     cuts = rank_cuts(hashed, order, wanted)
     parts = []
-    for s, (_, (test, val)) in wanted.items():
+    for s, (_, _, (test, val)) in wanted.items():
         parts.append((cuts[(s, test)], "test"))
         parts.append((cuts[(s, val)], "val"))
     return hashed.withColumn("split", _label(parts, "train")).drop("_u")
@@ -124,9 +124,9 @@ def hashed_split(
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
     """Add ``split`` by comparing the hash with the shares: no job at all, sizes vary slightly."""
-    u = F.col("_u")
+    u = uniform(keys, seed)
     split = F.when(u < test_size, "test").when(u < test_size + val_size, "val").otherwise("train")
-    return df.withColumn("_u", uniform(keys, seed)).withColumn("split", split).drop("_u")
+    return df.withColumn("split", split)
 
 
 def instant(df: DataFrame, name: str) -> Column:
@@ -171,7 +171,7 @@ def time_split(
     val_start = int(test_start * (1 - val_size))
     at = F.coalesce(instant(df, time_col), F.lit(float("inf")))
     order = [at, uniform(keys, seed), uniform(keys, seed, "tie")]
-    cuts = rank_cuts(df, order, {_REST: (F.lit(True), (val_start, test_start))})
+    cuts = rank_cuts(df, order, {_REST: (F.lit(True), total, (val_start, test_start))})
     parts = [(cuts[(_REST, val_start)], "train"), (cuts[(_REST, test_start)], "val")]
     return df.withColumn("split", _label(parts, "test"))
 
@@ -258,7 +258,7 @@ def assign_folds(
     hashed = df.withColumn("_u", uniform(keys, seed, "fold"))
     order = [F.col("_u"), uniform(keys, seed, "fold tie")]
     ends = {s: [n * i // n_folds for i in range(1, n_folds)] for s, (_, n) in strata.items()}
-    cuts = rank_cuts(hashed, order, {s: (where, ends[s]) for s, (where, _) in strata.items()})
+    cuts = rank_cuts(hashed, order, {s: (where, n, ends[s]) for s, (where, n) in strata.items()})
     fold = F.lit(n_folds - 1)
     for i in reversed(range(n_folds - 1)):
         here = F.lit(False)
@@ -266,3 +266,40 @@ def assign_folds(
             here = here | cuts[(s, ends[s][i])]
         fold = F.when(here, F.lit(i)).otherwise(fold)
     return hashed.withColumn("fold", fold).drop("_u")
+
+
+def time_folds(
+    df: DataFrame, time_col: str, keys: Sequence[Column | str], n_folds: int = 3, seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """Add ``fold``: equal stretches of time, 0 the oldest.
+
+    Fold k is tested with a model trained on the folds before it, so there are
+    ``n_folds`` tests and ``n_folds + 1`` stretches.
+    """
+    total = df.count()
+    at = F.coalesce(instant(df, time_col), F.lit(float("inf")))
+    order = [at, uniform(keys, seed), uniform(keys, seed, "tie")]
+    ends = [total * i // (n_folds + 1) for i in range(1, n_folds + 1)]
+    cuts = rank_cuts(df, order, {_REST: (F.lit(True), total, ends)})
+    fold = F.lit(n_folds)
+    for i in reversed(range(n_folds)):
+        fold = F.when(cuts[(_REST, ends[i])], F.lit(i)).otherwise(fold)
+    return df.withColumn("fold", fold)
+
+
+def stratified_sample(
+    df: DataFrame, target: str, keys: Sequence[Column | str], n: int, seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """Exactly n rows (all rows of a smaller table), strata of the target in proportion."""
+    strata = _strata(df, target)
+    sizes = {s: size for s, (_, size) in strata.items()}
+    if sum(sizes.values()) <= n:
+        return df
+    share = allocate(sizes, n)
+    hashed = df.withColumn("_u", uniform(keys, seed, "sample"))
+    order = [F.col("_u"), uniform(keys, seed, "sample tie")]
+    cuts = rank_cuts(hashed, order, {s: (w, size, (share[s],)) for s, (w, size) in strata.items()})
+    chosen = F.lit(False)
+    for s in strata:
+        chosen = chosen | cuts[(s, share[s])]
+    return hashed.where(chosen).drop("_u")

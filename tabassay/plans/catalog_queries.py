@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions.hashing import key_text, uniform
+from ..functions.storage import spread, stored
 from ..operators import (
     bootstrap,
     calibration,
     curves,
+    exploration,
     fairness,
     features,
     leakage,
@@ -206,6 +208,20 @@ def insights(spark, sf):
     return profile.insights(gappy_orders(spark, sf))
 
 
+@query
+def feature_correlations(spark, sf):
+    return rounded(exploration.feature_correlations(leaky_lineitem(spark, sf)))
+
+
+@query
+def outliers(spark, sf):
+    """A high power of the price has a long right tail."""
+    orders = sources.read_table(spark, sf, "orders").select("o_custkey", "o_totalprice")
+    return rounded(
+        exploration.outliers(orders.withColumn("skewed", F.pow(F.col("o_totalprice") / 500000, F.lit(6.0))))
+    )
+
+
 # --- leakage ----------------------------------------------------------------
 
 
@@ -346,6 +362,18 @@ def folds(spark, sf):
     return splits.assign_folds(orders, ["o_orderkey"], 3, "o_orderstatus")
 
 
+@query
+def folds_in_time(spark, sf):
+    events = sources.read_table(spark, sf, "events").select("event_id", "ts")
+    return splits.time_folds(events, "ts", ["event_id"]).drop("ts")
+
+
+@query
+def sample_in_proportion(spark, sf):
+    orders = sources.read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return splits.stratified_sample(orders, "o_orderstatus", ["o_orderkey"], 1000)
+
+
 # --- features ---------------------------------------------------------------
 
 
@@ -638,7 +666,8 @@ def price_table(spark, sf):
     rows = lineitem(spark, sf)
     noise = 200 * (uniform(["key"], salt="price") - 0.5)
     total = 30 * F.col("l_quantity") * (1 - F.col("l_discount")) + 5 * F.col("l_linenumber") + noise
-    return splits.hashed_split(rows.select("key", *PRICE_FEATURES, total.alias("total")), ["key"])
+    table = splits.hashed_split(rows.select("key", *PRICE_FEATURES, total.alias("total")), ["key"])
+    return spread(stored(table))
 
 
 def returned_table(spark, sf):
@@ -647,7 +676,7 @@ def returned_table(spark, sf):
     chance = 0.1 + 0.7 * (F.col("l_quantity") > 25).cast("int") * (F.col("l_discount") > 0.04).cast("int")
     flag = (uniform(["key"], salt="flag") < chance).cast("int")
     table = rows.select("key", "l_linestatus", *PRICE_FEATURES, flag.alias("flag"))
-    parted = splits.hashed_split(table, ["key"])
+    parted = spread(stored(splits.hashed_split(table, ["key"])))
     return features.fit_transform(parted, "flag", ["key", "l_linestatus"])[0]
 
 

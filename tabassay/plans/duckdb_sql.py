@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from ..functions.hashing import poisson_steps
 from ..operators.curves import LIFT_SHARES, bin_edges
 from ..operators.leakage import LEAKY_NAMES
@@ -170,6 +172,25 @@ SELECT 1::INTEGER AS position, 'Dataset has ' || n || ' rows and 6 columns' AS i
 UNION ALL SELECT 2, 'Missing data: ' || gaps || ' total missing values' FROM m
 UNION ALL SELECT 3, 'Data types: 3 numeric, 2 categorical' FROM m"""
 
+_LEAKY_PAIRS = combinations(
+    ["l_quantity", "l_discount", "l_extendedprice", "flat", "price_twin", "price_score"], 2
+)
+SQL["feature_correlations"] = f"WITH {LEAKY}, c AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature1, '{b}' AS feature2, CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0"
+    f" THEN corr({a}, {b}) END AS r FROM leaky"
+    for a, b in _LEAKY_PAIRS
+) + ") SELECT feature1, feature2, round(r, 6) AS correlation FROM c WHERE abs(r) > 0.7"
+_FENCED = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", lo AS low, hi AS high, count(*) FILTER (v < lo OR v > hi) AS n_outliers
+FROM (SELECT {c}::DOUBLE AS v FROM o), (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
+  FROM (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM o))
+GROUP BY lo, hi"""
+    for c in ("o_custkey", "o_totalprice", "skewed")
+)
+SQL["outliers"] = f"""WITH o AS (SELECT o_custkey, o_totalprice, pow(o_totalprice / 500000, 6.0) AS skewed
+  FROM orders), f AS ({_FENCED})
+SELECT "column", round(low, 6) AS low, round(high, 6) AS high, n_outliers FROM f WHERE n_outliers > 0"""
+
 # --- leakage
 
 _LEAKY_NUMERIC = ["l_quantity", "l_discount", "flat", "price_twin", "price_score"]
@@ -346,6 +367,16 @@ SQL["folds"] = f"""WITH r AS (SELECT o_orderkey, o_orderstatus, count(*) OVER (P
 SELECT o_orderkey, o_orderstatus, (CASE WHEN k <= n // 3 THEN 0 WHEN k <= 2 * n // 3 THEN 1 ELSE 2 END)
   ::INTEGER AS fold FROM r"""
 
+SQL["folds_in_time"] = f"""WITH r AS (SELECT event_id, count(*) OVER () AS n, row_number() OVER
+  (ORDER BY ts, {u('event_id::VARCHAR')}) AS k FROM events)
+SELECT event_id, (CASE WHEN k <= n // 4 THEN 0 WHEN k <= 2 * n // 4 THEN 1 WHEN k <= 3 * n // 4 THEN 2
+  ELSE 3 END)::INTEGER AS fold FROM r"""
+SQL["sample_in_proportion"] = f"""WITH sizes AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders
+  GROUP BY 1), {_allocate('sizes', '1000', 'share')},
+r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY
+  {u('o_orderkey::VARCHAR', 'sample')}) AS k FROM orders)
+SELECT o_orderkey, o_orderstatus FROM r JOIN share ON s = o_orderstatus WHERE k <= share.n"""
+
 # --- features
 
 SQL["feature_plan"] = f"""WITH {GAPPY}
