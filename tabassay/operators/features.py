@@ -200,7 +200,13 @@ def encode(
     vocabulary_rows: int | None = None,
     salts: int = JOIN_SALTS,
 ) -> DataFrame:
-    """Replace each text column by the position of its value; -1 for an unseen value."""
+    """Replace each text column by the position of its value; -1 for an unseen value.
+
+    A small vocabulary is broadcast. For a large one each row draws one of
+    ``salts`` copies of the vocabulary by the hash of the row, which spreads the
+    rows of a hot value; exact copies of one row stay together and are left to
+    adaptive skew joins.
+    """
     rows = vocabulary.count() if vocabulary_rows is None else vocabulary_rows
     out = df
     for c in columns:
@@ -212,7 +218,7 @@ def encode(
             coded = keyed.join(F.broadcast(words), "_value", "left")
         else:
             spread = F.pmod(F.xxhash64(*[col(x) for x in out.columns]), F.lit(salts))
-            every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint")
+            every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
             coded = keyed.withColumn("_salt", spread).join(
                 words.select("*", every.alias("_salt")), ["_value", "_salt"], "left"
             )
