@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SORTABLE_ROWS = 1_000_000
 # Rank error of the sketch that proposes the next interval is one in this many.
 SKETCH_ACCURACY = 10_000
+# Sketches that one scan keeps in memory, each of a few hundred kilobytes.
+SKETCHES_PER_SCAN = 32
 # Rows aimed at per bucket of a running total, and the most buckets made.
 BUCKET_ROWS = 2_000_000
 MAX_BUCKETS = 10_000
@@ -91,42 +93,55 @@ def order_statistics(
     return found
 
 
+def _by_interval(searches: Sequence[_Search]) -> list[list[_Search]]:
+    """Searches of one column that are down to the same interval share their work."""
+    groups: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        groups.setdefault((s.name, s.low, s.high), []).append(s)
+    return list(groups.values())
+
+
 def _narrow(df, values, wide, found):
-    probes = df.agg(
-        *[
-            F.percentile_approx(
-                F.when(s.holds(values[s.name]), values[s.name]),
-                F.array(*[F.lit(q) for q in _bracket(s)]),
-                SKETCH_ACCURACY,
-            ).alias(f"s{i}")
-            for i, s in enumerate(wide)
+    groups = _by_interval(wide)
+    for start in range(0, len(groups), SKETCHES_PER_SCAN):
+        batch = groups[start : start + SKETCHES_PER_SCAN]
+        sketches = []
+        for g in batch:
+            at = sorted({q for s in g for q in _bracket(s)})
+            value = F.when(g[0].holds(values[g[0].name]), values[g[0].name])
+            sketches.append(
+                F.percentile_approx(value, F.array(*[F.lit(q) for q in at]), SKETCH_ACCURACY)
+            )
+        row = df.agg(*[x.alias(f"s{i}") for i, x in enumerate(sketches)]).first()
+        probes = [sorted(set(p)) for p in row]
+        sides = [
+            side
+            for g, ps in zip(batch, probes)
+            for p in ps
+            for side in (
+                F.count_if(values[g[0].name] < F.lit(p)),
+                F.count_if(values[g[0].name] <= F.lit(p)),
+            )
         ]
-    ).first()
-    sides = []
-    for i, s in enumerate(wide):
-        for probe in probes[i]:
-            sides.append(F.count_if(values[s.name] < F.lit(probe)))
-            sides.append(F.count_if(values[s.name] <= F.lit(probe)))
-    tally = df.agg(*[c.alias(f"t{i}") for i, c in enumerate(sides)]).first()
-    for i, s in enumerate(wide):
-        total = s.below + s.inside
-        edges = [(s.low, s.below)]
-        hit = None
-        high, high_below = s.high, total
-        for j, probe in enumerate(probes[i]):
-            below, upto = tally[4 * i + 2 * j], tally[4 * i + 2 * j + 1]
-            if s.rank < below:
-                high, high_below = probe, below
-                break
-            if s.rank < upto:
-                hit = Ranked(probe, below, upto)
-                break
-            edges.append((probe, upto))
-        if hit:
-            found[(s.name, s.rank)] = hit
-        else:
-            s.low, s.below = edges[-1]
-            s.high, s.inside = high, high_below - s.below
+        tally = iter(df.agg(*[x.alias(f"t{i}") for i, x in enumerate(sides)]).first())
+        for g, ps in zip(batch, probes):
+            counted = [Ranked(p, next(tally), next(tally)) for p in ps]
+            for s in g:
+                _place(s, counted, found)
+
+
+def _place(s: _Search, probes: Sequence[Ranked], found: dict) -> None:
+    """Keep the part of the interval between two neighbouring probes, or take the probe itself."""
+    end = s.below + s.inside
+    for probe in probes:
+        if s.rank < probe.below:
+            s.high, end = probe.value, probe.below
+            break
+        if s.rank < probe.upto:
+            found[(s.name, s.rank)] = probe
+            return
+        s.low, s.below = probe.value, probe.upto
+    s.inside = end - s.below
 
 
 def _bracket(s: _Search) -> list[float]:
@@ -136,10 +151,7 @@ def _bracket(s: _Search) -> list[float]:
 
 
 def _finish(df, values, searches, found):
-    spans: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        spans.setdefault((s.name, s.low, s.high), []).append(s)
-    groups = list(spans.values())
+    groups = _by_interval(searches)
     pairs = [
         F.struct(
             F.lit(i).alias("span"),
@@ -257,8 +269,7 @@ def rank_cuts(
 
 def value_cuts(df: DataFrame, value: Column, bucket_rows: int = BUCKET_ROWS) -> list[float]:
     """Values that cut a column into buckets of about ``bucket_rows`` rows."""
-    rows = df.agg(F.count(value)).first()[0]
-    buckets = min(MAX_BUCKETS, -(-rows // bucket_rows))
+    buckets = min(MAX_BUCKETS, -(-df.count() // bucket_rows))
     if buckets <= 1:
         return []
     at = [i / buckets for i in range(1, buckets)]

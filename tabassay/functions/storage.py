@@ -22,10 +22,17 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A stored table with fewer partitions than cores, over all cores; any other as it is."""
+def prepared(df: DataFrame) -> DataFrame:
+    """A table stored for many passes; one in fewer partitions than cores is spread over them.
+
+    A table read from one small file is the case in mind. A large table has
+    partitions enough and is not shuffled.
+    """
+    table = stored(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if table.rdd.getNumPartitions() < cores:
+        table = stored(table.repartition(cores))
+    return table
 
 
 def stored(df: DataFrame) -> DataFrame:

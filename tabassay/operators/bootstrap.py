@@ -29,23 +29,35 @@ ROW_UNITS = 10_000
 METRICS = ("accuracy", "f1_score", "precision", "recall", "mae", "rmse", "r2")
 
 
-def _units(df: DataFrame, keys: Sequence[Column | str], units: int | None, seed: int) -> Column:
-    if units is None:
-        units = UNITS if df.limit(ROW_UNITS + 1).count() > ROW_UNITS else 0
-    if units == 0:
-        return key_text(keys)
-    return F.floor(uniform(keys, seed, "unit") * units).cast("int").cast("string")
-
-
-def _weighted(units: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Each unit once per replicate, with its weight in it.
-
-    The units are few and would end up in one partition, so they are spread over
-    the cores before they multiply.
+def _units(
+    df: DataFrame, keys: Sequence[Column | str], units: int | None, seed: int
+) -> tuple[Column, DataFrame]:
+    """The unit of a row, and the table of all units."""
+    if units is None and df.limit(ROW_UNITS + 1).count() <= ROW_UNITS:
+        unit = key_text(keys).alias("unit")
+        return unit, df.select(unit).distinct()
+    if units is not None and units < 1:
+        raise ValueError("units must be positive")
+    units = units or UNITS
+    unit = F.floor(uniform(keys, seed, "unit") * units).cast("int").cast("string")
+    return unit.alias("unit"), df.sparkSession.range(units).select(F.col("id").cast("string").alias("unit"))
+
+
+def _weighted(sums: DataFrame, units: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Each row of a table of units once per replicate, with the weight of its unit there.
+
+    Weights are drawn once per unit and replicate and broadcast: at most
+    ``max(UNITS, ROW_UNITS) * replicates`` small integers, unless the caller asks
+    for more units. Both tables are small enough to end up in one partition, so
+    they are spread over the cores before they multiply.
     """
-    cores = units.sparkSession.sparkContext.defaultParallelism
-    drawn = units.repartition(cores, "unit").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return drawn.withColumn("weight", poisson1(uniform(["unit", "replicate"], seed, "weight")))
+    cores = sums.sparkSession.sparkContext.defaultParallelism
+    draw = lambda r: poisson1(uniform(["unit", r], seed, "weight"))
+    weights = units.repartition(cores).select(
+        "unit", F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), draw).alias("weights")
+    )
+    drawn = sums.repartition(cores).join(F.broadcast(weights), "unit")
+    return drawn.select("*", F.posexplode("weights").alias("replicate", "weight")).drop("weights")
 
 
 def bootstrap_scores(
@@ -61,7 +73,7 @@ def bootstrap_scores(
     """``replicate, score``: the metric of each resample."""
     if metric not in METRICS:
         raise ValueError(f"Unknown metric: {metric}")
-    unit = _units(df, keys, units, seed).alias("unit")
+    unit, all_units = _units(df, keys, units, seed)
     if metric in CLASSIFICATION:
         truth, guess = _labels(df, y, yhat)
         cells = (
@@ -70,11 +82,8 @@ def bootstrap_scores(
             .groupBy("unit", "y", "yhat")
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        # One row per unit holding its cells, so that a weight is drawn once per unit.
-        packed = cells.groupBy("unit").agg(F.collect_list(F.struct("y", "yhat", "n")).alias("cells"))
-        drawn = _weighted(packed, replicates, seed)
         resampled = (
-            drawn.select("replicate", "weight", F.inline("cells"))
+            _weighted(cells, all_units, replicates, seed)
             .groupBy("replicate", "y", "yhat")
             .agg(F.sum(F.col("weight") * F.col("n")).alias("n"))
         )
@@ -87,7 +96,7 @@ def bootstrap_scores(
     center = F.lit(kept.agg(F.avg(truth)).first()[0]).cast("double") if metric == "r2" else F.lit(0.0)
     terms = error_sums(truth, guess) | {"y": truth - center, "yy": (truth - center) * (truth - center)}
     sums = kept.groupBy(unit).agg(*[F.sum(t).alias(name) for name, t in terms.items()])
-    drawn = _weighted(sums, replicates, seed)
+    drawn = _weighted(sums, all_units, replicates, seed)
     total = drawn.groupBy("replicate").agg(
         *[F.sum(F.col(name) * F.col("weight")).alias(name) for name in terms]
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_missing, kinds, melt, number
 from ..functions.ordering import quantiles
-from ..functions.storage import stored
+from ..functions.storage import kept, stored
 from .profile import distinct_counts
 
 # Text that stands for a missing category, code of an unseen one,
@@ -20,9 +20,10 @@ MISSING_CATEGORY = "missing"
 UNSEEN = -1
 HIGH_CARDINALITY = 50
 
-# A vocabulary with at most this many rows is ranked in one window per column and
+# A vocabulary of at most this many rows and bytes is sorted on the driver and
 # broadcast; a larger one is ranked by range partitions and joined by shuffle.
 SMALL_VOCABULARY = 100_000
+SMALL_VOCABULARY_BYTES = 32 * 2**20
 # Copies of each entry of a large vocabulary, over which the copies of one hot
 # category are spread in the join.
 JOIN_SALTS = 16
@@ -100,7 +101,7 @@ class FeatureParams:
 
     numeric: dict[str, tuple[float | None, float | None, float | None]]
     vocabulary: DataFrame | None = None
-    vocabulary_rows: int = 0
+    small_vocabulary: bool = True
     text: list[str] = field(default_factory=list)
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -115,7 +116,7 @@ def fit(train: DataFrame, features: Sequence[str]) -> FeatureParams:
     text = [c for c in features if kind_of[c] == "categorical"]
     params = FeatureParams(fit_numeric(train, numeric), text=text)
     if text:
-        params.vocabulary, params.vocabulary_rows = fit_vocabulary(train, text)
+        params.vocabulary, params.small_vocabulary = fit_vocabulary(train, text)
     return params
 
 
@@ -144,8 +145,11 @@ def _filled(present: int, mean: float, variance: float, rows: int, median: float
     return mean + (1 - share) * gap, math.sqrt(share * variance + share * (1 - share) * gap * gap)
 
 
-def fit_vocabulary(train: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
-    """``column, value, idx``: position of each training category in sorted order."""
+def fit_vocabulary(train: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, bool]:
+    """``column, value, idx``: position of each training category in sorted order.
+
+    Also tells whether the vocabulary is small enough to broadcast.
+    """
     pairs = [
         F.struct(
             F.lit(c).alias("column"),
@@ -153,12 +157,14 @@ def fit_vocabulary(train: DataFrame, columns: Sequence[str]) -> tuple[DataFrame,
         )
         for c in columns
     ]
-    distinct = melt(train, pairs).distinct()
-    rows = distinct.count()
-    if rows <= SMALL_VOCABULARY:
-        order = Window.partitionBy("column").orderBy("value")
-        return distinct.withColumn("idx", (F.row_number().over(order) - 1).cast("bigint")), rows
-    return _ranked_vocabulary(distinct), rows
+    with kept(melt(train, pairs).distinct()) as distinct:
+        rows, size = distinct.agg(F.count(F.lit(1)), F.sum(F.octet_length("value"))).first()
+        if rows > SMALL_VOCABULARY or (size or 0) > SMALL_VOCABULARY_BYTES:
+            return _ranked_vocabulary(distinct), False
+        words = sorted((r["column"], r["value"]) for r in distinct.collect())
+    firsts: dict[str, int] = {}
+    table = [(c, v, i - firsts.setdefault(c, i)) for i, (c, v) in enumerate(words)]
+    return train.sparkSession.createDataFrame(table, "column string, value string, idx bigint"), True
 
 
 def _ranked_vocabulary(distinct: DataFrame) -> DataFrame:
@@ -197,7 +203,7 @@ def encode(
     df: DataFrame,
     vocabulary: DataFrame,
     columns: Sequence[str],
-    vocabulary_rows: int | None = None,
+    small: bool,
     salts: int = JOIN_SALTS,
 ) -> DataFrame:
     """Replace each text column by the position of its value; -1 for an unseen value.
@@ -207,14 +213,13 @@ def encode(
     rows of a hot value; exact copies of one row stay together and are left to
     adaptive skew joins.
     """
-    rows = vocabulary.count() if vocabulary_rows is None else vocabulary_rows
     out = df
     for c in columns:
         words = vocabulary.where(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("idx").alias("_idx")
         )
         keyed = out.withColumn("_value", F.coalesce(col(c), F.lit(MISSING_CATEGORY)))
-        if rows <= SMALL_VOCABULARY:
+        if small:
             coded = keyed.join(F.broadcast(words), "_value", "left")
         else:
             spread = F.pmod(F.xxhash64(*[col(x) for x in out.columns]), F.lit(salts))
@@ -243,7 +248,7 @@ def transform(df: DataFrame, params: FeatureParams) -> DataFrame:
         ]
     )
     if params.text:
-        out = encode(out, params.vocabulary, params.text, params.vocabulary_rows)
+        out = encode(out, params.vocabulary, params.text, params.small_vocabulary)
     return out
 
 

@@ -165,7 +165,7 @@ def score_points(df: DataFrame, positive: object, y: str = "y", p: str = "p") ->
     points = scored.groupBy(score.alias("p")).agg(
         F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")
     )
-    cuts = value_cuts(scored, score)
+    cuts = value_cuts(df, score)
     return running_totals(
         points, "p", {"cum_pos": "pos", "cum_neg": "neg"}, cuts, descending=True
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions.hashing import key_text, uniform
-from ..functions.storage import spread, stored
+from ..functions.storage import prepared
 from ..operators import (
     bootstrap,
     calibration,
@@ -25,6 +25,7 @@ from ..operators import (
     robustness,
     splits,
 )
+from .study import Settings, run_study
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -418,7 +419,8 @@ def label_encode(spark, sf):
 
 @query
 def apply_plan(spark, sf):
-    ready, _ = features.fit_transform(split_lineitem(spark, sf), "l_returnflag", ["key"])
+    rows = prepared(split_lineitem(spark, sf))
+    ready, _ = features.fit_transform(rows, "l_returnflag", ["key"])
     return rounded(ready)
 
 
@@ -667,7 +669,7 @@ def price_table(spark, sf):
     noise = 200 * (uniform(["key"], salt="price") - 0.5)
     total = 30 * F.col("l_quantity") * (1 - F.col("l_discount")) + 5 * F.col("l_linenumber") + noise
     table = splits.hashed_split(rows.select("key", *PRICE_FEATURES, total.alias("total")), ["key"])
-    return spread(stored(table))
+    return prepared(table)
 
 
 def returned_table(spark, sf):
@@ -676,7 +678,7 @@ def returned_table(spark, sf):
     chance = 0.1 + 0.7 * (F.col("l_quantity") > 25).cast("int") * (F.col("l_discount") > 0.04).cast("int")
     flag = (uniform(["key"], salt="flag") < chance).cast("int")
     table = rows.select("key", "l_linestatus", *PRICE_FEATURES, flag.alias("flag"))
-    parted = spread(stored(splits.hashed_split(table, ["key"])))
+    parted = prepared(splits.hashed_split(table, ["key"]))
     return features.fit_transform(parted, "flag", ["key", "l_linestatus"])[0]
 
 
@@ -796,3 +798,28 @@ def shock_tests(spark, sf):
 def shock_grade(spark, sf):
     fitted, val = _forest(spark, sf)
     return rounded(robustness.grade(robustness.shock_tests(val, fitted, "flag", ["key"])))
+
+
+@query
+def full_study(spark, sf):
+    """Every stage on the priority of orders with gaps, ending in the report rows."""
+    orders = gappy_orders(spark, sf)
+    urgent = (F.col("o_totalprice") > 250000) & (uniform(["o_orderkey"], salt="urgent") < 0.8)
+    table = orders.select(
+        "o_orderkey",
+        "o_totalprice",
+        "o_orderstatus",
+        "o_orderpriority",
+        F.coalesce(urgent, F.lit(False)).cast("int").alias("urgent"),
+    )
+    settings = Settings(
+        target="urgent",
+        keys=["o_orderkey"],
+        sensitive=["o_orderstatus"],
+        specs=[
+            {"name": "logistic_regression", "params": {}},
+            {"name": "random_forest_classifier", "params": {"n_estimators": 10, "max_depth": 4}},
+        ],
+        calibrate="isotonic",
+    )
+    return run_study(table, settings).tables["report"]

@@ -193,7 +193,7 @@ def test_large_vocabulary_gives_the_same_codes(spark, monkeypatch):
     expected = {(r["id"]): r["t"] for r in rows(features.encode(df, small, ["t"], n))}
     monkeypatch.setattr(features, "SMALL_VOCABULARY", 3)
     large, m = features.fit_vocabulary(train, ["t"])
-    assert m == n
+    assert n and not m
     assert by(large, "value") == by(small, "value")
     got = features.encode(df, large, ["t"], m)
     assert {r["id"]: r["t"] for r in rows(got)} == expected
