@@ -267,9 +267,15 @@ def rank_cuts(
     return predicates
 
 
-def value_cuts(df: DataFrame, value: Column, bucket_rows: int = BUCKET_ROWS) -> list[float]:
-    """Values that cut a column into buckets of about ``bucket_rows`` rows."""
-    buckets = min(MAX_BUCKETS, -(-df.count() // bucket_rows))
+def value_cuts(
+    df: DataFrame, value: Column, rows: int | None = None, bucket_rows: int = BUCKET_ROWS
+) -> list[float]:
+    """Values that cut a column into buckets of about ``bucket_rows`` rows.
+
+    ``rows`` may pass the row count when it is known.
+    """
+    rows = df.count() if rows is None else rows
+    buckets = min(MAX_BUCKETS, -(-rows // bucket_rows))
     if buckets <= 1:
         return []
     at = [i / buckets for i in range(1, buckets)]

@@ -11,7 +11,7 @@ from ..functions.columns import col
 from ..functions.hashing import key_text, uniform
 from ..functions.ordering import rank_cuts
 from ..functions.storage import kept
-from .metrics import positive_label, score_points
+from .metrics import score_points, two_labels
 
 # Shares 0.1, 0.2, ... 1.0 of a lift curve as running doubles
 # (the third is 0.30000000000000004), and the number of calibration bins.
@@ -21,17 +21,15 @@ BINS = 10
 
 def pr_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """``threshold, precision, recall`` at each distinct score. Empty unless binary."""
-    positive = positive_label(df, y)
-    if positive is None:
+    labels = two_labels(df.where(col(y).isNotNull() & col(p).isNotNull()), y)
+    if labels is None:
         return df.sparkSession.createDataFrame(
             [], "threshold double, precision double, recall double"
         )
-    hit = col(p).isNotNull() & (col(y) == F.lit(positive))
-    n_pos = df.agg(F.count_if(hit)).first()[0]
-    return score_points(df, positive, y, p).select(
+    return score_points(df, labels, y, p).select(
         F.col("p").alias("threshold"),
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-        F.try_divide(F.col("cum_pos").cast("double"), F.lit(float(n_pos))).alias("recall"),
+        (F.col("cum_pos") / F.lit(labels.n_pos)).alias("recall"),
     )
 
 
@@ -71,21 +69,20 @@ def lift_curve(
     nothing is sorted. Equal scores are ordered by the hash of the key.
     """
     schema = "share double, n_top bigint, positives bigint, lift double"
-    positive = positive_label(df, y)
-    if positive is None:
-        return df.sparkSession.createDataFrame([], schema)
     needed = df.where(col(y).isNotNull() & col(p).isNotNull()).select(
-        key_text(keys).alias("key"),
-        col(p).cast("double").alias("p"),
-        (col(y) == F.lit(positive)).alias("hit"),
+        key_text(keys).alias("key"), col(p).cast("double").alias("p"), col(y).alias("y")
     )
     with kept(needed) as scored:
-        n, n_pos = scored.agg(F.count(F.lit(1)), F.count_if("hit")).first()
+        labels = two_labels(scored, "y")
+        if labels is None:
+            return df.sparkSession.createDataFrame([], schema)
+        n_pos, n = labels.n_pos, labels.n_pos + labels.n_neg
+        hit = F.col("y") == F.lit(labels.positive)
         tops = {share: int(share * n) for share in shares if int(share * n) > 0}
         order = [-F.col("p"), uniform(["key"], seed, "lift"), uniform(["key"], seed, "lift tie")]
         cuts = rank_cuts(scored, order, {"top": (F.lit(True), n, list(tops.values()))})
         found = scored.agg(
-            F.count("hit"), *[F.count_if(F.col("hit") & cuts[("top", k)]) for k in tops.values()]
+            F.count(F.lit(1)), *[F.count_if(hit & cuts[("top", k)]) for k in tops.values()]
         ).first()
     rows = [(share, k, hits, hits / k / (n_pos / n)) for (share, k), hits in zip(tops.items(), found[1:])]
     return df.sparkSession.createDataFrame(rows, schema)

@@ -7,12 +7,13 @@ slices, bootstrap replicates, folds and feature variants are just groups.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, distinct_up_to
+from ..functions.columns import col
 from ..functions.ordering import running_totals, value_cuts
 
 CLASSIFICATION = ("accuracy", "f1_score", "precision", "recall")
@@ -115,17 +116,23 @@ def _r2(residual: Column, total: Column) -> Column:
 def regression_metrics(
     df: DataFrame, y: str = "y", yhat: str = "yhat", by: Sequence[str] = ()
 ) -> DataFrame:
-    """mae, rmse, r2 and mape (percent) in one aggregate."""
-    truth, guess = col(y).cast("double"), col(yhat).cast("double")
-    kept = df.where(truth.isNotNull() & guess.isNotNull())
-    terms = error_sums(truth, guess)
-    n = F.count(F.lit(1))
-    return kept.groupBy(*by).agg(
-        n.alias("n_rows"),
-        F.avg(terms["abs"]).alias("mae"),
-        F.sqrt(F.avg(terms["sq"])).alias("rmse"),
-        _r2(F.sum(terms["sq"]), F.var_pop(truth) * n).alias("r2"),
-        (F.avg(terms["rel"]) * 100).alias("mape"),
+    """mae, rmse, r2 and mape (percent) in one aggregate; rows with a gap are left out."""
+    pair = df.select(
+        *[col(b) for b in by], col(y).cast("double").alias("_y"), col(yhat).cast("double").alias("_yhat")
+    )
+    terms = error_sums(F.col("_y"), F.col("_yhat"))
+    n = F.count(terms["abs"])
+    truth = F.when(F.col("_yhat").isNotNull(), F.col("_y"))
+    return (
+        pair.groupBy(*by)
+        .agg(
+            n.alias("n_rows"),
+            F.avg(terms["abs"]).alias("mae"),
+            F.sqrt(F.avg(terms["sq"])).alias("rmse"),
+            _r2(F.sum(terms["sq"]), F.var_pop(truth) * n).alias("r2"),
+            (F.avg(terms["rel"]) * 100).alias("mape"),
+        )
+        .where((F.col("n_rows") > 0) | F.lit(not by))
     )
 
 
@@ -148,24 +155,44 @@ def to_long(metrics: DataFrame, names: Sequence[str], by: Sequence[str] = ()) ->
 # --- ranking of scores ------------------------------------------------------
 
 
-def positive_label(df: DataFrame, y: str) -> object | None:
-    """The larger label when there are exactly two, else None."""
-    labels = distinct_up_to(df, col(y), 2)
-    return labels[1] if labels is not None and len(labels) == 2 else None
+@dataclass(frozen=True)
+class Labels:
+    """The larger of two labels, and the number of rows of each."""
+
+    positive: object
+    n_pos: int
+    n_neg: int
+
 
+def two_labels(scored: DataFrame, y: str) -> Labels | None:
+    """The labels of a scored table when there are exactly two, else None."""
+    tally = scored.groupBy(col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    found = sorted((r["y"], r["n"]) for r in tally.limit(3).collect())
+    return Labels(found[1][0], found[1][1], found[0][1]) if len(found) == 2 else None
 
-def score_points(df: DataFrame, positive: object, y: str = "y", p: str = "p") -> DataFrame:
+
+def _scored(df: DataFrame, y: str, p: str) -> DataFrame:
+    return df.where(col(y).isNotNull() & col(p).isNotNull())
+
+
+def score_points(df: DataFrame, labels: Labels, y: str = "y", p: str = "p") -> DataFrame:
     """``p, pos, neg, cum_pos, cum_neg`` per distinct score, highest score first.
 
     Copies of a score are combined before anything is ordered.
     """
     score = col(p).cast("double")
-    hit = (col(y) == F.lit(positive)).cast("bigint")
-    scored = df.where(col(y).isNotNull() & score.isNotNull())
-    points = scored.groupBy(score.alias("p")).agg(
-        F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")
+    hit = (col(y) == F.lit(labels.positive)).cast("bigint")
+    points = (
+        df.select(score.alias("p"), hit.alias("hit"))
+        .groupBy("p")
+        .agg(
+            F.coalesce(F.sum("hit"), F.lit(0)).alias("pos"),
+            F.coalesce(F.sum(1 - F.col("hit")), F.lit(0)).alias("neg"),
+            F.count("p").alias("n"),
+        )
+        .where((F.col("n") > 0) & (F.col("pos") + F.col("neg") > 0))
     )
-    cuts = value_cuts(df, score)
+    cuts = value_cuts(df, score, rows=labels.n_pos + labels.n_neg)
     return running_totals(
         points, "p", {"cum_pos": "pos", "cum_neg": "neg"}, cuts, descending=True
     )
@@ -176,22 +203,16 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
     NULL for both unless there are exactly two labels.
     """
-    positive = positive_label(df, y)
-    if positive is None:
+    labels = two_labels(_scored(df, y, p), y)
+    if labels is None:
         return df.sparkSession.createDataFrame([(None, None)], "roc_auc double, pr_auc double")
-    points = score_points(df, positive, y, p)
+    points = score_points(df, labels, y, p)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     higher = F.col("cum_pos") - F.col("pos")
-    sums = points.agg(
-        F.sum(neg * (higher + pos / 2)).alias("wins"),
-        F.sum(pos * precision).alias("area"),
-        F.sum(pos).alias("n_pos"),
-        F.sum(neg).alias("n_neg"),
-    )
-    return sums.select(
-        F.try_divide("wins", F.col("n_pos") * F.col("n_neg")).alias("roc_auc"),
-        F.try_divide("area", "n_pos").alias("pr_auc"),
+    return points.agg(
+        (F.sum(neg * (higher + pos / 2)) / F.lit(float(labels.n_pos) * labels.n_neg)).alias("roc_auc"),
+        (F.sum(pos * precision) / F.lit(float(labels.n_pos))).alias("pr_auc"),
     )
 
 
@@ -202,9 +223,9 @@ def evaluate(
     if task == "regression":
         return to_long(regression_metrics(df, y, yhat), REGRESSION)
     found = to_long(classification_metrics(df, y, yhat), CLASSIFICATION)
-    if p is not None and positive_label(df, y) is not None:
+    if p is not None:
         ranked = to_long(ranking_metrics(df, y, p), ("roc_auc", "pr_auc"))
-        found = found.unionByName(ranked)
+        found = found.unionByName(ranked.where(F.col("value").isNotNull()))
     return found
 
 

@@ -74,10 +74,10 @@ GAPPY_COLUMNS = [
 ]
 
 
-def _describe(table: str, columns: list[str]) -> str:
+def _describe(table: str, columns: list[str], mean_digits: int = 6) -> str:
     quart = lambda c, q: f"round(quantile_cont({c}::DOUBLE, {q}), 6)"
     return " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}::DOUBLE), 6) AS mean,"
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}::DOUBLE), {mean_digits}) AS mean,"
         f" round(stddev_samp({c}::DOUBLE), 6) AS std, round(min({c})::DOUBLE, 6) AS min,"
         f" {quart(c, 0.25)} AS p25, {quart(c, 0.5)} AS p50, {quart(c, 0.75)} AS p75,"
         f" round(max({c})::DOUBLE, 6) AS max FROM {table}"
@@ -124,6 +124,7 @@ SQL["profile_numeric"] = _describe(
     "lineitem",
     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
      "l_discount", "l_tax"],
+    mean_digits=7,
 )
 SQL["profile_numeric_gaps"] = f"WITH {GAPPY} " + _describe(
     "gappy", ["o_orderkey", "o_custkey", "o_totalprice"]

@@ -8,6 +8,7 @@ from .tables import (  # noqa: F401
     load_table,
     read_csv,
     read_table,
+    spread_table,
     table_info,
     typed_csv,
     write_splits,

@@ -61,6 +61,20 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return load_table(spark, f"{directory}/{name}.parquet")
 
 
+def spread_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A scan with fewer partitions than cores, split further for costly expressions.
+
+    One row group is read by one task, however many cores there are. A scan with
+    partitions enough is left alone, so a large table is never shuffled; a small
+    one gets at most eight times its partitions. ``keys`` must identify a row.
+    """
+    partitions = df.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if partitions >= cores:
+        return df
+    return df.repartition(min(cores, 8 * partitions), *[col(k) for k in keys])
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -97,7 +97,7 @@ def ties(spark):
 @pytest.mark.parametrize("bucket_rows", [50, 10**6])
 def test_ranking_metrics_and_curve(ties, monkeypatch, bucket_rows):
     y, p, df = ties
-    monkeypatch.setattr(ordering.value_cuts, "__defaults__", (bucket_rows,))
+    monkeypatch.setattr(ordering.value_cuts, "__defaults__", (None, bucket_rows))
     got = rows(metrics.ranking_metrics(df))[0]
     assert got["roc_auc"] == pytest.approx(brute_auc(y, p))
     assert got["pr_auc"] == pytest.approx(brute_ap(y, p))
