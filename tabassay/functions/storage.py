@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @contextmanager
@@ -22,6 +23,31 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tabassay-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written once as Parquet in the shared folder, and read from there.
+
+    Cuts the lineage like a checkpoint, and later jobs read only the columns
+    they need. The folder belongs to the caller, who may clear it afterwards.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tabassay-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prepared(df: DataFrame) -> DataFrame:
     """A table stored for many passes; one in fewer partitions than cores is spread over them.
 
@@ -33,19 +59,3 @@ def prepared(df: DataFrame) -> DataFrame:
     if table.rdd.getNumPartitions() < cores:
         table = stored(table.repartition(cores))
     return table
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tabassay-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

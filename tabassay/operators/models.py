@@ -7,6 +7,7 @@ import math
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, columns_of, distinct_up_to
+from .bootstrap import REPLICATES, bootstrap_ci
 from .metrics import classification_metrics, evaluate, rank_models, regression_metrics
 from .splits import infer_task
 
@@ -270,6 +272,24 @@ def leaderboard(df: DataFrame, models: Sequence[TrainedModel], primary: str | No
     return rank_models(results_table(df, models), primary)
 
 
+def leaderboard_intervals(
+    models: Sequence[TrainedModel],
+    val: DataFrame,
+    target: str,
+    keys: Sequence[str],
+    metric: str,
+    replicates: int = REPLICATES,
+) -> DataFrame:
+    """Bootstrap interval of one metric for every model on the same resamples."""
+    intervals = [
+        bootstrap_ci(m.score(val), keys, metric, target, "yhat", replicates).select(
+            F.lit(m.spec["name"]).alias("model_id"), "*"
+        )
+        for m in models
+    ]
+    return reduce(DataFrame.unionByName, intervals)
+
+
 def evaluate_model(fitted: TrainedModel, test: DataFrame, target: str) -> DataFrame:
     """All test metrics as ``metric, value`` rows."""
     scored = fitted.score(test.select(*{*fitted.features, target}))

@@ -729,6 +729,17 @@ def ladder_regression(spark, sf):
     return rounded(models.leaderboard(train, trained).drop("train_seconds"))
 
 
+@query
+def ladder_intervals(spark, sf):
+    train, val, _ = _parts(price_table(spark, sf))
+    specs = [
+        {"name": "linear_regression", "params": {}},
+        {"name": "ridge_regression", "params": {"alpha": 10.0}},
+    ]
+    trained, _ = models.train_ladder(train, val, "total", PRICE_FEATURES, "regression", specs)
+    return rounded(models.leaderboard_intervals(trained, val, "total", ["key"], "mae", 100))
+
+
 @query
 def evaluate_model(spark, sf):
     train, _, test = _parts(returned_table(spark, sf))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..functions.storage import prepared
+from ..functions.storage import prepared, stored
 from ..operators import (
     calibration,
     fairness,
@@ -66,6 +66,8 @@ def check(df: DataFrame, settings: Settings, study: Study) -> tuple[DataFrame, l
     """Personal data, profile and leakage; returns the cleaned table and the denied columns."""
     study.tables["pii"] = pii.scan(df, settings.pii_patterns)
     clean = pii.gate(df, settings.pii_action, settings.pii_patterns)
+    if clean is not df:
+        clean = stored(clean)  # redact once, not in every later pass
     study.tables["missing"] = profile.missing_profile(clean)
     study.tables["numeric"] = profile.numeric_profile(clean)
     study.tables["categorical"] = profile.categorical_profile(clean)
