@@ -24,7 +24,7 @@ CONFIDENCE = 0.95
 SEED = 42
 UNITS = 1000
 # A table with at most this many rows is resampled row by row.
-ROW_UNITS = 10_000
+ROW_UNITS = 2_000
 
 METRICS = ("accuracy", "f1_score", "precision", "recall", "mae", "rmse", "r2")
 

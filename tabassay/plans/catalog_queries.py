@@ -539,7 +539,7 @@ def bootstrap_ci_r2(spark, sf):
 @query
 def bootstrap_ci_full(spark, sf):
     """The default interval: 1000 replicates."""
-    return rounded(bootstrap.bootstrap_ci(scored_binary(spark, sf), ["key"], "accuracy"))
+    return rounded(bootstrap.bootstrap_ci(scored_binary(spark, sf), ["key"], "accuracy", units=1000))
 
 
 # --- curves -----------------------------------------------------------------
