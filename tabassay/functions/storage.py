@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tabassay-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder(spark.sparkContext.applicationId)
     return folder
 
 
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tabassay-")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The table written once as Parquet in the shared folder, and read from there.
 

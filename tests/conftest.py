@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -19,7 +18,6 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabassay-test-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

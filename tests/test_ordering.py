@@ -100,3 +100,30 @@ def test_normal_and_poisson_draws(spark):
     assert abs(got[0]) < 0.03 and abs(got[1] - 1) < 0.03
     assert abs(got[2] - 1) < 0.03 and abs(got[3] - 1) < 0.06
     assert abs(poisson_steps()[-1] - 1) < 1e-12
+
+
+def test_shared_folder_is_never_a_local_one_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tabassay.functions.storage import shared_folder
+
+    def session(master, folder):
+        context = SimpleNamespace(master=master, applicationId="a", getCheckpointDir=lambda: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: folder or d))
+
+    assert shared_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert shared_folder(session("local[2]", None)) == shared_folder(session("local[2]", None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session("yarn", None))
+
+
+def test_wide_searches_are_split_over_scans(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SKETCHES_PER_SCAN", 2)
+    df = spark.range(400).select(*[((F.col("id") * (7 + i)) % 397).cast("double").alias(f"c{i}") for i in range(5)])
+    found = ordering.order_statistics(
+        df, {f"c{i}": F.col(f"c{i}") for i in range(5)}, {f"c{i}": [0, 200, 399] for i in range(5)}, sortable_rows=30
+    )
+    data = df.toPandas()
+    for i in range(5):
+        ordered = np.sort(data[f"c{i}"].to_numpy())
+        assert [found[(f"c{i}", r)].value for r in (0, 200, 399)] == [ordered[0], ordered[200], ordered[399]]
