@@ -674,3 +674,27 @@ SQL["ablate_text"] = """SELECT o_orderkey, (SELECT o_orderpriority FROM orders G
 
 SQL["ols_line"] = """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
   round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem"""
+
+# The isotonic fit at a score is the largest, over blocks that start at or before
+# it, of the smallest mean over blocks that end at or after it.
+_ISOTONIC = """pts AS (SELECT p, sum(y) AS o, count(*) AS n, row_number() OVER (ORDER BY p) AS i
+  FROM scored GROUP BY p),
+cum AS (SELECT i, sum(o) OVER (ORDER BY i) AS co, sum(n) OVER (ORDER BY i) AS cn FROM pts),
+pairs AS (SELECT a.i AS a, b.i AS b, (b.co - coalesce(z.co, 0)) / (b.cn - coalesce(z.cn, 0)) AS m
+  FROM pts a JOIN cum b ON b.i >= a.i LEFT JOIN cum z ON z.i = a.i - 1),
+low AS (SELECT a, b AS s, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS g FROM pairs),
+fit AS (SELECT s, max(g) AS f FROM low GROUP BY s),
+cal AS (SELECT y, pts.p AS raw, f FROM scored JOIN pts ON pts.p = scored.p JOIN fit ON s = i)"""
+
+
+def _ece_of(score: str, name: str) -> str:
+    return f"""{name} AS (SELECT sum(gap) / (SELECT count(*) FROM cal) AS ece FROM (
+  SELECT abs(avg(p) - avg(y)) * count(*) AS gap FROM (SELECT {score} AS p, y FROM cal)
+  WHERE ({_bin('right')}) IS NOT NULL GROUP BY {_bin('right')}))"""
+
+
+SQL["calibrate_isotonic"] = f"""WITH {BINARY}, {_ISOTONIC}, {_ece_of('raw', 'e0')}, {_ece_of('f', 'e1')},
+b AS (SELECT avg((raw - y) ** 2) AS b0, avg((f - y) ** 2) AS b1 FROM cal)
+SELECT round(e0.ece, 6) AS ece_before, round(e1.ece, 6) AS ece_after,
+  round(e0.ece - e1.ece, 6) AS ece_improvement, round(b0, 6) AS brier_before,
+  round(b1, 6) AS brier_after, round(b0 - b1, 6) AS brier_improvement FROM e0, e1, b"""
