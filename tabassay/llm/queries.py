@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabassay.llm.block_naming import exact_groups
+from tabassay.llm.packing import pack_documents
 from tabassay.llm.quality_rules import judge
 from tabassay.llm.shared import documents
+from tabassay.llm.trie_bpe import encode_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,3 +31,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(documents(spark, sf_dir), carry=["doc_id"])
     return judged.drop("n_lines")
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return digests.withColumnRenamed("doc", "doc_id")
