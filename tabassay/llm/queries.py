@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabassay.llm.block_naming import exact_groups
+from tabassay.llm.ngram_join import near_duplicates
 from tabassay.llm.packing import pack_documents
 from tabassay.llm.quality_rules import judge
 from tabassay.llm.shared import documents
@@ -43,3 +44,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return digests.withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.withColumnsRenamed({"doc": "doc_id", "component": "component_id"})

@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,11 +80,26 @@ def slices(
             yield batch.slice(first), texts[first:]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once per session: they may not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_has_tabassay", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="run-llm-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._has_tabassay = True
+
+
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """`function` turns an iterator of Arrow batches into dicts of columns; empty ones are left out."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship_package(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
