@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabassay.llm.block_naming import exact_groups
+from tabassay.llm.line_dedup import remove_lines
 from tabassay.llm.ngram_join import near_duplicates
 from tabassay.llm.packing import pack_documents
 from tabassay.llm.quality_rules import judge
@@ -50,3 +52,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.withColumnsRenamed({"doc": "doc_id", "component": "component_id"})
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return cleaned.select(
+        "doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), digest.alias("kept_sha256")
+    )
