@@ -13,6 +13,7 @@ from tabassay.llm.line_dedup import remove_lines
 from tabassay.llm.ngram_join import near_duplicates
 from tabassay.llm.packing import pack_documents
 from tabassay.llm.quality_rules import judge
+from tabassay.llm.repeated_bytes import remove_repeats
 from tabassay.llm.shared import documents
 from tabassay.llm.trie_bpe import encode_digests
 
@@ -61,3 +62,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(
         "doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), digest.alias("kept_sha256")
     )
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(documents(spark, sf_dir))
+    return cut.select(
+        F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -56,6 +56,13 @@ class Words:
     hash: np.ndarray
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, from sums over all bytes: one step per byte and per span."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * _power("up", len(data)), out=sums[1:])
+    return mix((sums[end] - sums[start]) * _power("down", len(data) + 1)[start])
+
+
 def words_of(texts: list[bytes], lower: bool = True) -> Words:
     """Runs of bytes other than space and \\t to \\r; A-Z count as a-z if `lower`."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -65,10 +72,7 @@ def words_of(texts: list[bytes], lower: bool = True) -> Words:
     flips = np.flatnonzero(space[1:] != space[:-1])
     start, end = flips[0::2], flips[1::2]
     ends = np.cumsum([len(x) + 1 for x in texts])
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTERS[data] * _power("up", len(data)), out=sums[1:])
-    value = (sums[end] - sums[start]) * _power("down", len(data))[start]
-    return Words(data, np.searchsorted(ends, start, "right"), start, mix(value))
+    return Words(data, np.searchsorted(ends, start, "right"), start, span_hashes(data, start, end))
 
 
 def shingles_of(words: np.ndarray, segment: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray]:
