@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabassay.llm.block_naming import exact_groups
+from tabassay.llm.language_mixture import held_out_identify
 from tabassay.llm.line_dedup import remove_lines
 from tabassay.llm.ngram_join import near_duplicates
 from tabassay.llm.packing import pack_documents
@@ -70,3 +71,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = held_out_identify(documents(spark, sf_dir))
+    return judged.select(
+        F.col("doc").alias("doc_id"), "held_out", "lang_pred", "score", "languages", "proportions"
+    )
