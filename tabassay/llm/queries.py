@@ -15,7 +15,8 @@ from tabassay.llm.ngram_join import near_duplicates
 from tabassay.llm.packing import pack_documents
 from tabassay.llm.quality_rules import judge
 from tabassay.llm.repeated_bytes import remove_repeats
-from tabassay.llm.shared import documents
+from tabassay.llm.shared import documents, table
+from tabassay.llm.template_extract import main_text
 from tabassay.llm.trie_bpe import encode_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         F.col("doc").alias("doc_id"), "held_out", "lang_pred", "score", "languages", "proportions"
     )
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
