@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabassay.llm.block_naming import exact_groups
+from tabassay.llm.cotraining import score, train
 from tabassay.llm.language_mixture import held_out_identify
 from tabassay.llm.line_dedup import remove_lines
 from tabassay.llm.ngram_join import near_duplicates
@@ -85,3 +86,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumnRenamed("doc", "doc_id").withColumn("kept", F.col("score") >= 0.5)
