@@ -19,21 +19,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabassay.llm.shared import map_batches, same, slices, written
+from tabassay.llm.shared import map_batches, row_hashes, same, ship_package, slices, written
 from tabassay.llm.shingles import (
     PERCENT,
     Rarity,
     digests,
     frequencies,
-    prefix_length,
     shingles_of,
     similar,
     sorted_sets,
     words_of,
 )
 
+#: Rows of a frequent token that are looked at together, and lines verified together with a first one.
+HOT_ROWS = 500
+GROUP = 256
+
 
 def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and number in its text of every line with a shingle; place in that list and hash of every shingle."""
@@ -55,148 +59,186 @@ def line_segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, segment, hashes
 
 
-def _signatures(df: DataFrame, rarity: Rarity) -> DataFrame:
-    """(doc, line, n, s1, s2, prefix) of every line with a token."""
+def _signatures(docs: DataFrame) -> DataFrame:
+    """(doc, line, n, s1, s2) of every line with a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, texts in slices(batches, "text"):
             row, line, segment, hashes = _lines(texts)
-            keys, begins = sorted_sets(segment, rarity.keys(hashes), len(row))
-            n = np.diff(begins)
+            keys, begins = sorted_sets(segment, hashes, len(row))
             s1, s2 = digests(keys, begins)
-            size = np.array([prefix_length(x) for x in n.tolist()], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(size)])
-            inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(begins[:-1], size)
-            yield {
-                "doc": rows.column("doc").take(pa.array(row, pa.int64())),
-                "line": line,
-                "n": n,
-                "s1": s1,
-                "s2": s2,
-                "prefix": pa.ListArray.from_arrays(
-                    pa.array(offsets, pa.int32()), pa.array(keys[inside].view(np.int64), pa.int64())
-                ),
-            }
+            doc = rows.column("doc").take(pa.array(row, pa.int64()))
+            yield {"doc": doc, "line": line, "n": np.diff(begins), "s1": s1, "s2": s2}
 
-    kind = df.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, line long, n int, s1 long, s2 long, prefix array<bigint>"
-    return map_batches(df, run, schema)
+    kind = docs.schema["doc"].dataType.simpleString()
+    return map_batches(docs, run, f"doc {kind}, line long, n int, s1 long, s2 long")
 
 
-def _sets(df: DataFrame, rarity: Rarity, wanted: DataFrame) -> DataFrame:
-    """(doc, line, keys): the whole sets of the lines in `wanted`."""
+def _prefixes(docs: DataFrame, rarity: Rarity) -> DataFrame:
+    """(token, salt, doc, line, at): a row per prefix member; `at` packs set size and place.
+
+    Tokens that the sketch shows to be frequent are dealt out by a salt of 0 and
+    more, others have -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, texts in slices(batches, "text"):
             row, line, segment, hashes = _lines(texts)
             keys, begins = sorted_sets(segment, rarity.keys(hashes), len(row))
-            asked = [set(x) for x in rows.column("lines").to_pylist()]
-            take = [i for i, (r, k) in enumerate(zip(row.tolist(), line.tolist(), strict=True)) if k in asked[r]]
+            size = np.diff(begins)
+            length = size - -(-PERCENT * size // 100) + 1
+            own = np.repeat(np.arange(len(row)), length)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
+            member = begins[:-1][own] + place
+            salts = np.ceil(rarity.expected(keys[member]) / HOT_ROWS).astype(np.int64)
+            lines = row_hashes(rows.column("doc"))[row] + line.astype(np.uint64)
+            dealt = (lines[own] % np.maximum(salts, 1).astype(np.uint64)).astype(np.int64)
             yield {
-                "doc": rows.column("doc").take(pa.array(row[take], pa.int64())),
-                "line": line[take],
-                "keys": [keys[begins[i] : begins[i + 1]].tobytes() for i in take],
+                "token": keys[member].view(np.int64),
+                "salt": np.where(salts > 1, dealt, -1),
+                "doc": rows.column("doc").take(pa.array(row[own], pa.int64())),
+                "line": line[own],
+                "at": size[own] << 32 | place,
             }
 
-    lines = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))
-    lines = lines.withColumnRenamed("doc", "_doc")
-    kind = df.schema["doc"].dataType.simpleString()
-    rows = df.join(lines, same(F.col("doc"), F.col("_doc"))).select("doc", "text", "lines")
-    return written(map_batches(rows, run, f"doc {kind}, line long, keys binary"), "sets")
+    kind = docs.schema["doc"].dataType.simpleString()
+    return map_batches(docs, run, f"token long, salt int, doc {kind}, line long, at long")
 
 
-def _matched(df: DataFrame, pairs: DataFrame, rarity: Rarity) -> DataFrame:
-    """(doc, line) of the pairs (a, b) of lines whose first is similar to its second."""
+def _possible(a: str, b: str) -> Column:
+    """Length and positional filter for two sets that share a prefix member."""
+    n, m = (F.shiftright(x, 32) for x in (a, b))
+    i, j = (F.col(x).bitwiseAND(F.lit(2**32 - 1)) for x in (a, b))
+    # At most so many members are shared before this one and after it.
+    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * most >= PERCENT * (n + m))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            left, right = (batch.column(c).to_pylist() for c in ("x", "y"))
-            good = [
-                similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                for x, y in zip(left, right, strict=True)
-            ]
-            mask = pa.array(good, pa.bool_())
-            yield {c: batch.column(c).filter(mask) for c in ("doc", "line")}
-
-    pairs = written(pairs.select("a.*", F.col("b.doc").alias("b_doc"), F.col("b.line").alias("b_line")), "pairs")
-    ends = pairs.select("doc", "line").union(pairs.select("b_doc", "b_line")).distinct()
-    sets = _sets(df, rarity, ends)
-    x = sets.select(F.col("doc").alias("_d"), F.col("line").alias("_l"), F.col("keys").alias("x"))
-    y = sets.select(F.col("doc").alias("_e"), F.col("line").alias("_m"), F.col("keys").alias("y"))
-    both = pairs.join(x, same(F.col("doc"), F.col("_d")) & (F.col("line") == F.col("_l")))
-    both = both.join(y, same(F.col("b_doc"), F.col("_e")) & (F.col("b_line") == F.col("_m")))
-    kind = df.schema["doc"].dataType.simpleString()
-    found = map_batches(both.select("doc", "line", "x", "y"), run, f"doc {kind}, line long")
-    return written(found.distinct(), "matched")
 
+def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(key, salt, lead, doc, line, bytes): the text of every line in `ends`."""
 
-def _later(l: str, r: str) -> Column:
-    return F.col(f"{l}.at") > F.col(f"{r}.at")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for rows, texts in slices(batches, "text"):
+            at, wanted, parts = [], [], []
+            for i, (text, asked) in enumerate(zip(texts, rows.column("lines").to_pylist(), strict=True)):
+                cut = text.split(b"\n")
+                for w in asked:
+                    if w["line"] < len(cut):  # rows may share an id
+                        at.append(i)
+                        wanted.append(w)
+                        parts.append(cut[w["line"]])
+            columns = {c: [w[c] for w in wanted] for c in ("key", "salt", "lead", "line")}
+            yield columns | {"doc": rows.column("doc").take(pa.array(at, pa.int64())), "bytes": parts}
+
+    kind = docs.schema["doc"].dataType.simpleString()
+    lists = ends.groupBy(F.col("doc").alias("_doc")).agg(
+        F.collect_list(F.struct("line", "key", "salt", "lead")).alias("lines")
+    )
+    joined = docs.join(lists, same(F.col("doc"), F.col("_doc"))).drop("_doc")
+    schema = f"key struct<doc:{kind},line:bigint>, salt long, lead boolean, doc {kind}, line long, bytes binary"
+    return map_batches(joined, run, schema)
 
 
-def _possible(l: str, r: str) -> Column:
-    """Length and positional filter for two sets that share a prefix member."""
-    n, m, i, j = F.col(f"{l}.n"), F.col(f"{r}.n"), F.col(f"{l}.q"), F.col(f"{r}.q")
-    sizes = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return sizes & ((100 + PERCENT) * most >= PERCENT * (n + m))
+def _matched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, line) of the pairs (a, b) of lines whose first is similar to its second.
+
+    Each b with some of its a's is a group of its own.
+    """
+    ship_package(docs.sparkSession)
+    pairs = written(pairs, "pairs")
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def run(rows: pa.Table) -> pa.Table:
+        row, _, segment, hashes = _lines(rows["bytes"].to_pylist())
+        keys, begins = sorted_sets(segment, hashes, len(row))
+        sets = {r: keys[x:y] for r, x, y in zip(row.tolist(), begins[:-1], begins[1:], strict=True)}
+        lead = rows["lead"].to_pylist()
+        leads = [x for r, x in sets.items() if lead[r]]
+        good = [r for r, x in sets.items() if not lead[r] and any(similar(x, y) for y in leads)]
+        take = pa.array(good, pa.int64())
+        return pa.table({"doc": rows["doc"].take(take), "line": rows["line"].take(take)})
+
+    sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).withColumnRenamed("b", "_b")
+    sized = pairs.join(written(sizes, "sizes"), same(F.col("b"), F.col("_b")))
+    dealt = sized.withColumn("salt", F.pmod(F.xxhash64("a.doc", "a.line"), F.floor(F.col("c") / GROUP) + 1))
+    ends = dealt.select("a.doc", "a.line", F.col("b").alias("key"), "salt", F.lit(False).alias("lead")).union(
+        dealt.select("b.doc", "b.line", "b", "salt", F.lit(True)).distinct()
+    )
+    texts = _texts_of(docs, written(ends, "ends"))
+    found = texts.groupBy("key", "salt").applyInArrow(run, f"doc {kind}, line long")
+    return written(found.distinct(), "matched")
 
 
 def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, line): the lines that are similar to an earlier one, by id, then by place in the text."""
-    narrow = df.selectExpr(f"`{doc_id}` AS doc", f"`{text}` AS text")
-    rarity = Rarity(frequencies(narrow, "text", line_segments))
-    signed = written(_signatures(narrow, rarity), "lines")
-    place = F.struct("doc", "line").alias("at")
+    docs = df.selectExpr(f"`{doc_id}` AS doc", f"`{text}` AS text")
+    place = F.struct("doc", "line")
     # Equal sets: the first line stands for all.
-    classes = signed.groupBy("n", "s1", "s2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("lines"))
-    classes = written(classes, "classes")
-    repeated = classes.filter("lines > 1").select(
-        F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "at"
-    )
+    signed = written(_signatures(docs), "lines")
+    classes = signed.groupBy("n", "s1", "s2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+    several = classes.filter("c > 1").select(*(F.col(c).alias(f"_{c}") for c in ("n", "s1", "s2")), "first")
     copies = signed.join(
-        written(repeated, "repeated"),
-        (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))
-        & ~same(F.struct("doc", "line"), F.col("at")),
-        "left_semi",
-    ).select("doc", "line")
-
-    firsts = classes.select(F.col("at.doc").alias("_doc"), F.col("at.line").alias("_line"))
-    alone = signed.join(
-        firsts, same(F.col("doc"), F.col("_doc")) & (F.col("line") == F.col("_line")), "left_semi"
-    ).dropDuplicates(["doc", "line", "n", "s1", "s2"])
-    members = alone.select(place, "n", F.posexplode("prefix").alias("q", "token"))
-    shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = written(shared.select(F.col("token").alias("_token")), "tokens")
-    postings = written(members.join(shared, F.col("token") == F.col("_token")).drop("_token"), "postings")
-
-    earliest = postings.groupBy("token").agg(F.min(F.struct("at", "n", "q")).alias("x"))
-    earliest = written(earliest.select("token", "x.*"), "earliest")
-    met = postings.alias("l").join(
-        earliest.alias("r"), (F.col("l.token") == F.col("r.token")) & _later("l", "r") & _possible("l", "r")
-    )
-    best = (
-        met.groupBy(F.col("l.at").alias("a"), F.col("r.at").alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("a")
-        .agg(F.max(F.struct("c", "b")).alias("x"))
-        .select("a", "x.b")
+        written(several, "several"),
+        (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")),
     )
-    matched = _matched(narrow, best, rarity)
+    copies = written(copies.filter(~same(place, F.col("first"))).select("doc", "line").distinct(), "copies")
 
-    found = matched.select(F.col("doc").alias("_doc"), F.col("line").alias("_line"))
-    rest = postings.join(
-        found, same(F.col("at.doc"), F.col("_doc")) & (F.col("at.line") == F.col("_line")), "left_anti"
+    rarity = Rarity(frequencies(docs, "text", line_segments))
+    together = W.partitionBy("token", "salt")
+    members = _prefixes(docs, rarity).withColumns(
+        {"c": F.count(F.lit(1)).over(together), "first": F.min(F.struct("doc", "line", "at")).over(together)}
     )
-    rest = written(rest, "rest")
-    pairs = rest.alias("l").join(
-        postings.alias("r"), (F.col("l.token") == F.col("r.token")) & _later("l", "r") & _possible("l", "r")
+    postings = members.filter("c > 1 OR salt >= 0").select("token", "salt", place.alias("a"), "at", "first")
+    postings = written(postings, "postings")
+    met = postings.select(
+        "token", "a", "at", F.struct("first.doc", "first.line").alias("b"), F.col("first.at").alias("b_at")
     )
-    pairs = pairs.select(F.col("l.at").alias("a"), F.col("r.at").alias("b")).distinct()
-    more = _matched(narrow, pairs, rarity)
+    # The first lines of a frequent token's parts meet the first of all.
+    parts = postings.filter("salt >= 0").select("token", "first").distinct()
+    whole = parts.groupBy(F.col("token").alias("_t")).agg(F.min("first").alias("x"))
+    parts = parts.join(written(whole, "whole"), F.col("token") == F.col("_t")).select(
+        "token",
+        F.struct("first.doc", "first.line").alias("a"),
+        "first.at",
+        F.struct("x.doc", "x.line").alias("b"),
+        F.col("x.at").alias("b_at"),
+    )
+    # Each line is first compared with the one that leads most of its prefix.
+    met = met.union(parts).filter(~same(F.col("a"), F.col("b")) & _possible("at", "b_at"))
+    best = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("a")
+    best = best.agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
+    equal = copies.select(place.alias("_a"))
+    best = best.join(equal, same(F.col("a"), F.col("_a")), "left_anti")
+    matched = _matched(docs, best)
+
+    settled = written(copies.union(matched).select(place.alias("_a")).distinct(), "settled")
+    rest = postings.select("token", "a", "at").join(settled, same(F.col("a"), F.col("_a")), "left_anti")
+    rest = rest.select(F.col("token").alias("l_token"), F.col("a").alias("l"), F.col("at").alias("l_at"))
+    # Equal lines need not be met twice: the first of them is earlier than all.
+    firsts = postings.select("token", "a", "at").join(equal, same(F.col("a"), F.col("_a")), "left_anti")
+    firsts = written(firsts, "firsts")
+    pairs = written(rest, "rest").join(
+        firsts.select(F.col("token").alias("r_token"), F.col("a").alias("r"), F.col("at").alias("r_at")),
+        (F.col("l_token") == F.col("r_token")) & (F.col("l") > F.col("r")) & _possible("l_at", "r_at"),
+    )
+    more = _matched(docs, _enough_shared(pairs))
     return copies.union(matched).union(more).distinct()
 
 
+def _enough_shared(met: DataFrame) -> DataFrame:
+    """(a, b): pairs that share as many prefix members as similar sets must.
+
+    Of the set whose prefix ends first, all members up to there are known in both
+    sets, so no more than those found and the rest of that set can be shared.
+    """
+    n, m = F.shiftright("l_at", 32).alias("n"), F.shiftright("r_at", 32).alias("m")
+    counted = met.groupBy(F.col("l").alias("a"), F.col("r").alias("b"), n, m).agg(F.count(F.lit(1)).alias("c"))
+    rest = lambda size: F.ceil(PERCENT * size / 100) - 1
+    needed = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
+    least = needed - F.greatest(rest(F.col("n")), rest(F.col("m")))
+    return counted.filter(F.col("c") >= least).select("a", "b").distinct()
+
+
 def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`df` with the later matches cut out of its texts, and the columns _lines and _removed (counts).
 

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabassay.llm.graph import components
-from tabassay.llm.shared import map_batches, slices, written
+from tabassay.llm.shared import map_batches, row_hashes, ship_package, slices, written
 from tabassay.llm.shingles import (
     PERCENT,
     Rarity,
@@ -39,6 +40,9 @@ from tabassay.llm.shingles import (
 MOST_SHARED = 8
 #: What verifying a candidate costs per member of the set, in rows of the prefix table.
 VERIFY_COST = 1 / 16
+#: Rows of a frequent token that are looked at together, and documents verified together with a first one.
+HOT_ROWS = 500
+GROUP = 64
 
 
 def choose_shared(expected: np.ndarray, size: int) -> int:
@@ -53,140 +57,189 @@ def choose_shared(expected: np.ndarray, size: int) -> int:
     return int(np.argmin(first + k - 1 + VERIFY_COST * size * met / k)) + 1
 
 
-def signatures(df: DataFrame, rarity: Rarity, doc_id: str, text: str) -> DataFrame:
-    """(doc, n, s1, s2, k, prefix): set size, 128 bits that stand for the set, and its prefix."""
+def _narrow(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.selectExpr(f"`{doc_id}` AS doc", f"`{text}` AS text")
+
+
+def signatures(df: DataFrame) -> DataFrame:
+    """(doc, n, s1, s2): set size and 128 bits that stand for the set, from (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, texts in slices(batches, "text"):
             _, segment, hashes = text_segments(texts)
-            keys, begins = sorted_sets(segment, rarity.keys(hashes), len(texts))
-            expected = rarity.expected(keys)
-            k = np.zeros(len(texts), np.int32)
-            prefix = [np.zeros(0, np.int64)] * len(texts)
-            for i, (a, b) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
-                if b > a:
-                    k[i] = choose_shared(expected[a:b], b - a)
-                    prefix[i] = keys[a : a + prefix_length(b - a) + k[i] - 1].view(np.int64)
+            keys, begins = sorted_sets(segment, hashes, len(texts))
             s1, s2 = digests(keys, begins)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefix])])
-            yield {
-                "doc": rows.column("doc"),
-                "n": np.diff(begins),
-                "s1": s1,
-                "s2": s2,
-                "k": k,
-                "prefix": pa.ListArray.from_arrays(
-                    pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefix), pa.int64())
-                ),
-            }
+            yield {"doc": rows.column("doc"), "n": np.diff(begins), "s1": s1, "s2": s2}
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    narrow = df.selectExpr(f"`{doc_id}` AS doc", f"`{text}` AS text")
-    return map_batches(narrow, run, f"doc {kind}, n long, s1 long, s2 long, k int, prefix array<bigint>")
+    kind = df.schema["doc"].dataType.simpleString()
+    return map_batches(df, run, f"doc {kind}, n long, s1 long, s2 long")
 
 
-def _sets(df: DataFrame, rarity: Rarity, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, keys): the whole sets of the documents in `wanted`."""
+def prefixes(df: DataFrame, rarity: Rarity) -> DataFrame:
+    """(token, salt, doc, at): a row per prefix member; `at` packs set size, place and k.
+
+    The sketch shows which tokens are frequent. Their rows are dealt out by a salt
+    of 0 and more; other tokens have -1. A token that the sketch cannot tell from
+    the rest has fewer rows than its scatter, which is little against a partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, texts in slices(batches, "text"):
             _, segment, hashes = text_segments(texts)
             keys, begins = sorted_sets(segment, rarity.keys(hashes), len(texts))
-            parts = [keys[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-            yield {"doc": rows.column("doc"), "keys": parts}
-
-    kind = df.schema[doc_id].dataType.simpleString()
-    narrow = df.selectExpr(f"`{doc_id}` AS doc", f"`{text}` AS text").join(wanted, "doc", "left_semi")
-    return written(map_batches(narrow, run, f"doc {kind}, keys binary"), "sets")
+            expected = rarity.expected(keys)
+            size = np.diff(begins)
+            k = np.zeros(len(texts), np.int64)
+            for i in np.flatnonzero(size):
+                k[i] = choose_shared(expected[begins[i] : begins[i + 1]], int(size[i]))
+            length = np.where(size > 0, size - -(-PERCENT * size // 100) + k, 0)
+            row = np.repeat(np.arange(len(texts)), length)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            member = begins[:-1][row] + place
+            salts = np.ceil(expected[member] / HOT_ROWS).astype(np.int64)
+            dealt = (row_hashes(rows.column("doc"))[row] % np.maximum(salts, 1).astype(np.uint64)).astype(np.int64)
+            yield {
+                "token": keys[member].view(np.int64),
+                "salt": np.where(salts > 1, dealt, -1),
+                "doc": rows.column("doc").take(pa.array(row, pa.int64())),
+                "at": size[row] << 32 | place << 4 | k[row],
+            }
 
+    kind = df.schema["doc"].dataType.simpleString()
+    return map_batches(df, run, f"token long, salt int, doc {kind}, at long")
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            left, right = (batch.column(c).to_pylist() for c in ("x", "y"))
-            good = [
-                similar(np.sort(np.frombuffer(x, np.uint64)), np.sort(np.frombuffer(y, np.uint64)))
-                for x, y in zip(left, right, strict=True)
-            ]
-            mask = pa.array(good, pa.bool_())
-            yield {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    x = sets.select(F.col("doc").alias("_a"), F.col("keys").alias("x"))
-    y = sets.select(F.col("doc").alias("_b"), F.col("keys").alias("y"))
-    both = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
-    return map_batches(both.select("a", "b", "x", "y"), run, f"a {kind}, b {kind}").distinct()
-
-
-def _possible(l: str, r: str) -> Column:
-    """Whether two sets that share this prefix member can be similar, by size and position."""
-    n, m, i, j = F.col(f"{l}.n"), F.col(f"{r}.n"), F.col(f"{l}.q"), F.col(f"{r}.q")
-    sizes = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def _possible(a: str, b: str) -> Column:
+    """Whether two sets that share this prefix member can be similar, by size, place and prefix."""
+    n, m = (F.shiftright(x, 32) for x in (a, b))
+    i, j = (F.shiftright(F.col(x).bitwiseAND(F.lit(2**32 - 1)), 4) for x in (a, b))
+    k = F.least(*(F.col(x).bitwiseAND(F.lit(15)) for x in (a, b)))
     # At most so many members are shared before this one and after it.
     most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    k = F.least(F.col(f"{l}.k"), F.col(f"{r}.k"))
-    within = lambda size, at: 100 * (at - k + 1) <= 100 * size - PERCENT * size
-    return sizes & ((100 + PERCENT) * most >= PERCENT * (n + m)) & within(n, i) & within(m, j)
+    within = lambda size, at: 100 * (at - k + 1) <= (100 - PERCENT) * size
+    return (
+        (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+        & ((100 + PERCENT) * most >= PERCENT * (n + m))
+        & within(n, i)
+        & within(m, j)
+    )
+
 
+def _enough_shared(met: DataFrame) -> DataFrame:
+    """(a, b): pairs that share as many prefix members as similar sets must.
 
-def _candidates(joined: DataFrame) -> DataFrame:
-    """(a, b, shared): pairs that share as many prefix members as the smaller k asks for."""
-    k = F.least("l.k", "r.k").alias("k")
-    pairs = joined.groupBy(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"), "l.n", "r.n", k)
-    return pairs.agg(F.count(F.lit(1)).alias("shared")).filter("shared >= k").select("a", "b", "shared")
+    Of the set whose prefix ends first, all members up to there are known in both
+    sets, so no more than those found and the rest of that set can be shared.
+    """
+    k = F.least(*(F.col(c).bitwiseAND(F.lit(15)) for c in ("l_at", "r_at"))).alias("k")
+    n, m = F.shiftright("l_at", 32).alias("n"), F.shiftright("r_at", 32).alias("m")
+    pairs = met.groupBy(F.col("l_doc").alias("a"), F.col("r_doc").alias("b"), n, m, k)
+    counted = pairs.agg(F.count(F.lit(1)).alias("shared"))
+    rest = lambda size: F.ceil(PERCENT * size / 100) - F.col("k")
+    needed = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
+    least = needed - F.greatest(rest(F.col("n")), rest(F.col("m")))
+    return counted.filter(F.col("shared") >= F.greatest("k", least)).select("a", "b").distinct()
+
+
+def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Each b with some of its a's is a group of its own."""
+    ship_package(docs.sparkSession)
+    pairs = written(pairs, "pairs")
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def run(rows: pa.Table) -> pa.Table:
+        _, segment, hashes = text_segments([x or b"" for x in rows["text"].cast(pa.binary()).to_pylist()])
+        keys, begins = sorted_sets(segment, hashes, rows.num_rows)
+        sets = [keys[x:y] for x, y in zip(begins[:-1], begins[1:], strict=True)]
+        leads = [x for x, lead in zip(sets, rows["lead"].to_pylist(), strict=True) if lead]
+        good = [
+            not lead and any(similar(x, y) for y in leads)
+            for x, lead in zip(sets, rows["lead"].to_pylist(), strict=True)
+        ]
+        mask = pa.array(good, pa.bool_())
+        return pa.table({"a": rows["doc"].filter(mask), "b": rows["key"].filter(mask)})
+
+    sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).withColumnRenamed("b", "_b")
+    sized = pairs.join(written(sizes, "sizes"), F.col("b") == F.col("_b"))
+    dealt = sized.withColumn("salt", F.pmod(F.xxhash64("a"), F.floor(F.col("c") / GROUP) + 1))
+    ends = dealt.select(F.col("a").alias("_doc"), F.col("b").alias("key"), "salt", F.lit(False).alias("lead")).union(
+        dealt.select("b", "b", "salt", F.lit(True)).distinct()
+    )
+    rows = docs.join(written(ends, "ends"), F.col("doc") == F.col("_doc")).drop("_doc")
+    return written(rows.groupBy("key", "salt").applyInArrow(run, f"a {kind}, b {kind}"), "linked")
 
 
-def similar_components(df: DataFrame, signed: DataFrame, rarity: Rarity, doc_id: str, text: str) -> DataFrame:
-    """(n, s1, s2, component): a row per class of equal sets that are not empty."""
-    some = signed.filter("n > 0 AND doc IS NOT NULL")
-    classes = some.groupBy("n", "s1", "s2").agg(F.min("doc").alias("doc"))
+def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(n, s1, s2, component) for (doc, text): a row per class of equal sets that are not empty."""
+    some = signed.filter("n > 0")
+    classes = some.groupBy("n", "s1", "s2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c"))
     classes = written(classes, "classes")
-    # One row per class: the first document's.
-    first = some.join(classes.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc", "n", "s1", "s2"])
-    members = first.select("doc", "n", "k", F.posexplode("prefix").alias("q", "token"))
-    shared = members.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = written(shared.select(F.col("token").alias("_token")), "tokens")
-    postings = written(members.join(shared, F.col("token") == F.col("_token")).drop("_token"), "postings")
-
-    earliest = postings.groupBy("token").agg(F.min("doc").alias("doc"))
-    lead = postings.join(earliest.withColumnsRenamed({"token": "_t", "doc": "_d"}),
-                         (F.col("token") == F.col("_t")) & (F.col("doc") == F.col("_d"))).drop("_t", "_d")
-    lead = written(lead, "leaders")
-    met = postings.alias("l").join(
-        lead.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.doc") > F.col("r.doc")) & _possible("l", "r")
+    several = classes.filter("c > 1").select(*(F.col(c).alias(f"_{c}") for c in ("n", "s1", "s2")), "first")
+    # Equal sets are linked to the first document that has them; only that one is compared further.
+    copies = some.join(
+        written(several, "several"),
+        (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")),
+    )
+    copies = written(copies.filter("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")), "copies")
+
+    rarity = Rarity(frequencies(docs, "text", text_segments))
+    together = W.partitionBy("token", "salt")
+    members = prefixes(docs, rarity).withColumns(
+        {"c": F.count(F.lit(1)).over(together), "first": F.min(F.struct("doc", "at")).over(together)}
+    )
+    postings = members.filter("c > 1 OR salt >= 0").select(
+        "token", "salt", "doc", "at", F.col("first.doc").alias("lead"), F.col("first.at").alias("lead_at")
+    )
+    postings = written(postings, "postings")
+    met = postings.filter("doc <> lead").select("token", F.col("doc").alias("a"), "at", F.col("lead").alias("b"), "lead_at")
+    # The first documents of a frequent token's parts meet the first of all.
+    parts = postings.filter("salt >= 0").select("token", F.col("lead").alias("a"), F.col("lead_at").alias("at")).distinct()
+    whole = parts.groupBy("token").agg(F.min(F.struct("a", "at")).alias("x"))
+    whole = written(whole.select(F.col("token").alias("_t"), F.col("x.a").alias("b"), F.col("x.at").alias("lead_at")), "whole")
+    parts = parts.join(whole, F.col("token") == F.col("_t"))
+    parts = written(parts.filter("a <> b").select("token", "a", "at", "b", "lead_at"), "parts")
+    met = met.union(parts)
+    counted = met.groupBy("a", "b").agg(
+        F.sum(_possible("at", "lead_at").cast("long")).alias("shared")
     )
-    best = _candidates(met).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select("a", "x.b")
-    links = _linked(df, best, rarity, doc_id, text)
+    counted = written(counted, "counted")
+    # Each document is first compared with the one that leads most of its prefix.
+    best = counted.filter("shared > 0").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select("a", "x.b")
+    best = best.join(copies.select(F.col("a").alias("_a")), F.col("a") == F.col("_a"), "left_anti")
+    links = _linked(docs, best).union(copies)
 
     # From here on only pairs whose ends are in different components can matter.
     known = written(components(links), "components")
-    where = postings.join(known, F.col("doc") == F.col("node"), "left")
-    where = written(
-        where.withColumn("component", F.coalesce("component", "doc")).drop("node"), "located"
+    known = known.join(copies.select(F.col("a").alias("_a"), F.lit(True).alias("copy")), F.col("node") == F.col("_a"), "left")
+    known = written(known.select("node", "component", F.coalesce("copy", F.lit(False)).alias("copy")), "known")
+    x, y = (known.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_in")) for c in "xy")
+    apart = counted.join(x, F.col("a") == F.col("x_node"), "left").join(y, F.col("b") == F.col("y_node"), "left")
+    apart = apart.filter(F.coalesce("x_in", "a") != F.coalesce("y_in", "b")).select(
+        F.col("a").alias("_a"), F.col("b").alias("_b")
     )
-    mixed = where.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed = written(mixed.filter("x < y").select(F.col("token").alias("_token")), "mixed")
-    open_ = written(where.join(mixed, F.col("token") == F.col("_token")).drop("_token"), "open")
-    apart = (F.col("l.doc") > F.col("r.doc")) & (F.col("l.component") != F.col("r.component"))
-    crossing = open_.alias("l").join(
-        open_.alias("r"), (F.col("l.token") == F.col("r.token")) & apart & _possible("l", "r")
+    mixed = met.join(written(apart, "apart"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_semi")
+    mixed = written(mixed.select(F.col("token").alias("_token")).distinct(), "mixed")
+    open_ = postings.select("token", "doc", "at").join(mixed, F.col("token") == F.col("_token")).drop("_token")
+    open_ = open_.join(known, F.col("doc") == F.col("node"), "left").filter("copy IS NULL OR NOT copy")
+    open_ = open_.select("token", "doc", "at", F.coalesce("component", "doc").alias("component"))
+    open_ = written(open_, "open")
+    l, r = (open_.select(*(F.col(c).alias(f"{s}_{c}") for c in open_.columns)) for s in "lr")
+    crossing = l.join(
+        r,
+        (F.col("l_token") == F.col("r_token"))
+        & (F.col("l_doc") > F.col("r_doc"))
+        & (F.col("l_component") != F.col("r_component"))
+        & _possible("l_at", "r_at"),
     )
-    more = _linked(df, _candidates(crossing).select("a", "b"), rarity, doc_id, text)
+    enough = _enough_shared(crossing)
+    more = _linked(docs, enough)
     final = written(components(links.union(more)), "components")
-    found = classes.join(final, F.col("doc") == F.col("node"), "left")
+    found = classes.join(final, F.col("first") == F.col("node"), "left")
     return written(
-        found.select("n", "s1", "s2", F.coalesce("component", "doc").alias("component")), "found"
+        found.select("n", "s1", "s2", F.coalesce("component", "first").alias("component")), "found"
     )
 
 
-def _linked(df: DataFrame, pairs: DataFrame, rarity: Rarity, doc_id: str, text: str) -> DataFrame:
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    return written(_verified(pairs, _sets(df, rarity, wanted, doc_id, text)), "verified")
-
-
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_shingles, component): one row per row of `df`.
 
@@ -196,9 +249,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     links of all its texts. A row without an id is linked with nothing and has no
     component. An empty table gives no rows.
     """
-    rarity = Rarity(frequencies(df, text, text_segments))
-    signed = written(signatures(df, rarity, doc_id, text), "signatures")
-    found = similar_components(df, signed, rarity, doc_id, text)
+    docs = _narrow(df, doc_id, text)
+    signed = written(signatures(docs), "signatures")
+    found = similar_components(docs.filter("doc IS NOT NULL"), signed.filter("doc IS NOT NULL"))
     joined = signed.alias("d").join(
         found.alias("f"),
         (F.col("d.n") == F.col("f.n")) & (F.col("d.s1") == F.col("f.s1")) & (F.col("d.s2") == F.col("f.s2"))

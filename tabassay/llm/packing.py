@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabassay.llm.shared import map_batches, slices, written
+from tabassay.llm.shared import Recent, map_batches, slices, written
 
 WINDOW = 1024
 SEPARATOR = 0
-#: Chunks whose ids a Python worker remembers at most; beyond that it starts anew.
-CACHE = 500_000
+#: About so many chunks' ids a Python worker remembers.
+CACHE = 300_000
 #: Pieces of one length are ranked in groups of about this many rows, at most MAX_BUCKETS groups.
 BUCKET_ROWS = 512
 MAX_BUCKETS = 8192
@@ -48,15 +48,13 @@ class ChunkEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # White space beside a space, or a special token: such a text is encoded in one piece.
         self.whole = re.compile(r" \s|\s |" + "|".join(map(re.escape, special)) if special else r" \s|\s ")
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: Recent[str, bytes] = Recent(CACHE)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
         cut: list[list[str] | None] = []
         wanted: set[str] = set()
         for text in texts:
@@ -67,10 +65,10 @@ class ChunkEncoder:
                 first, *rest = text.split(" ")
                 cut.append([" " + first, *rest])
                 wanted.update(cut[-1])
-        new = list(wanted - self.chunks.keys())
+        new = list(self.chunks.missing(wanted))
         spaced = [x[1:] if x.startswith(" ") else " " + x for x in new]
-        self.chunks.update(zip(new, self._ids(spaced), strict=True))
-        find = self.chunks.__getitem__
+        self.chunks.now.update(zip(new, self._ids(spaced), strict=True))
+        find = self.chunks.now.__getitem__
         for text, parts in zip(texts, cut, strict=True):
             yield self._ids([text])[0] if parts is None else b"".join(map(find, parts))
 

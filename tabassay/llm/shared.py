@@ -7,9 +7,11 @@ import contextlib
 import tempfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -80,6 +82,11 @@ def slices(
             yield batch.slice(first), texts[first:]
 
 
+def row_hashes(ids: pa.Array) -> np.ndarray:
+    """A hash of each id that depends on nothing else."""
+    return np.array([zlib.crc32(str(x).encode()) for x in ids.to_pylist()], np.uint64)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Gives the Python workers this package, once per session: they may not have it installed."""
     context = spark.sparkContext
@@ -114,5 +121,23 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+class Recent[K, V]:
+    """A memory with a bound: what was not asked for while `limit` new entries came is forgotten."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.now: dict[K, V] = {}
+        self.before: dict[K, V] = {}
+
+    def missing(self, keys: set[K]) -> set[K]:
+        """The keys not remembered. All others are in `now` until the next call."""
+        if len(self.now) > self.limit:
+            self.before, self.now = self.now, {}
+        rest = keys - self.now.keys()
+        known = rest & self.before.keys()
+        self.now.update((k, self.before[k]) for k in known)
+        return rest - known
+
+
 def crc_bucket(column: Column, parts: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % parts

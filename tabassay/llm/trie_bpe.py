@@ -24,9 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tabassay.llm.shared import map_batches, slices
+from tabassay.llm.shared import Recent, map_batches, slices
 
-#: Chunks, and pairs of tokens, that a Python worker remembers at most; beyond that it starts anew.
+#: About so many chunks, words and pairs of tokens a Python worker remembers each.
 CACHE = 400_000
 
 #: How the vocabulary's file cuts words, and the white space it ignores.
@@ -148,8 +148,8 @@ class TextEncoder:
         self.odd = re.compile(r"[\x1c-\x1f]")
         self.table = {b: c for b, c in enumerate(self.model.characters)}
         self.special = re.compile("|".join(re.escape(x) for x in self.model.special) or r"(?!)")
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.known: Recent[str, tuple[bytes, str]] = Recent(CACHE // 2)
+        self.chunks: Recent[str, tuple[bytes, str]] = Recent(CACHE)
 
     def _cut(self, text: str) -> list[str]:
         """str.split knows four separators more than the vocabulary's white space."""
@@ -166,22 +166,18 @@ class TextEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes the chunks not seen before; their new words go through one trie."""
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = {chunk: self._words(chunk) for chunk in chunks - self.chunks.keys()}
-        words = {w for words in new.values() for w in words}
-        strings = self.model.strings
-        for word, ids in self.model.encode(words - self.known.keys()):
+        new = {chunk: self._words(chunk) for chunk in self.chunks.missing(chunks)}
+        unknown = self.known.missing({w for words in new.values() for w in words})
+        known, remember, strings = self.known.now, self.chunks.now, self.model.strings
+        for word, ids in self.model.encode(unknown):
             packed = b"".join([i.to_bytes(4, "little") for i in ids])
-            self.known[word] = (packed, " ".join([strings[i] for i in ids]))
+            known[word] = (packed, " ".join([strings[i] for i in ids]))
         for chunk, words in new.items():
             if len(words) == 1:
-                self.chunks[chunk] = self.known[words[0]]
+                remember[chunk] = known[words[0]]
             else:
-                found = [self.known[w] for w in words]
-                self.chunks[chunk] = (b"".join([x[0] for x in found]), " ".join([x[1] for x in found]))
+                found = [known[w] for w in words]
+                remember[chunk] = (b"".join([x[0] for x in found]), " ".join([x[1] for x in found]))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Per text the ids as little-endian unsigned 32-bit integers, and the decoded text."""
@@ -199,7 +195,7 @@ class TextEncoder:
         self.learn(wanted)
         for pieces in parts:
             # A chunk of format characters alone may have no ids.
-            known = self.chunks
+            known = self.chunks.now
             found = [known[x] if x.__class__ is str else self._special(x[0]) for x in pieces]
             yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
 
