@@ -19,14 +19,24 @@ _DIGITS = 13  # hex digits, 52 bits: exact in a double
 
 
 def key_text(keys: Sequence[Column | str]) -> Column:
-    """The key columns joined into one string."""
+    """The key columns as one string that no other key gives.
+
+    Each part is preceded by its length, and NULL is written as ``-``, so neither
+    separators inside a value nor NULLs can make two keys look alike.
+    """
     parts = [col(k) if isinstance(k, str) else k for k in keys]
-    return F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.concat(*[cell_text(p) for p in parts])
+
+
+def cell_text(cell: Column) -> Column:
+    """A cell with its length in front, so that cells can be joined without a separator."""
+    text = cell.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
 def uniform(keys: Sequence[Column | str], seed: int = 42, salt: str = "") -> Column:
     """Uniform in [0, 1) from md5 of key, seed and salt."""
-    text = F.concat_ws("|", key_text(keys), F.lit(str(seed)), F.lit(salt))
+    text = F.concat(key_text(keys), F.lit(f"|{seed}|{salt}"))
     return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("double") / F.lit(
         float(16**_DIGITS)
     )

@@ -1,12 +1,16 @@
 """Exact order statistics, rank cuts and running totals without a global sort.
 
-A window without PARTITION BY, and the exact ``percentile`` aggregate, both pull
-a whole column into one task. Here a rank is found by narrowing an interval with
-plain aggregates (scan, no row shuffle) until few enough rows remain inside it.
+A window without PARTITION BY, and the percentile aggregates, pull a whole column
+or all its sketches into one task. Here values are counted in cells of an interval:
+a plain grouped sum, of which each task keeps a few thousand rows and which any
+number of reducers adds up. The cell with the wanted rank is the next interval. A
+double has 64 bits, so a handful of rounds ends at a single value, whatever the
+number of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -14,15 +18,15 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one interval that one task may sort. Larger intervals are narrowed first.
-SORTABLE_ROWS = 1_000_000
-# Rank error of the sketch that proposes the next interval is one in this many.
-SKETCH_ACCURACY = 10_000
-# Sketches that one scan keeps in memory, each of a few hundred kilobytes.
-SKETCHES_PER_SCAN = 32
-# Rows aimed at per bucket of a running total, and the most buckets made.
+# Cells of one interval in one round.
+CELLS = 4096
+# Intervals counted in one scan.
+INTERVALS_PER_SCAN = 32
+# Rows aimed at per bucket of a running total, and cells that one level of its search adds per cell.
 BUCKET_ROWS = 2_000_000
-MAX_BUCKETS = 10_000
+CUT_CELLS = 256
+# Octaves of a double lie well inside these bounds; infinities and NaN get cells outside.
+OCTAVES = 3000
 
 
 @dataclass(frozen=True)
@@ -36,23 +40,14 @@ class Ranked:
 
 @dataclass
 class _Search:
-    """Open interval (low, high) known to hold the value at ``rank``."""
+    """Closed interval [low, high] of values present that holds the one at ``rank``."""
 
     name: str
     rank: int
     below: int
-    inside: int
     low: float | None = None
     high: float | None = None
 
-    def holds(self, value: Column) -> Column:
-        test = value.isNotNull()
-        if self.low is not None:
-            test = test & (value > F.lit(self.low))
-        if self.high is not None:
-            test = test & (value < F.lit(self.high))
-        return test
-
 
 def counts(df: DataFrame, values: Mapping[str, Column]) -> dict[str, int]:
     """Non-null count of every column expression, in one pass."""
@@ -61,35 +56,54 @@ def counts(df: DataFrame, values: Mapping[str, Column]) -> dict[str, int]:
     return {n: row[i] for i, n in enumerate(names)}
 
 
+def _octave(value: Column) -> Column:
+    """Sign and power of two as one integer that grows with the value."""
+    size = F.floor(F.log2(F.abs(value))) + OCTAVES / 2
+    return (
+        F.when(F.isnan(value), F.lit(2 * OCTAVES))
+        .when(F.abs(value) == float("inf"), F.signum(value) * OCTAVES)
+        .when(value == 0, F.lit(0))
+        .otherwise(F.signum(value) * size)
+        .cast("int")
+    )
+
+
+def _cell(value: Column, low: float | None, high: float | None) -> Column:
+    """The cell of a value in an interval, NULL outside. Never falls as the value grows."""
+    if low is None:
+        return F.when(value.isNotNull(), _octave(value))
+    inside = (value >= F.lit(low)) & (value <= F.lit(high))
+    return F.when(inside, F.floor((value - F.lit(low)) / F.lit(high - low) * CELLS).cast("int"))
+
+
 def order_statistics(
     df: DataFrame,
     values: Mapping[str, Column],
     ranks: Mapping[str, Sequence[int]],
     sizes: Mapping[str, int] | None = None,
-    sortable_rows: int = SORTABLE_ROWS,
 ) -> dict[tuple[str, int], Ranked]:
     """The value at each 0-based rank of each double column expression. Exact.
 
     ``values`` names the expressions, ``ranks`` the ranks wanted of each; nulls
-    are left out. ``sizes`` may pass non-null counts already known. Each round
-    proposes two values from a sketch, counts exactly how many rows lie on
-    either side of them, and keeps the interval that must contain the rank. The
-    counts decide, so a poor sketch costs a round and never a wrong answer. A
-    value with very many copies ends the search as soon as it is proposed.
+    are left out. ``sizes`` may pass non-null counts already known. The first
+    round counts by sign and power of two, each further one by 4,096 equal cells
+    between the smallest and the largest value of the cell before. The search of a
+    rank ends at a cell with one value, which a value with very many copies soon
+    has to itself.
     """
     sizes = dict(sizes) if sizes is not None else counts(df, values)
     searches = [
-        _Search(name, rank, 0, sizes[name])
+        _Search(name, rank, 0)
         for name, wanted in ranks.items()
         for rank in sorted(set(wanted))
         if 0 <= rank < sizes[name]
     ]
     found: dict[tuple[str, int], Ranked] = {}
-    while wide := [s for s in searches if s.inside > sortable_rows]:
-        _narrow(df, values, wide, found)
+    while searches:
+        groups = _by_interval(searches)
+        for start in range(0, len(groups), INTERVALS_PER_SCAN):
+            _narrow(df, values, groups[start : start + INTERVALS_PER_SCAN], found)
         searches = [s for s in searches if (s.name, s.rank) not in found]
-    if searches:
-        _finish(df, values, searches, found)
     return found
 
 
@@ -101,85 +115,40 @@ def _by_interval(searches: Sequence[_Search]) -> list[list[_Search]]:
     return list(groups.values())
 
 
-def _narrow(df, values, wide, found):
-    groups = _by_interval(wide)
-    for start in range(0, len(groups), SKETCHES_PER_SCAN):
-        batch = groups[start : start + SKETCHES_PER_SCAN]
-        sketches = []
-        for g in batch:
-            at = sorted({q for s in g for q in _bracket(s)})
-            value = F.when(g[0].holds(values[g[0].name]), values[g[0].name])
-            sketches.append(
-                F.percentile_approx(value, F.array(*[F.lit(q) for q in at]), SKETCH_ACCURACY)
-            )
-        row = df.agg(*[x.alias(f"s{i}") for i, x in enumerate(sketches)]).first()
-        probes = [sorted(set(p)) for p in row]
-        sides = [
-            side
-            for g, ps in zip(batch, probes)
-            for p in ps
-            for side in (
-                F.count_if(values[g[0].name] < F.lit(p)),
-                F.count_if(values[g[0].name] <= F.lit(p)),
-            )
-        ]
-        tally = iter(df.agg(*[x.alias(f"t{i}") for i, x in enumerate(sides)]).first())
-        for g, ps in zip(batch, probes):
-            counted = [Ranked(p, next(tally), next(tally)) for p in ps]
-            for s in g:
-                _place(s, counted, found)
-
-
-def _place(s: _Search, probes: Sequence[Ranked], found: dict) -> None:
-    """Keep the part of the interval between two neighbouring probes, or take the probe itself."""
-    end = s.below + s.inside
-    for probe in probes:
-        if s.rank < probe.below:
-            s.high, end = probe.value, probe.below
-            break
-        if s.rank < probe.upto:
-            found[(s.name, s.rank)] = probe
-            return
-        s.low, s.below = probe.value, probe.upto
-    s.inside = end - s.below
-
-
-def _bracket(s: _Search) -> list[float]:
-    at = (s.rank - s.below + 0.5) / s.inside
-    margin = 2.0 / SKETCH_ACCURACY
-    return [max(0.0, at - margin), min(1.0, at + margin)]
-
-
-def _finish(df, values, searches, found):
-    groups = _by_interval(searches)
+def _narrow(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    groups: Sequence[list[_Search]],
+    found: dict[tuple[str, int], Ranked],
+) -> None:
+    """One scan counts the cells of all the intervals; each search moves into its cell."""
     pairs = [
         F.struct(
             F.lit(i).alias("span"),
-            F.when(g[0].holds(values[g[0].name]), values[g[0].name]).alias("value"),
+            _cell(values[g[0].name], g[0].low, g[0].high).alias("cell"),
+            values[g[0].name].alias("value"),
         )
         for i, g in enumerate(groups)
     ]
-    copies = (
-        df.select(F.inline(F.array(*pairs)))
-        .where(F.col("value").isNotNull())
-        .groupBy("span", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+    cells = (
+        df.select(F.inline(F.filter(F.array(*pairs), lambda x: x["cell"].isNotNull())))
+        .groupBy("span", "cell")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .collect()  # at most CELLS rows per interval
     )
-    upto = F.sum("n").over(Window.partitionBy("span").orderBy("value"))
-    ranked = copies.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
-    wanted = F.lit(False)
+    by_span: dict[int, list] = {}
+    for row in sorted(cells, key=lambda r: (r["span"], r["cell"])):
+        by_span.setdefault(row["span"], []).append(row)
     for i, g in enumerate(groups):
-        at = [F.lit(s.rank - s.below) for s in g]
-        inside = F.lit(False)
-        for r in at:
-            inside = inside | ((F.col("below") <= r) & (r < F.col("upto")))
-        wanted = wanted | ((F.col("span") == i) & inside)
-    for row in ranked.where(wanted).collect():  # at most one row per wanted rank
-        for s in groups[row["span"]]:
-            if s.below + row["below"] <= s.rank < s.below + row["upto"]:
-                found[(s.name, s.rank)] = Ranked(
-                    row["value"], s.below + row["below"], s.below + row["upto"]
-                )
+        for s in g:
+            for row in by_span[i]:
+                if s.rank < s.below + row["n"]:
+                    break
+                s.below += row["n"]
+            if row["low"] == row["high"] or row["low"] != row["low"]:
+                found[(s.name, s.rank)] = Ranked(row["low"], s.below, s.below + row["n"])
+            else:
+                s.low, s.high = row["low"], row["high"]
 
 
 def quantiles(
@@ -215,7 +184,6 @@ def rank_cuts(
     df: DataFrame,
     order: Sequence[Column],
     cuts: Mapping[str, tuple[Column, int, Sequence[int]]],
-    sortable_rows: int = SORTABLE_ROWS,
 ) -> dict[tuple[str, int], Column]:
     """Predicates that hold for the first k rows of a group in a given order.
 
@@ -252,7 +220,7 @@ def rank_cuts(
         for cut, (_, size, take, _) in open_cuts.items():
             ranks[names[cut]].append(take - 1)
             sizes[names[cut]] = size
-        found = order_statistics(df, exprs, ranks, sizes, sortable_rows)
+        found = order_statistics(df, exprs, ranks, sizes)
         still = {}
         for cut, (where, _, take, before) in open_cuts.items():
             at = found[(names[cut], take - 1)]
@@ -267,23 +235,46 @@ def rank_cuts(
     return predicates
 
 
-def value_cuts(
-    df: DataFrame, value: Column, rows: int | None = None, bucket_rows: int = BUCKET_ROWS
-) -> list[float]:
+def _cut_key(value: Column, level: int) -> Column:
+    """A long that grows with the value: its octave, then ``level`` digits of the place in it."""
+    width = CUT_CELLS**level
+    place = F.floor((F.abs(value) / F.pow(F.lit(2.0), F.floor(F.log2(F.abs(value)))) - 1) * width)
+    signed = F.when(F.abs(value) < float("inf"), F.coalesce(F.signum(value) * place, F.lit(0)))
+    return _octave(value).cast("long") * (2 * width) + F.coalesce(signed.cast("long"), F.lit(0))
+
+
+def value_cuts(df: DataFrame, value: Column, bucket_rows: int = BUCKET_ROWS) -> list[float]:
     """Values that cut a column into buckets of about ``bucket_rows`` rows.
 
-    ``rows`` may pass the row count when it is known.
+    Cells of the values' leading digits are counted; a cell with more rows than a
+    bucket is counted by one more digit, until it has one value or six digits. The
+    driver sees the cells that are split, not the rows.
     """
-    rows = df.count() if rows is None else rows
-    buckets = min(MAX_BUCKETS, -(-rows // bucket_rows))
-    if buckets <= 1:
-        return []
-    at = [i / buckets for i in range(1, buckets)]
-    accuracy = max(SKETCH_ACCURACY, 10 * buckets)
-    row = df.agg(
-        F.percentile_approx(value.cast("double"), F.array(*[F.lit(q) for q in at]), accuracy)
-    ).first()
-    return sorted(set(row[0]))
+    value = value.cast("double")
+    rows = df.select(value.alias("v")).where(F.col("v").isNotNull())
+    cells, level = rows, 0
+    sized: list[tuple[float, int]] = []
+    while True:
+        counted = (
+            cells.groupBy(_cut_key(F.col("v"), level).alias("k"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            .collect()
+        )
+        heavy = [r["k"] for r in counted if r["n"] > bucket_rows and r["low"] < r["high"]] if level < 6 else []
+        wide = set(heavy)
+        sized.extend((r["high"], r["n"]) for r in counted if r["k"] not in wide)
+        if not heavy:
+            break
+        cells = rows.where(_cut_key(F.col("v"), level).isin(heavy))
+        level += 1
+    cuts, total = [], 0
+    for high, n in sorted(sized):
+        if total and total + n > bucket_rows:
+            cuts.append(last)
+            total = 0
+        total, last = total + n, high
+    # A cut begins the next bucket: the smallest double above the last value of this one.
+    return [math.nextafter(c, math.inf) for c in cuts]
 
 
 def running_totals(
@@ -297,7 +288,7 @@ def running_totals(
 
     ``points`` must hold one row per value of ``order`` (aggregate first, so that
     a value with many copies is one row). ``totals`` maps new column to summed
-    column. Totals of whole buckets, at most ``MAX_BUCKETS`` rows, give each
+    column. Totals of whole buckets, one row per ``BUCKET_ROWS`` rows, give each
     bucket its starting value.
     """
     if cuts:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from functools import cache
+from contextlib import contextmanager, suppress
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,43 +24,40 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder.
-    """
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names in ``spark.checkpoint.dir``, if it names one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
-        folder = _local_folder(spark.sparkContext.applicationId)
-    return folder
-
-
-@cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="tabassay-")
+    return folder.rstrip("/") if folder else None
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The table written once as Parquet in the shared folder, and read from there.
+    """The table computed once for many jobs.
 
-    Cuts the lineage like a checkpoint, and later jobs read only the columns
-    they need. The folder belongs to the caller, who may clear it afterwards.
+    With a shared folder it is written there as Parquet, which cuts the lineage;
+    the files go when the Python process ends. Without one it is persisted, and a
+    lost part is computed again: no operator here draws anything that differs on a
+    second run.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tabassay-{uuid.uuid4().hex}"
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder}/tabassay-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended before
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def prepared(df: DataFrame) -> DataFrame:
     """A table stored for many passes; one in fewer partitions than cores is spread over them.
 
     A table read from one small file is the case in mind. A large table has
     partitions enough and is not shuffled.
     """
-    table = stored(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:
-        table = stored(table.repartition(cores))
-    return table
+    return stored(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df)

@@ -3,8 +3,7 @@
 All seven metrics depend on the rows through sums only. Rows are first summed
 into a bounded number of units by the hash of their key, then the units are
 resampled with Poisson(1) weights. The cost after that first pass is units times
-replicates, whatever the size of the table. A table with few rows keeps one unit
-per row.
+replicates, whatever the size of the table. The rule is the same for every size.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..functions.hashing import key_text, poisson1, uniform
+from ..functions.hashing import poisson1, uniform
 from .metrics import CLASSIFICATION, _labels, _r2, error_sums, metrics_of_cells
 
 # Replicates, confidence and seed of an interval.
@@ -23,22 +22,16 @@ REPLICATES = 1000
 CONFIDENCE = 0.95
 SEED = 42
 UNITS = 1000
-# A table with at most this many rows is resampled row by row.
-ROW_UNITS = 2_000
 
 METRICS = ("accuracy", "f1_score", "precision", "recall", "mae", "rmse", "r2")
 
 
 def _units(
-    df: DataFrame, keys: Sequence[Column | str], units: int | None, seed: int
+    df: DataFrame, keys: Sequence[Column | str], units: int, seed: int
 ) -> tuple[Column, DataFrame]:
     """The unit of a row, and the table of all units."""
-    if units is None and df.limit(ROW_UNITS + 1).count() <= ROW_UNITS:
-        unit = key_text(keys).alias("unit")
-        return unit, df.select(unit).distinct()
-    if units is not None and units < 1:
+    if units < 1:
         raise ValueError("units must be positive")
-    units = units or UNITS
     unit = F.floor(uniform(keys, seed, "unit") * units).cast("int").cast("string")
     return unit.alias("unit"), df.sparkSession.range(units).select(F.col("id").cast("string").alias("unit"))
 
@@ -47,8 +40,7 @@ def _weighted(sums: DataFrame, units: DataFrame, replicates: int, seed: int) ->
     """Each row of a table of units once per replicate, with the weight of its unit there.
 
     Weights are drawn once per unit and replicate and broadcast: at most
-    ``max(UNITS, ROW_UNITS) * replicates`` small integers, unless the caller asks
-    for more units. Both tables are small enough to end up in one partition, so
+    ``units * replicates`` small integers, both chosen by the caller. Both tables are small enough to end up in one partition, so
     they are spread over the cores before they multiply.
     """
     cores = sums.sparkSession.sparkContext.defaultParallelism
@@ -68,7 +60,7 @@ def bootstrap_scores(
     yhat: str = "yhat",
     replicates: int = REPLICATES,
     seed: int = SEED,
-    units: int | None = None,
+    units: int = UNITS,
 ) -> DataFrame:
     """``replicate, score``: the metric of each resample."""
     if metric not in METRICS:
@@ -118,7 +110,7 @@ def bootstrap_ci(
     replicates: int = REPLICATES,
     confidence: float = CONFIDENCE,
     seed: int = SEED,
-    units: int | None = None,
+    units: int = UNITS,
 ) -> DataFrame:
     """One row: mean, lower, upper (interpolated percentiles), population std, n_bootstrap."""
     scores = bootstrap_scores(df, keys, metric, y, yhat, replicates, seed, units)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..functions.hashing import key_text, uniform
-from ..functions.ordering import rank_cuts
+from ..functions.hashing import uniform
+from ..functions.ordering import BUCKET_ROWS, rank_cuts
 from ..functions.storage import kept
 from .metrics import score_points, two_labels
 
@@ -19,14 +19,16 @@ LIFT_SHARES = tuple(0.1 + i * 0.1 for i in range(10))
 BINS = 10
 
 
-def pr_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+def pr_curve(
+    df: DataFrame, y: str = "y", p: str = "p", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """``threshold, precision, recall`` at each distinct score. Empty unless binary."""
     labels = two_labels(df.where(col(y).isNotNull() & col(p).isNotNull()), y)
     if labels is None:
         return df.sparkSession.createDataFrame(
             [], "threshold double, precision double, recall double"
         )
-    return score_points(df, labels, y, p).select(
+    return score_points(df, labels, y, p, bucket_rows).select(
         F.col("p").alias("threshold"),
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
         (F.col("cum_pos") / F.lit(labels.n_pos)).alias("recall"),
@@ -70,7 +72,10 @@ def lift_curve(
     """
     schema = "share double, n_top bigint, positives bigint, lift double"
     needed = df.where(col(y).isNotNull() & col(p).isNotNull()).select(
-        key_text(keys).alias("key"), col(p).cast("double").alias("p"), col(y).alias("y")
+        col(p).cast("double").alias("p"),
+        col(y).alias("y"),
+        uniform(keys, seed, "lift").alias("u"),
+        uniform(keys, seed, "lift tie").alias("tie"),
     )
     with kept(needed) as scored:
         labels = two_labels(scored, "y")
@@ -79,7 +84,7 @@ def lift_curve(
         n_pos, n = labels.n_pos, labels.n_pos + labels.n_neg
         hit = F.col("y") == F.lit(labels.positive)
         tops = {share: int(share * n) for share in shares if int(share * n) > 0}
-        order = [-F.col("p"), uniform(["key"], seed, "lift"), uniform(["key"], seed, "lift tie")]
+        order = [-F.col("p"), F.col("u"), F.col("tie")]
         cuts = rank_cuts(scored, order, {"top": (F.lit(True), n, list(tops.values()))})
         found = scored.agg(
             F.count(F.lit(1)), *[F.count_if(hit & cuts[("top", k)]) for k in tops.values()]

@@ -122,21 +122,24 @@ def time_findings(df: DataFrame, time_col: str) -> DataFrame:
 def leakage_findings(
     df: DataFrame, target: str, policy: str = "iid", time_col: str | None = None
 ) -> DataFrame:
-    """All findings: ``column, issue, pattern, correlation, severity``."""
+    """All findings: ``column, issue, pattern, correlation, severity``. None without the target."""
     if target not in df.columns:
-        return df.sparkSession.createDataFrame(
-            [(target, "missing_target", None, None, "block")], _FINDING
-        )
+        return df.sparkSession.createDataFrame([], _FINDING)
     found = correlation_findings(df, target).unionByName(name_findings(df, target))
     if policy == "time" and time_col:
         found = found.unionByName(time_findings(df, time_col))
     return found
 
 
-def leakage_verdict(findings: DataFrame, columns_checked: int) -> DataFrame:
-    """One row: ``status`` (block, warn or pass) and the number of findings of each kind."""
+def leakage_verdict(
+    findings: DataFrame, columns_checked: int, target_present: bool = True
+) -> DataFrame:
+    """One row: ``status`` (block, warn or pass) and the number of findings of each kind.
+
+    A table without its target is blocked, although nothing was found in it.
+    """
     block, warn = F.col("blocking_issues"), F.col("warnings")
-    status = F.when(block > 0, "block").when(warn > 0, "warn").otherwise("pass")
+    status = F.when(F.lit(not target_present) | (block > 0), "block").when(warn > 0, "warn").otherwise("pass")
     return findings.agg(
         F.count_if(F.col("severity") == "block").alias("blocking_issues"),
         F.count_if(F.col("severity") == "warn").alias("warnings"),

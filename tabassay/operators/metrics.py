@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
-from ..functions.ordering import running_totals, value_cuts
+from ..functions.ordering import BUCKET_ROWS, running_totals, value_cuts
 
 CLASSIFICATION = ("accuracy", "f1_score", "precision", "recall")
 REGRESSION = ("mae", "rmse", "r2", "mape")
@@ -175,7 +175,9 @@ def _scored(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.where(col(y).isNotNull() & col(p).isNotNull())
 
 
-def score_points(df: DataFrame, labels: Labels, y: str = "y", p: str = "p") -> DataFrame:
+def score_points(
+    df: DataFrame, labels: Labels, y: str = "y", p: str = "p", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """``p, pos, neg, cum_pos, cum_neg`` per distinct score, highest score first.
 
     Copies of a score are combined before anything is ordered.
@@ -192,13 +194,15 @@ def score_points(df: DataFrame, labels: Labels, y: str = "y", p: str = "p") -> D
         )
         .where((F.col("n") > 0) & (F.col("pos") + F.col("neg") > 0))
     )
-    cuts = value_cuts(df, score, rows=labels.n_pos + labels.n_neg)
+    cuts = value_cuts(df, score, bucket_rows)
     return running_totals(
         points, "p", {"cum_pos": "pos", "cum_neg": "neg"}, cuts, descending=True
     )
 
 
-def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, y: str = "y", p: str = "p", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """One row ``roc_auc, pr_auc``; tied scores count one half, pr_auc is average precision.
 
     NULL for both unless there are exactly two labels.
@@ -206,7 +210,7 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     labels = two_labels(_scored(df, y, p), y)
     if labels is None:
         return df.sparkSession.createDataFrame([(None, None)], "roc_auc double, pr_auc double")
-    points = score_points(df, labels, y, p)
+    points = score_points(df, labels, y, p, bucket_rows)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     higher = F.col("cum_pos") - F.col("pos")

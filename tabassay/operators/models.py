@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -42,8 +41,8 @@ LADDER = {
 SEARCH_SPACES = {
     "random_forest": {
         "n_estimators": [50, 100, 200],
-        "max_depth": [3, 5, 10, None],
-        "min_samples_split": [2, 5, 10],
+        "max_depth": [3, 5, 10, 12],
+        "min_leaf_rows": [1, 3, 5],
     },
     "logistic_regression": {"C": [0.1, 1.0, 10.0], "penalty": ["l1", "l2"]},
     "ridge": {"alpha": [0.1, 1.0, 10.0]},
@@ -53,7 +52,7 @@ FOLDS = 3
 # MLlib grows a tree to at most 30 levels and keeps it on the driver, so a tree
 # without a stated depth gets the depth below and not the largest one.
 DEFAULT_DEPTH = 12
-MAX_LABELS = 1000
+MAX_DEPTH = 30
 
 
 @dataclass
@@ -114,12 +113,14 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def _forest(kind, params: Mapping):
     depth = params.get("max_depth")
-    split = params.get("min_samples_split", 2)
+    depth = DEFAULT_DEPTH if depth is None else int(depth)
+    if depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {depth}: trees have at most {MAX_DEPTH} levels here")
     return kind(
         labelCol="label",
         numTrees=int(params.get("n_estimators", 100)),
-        maxDepth=DEFAULT_DEPTH if depth is None else min(int(depth), 30),
-        minInstancesPerNode=max(1, math.ceil(split / 2)),
+        maxDepth=depth,
+        minInstancesPerNode=int(params.get("min_leaf_rows", 1)),
         featureSubsetStrategy="sqrt" if kind is RandomForestClassifier else "all",
         seed=SEED,
     )
@@ -160,7 +161,7 @@ def estimator(
         return _forest(RandomForestClassifier, params)
     if name == "random_forest_regressor":
         return _forest(RandomForestRegressor, params)
-    raise ValueError(f"Unknown model: {name}")
+    raise ValueError(f"No estimator is called {name!r}")
 
 
 def _labelled(df: DataFrame, target: str, labels: Sequence | None) -> DataFrame:
@@ -171,10 +172,9 @@ def _labelled(df: DataFrame, target: str, labels: Sequence | None) -> DataFrame:
 
 
 def class_labels(df: DataFrame, target: str) -> list:
-    labels = distinct_up_to(df, col(target), MAX_LABELS)
-    if labels is None:
-        raise ValueError(f"Target '{target}' has more than {MAX_LABELS} classes")
-    return labels
+    """All classes in order; a classifier has a set of weights for each, so the driver can hold them."""
+    found = df.select(col(target).alias("label")).where(F.col("label").isNotNull()).distinct()
+    return sorted(r["label"] for r in found.collect())
 
 
 def fit_model(
@@ -183,7 +183,7 @@ def fit_model(
     """Fit one model on the training rows."""
     name = spec["name"]
     if name not in CLASSIFIERS + REGRESSORS:
-        raise ValueError(f"Unknown model: {name}")
+        raise ValueError(f"No estimator is called {name!r}")
     if name in CLASSIFIERS and labels is None:
         labels = class_labels(train, target)
     if name in REGRESSORS:
@@ -238,16 +238,23 @@ def train_ladder(
     task: str | None = None,
     specs: Sequence[Mapping] | None = None,
 ) -> tuple[list[TrainedModel], dict[str, str]]:
-    """Train every candidate for the task; returns the models and the failures by name."""
+    """Train every candidate for the task; returns the models and the failures, both by model id.
+
+    The id is the spec's name; a second spec of that name gets its place in the list appended.
+    """
     task = task or infer_task(train, target)
     trained, failed = [], {}
     rows = train.select(*{*features, target}).persist()  # each candidate reads it many times
     try:
-        for spec in specs if specs is not None else LADDER[task]:
+        chosen = list(specs if specs is not None else LADDER[task])
+        names = [spec["name"] for spec in chosen]
+        for place, spec in enumerate(chosen):
+            model_id = spec["name"] if names.index(spec["name"]) == place else f"{spec['name']}#{place}"
             try:
                 trained.append(train_model(spec, rows, val, target, features))
+                trained[-1].model_id = model_id
             except Exception as error:  # one bad candidate must not end the ladder
-                failed[spec["name"]] = str(error)
+                failed[model_id] = str(error)
     finally:
         rows.unpersist()
     return trained, failed
@@ -257,7 +264,7 @@ def results_table(df: DataFrame, models: Sequence[TrainedModel]) -> DataFrame:
     """One row per model with its validation metrics."""
     names = sorted({m for t in models for m in t.val_metrics})
     rows = [
-        (t.spec["name"], json.dumps(t.spec.get("params", {}), sort_keys=True), t.train_seconds)
+        (t.model_id, json.dumps(t.spec.get("params", {}), sort_keys=True), t.train_seconds)
         + tuple(t.val_metrics.get(m) for m in names)
         for t in models
     ]
@@ -283,7 +290,7 @@ def leaderboard_intervals(
     """Bootstrap interval of one metric for every model on the same resamples."""
     intervals = [
         bootstrap_ci(m.score(val), keys, metric, target, "yhat", replicates).select(
-            F.lit(m.spec["name"]).alias("model_id"), "*"
+            F.lit(m.model_id).alias("model_id"), "*"
         )
         for m in models
     ]
@@ -320,7 +327,7 @@ def grid_search(
     the fold.
     """
     if family not in ("random_forest", "logistic_regression"):
-        raise ValueError(f"Unknown model family: {family}")
+        raise ValueError(f"No search space is called {family!r}")
     if task is None:
         few = distinct_up_to(folded, col(target), 20) is not None
         task = "classification" if few else "regression"

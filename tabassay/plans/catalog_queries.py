@@ -159,9 +159,14 @@ def concat_by_name(spark, sf):
 @query
 def fingerprint(spark, sf):
     orders = sources.read_table(spark, sf, "orders")
-    return sources.fingerprint(
-        orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "orders"
+    # Prices as decimals and dates as microseconds: texts of doubles and dates differ between engines.
+    exact = orders.withColumns(
+        {
+            "o_totalprice": F.col("o_totalprice").cast("decimal(20,4)"),
+            "o_orderdate": F.unix_micros(F.col("o_orderdate").cast("timestamp")),
+        }
     )
+    return sources.fingerprint(exact, "orders")
 
 
 # --- profile ----------------------------------------------------------------
@@ -468,6 +473,12 @@ def ranking_metrics(spark, sf):
     return rounded(metrics.ranking_metrics(scored_binary(spark, sf)))
 
 
+@query
+def ranking_metrics_buckets(spark, sf):
+    """The same areas with running totals over many buckets."""
+    return rounded(metrics.ranking_metrics(scored_binary(spark, sf), bucket_rows=500))
+
+
 @query
 def residual_bins(spark, sf):
     return rounded(metrics.residual_bins(scored_numbers(spark, sf)), 4)
@@ -550,6 +561,12 @@ def pr_curve(spark, sf):
     return rounded(curves.pr_curve(scored_binary(spark, sf)))
 
 
+@query
+def pr_curve_buckets(spark, sf):
+    """The same curve with running totals over many buckets."""
+    return rounded(curves.pr_curve(scored_binary(spark, sf), bucket_rows=500))
+
+
 @query
 def optimal_threshold(spark, sf):
     return rounded(curves.optimal_threshold(curves.pr_curve(scored_binary(spark, sf))))
@@ -765,7 +782,7 @@ def grid_ridge(spark, sf):
 def grid_forest(spark, sf):
     train, _, _ = _parts(returned_table(spark, sf))
     folded = splits.assign_folds(train, ["key"], 3, "flag")
-    space = {"n_estimators": [5, 10], "max_depth": [3], "min_samples_split": [2, 10]}
+    space = {"n_estimators": [5, 10], "max_depth": [3], "min_leaf_rows": [1, 5]}
     return rounded(
         models.grid_search(folded, "flag", PRICE_FEATURES, "random_forest", "classification", space)
     )

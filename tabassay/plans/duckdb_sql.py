@@ -10,8 +10,13 @@ from ..operators.leakage import LEAKY_NAMES
 from ..operators.pii import PATTERNS, PERSONAL_NAMES
 
 
+def cell(value: str) -> str:
+    """A cell as the key hash and the fingerprint write it: with its length in front."""
+    return f"coalesce(length({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
 def u(key: str, salt: str = "", seed: int = 42) -> str:
-    text = f"concat_ws('|', {key}, '{seed}', '{salt}')"
+    text = " || ".join(cell(k.strip()) for k in key.split(",")) + f" || '|{seed}|{salt}'"
     return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
 
 
@@ -22,9 +27,8 @@ def normal(key: str, salt: str) -> str:
     )
 
 
-LINEITEM = """li AS (SELECT *, concat_ws('|', l_orderkey::VARCHAR, l_linenumber::VARCHAR,
-  l_partkey::VARCHAR, l_suppkey::VARCHAR, l_extendedprice::DECIMAL(18,2)::VARCHAR) AS key
-  FROM lineitem)"""
+_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice::DECIMAL(18,2)")
+LINEITEM = f"""li AS (SELECT *, {' || '.join(cell(k) for k in _KEY)} AS key FROM lineitem)"""
 
 BINARY = f"""{LINEITEM}, b0 AS (SELECT key, l_linestatus, l_linenumber,
   (l_returnflag = 'R')::INTEGER AS y, {u('key')} AS u FROM li),
@@ -95,13 +99,15 @@ SQL["csv_types"] = """SELECT o_orderkey,
   o_orderkey % 2 = 0 AS even FROM orders"""
 SQL["concat_by_name"] = """SELECT o_orderkey, o_totalprice, NULL::VARCHAR AS o_orderpriority FROM orders
   UNION ALL SELECT o_orderkey, NULL::DOUBLE, o_orderpriority FROM orders"""
-SQL["fingerprint"] = """WITH d AS (SELECT md5(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR,
-  o_orderstatus, o_orderpriority)) AS m FROM orders),
+_ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice::DECIMAL(20,4)", "epoch_us(o_orderdate)",
+           "o_orderpriority")
+SQL["fingerprint"] = f"""WITH d AS (SELECT md5({' || '.join(cell(c) for c in _ORDERS)}) AS m FROM orders),
 t AS (SELECT count(*) AS n_rows,
-  sum(('0x' || substr(m, 1, 8))::BIGINT)::HUGEINT::VARCHAR AS content_sum FROM d)
-SELECT n_rows, content_sum, sha256(concat_ws('|', 'orders',
-  'o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_orderpriority:string',
-  n_rows::VARCHAR, content_sum)) AS fingerprint FROM t"""
+  sum(('0x' || substr(m, 1, 16))::UBIGINT::HUGEINT)::VARCHAR || ','
+  || sum(('0x' || substr(m, 17, 16))::UBIGINT::HUGEINT)::VARCHAR AS content_sum FROM d)
+SELECT n_rows, content_sum, sha256({cell("'orders'")} || {cell("""'o_orderkey:bigint,o_custkey:bigint,'
+  || 'o_orderstatus:string,o_totalprice:decimal(20,4),o_orderdate:bigint,o_orderpriority:string'""".replace(chr(10), " "))}
+  || {cell('n_rows')} || {cell('content_sum')}) AS fingerprint FROM t"""
 
 # --- profile
 
@@ -521,9 +527,9 @@ SELECT row_number() OVER (ORDER BY mae, model_id)::INTEGER AS rank, model_id,
 
 
 def _weights(replicates: int, units: int) -> str:
-    hashed = u("unit, replicate::VARCHAR", "weight")
+    hashed = u("unit, replicate", "weight")
     steps = " ".join(f"WHEN x < {s!r}::DOUBLE THEN {i}" for i, s in enumerate(poisson_steps()))
-    return f"""wx AS (SELECT unit::VARCHAR AS unit, replicate, {hashed.replace('unit,', 'unit::VARCHAR,')}
+    return f"""wx AS (SELECT unit::VARCHAR AS unit, replicate, {hashed}
   AS x FROM range({units}) a(unit), range({replicates}) b(replicate)),
 weights AS (SELECT unit, replicate::INTEGER AS replicate, CASE {steps} ELSE {len(poisson_steps())} END AS w
   FROM wx)"""
@@ -698,3 +704,7 @@ b AS (SELECT avg((raw - y) ** 2) AS b0, avg((f - y) ** 2) AS b1 FROM cal)
 SELECT round(e0.ece, 6) AS ece_before, round(e1.ece, 6) AS ece_after,
   round(e0.ece - e1.ece, 6) AS ece_improvement, round(b0, 6) AS brier_before,
   round(b1, 6) AS brier_after, round(b0 - b1, 6) AS brier_improvement FROM e0, e1, b"""
+
+# Other bucket sizes of the same operators give the same rows.
+SQL["ranking_metrics_buckets"] = SQL["ranking_metrics"]
+SQL["pr_curve_buckets"] = SQL["pr_curve"]

@@ -74,7 +74,9 @@ def check(df: DataFrame, settings: Settings, study: Study) -> tuple[DataFrame, l
     study.tables["candidates"] = profile.candidate_targets(clean)
     study.tables["insights"] = profile.insights(clean)
     found = leakage.leakage_findings(clean, settings.target, settings.policy, settings.time_col)
-    verdict = leakage.leakage_verdict(found, len(clean.columns) - 1)
+    verdict = leakage.leakage_verdict(
+        found, len(clean.columns) - 1, settings.target in clean.columns
+    )
     study.tables["leakage"], study.tables["verdict"] = found, verdict
     denied = list(settings.deny)
     if verdict.first()["status"] == "block":
@@ -124,8 +126,8 @@ def run_study(df: DataFrame, settings: Settings) -> Study:
     board = models.leaderboard(table, study.models, settings.primary)
     study.tables["leaderboard"] = board
     winner = metrics.top_models(board, 1).first()
-    names = [m.spec["name"] for m in study.models]
-    study.best = study.models[names.index(winner["model_id"]) if winner else 0]
+    by_id = {m.model_id: m for m in study.models}
+    study.best = by_id[winner["model_id"]] if winner else study.models[0]
     study.tables["test_metrics"] = models.evaluate_model(study.best, test, target)
     scored = study.best.score(test)
     slices = fairness.slice_metrics(

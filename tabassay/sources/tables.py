@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..functions.hashing import cell_text
 
 
 @dataclass(frozen=True)
@@ -79,23 +80,20 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_csv(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> DataFrame:
     """CSV files with a header, missing-value tokens nulled, types found, rows concatenated.
 
-    Files are matched by column name; a column one file lacks is NULL for it.
+    Files are matched by column name; a column one file lacks is NULL for it. Cells
+    that span lines need ``multi_line``, with which one task reads a whole file.
     """
     if not paths:
-        raise ValueError("No CSV paths provided")
-    return typed_csv(concat_tables([_raw_csv(spark, path) for path in paths]))
+        raise ValueError("read_csv needs at least one path")
+    return typed_csv(concat_tables([_raw_csv(spark, path, multi_line) for path in paths]))
 
 
-def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def _raw_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     reader = spark.read.option("header", True).option("escape", '"')
-    # A line with an odd number of quotes opens a cell that spans lines. Only then
-    # is the file read whole by one task; otherwise Spark splits it.
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    spans_lines = spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
-    return reader.option("multiLine", spans_lines).csv(path)
+    return reader.option("multiLine", multi_line).csv(path)
 
 
 def typed_csv(raw: DataFrame) -> DataFrame:
@@ -146,24 +144,21 @@ def concat_tables(tables: Sequence[DataFrame]) -> DataFrame:
 def fingerprint(df: DataFrame, name: str = "") -> DataFrame:
     """One row: ``n_rows``, ``content_sum`` and ``fingerprint`` over every cell of the table.
 
-    Per-row md5 parts are summed, so neither row order nor partitioning matters,
-    while repeated rows and every changed cell do. Partial sums are the only
-    thing shuffled.
+    Both halves of each row's md5 are summed, so neither row order nor partitioning
+    matters, while repeated rows and every changed cell do. Cells are written with
+    their length, NULL apart from any text. Partial sums are the only thing shuffled.
     """
-    cells = [F.coalesce(col(c).cast("string"), F.lit("∅")) for c in df.columns]
-    digest = F.md5(F.concat_ws("|", *cells))
-    part = F.conv(F.substring(digest, 1, 8), 16, 10).cast("decimal(20,0)")
+    digest = F.md5(F.concat(F.lit(""), *[cell_text(col(c)) for c in df.columns]))
+    halves = [
+        F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+        for at in (1, 17)
+    ]
     shape = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-    content = F.concat_ws(
-        "|", F.lit(name), F.lit(shape), F.col("n_rows").cast("string"), F.col("content_sum")
-    )
-    return (
-        df.agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string").alias("content_sum"),
-        )
-        .withColumn("fingerprint", F.sha2(content, 256))
-    )
+    parts = [F.lit(name), F.lit(shape), F.col("n_rows"), F.col("content_sum")]
+    sums = [F.coalesce(h, F.lit(0)).cast("decimal(38,0)").cast("string") for h in halves]
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.concat_ws(",", *sums).alias("content_sum")
+    ).withColumn("fingerprint", F.sha2(F.concat(*[cell_text(p) for p in parts]), 256))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:

@@ -5,7 +5,6 @@ import pytest
 from conftest import by, rows
 from pyspark.sql import functions as F
 
-from tabassay.functions import ordering
 from tabassay.operators import bootstrap, curves, fairness, metrics
 
 
@@ -95,13 +94,12 @@ def ties(spark):
 
 
 @pytest.mark.parametrize("bucket_rows", [50, 10**6])
-def test_ranking_metrics_and_curve(ties, monkeypatch, bucket_rows):
+def test_ranking_metrics_and_curve(ties, bucket_rows):
     y, p, df = ties
-    monkeypatch.setattr(ordering.value_cuts, "__defaults__", (None, bucket_rows))
-    got = rows(metrics.ranking_metrics(df))[0]
+    got = rows(metrics.ranking_metrics(df, bucket_rows=bucket_rows))[0]
     assert got["roc_auc"] == pytest.approx(brute_auc(y, p))
     assert got["pr_auc"] == pytest.approx(brute_ap(y, p))
-    curve = by(curves.pr_curve(df), "threshold")
+    curve = by(curves.pr_curve(df, bucket_rows=bucket_rows), "threshold")
     assert set(curve) == set(p)
     for t in sorted(set(p)):
         top = y[p >= t]
@@ -138,10 +136,8 @@ def test_optimal_threshold_is_the_lowest_on_a_tie(spark):
     assert rows(curves.operating_point(curve))[0]["threshold"] == 0.2
 
 
-@pytest.mark.parametrize("sortable", [20, 10**6])
-def test_lift_with_ties(ties, sortable, monkeypatch):
+def test_lift_with_ties(ties):
     y, p, df = ties
-    monkeypatch.setattr(ordering.rank_cuts, "__defaults__", (sortable,))
     got = by(curves.lift_curve(df, ["id"]), "share")
     from tabassay.functions.hashing import uniform
 
@@ -193,7 +189,7 @@ def test_rank_models(spark):
 # --- bootstrap --------------------------------------------------------------
 
 
-@pytest.mark.parametrize("units", [None, 300])
+@pytest.mark.parametrize("units", [1000, 300])
 def test_bootstrap_agrees_with_resampling_rows(spark, units):
     rng = np.random.default_rng(8)
     y = rng.integers(0, 3, 2000)

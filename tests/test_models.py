@@ -94,9 +94,9 @@ def test_regression_ladder_ranks_by_mae(numbers):
 
 def test_unknown_names(flags):
     _, _, df = flags
-    with pytest.raises(ValueError, match="Unknown model"):
+    with pytest.raises(ValueError, match="estimator"):
         models.fit_model({"name": "svm"}, df, "y", ["a"])
-    with pytest.raises(ValueError, match="Unknown model family"):
+    with pytest.raises(ValueError, match="search space"):
         models.grid_search(df, "y", ["a"], "svm")
 
 

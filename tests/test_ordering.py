@@ -15,13 +15,14 @@ def skewed_values(n=6000, seed=1):
     return values
 
 
-@pytest.mark.parametrize("sortable", [10, 500, 10**6])
-def test_order_statistics_are_exact(spark, sortable):
-    values = skewed_values()
+@pytest.mark.parametrize("scale", [1.0, 1e-300, 1e300, -3.0])
+def test_order_statistics_are_exact(spark, scale):
+    values = skewed_values() * scale
+    values[:4] = [0.0, np.inf, -np.inf, 2.0**-1074]
     df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(5)
     n = len(values)
     ranks = [0, 1, n // 4, n // 2, n - 2, n - 1]
-    found = ordering.order_statistics(df, {"x": F.col("x")}, {"x": ranks}, sortable_rows=sortable)
+    found = ordering.order_statistics(df, {"x": F.col("x")}, {"x": ranks})
     ordered = np.sort(values)
     for r in ranks:
         got = found[("x", r)]
@@ -33,7 +34,7 @@ def test_order_statistics_are_exact(spark, sortable):
 def test_order_statistics_of_a_constant_and_nulls(spark):
     df = spark.createDataFrame([(7.0, None)] * 200, "x double, y double")
     found = ordering.order_statistics(
-        df, {"x": F.col("x"), "y": F.col("y")}, {"x": [0, 199, 200], "y": [0]}, sortable_rows=10
+        df, {"x": F.col("x"), "y": F.col("y")}, {"x": [0, 199, 200], "y": [0]}
     )
     assert {k for k in found} == {("x", 0), ("x", 199)}
     assert found[("x", 199)].value == 7.0
@@ -47,15 +48,14 @@ def test_quantiles_match_numpy(spark):
     assert got["none"] == [None] * 5
 
 
-@pytest.mark.parametrize("sortable", [20, 10**6])
-def test_rank_cuts_take_exactly_k_rows_in_order(spark, sortable):
+def test_rank_cuts_take_exactly_k_rows_in_order(spark):
     rng = np.random.default_rng(3)
     data = [(i, float(rng.integers(0, 4)), "a" if rng.random() < 0.7 else "b") for i in range(3000)]
     df = spark.createDataFrame(data, "id int, x double, g string")
     order = [F.col("x"), uniform(["id"], 1)]
     sizes = {g: sum(d[2] == g for d in data) for g in "ab"}
     wanted = {g: (F.col("g") == g, sizes[g], (0, 1, 700, sizes[g])) for g in "ab"}
-    cuts = ordering.rank_cuts(df, order, wanted, sortable_rows=sortable)
+    cuts = ordering.rank_cuts(df, order, wanted)
     hashed = {r["id"]: r["u"] for r in df.select("id", uniform(["id"], 1).alias("u")).collect()}
     for g in "ab":
         ordered = sorted((d for d in data if d[2] == g), key=lambda d: (d[1], hashed[d[0]]))
@@ -84,6 +84,32 @@ def test_a_small_table_needs_one_bucket(spark):
     assert [(r["p"], r["upto"]) for r in rows(got.orderBy("p"))] == [(1.0, 1), (2.0, 6)]
 
 
+def test_no_task_gets_a_whole_column(spark):
+    df = spark.range(1000).select((F.col("id") % 7).cast("double").alias("x"))
+    plans = []
+    real = type(df).collect
+
+    def spy(self):
+        plans.append(self._jdf.queryExecution().toString())
+        return real(self)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(df), "collect", spy)
+        ordering.order_statistics(df, {"x": F.col("x")}, {"x": [500]}, {"x": 1000})
+        ordering.value_cuts(df, F.col("x"), bucket_rows=10)
+    assert plans
+    assert not any("percentile" in p or "SinglePartition" in p for p in plans)
+
+
+@pytest.mark.parametrize("scale", [1.0, -1e-12, 1e200])
+def test_value_cuts_bound_the_buckets(spark, scale):
+    values = np.unique(skewed_values(4000)) * scale
+    df = spark.createDataFrame([(float(v),) for v in values], "p double")
+    cuts = ordering.value_cuts(df, F.col("p"), bucket_rows=50)
+    sizes = np.histogram(values, [-np.inf, *cuts, np.inf])[0]
+    assert sizes.max() <= 50 and len(cuts) < len(values) / 20
+
+
 def test_hash_depends_on_the_key_only(spark):
     df = spark.range(500).withColumn("k", key_text(["id"]))
     draw = lambda d: {r["id"]: r["u"] for r in d.select("id", uniform(["k"], 9, "s").alias("u")).collect()}
@@ -102,26 +128,30 @@ def test_normal_and_poisson_draws(spark):
     assert abs(poisson_steps()[-1] - 1) < 1e-12
 
 
-def test_shared_folder_is_never_a_local_one_on_a_cluster():
+def test_the_shared_folder_is_the_one_the_cluster_names():
     from types import SimpleNamespace
 
     from tabassay.functions.storage import shared_folder
 
-    def session(master, folder):
-        context = SimpleNamespace(master=master, applicationId="a", getCheckpointDir=lambda: None)
+    def session(folder):
+        context = SimpleNamespace(getCheckpointDir=lambda: None)
         return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: folder or d))
 
-    assert shared_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
-    assert shared_folder(session("local[2]", None)) == shared_folder(session("local[2]", None))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(session("yarn", None))
+    assert shared_folder(session("hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(session(None)) is None
+
+
+@pytest.mark.parametrize("a, b", [((None, "q"), ("q", None)), (("p|q", "r"), ("p", "q|r")), (("", None), (None, ""))])
+def test_different_keys_have_different_texts(spark, a, b):
+    df = spark.createDataFrame([a, b], "x string, y string")
+    assert df.select(key_text(["x", "y"]).alias("k")).distinct().count() == 2
 
 
 def test_wide_searches_are_split_over_scans(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "SKETCHES_PER_SCAN", 2)
+    monkeypatch.setattr(ordering, "INTERVALS_PER_SCAN", 2)
     df = spark.range(400).select(*[((F.col("id") * (7 + i)) % 397).cast("double").alias(f"c{i}") for i in range(5)])
     found = ordering.order_statistics(
-        df, {f"c{i}": F.col(f"c{i}") for i in range(5)}, {f"c{i}": [0, 200, 399] for i in range(5)}, sortable_rows=30
+        df, {f"c{i}": F.col(f"c{i}") for i in range(5)}, {f"c{i}": [0, 200, 399] for i in range(5)}
     )
     data = df.toPandas()
     for i in range(5):

@@ -137,7 +137,9 @@ def test_time_column_checks(spark):
     assert rows(leakage.time_findings(df, "none"))[0]["issue"] == "missing_time_column"
     found = leakage.leakage_findings(df, "y", "time", "none")
     assert rows(leakage.leakage_verdict(found, 1))[0]["status"] == "block"
-    assert rows(leakage.leakage_findings(df, "zzz"))[0]["severity"] == "block"
+    found = leakage.leakage_findings(df, "zzz")
+    assert rows(found) == []
+    assert rows(leakage.leakage_verdict(found, 1, target_present=False))[0]["status"] == "block"
 
 
 def test_feature_pairs_and_outliers(spark):

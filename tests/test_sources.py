@@ -26,7 +26,7 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
 
 def test_csv_cells_may_span_lines(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'id,text\n1,"two\nlines"\n2,"say ""hi"""\n')
-    got = rows(sources.read_csv(spark, [path]).orderBy("id"))
+    got = rows(sources.read_csv(spark, [path], multi_line=True).orderBy("id"))
     assert [r["text"] for r in got] == ["two\nlines", 'say "hi"']
 
 
