@@ -258,9 +258,9 @@ def _by_transforms(texts: DataFrame, buckets: int) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         places = list(zip(rows["doc"].to_pylist(), rows["at"].to_pylist(), strict=True))
-        order = sorted(range(len(places)), key=lambda i: (places[i][0] is not None, places[i]))
-        rank = np.empty(len(places), np.int64)
-        rank[order] = np.arange(len(places))
+        # Rows that share an id bring the same run again: it has one place.
+        order = {p: i for i, p in enumerate(sorted(set(places), key=lambda p: (p[0] is not None, p)))}
+        rank = np.array([order[p] for p in places], np.int64)
         at = rows["at"].to_numpy()
         string, offset = later_starts(rows["bytes"].to_pylist(), at % 128, rank)
         string, first, end = _stretches(string, offset)
