@@ -754,7 +754,7 @@ def ladder_intervals(spark, sf):
         {"name": "ridge_regression", "params": {"alpha": 10.0}},
     ]
     trained, _ = models.train_ladder(train, val, "total", PRICE_FEATURES, "regression", specs)
-    return rounded(models.leaderboard_intervals(trained, val, "total", ["key"], "mae", 100))
+    return rounded(models.leaderboard_intervals(trained, val, "total", ["key"], "mae"))
 
 
 @query
@@ -827,6 +827,35 @@ def ablation_summary(spark, sf):
     return rounded(robustness.drop_summary(robustness.ablation(val, fitted, "total")))
 
 
+def _linear(spark, sf):
+    train, val, test = _parts(price_table(spark, sf))
+    return models.fit_model({"name": "linear_regression"}, train, "total", PRICE_FEATURES), val, test
+
+
+@query
+def evaluate_regression(spark, sf):
+    fitted, _, test = _linear(spark, sf)
+    return rounded(models.evaluate_model(fitted, test, "total"))
+
+
+@query
+def ablation_regression(spark, sf):
+    fitted, val, _ = _linear(spark, sf)
+    return rounded(robustness.ablation(val, fitted, "total"))
+
+
+@query
+def shock_tests_regression(spark, sf):
+    fitted, val, _ = _linear(spark, sf)
+    return rounded(robustness.shock_tests(val, fitted, "total", ["key"]))
+
+
+@query
+def shock_grade_regression(spark, sf):
+    fitted, val, _ = _linear(spark, sf)
+    return rounded(robustness.grade(robustness.shock_tests(val, fitted, "total", ["key"])))
+
+
 @query
 def shock_tests(spark, sf):
     fitted, val = _forest(spark, sf)
