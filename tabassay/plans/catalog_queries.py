@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions.hashing import key_text, uniform
-from ..functions.storage import prepared
+from ..functions.storage import prepared, shared_folder
 from ..operators import (
     bootstrap,
     calibration,
@@ -145,6 +146,24 @@ def csv_types(spark, sf):
     return sources.typed_csv(raw)
 
 
+@query
+def csv_files(spark, sf):
+    """Two CSV files with different columns and missing cells, written and read back."""
+    orders = sources.read_table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    price = F.when(k % 3 == 0, F.lit("NA")).otherwise(F.col("o_totalprice").cast("string"))
+    priority = F.when(k % 5 == 0, F.lit("n/a")).otherwise(F.col("o_orderpriority"))
+    parts = [
+        orders.where(k % 2 == 0).select("o_orderkey", price.alias("o_totalprice")),
+        orders.where(k % 2 == 1).select(priority.alias("o_orderpriority"), "o_orderkey"),
+    ]
+    folder = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    paths = [
+        sources.write_table(part, f"{folder}/tabassay-csv-{uuid.uuid4().hex}", "csv") for part in parts
+    ]
+    return sources.read_csv(spark, paths)
+
+
 @query
 def concat_by_name(spark, sf):
     orders = sources.read_table(spark, sf, "orders")
@@ -520,37 +539,50 @@ def model_ranking_errors(spark, sf):
 @query
 def bootstrap_accuracy(spark, sf):
     return rounded(
-        bootstrap.bootstrap_scores(
-            scored_binary(spark, sf), ["key"], "accuracy", replicates=100, units=500
-        )
+        bootstrap.bootstrap_scores(scored_binary(spark, sf), ["key"], "accuracy")
     )
 
 
 @query
 def bootstrap_ci_f1(spark, sf):
     return rounded(
-        bootstrap.bootstrap_ci(scored_classes(spark, sf), ["key"], "f1_score", replicates=100, units=500)
+        bootstrap.bootstrap_ci(scored_classes(spark, sf), ["key"], "f1_score")
     )
 
 
 @query
 def bootstrap_ci_mae(spark, sf):
     return rounded(
-        bootstrap.bootstrap_ci(scored_numbers(spark, sf), ["key"], "mae", replicates=200, units=500)
+        bootstrap.bootstrap_ci(scored_numbers(spark, sf), ["key"], "mae")
     )
 
 
 @query
 def bootstrap_ci_r2(spark, sf):
     return rounded(
-        bootstrap.bootstrap_ci(scored_numbers(spark, sf), ["key"], "r2", replicates=200, units=500)
+        bootstrap.bootstrap_ci(scored_numbers(spark, sf), ["key"], "r2")
     )
 
 
+@query
+def bootstrap_ci_precision(spark, sf):
+    return rounded(bootstrap.bootstrap_ci(scored_classes(spark, sf), ["key"], "precision"))
+
+
+@query
+def bootstrap_ci_recall(spark, sf):
+    return rounded(bootstrap.bootstrap_ci(scored_classes(spark, sf), ["key"], "recall"))
+
+
+@query
+def bootstrap_ci_rmse(spark, sf):
+    return rounded(bootstrap.bootstrap_ci(scored_numbers(spark, sf), ["key"], "rmse"))
+
+
 @query
 def bootstrap_ci_full(spark, sf):
     """The default interval: 1000 replicates."""
-    return rounded(bootstrap.bootstrap_ci(scored_binary(spark, sf), ["key"], "accuracy", units=1000))
+    return rounded(bootstrap.bootstrap_ci(scored_binary(spark, sf), ["key"], "accuracy"))
 
 
 # --- curves -----------------------------------------------------------------
@@ -729,7 +761,7 @@ def ladder_classification(spark, sf):
     train, val, _ = _parts(returned_table(spark, sf))
     specs = [
         {"name": "logistic_regression", "params": {}},
-        {"name": "random_forest_classifier", "params": {"n_estimators": 20, "max_depth": 6}},
+        {"name": "random_forest_classifier", "params": {"n_estimators": 100, "max_depth": 6}},
     ]
     trained, _ = models.train_ladder(train, val, "flag", PRICE_FEATURES, "classification", specs)
     return rounded(models.leaderboard(train, trained).drop("train_seconds"))
@@ -740,7 +772,7 @@ def ladder_regression(spark, sf):
     train, val, _ = _parts(price_table(spark, sf))
     specs = [
         {"name": "linear_regression", "params": {}},
-        {"name": "random_forest_regressor", "params": {"n_estimators": 20, "max_depth": 6}},
+        {"name": "random_forest_regressor", "params": {"n_estimators": 100, "max_depth": 6}},
     ]
     trained, _ = models.train_ladder(train, val, "total", PRICE_FEATURES, "regression", specs)
     return rounded(models.leaderboard(train, trained).drop("train_seconds"))
@@ -804,7 +836,7 @@ def calibrate_sigmoid(spark, sf):
 
 def _forest(spark, sf):
     train, val, _ = _parts(returned_table(spark, sf))
-    spec = {"name": "random_forest_classifier", "params": {"n_estimators": 10, "max_depth": 5}}
+    spec = {"name": "random_forest_classifier", "params": {"n_estimators": 100, "max_depth": 5}}
     return models.fit_model(spec, train, "flag", PRICE_FEATURES), val
 
 
@@ -886,7 +918,7 @@ def full_study(spark, sf):
         sensitive=["o_orderstatus"],
         specs=[
             {"name": "logistic_regression", "params": {}},
-            {"name": "random_forest_classifier", "params": {"n_estimators": 10, "max_depth": 4}},
+            {"name": "random_forest_classifier", "params": {"n_estimators": 100, "max_depth": 4}},
         ],
         calibrate="isotonic",
     )

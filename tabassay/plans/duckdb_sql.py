@@ -97,6 +97,10 @@ SQL["csv_types"] = """SELECT o_orderkey,
   CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS o_custkey,
   CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS o_orderpriority,
   o_orderkey % 2 = 0 AS even FROM orders"""
+SQL["csv_files"] = """SELECT o_orderkey,
+  CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 5 <> 0 THEN o_orderpriority END AS o_orderpriority
+  FROM orders"""
 SQL["concat_by_name"] = """SELECT o_orderkey, o_totalprice, NULL::VARCHAR AS o_orderpriority FROM orders
   UNION ALL SELECT o_orderkey, NULL::DOUBLE, o_orderpriority FROM orders"""
 _ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice::DECIMAL(20,4)", "epoch_us(o_orderdate)",
@@ -555,11 +559,11 @@ def _interval(metric: str, column: str) -> str:
   round(stddev_pop({column}), 6) AS std, count({column}) AS n_bootstrap FROM scores"""
 
 
-SQL["bootstrap_accuracy"] = f"""WITH {BINARY}, {_resampled_cells(100, 500)}
+SQL["bootstrap_accuracy"] = f"""WITH {BINARY}, {_resampled_cells(1000, 1000)}
 SELECT replicate, round(accuracy, 6) AS score FROM scores"""
-SQL["bootstrap_ci_f1"] = f"WITH {CLASSES}, {_resampled_cells(100, 500)} {_interval('f1_score', 'f1_score')}"
-_SUMS = f"""{_weights(200, 500)},
-us AS (SELECT {_unit(500)} AS unit, count(*) AS n, sum(abs(y - yhat)) AS a, sum((y - yhat) ** 2) AS s,
+SQL["bootstrap_ci_f1"] = f"WITH {CLASSES}, {_resampled_cells(1000, 1000)} {_interval('f1_score', 'f1_score')}"
+_SUMS = f"""{_weights(1000, 1000)},
+us AS (SELECT {_unit(1000)} AS unit, count(*) AS n, sum(abs(y - yhat)) AS a, sum((y - yhat) ** 2) AS s,
   sum(y - (SELECT avg(y) FROM scored)) AS c, sum((y - (SELECT avg(y) FROM scored)) ** 2) AS cc
   FROM scored GROUP BY 1)"""
 SQL["bootstrap_ci_mae"] = f"""WITH {NUMBERS}, {_SUMS}, scores AS (SELECT replicate,
@@ -569,6 +573,13 @@ SQL["bootstrap_ci_r2"] = f"""WITH {NUMBERS}, {_SUMS}, scores AS (SELECT replicat
   1 - sum(s * w) / (sum(cc * w) - sum(c * w) ** 2 / sum(n * w)) AS score
   FROM us JOIN weights USING (unit) GROUP BY replicate)
 {_interval('r2', 'score')}"""
+SQL["bootstrap_ci_rmse"] = f"""WITH {NUMBERS}, {_SUMS}, scores AS (SELECT replicate,
+  sqrt(sum(s * w) / sum(n * w)) AS score FROM us JOIN weights USING (unit) GROUP BY replicate)
+{_interval('rmse', 'score')}"""
+SQL["bootstrap_ci_precision"] = (
+    f"WITH {CLASSES}, {_resampled_cells(1000, 1000)} {_interval('precision', '"precision"')}"
+)
+SQL["bootstrap_ci_recall"] = f"WITH {CLASSES}, {_resampled_cells(1000, 1000)} {_interval('recall', 'recall')}"
 SQL["bootstrap_ci_full"] = f"""WITH {BINARY}, {_resampled_cells(1000, 1000)}
 {_interval('accuracy', 'accuracy')}"""
 
