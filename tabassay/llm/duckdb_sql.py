@@ -93,3 +93,98 @@ SQL = {
         FROM judged
     """,
 }
+
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(regexp_split_to_array(" + _LOWER + ", '[ \\t-\\r]+'), lambda x: x <> '')"
+
+SQL["op4_line_dedup"] = f"""
+    WITH parts AS (
+      SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents
+    ),
+    lines AS (
+      SELECT doc_id, k, lines[k + 1] AS line FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS k FROM parts)
+    ),
+    words AS (SELECT doc_id, k, {_WORDS.format('line')} AS ws FROM lines),
+    tokens AS (
+      SELECT DISTINCT doc_id, k, array_to_string(ws[i:i + 4], ' ') AS t
+      FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - 3)) AS i FROM words WHERE len(ws) >= 5)
+    ),
+    sizes AS (SELECT doc_id, k, count(*) AS n FROM tokens GROUP BY ALL),
+    met AS (
+      SELECT b.doc_id, b.k, a.doc_id AS d, a.k AS j, count(*) AS c
+      FROM tokens a JOIN tokens b ON a.t = b.t AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.k < b.k))
+      GROUP BY ALL
+    ),
+    gone AS (
+      SELECT DISTINCT met.doc_id, met.k FROM met
+      JOIN sizes x ON x.doc_id = met.doc_id AND x.k = met.k
+      JOIN sizes y ON y.doc_id = d AND y.k = j
+      WHERE 100 * c >= 75 * (x.n + y.n - c)
+    ),
+    kept AS (
+      SELECT lines.doc_id, string_agg(line, chr(10) ORDER BY lines.k) AS body, count(*) AS n
+      FROM lines ANTI JOIN gone USING (doc_id, k) GROUP BY lines.doc_id
+    )
+    SELECT doc_id, len(lines) AS n_lines, len(lines) - coalesce(n, 0) AS n_removed,
+      sha256(coalesce(body, '')) AS kept_sha256
+    FROM parts LEFT JOIN kept USING (doc_id)
+"""
+
+SQL["op8_ngram_join"] = f"""
+    WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS t
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) >= 1)
+    ),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    met AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+      FROM shingles a JOIN shingles b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL
+    ),
+    links AS (
+      SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * c >= 75 * (x.n + y.n - c)
+    ),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached AS (
+      SELECT a AS doc_id, b AS other FROM ways
+      UNION
+      SELECT reached.doc_id, ways.b FROM reached JOIN ways ON ways.a = reached.other
+    ),
+    lowest AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+    SELECT words.doc_id, coalesce(n, 0) AS n_shingles,
+      least(words.doc_id, coalesce(other, words.doc_id)) AS component_id
+    FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
+"""
+
+SQL["op10_suffix_dedup"] = """
+    WITH bodies AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    starts AS (
+      SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS s
+      FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM bodies)
+    ),
+    late AS (
+      SELECT doc_id, p FROM (
+        SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM starts
+      ) WHERE r > 1
+    ),
+    marked AS (
+      SELECT doc_id, p,
+        coalesce(p - lag(p) OVER w > 100, true) AS opens, lead(p) OVER w AS following
+      FROM late WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+    ),
+    numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+    spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 100 AS e FROM numbered GROUP BY ALL),
+    pieces AS (
+      SELECT doc_id, span, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY span), 0) AS before FROM spans
+    ),
+    cut AS (
+      SELECT doc_id, count(*) AS n_spans, sum(e - a)::BIGINT AS n_removed, max(e) AS last,
+        string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY span) AS head
+      FROM pieces JOIN bodies USING (doc_id) GROUP BY doc_id
+    )
+    SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+      coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM bodies LEFT JOIN cut USING (doc_id)
+"""
