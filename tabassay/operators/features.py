@@ -24,9 +24,9 @@ HIGH_CARDINALITY = 50
 # broadcast; a larger one is ranked by range partitions and joined by shuffle.
 SMALL_VOCABULARY = 100_000
 SMALL_VOCABULARY_BYTES = 32 * 2**20
-# Copies of each entry of a large vocabulary, over which the copies of one hot
-# category are spread in the join.
-JOIN_SALTS = 16
+# A category of a large vocabulary with at least this share of the rows is coded by
+# a literal, of which a column has at most a hundred; only the others are joined.
+HOT_SHARE = 0.01
 
 
 def feature_columns(df: DataFrame, target: str, deny: Sequence[str] = ()) -> list[str]:
@@ -109,14 +109,14 @@ class FeatureParams:
         return spark.createDataFrame(rows, "column string, median double, mean double, std double")
 
 
-def fit(train: DataFrame, features: Sequence[str]) -> FeatureParams:
+def fit(train: DataFrame, features: Sequence[str], small_rows: int | None = None) -> FeatureParams:
     """Learn imputation, scaling and encoding from the training rows alone."""
     kind_of = kinds(train)
     numeric = [c for c in features if kind_of[c] == "numeric"]
     text = [c for c in features if kind_of[c] == "categorical"]
     params = FeatureParams(fit_numeric(train, numeric), text=text)
     if text:
-        params.vocabulary, params.small_vocabulary = fit_vocabulary(train, text)
+        params.vocabulary, params.small_vocabulary = fit_vocabulary(train, text, small_rows)
     return params
 
 
@@ -145,11 +145,16 @@ def _filled(present: int, mean: float, variance: float, rows: int, median: float
     return mean + (1 - share) * gap, math.sqrt(share * variance + share * (1 - share) * gap * gap)
 
 
-def fit_vocabulary(train: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, bool]:
+def fit_vocabulary(
+    train: DataFrame, columns: Sequence[str], small_rows: int | None = None
+) -> tuple[DataFrame, bool]:
     """``column, value, idx``: position of each training category in sorted order.
 
-    Also tells whether the vocabulary is small enough to broadcast.
+    Also tells whether the vocabulary is small enough to broadcast: ``small_rows``
+    entries, and 32 MB. A large one has ``share`` too, the part of the rows a
+    category has.
     """
+    small_rows = SMALL_VOCABULARY if small_rows is None else small_rows
     pairs = [
         F.struct(
             F.lit(c).alias("column"),
@@ -157,17 +162,18 @@ def fit_vocabulary(train: DataFrame, columns: Sequence[str]) -> tuple[DataFrame,
         )
         for c in columns
     ]
-    with kept(melt(train, pairs).distinct()) as distinct:
-        rows, size = distinct.agg(F.count(F.lit(1)), F.sum(F.octet_length("value"))).first()
-        if rows > SMALL_VOCABULARY or (size or 0) > SMALL_VOCABULARY_BYTES:
-            return _ranked_vocabulary(distinct), False
-        words = sorted((r["column"], r["value"]) for r in distinct.collect())
+    counted = melt(train, pairs).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    with kept(counted) as words_:
+        rows, size = words_.agg(F.count(F.lit(1)), F.sum(F.octet_length("value"))).first()
+        if rows > small_rows or (size or 0) > SMALL_VOCABULARY_BYTES:
+            return _ranked_vocabulary(words_), False
+        words = sorted((r["column"], r["value"]) for r in words_.select("column", "value").collect())
     firsts: dict[str, int] = {}
     table = [(c, v, i - firsts.setdefault(c, i)) for i, (c, v) in enumerate(words)]
     return train.sparkSession.createDataFrame(table, "column string, value string, idx bigint"), True
 
 
-def _ranked_vocabulary(distinct: DataFrame) -> DataFrame:
+def _ranked_vocabulary(counted: DataFrame) -> DataFrame:
     """Sorted positions of a vocabulary of any size.
 
     Range partitions are sorted side by side and written once, so that their
@@ -175,7 +181,7 @@ def _ranked_vocabulary(distinct: DataFrame) -> DataFrame:
     """
     bits = 33  # monotonically_increasing_id is partition << 33 plus row in partition
     parts = stored(
-        distinct.repartitionByRange("column", "value")
+        counted.repartitionByRange("column", "value")
         .sortWithinPartitions("column", "value")
         .withColumn("id", F.monotonically_increasing_id())
         .select(
@@ -183,6 +189,7 @@ def _ranked_vocabulary(distinct: DataFrame) -> DataFrame:
             "value",
             F.shiftright("id", bits).alias("part"),
             F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).alias("row"),
+            "n",
         )
     )
     edges = parts.groupBy("column", "part").agg(
@@ -194,24 +201,21 @@ def _ranked_vocabulary(distinct: DataFrame) -> DataFrame:
         "part",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"),
     )
-    return parts.join(F.broadcast(shifts), ["column", "part"]).select(
-        "column", "value", (F.col("row") + F.col("shift")).alias("idx")
+    totals = parts.groupBy("column").agg(F.sum("n").alias("total"))  # one row per column
+    return parts.join(F.broadcast(shifts), ["column", "part"]).join(F.broadcast(totals), "column").select(
+        "column",
+        "value",
+        (F.col("row") + F.col("shift")).alias("idx"),
+        (F.col("n") / F.col("total")).alias("share"),
     )
 
 
-def encode(
-    df: DataFrame,
-    vocabulary: DataFrame,
-    columns: Sequence[str],
-    small: bool,
-    salts: int = JOIN_SALTS,
-) -> DataFrame:
+def encode(df: DataFrame, vocabulary: DataFrame, columns: Sequence[str], small: bool) -> DataFrame:
     """Replace each text column by the position of its value; -1 for an unseen value.
 
-    A small vocabulary is broadcast. For a large one each row draws one of
-    ``salts`` copies of the vocabulary by the hash of the row, which spreads the
-    rows of a hot value; exact copies of one row stay together and are left to
-    adaptive skew joins.
+    A small vocabulary is broadcast. With a large one the frequent values are coded
+    by literals, and their rows are dealt out by a key that matches nothing, so that
+    no task of the join gets all rows of a value.
     """
     out = df
     for c in columns:
@@ -222,11 +226,15 @@ def encode(
         if small:
             coded = keyed.join(F.broadcast(words), "_value", "left")
         else:
-            spread = F.pmod(F.xxhash64(*[col(x) for x in out.columns]), F.lit(salts))
-            every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-            coded = keyed.withColumn("_salt", spread).join(
-                words.select("*", every.alias("_salt")), ["_value", "_salt"], "left"
+            hot = vocabulary.where((F.col("column") == c) & (F.col("share") >= HOT_SHARE)).collect()
+            known = F.lit(None).cast("bigint")
+            for r in hot:
+                known = F.when(F.col("_value") == r["value"], F.lit(r["idx"])).otherwise(known)
+            apart = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+            keyed = keyed.withColumn("_known", known).withColumn(
+                "_value", F.when(F.col("_known").isNull(), F.col("_value")).otherwise(apart)
             )
+            coded = keyed.join(words, "_value", "left").withColumn("_idx", F.coalesce("_known", "_idx"))
         code = F.coalesce(F.col("_idx"), F.lit(UNSEEN)).cast("bigint")
         out = coded.select(*[(code if x == c else col(x)).alias(x) for x in out.columns])
     return out

@@ -437,9 +437,7 @@ def vocabulary(spark, sf):
     return features.fit_vocabulary(rows, ["l_linestatus", "l_returnflag"])[0]
 
 
-@query
-def label_encode(spark, sf):
-    """Orders of the training split teach the clerks' priorities; the last day brings new ones."""
+def _encoded(spark, sf, small_rows=None):
     orders = splits.hashed_split(
         sources.read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"]
     )
@@ -448,10 +446,29 @@ def label_encode(spark, sf):
         "o_orderpriority",
         F.when(odd, F.lit("9-NEW")).when(F.col("o_orderkey") % 10 != 1, F.col("o_orderpriority")),
     )
-    words, n = features.fit_vocabulary(rows.where(F.col("split") == "train"), ["o_orderpriority"])
+    words, n = features.fit_vocabulary(rows.where(F.col("split") == "train"), ["o_orderpriority"], small_rows)
     return features.encode(rows, words, ["o_orderpriority"], n)
 
 
+@query
+def label_encode(spark, sf):
+    """Orders of the training split teach the clerks' priorities; the last day brings new ones."""
+    return _encoded(spark, sf)
+
+
+@query
+def label_encode_large(spark, sf):
+    """The same codes, as from a vocabulary too large to broadcast."""
+    return _encoded(spark, sf, small_rows=2)
+
+
+@query
+def vocabulary_large(spark, sf):
+    """The same positions, as from a vocabulary too large to broadcast."""
+    rows = split_lineitem(spark, sf).where(F.col("split") == "train")
+    return features.fit_vocabulary(rows, ["l_linestatus", "l_returnflag"], small_rows=2)[0].drop("share")
+
+
 @query
 def apply_plan(spark, sf):
     rows = prepared(split_lineitem(spark, sf))
@@ -536,6 +553,15 @@ def model_ranking_errors(spark, sf):
 # --- bootstrap --------------------------------------------------------------
 
 
+@query
+def labelled_lengths(spark, sf):
+    """Documents joined with their labels: how well length alone tells good quality, per language."""
+    docs = sources.read_table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    labels = sources.read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y"))
+    scored = docs.join(labels, "doc_id").withColumn("yhat", (F.col("n_chars") >= 300).cast("int"))
+    return rounded(fairness.slice_metrics(scored, ["lang"], "classification"))
+
+
 @query
 def bootstrap_accuracy(spark, sf):
     return rounded(

@@ -719,3 +719,12 @@ SELECT round(e0.ece, 6) AS ece_before, round(e1.ece, 6) AS ece_after,
 # Other bucket sizes of the same operators give the same rows.
 SQL["ranking_metrics_buckets"] = SQL["ranking_metrics"]
 SQL["pr_curve_buckets"] = SQL["pr_curve"]
+SQL["vocabulary_large"] = SQL["vocabulary"]
+SQL["label_encode_large"] = SQL["label_encode"]
+SQL["labelled_lengths"] = f"""WITH scored AS (SELECT lang AS slice, quality AS y, (n_chars >= 300)::INTEGER AS yhat
+  FROM documents JOIN labels USING (doc_id)),
+cells AS (SELECT slice, y, yhat, count(*) AS n FROM scored GROUP BY ALL),
+{_report('cells', 'slice')}
+SELECT 'lang' AS "column", slice, round(sum(hits) / sum(support), 6) AS accuracy,
+  round(sum(f1_score * support) / sum(support), 6) AS f1_score, sum(support)::BIGINT AS sample_size
+FROM report GROUP BY slice"""

@@ -184,28 +184,34 @@ def test_all_missing_column(spark):
     assert [r["x"] for r in rows(done)] == [None, None]
 
 
-def test_large_vocabulary_gives_the_same_codes(spark, monkeypatch):
+def test_large_vocabulary_gives_the_same_codes(spark):
     """A third of the rows share one word; the shuffled way must agree with the broadcast way."""
     words = [("hot" if i % 3 == 0 else f"w{i % 500:03d}", i) for i in range(3000)] + [(None, -1), ("new", -2)]
     df = spark.createDataFrame(words, "t string, id int")
     train = df.where("id > -2")
     small, n = features.fit_vocabulary(train, ["t"])
     expected = {(r["id"]): r["t"] for r in rows(features.encode(df, small, ["t"], n))}
-    monkeypatch.setattr(features, "SMALL_VOCABULARY", 3)
-    large, m = features.fit_vocabulary(train, ["t"])
+    large, m = features.fit_vocabulary(train, ["t"], small_rows=3)
     assert n and not m
-    assert by(large, "value") == by(small, "value")
+    assert by(large.drop("share"), "value") == by(small, "value")
+    assert [r["value"] for r in rows(large) if r["share"] >= features.HOT_SHARE] == ["hot"]
     got = features.encode(df, large, ["t"], m)
     assert {r["id"]: r["t"] for r in rows(got)} == expected
     assert expected[-2] == -1 and got.count() == len(words)
 
 
-def test_two_columns_in_one_large_vocabulary(spark, monkeypatch):
+def test_identical_rows_of_a_hot_value_are_dealt_out(spark):
+    df = spark.createDataFrame([("hot",)] * 900 + [(f"w{i}",) for i in range(90)], "t string").repartition(3)
+    words, small = features.fit_vocabulary(df, ["t"], small_rows=3)
+    coded = features.encode(df, words, ["t"], small)
+    assert coded.where("t = 0").count() == 900 and coded.distinct().count() == 91
+
+
+def test_two_columns_in_one_large_vocabulary(spark):
     df = spark.createDataFrame([(f"a{i}", f"b{i % 40}") for i in range(300)], "s string, t string")
     small, _ = features.fit_vocabulary(df, ["s", "t"])
-    monkeypatch.setattr(features, "SMALL_VOCABULARY", 3)
-    large, _ = features.fit_vocabulary(df, ["s", "t"])
-    assert by(large, "column", "value") == by(small, "column", "value")
+    large, _ = features.fit_vocabulary(df, ["s", "t"], small_rows=3)
+    assert by(large.drop("share"), "column", "value") == by(small, "column", "value")
 
 
 def test_plan(spark):
