@@ -22,21 +22,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabassay.llm.pair_groups import deal
 from tabassay.llm.shared import map_batches, row_hashes, same, ship_package, slices, written
 from tabassay.llm.shingles import (
+    BUCKET_BITS,
     PERCENT,
     Rarity,
     digests,
-    frequencies,
     shingles_of,
-    similar,
     sorted_sets,
     words_of,
 )
 
-#: Rows of a frequent token that are looked at together, and lines verified together with a first one.
+#: Rows of a frequent token that are looked at together.
 HOT_ROWS = 500
-GROUP = 256
 
 
 def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,24 +53,31 @@ def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return row, found - first[row], place, hashes
 
 
-def line_segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row, _, segment, hashes = _lines(texts)
-    return row, segment, hashes
+def _signatures(docs: DataFrame) -> tuple[DataFrame, Rarity]:
+    """(doc, line, n, s1, s2) of every line with a token, and the tokens' rarity, from one pass.
 
-
-def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc, line, n, s1, s2) of every line with a token."""
+    A task's counts travel as rows with n = 0, a bucket for `line` and the count in `s1`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for rows, texts in slices(batches, "text"):
             row, line, segment, hashes = _lines(texts)
             keys, begins = sorted_sets(segment, hashes, len(row))
             s1, s2 = digests(keys, begins)
             doc = rows.column("doc").take(pa.array(row, pa.int64()))
             yield {"doc": doc, "line": line, "n": np.diff(begins), "s1": s1, "s2": s2}
+            total += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+        found = np.flatnonzero(total)
+        none = np.zeros(len(found), np.int64)
+        yield {"doc": [None] * len(found), "line": found, "n": none, "s1": total[found], "s2": none}
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return map_batches(docs, run, f"doc {kind}, line long, n int, s1 long, s2 long")
+    both = written(map_batches(docs, run, f"doc {kind}, line long, n int, s1 long, s2 long"), "lines")
+    counts = both.filter("n = 0").groupBy("line").agg(F.sum("s1").alias("n")).toPandas()
+    table = np.zeros(1 << BUCKET_BITS, np.int64)
+    table[counts["line"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    return both.filter("n > 0"), Rarity(table)
 
 
 def _prefixes(docs: DataFrame, rarity: Rarity) -> DataFrame:
@@ -115,7 +121,7 @@ def _possible(a: str, b: str) -> Column:
 
 
 def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """(key, salt, lead, doc, line, bytes): the text of every line in `ends`."""
+    """(doc, line, mates, g, bytes): `ends` with the text of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, texts in slices(batches, "text"):
@@ -127,54 +133,61 @@ def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
                         at.append(i)
                         wanted.append(w)
                         parts.append(cut[w["line"]])
-            columns = {c: [w[c] for w in wanted] for c in ("key", "salt", "lead", "line")}
+            columns = {c: [w[c] for w in wanted] for c in ("line", "mates", "g")}
             yield columns | {"doc": rows.column("doc").take(pa.array(at, pa.int64())), "bytes": parts}
 
     kind = docs.schema["doc"].dataType.simpleString()
-    lists = ends.groupBy(F.col("doc").alias("_doc")).agg(
-        F.collect_list(F.struct("line", "key", "salt", "lead")).alias("lines")
+    lists = ends.groupBy(F.col("at.doc").alias("_doc")).agg(
+        F.collect_list(F.struct("at.line", "mates", "g")).alias("lines")
     )
     joined = docs.join(lists, same(F.col("doc"), F.col("_doc"))).drop("_doc")
-    schema = f"key struct<doc:{kind},line:bigint>, salt long, lead boolean, doc {kind}, line long, bytes binary"
+    schema = f"doc {kind}, line long, mates array<struct<doc:{kind},line:bigint>>, g long, bytes binary"
     return map_batches(joined, run, schema)
 
 
 def _matched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, line) of the pairs (a, b) of lines whose first is similar to its second.
-
-    Each b with some of its a's is a group of its own.
-    """
+    """(doc, line) of the pairs (a, b) of lines whose first is similar to its second."""
     ship_package(docs.sparkSession)
-    pairs = written(pairs, "pairs")
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
         row, _, segment, hashes = _lines(rows["bytes"].to_pylist())
         keys, begins = sorted_sets(segment, hashes, len(row))
-        sets = {r: keys[x:y] for r, x, y in zip(row.tolist(), begins[:-1], begins[1:], strict=True)}
-        lead = rows["lead"].to_pylist()
-        leads = [x for r, x in sets.items() if lead[r]]
-        good = [r for r, x in sets.items() if not lead[r] and any(similar(x, y) for y in leads)]
+        keys, begins = keys.tolist(), begins.tolist()
+        sets = [frozenset()] * rows.num_rows
+        for r, x, y in zip(row.tolist(), begins[:-1], begins[1:], strict=True):
+            sets[r] = frozenset(keys[x:y])
+        places = list(zip(rows["doc"].to_pylist(), rows["line"].to_pylist(), strict=True))
+        mates = rows["mates"].to_pylist()
+        # Rows that share an id may bring several texts of one line.
+        known: dict[tuple, set[frozenset]] = {}
+        for place, own, mate in zip(places, sets, mates, strict=True):
+            if mate is None:
+                known.setdefault(place, set()).add(own)
+        good = [
+            i
+            for i, (own, mate) in enumerate(zip(sets, mates, strict=True))
+            if mate and any(_similar(own, x) for m in mate for x in known.get((m["doc"], m["line"]), ()))
+        ]
         take = pa.array(good, pa.int64())
         return pa.table({"doc": rows["doc"].take(take), "line": rows["line"].take(take)})
 
-    sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).withColumnRenamed("b", "_b")
-    sized = pairs.join(written(sizes, "sizes"), same(F.col("b"), F.col("_b")))
-    dealt = sized.withColumn("salt", F.pmod(F.xxhash64("a.doc", "a.line"), F.floor(F.col("c") / GROUP) + 1))
-    ends = dealt.select("a.doc", "a.line", F.col("b").alias("key"), "salt", F.lit(False).alias("lead")).union(
-        dealt.select("b.doc", "b.line", "b", "salt", F.lit(True)).distinct()
-    )
-    texts = _texts_of(docs, written(ends, "ends"))
-    found = texts.groupBy("key", "salt").applyInArrow(run, f"doc {kind}, line long")
+    texts = _texts_of(docs, deal(pairs))
+    found = texts.groupBy("g").applyInArrow(run, f"doc {kind}, line long")
     return written(found.distinct(), "matched")
 
 
+def _similar(a: frozenset, b: frozenset) -> bool:
+    both = len(a & b)
+    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, line): the lines that are similar to an earlier one, by id, then by place in the text."""
     docs = df.selectExpr(f"`{doc_id}` AS doc", f"`{text}` AS text")
     place = F.struct("doc", "line")
     # Equal sets: the first line stands for all.
-    signed = written(_signatures(docs), "lines")
+    signed, rarity = _signatures(docs)
     classes = signed.groupBy("n", "s1", "s2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
     several = classes.filter("c > 1").select(*(F.col(c).alias(f"_{c}") for c in ("n", "s1", "s2")), "first")
     copies = signed.join(
@@ -183,7 +196,6 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     copies = written(copies.filter(~same(place, F.col("first"))).select("doc", "line").distinct(), "copies")
 
-    rarity = Rarity(frequencies(docs, "text", line_segments))
     together = W.partitionBy("token", "salt")
     members = _prefixes(docs, rarity).withColumns(
         {"c": F.count(F.lit(1)).over(together), "first": F.min(F.struct("doc", "line", "at")).over(together)}
