@@ -24,7 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabassay.llm.graph import components
-from tabassay.llm.shared import map_batches, row_hashes, ship_package, slices, written
+from tabassay.llm.pair_groups import deal
+from tabassay.llm.shared import map_batches, row_hashes, runs_of_bytes, ship_package, slices, written
 from tabassay.llm.shingles import (
     PERCENT,
     Rarity,
@@ -40,9 +41,10 @@ from tabassay.llm.shingles import (
 MOST_SHARED = 8
 #: What verifying a candidate costs per member of the set, in rows of the prefix table.
 VERIFY_COST = 1 / 16
-#: Rows of a frequent token that are looked at together, and documents verified together with a first one.
+#: Rows of a frequent token that are looked at together.
 HOT_ROWS = 500
-GROUP = 64
+#: Pairs verified together on average: their whole texts are in one task's memory.
+GROUP_PAIRS = 500
 
 
 def choose_shared(expected: np.ndarray, size: int) -> int:
@@ -142,31 +144,33 @@ def _enough_shared(met: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Each b with some of its a's is a group of its own."""
+    """The pairs (a, b) whose sets are similar."""
     ship_package(docs.sparkSession)
-    pairs = written(pairs, "pairs")
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
-        _, segment, hashes = text_segments([x or b"" for x in rows["text"].cast(pa.binary()).to_pylist()])
-        keys, begins = sorted_sets(segment, hashes, rows.num_rows)
-        sets = [keys[x:y] for x, y in zip(begins[:-1], begins[1:], strict=True)]
-        leads = [x for x, lead in zip(sets, rows["lead"].to_pylist(), strict=True) if lead]
+        sets: list[np.ndarray] = []
+        for texts in runs_of_bytes([x or b"" for x in rows["text"].cast(pa.binary()).to_pylist()]):
+            _, segment, hashes = text_segments(texts)
+            keys, begins = sorted_sets(segment, hashes, len(texts))
+            sets += [keys[x:y] for x, y in zip(begins[:-1], begins[1:], strict=True)]
+        docs, mates = rows["doc"].to_pylist(), rows["mates"].to_pylist()
+        # Rows that share an id may bring several texts of one document.
+        known: dict[object, list[np.ndarray]] = {}
+        for doc, own, mate in zip(docs, sets, mates, strict=True):
+            if mate is None:
+                known.setdefault(doc, []).append(own)
         good = [
-            not lead and any(similar(x, y) for y in leads)
-            for x, lead in zip(sets, rows["lead"].to_pylist(), strict=True)
+            (doc, m)
+            for doc, own, mate in zip(docs, sets, mates, strict=True)
+            for m in mate or ()
+            if any(similar(own, x) for x in known.get(m, ()))
         ]
-        mask = pa.array(good, pa.bool_())
-        return pa.table({"a": rows["doc"].filter(mask), "b": rows["key"].filter(mask)})
-
-    sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).withColumnRenamed("b", "_b")
-    sized = pairs.join(written(sizes, "sizes"), F.col("b") == F.col("_b"))
-    dealt = sized.withColumn("salt", F.pmod(F.xxhash64("a"), F.floor(F.col("c") / GROUP) + 1))
-    ends = dealt.select(F.col("a").alias("_doc"), F.col("b").alias("key"), "salt", F.lit(False).alias("lead")).union(
-        dealt.select("b", "b", "salt", F.lit(True)).distinct()
-    )
-    rows = docs.join(written(ends, "ends"), F.col("doc") == F.col("_doc")).drop("_doc")
-    return written(rows.groupBy("key", "salt").applyInArrow(run, f"a {kind}, b {kind}"), "linked")
+        kinds = rows["doc"].type
+        return pa.table({"a": pa.array([x for x, _ in good], kinds), "b": pa.array([y for _, y in good], kinds)})
+
+    rows = docs.join(deal(pairs, GROUP_PAIRS), F.col("doc") == F.col("at")).drop("at")
+    return written(rows.groupBy("g").applyInArrow(run, f"a {kind}, b {kind}").distinct(), "linked")
 
 
 def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:

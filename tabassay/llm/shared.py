@@ -72,14 +72,22 @@ def slices(
     """
     for batch in batches:
         texts = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
-        first, size = 0, 0
-        for row, text in enumerate(texts):
-            if size and size + len(text) > most:
-                yield batch.slice(first, row - first), texts[first:row]
-                first, size = row, 0
-            size += len(text) + 1
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+        first = 0
+        for part in runs_of_bytes(texts, most):
+            yield batch.slice(first, len(part)), part
+            first += len(part)
+
+
+def runs_of_bytes(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The texts in runs of about `most` bytes."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield texts[first:i]
+            first, size = i, 0
+        size += len(text) + 1
+    if first < len(texts):
+        yield texts[first:]
 
 
 def row_hashes(ids: pa.Array) -> np.ndarray:
