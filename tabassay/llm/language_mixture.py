@@ -29,6 +29,8 @@ ROUNDS = 10
 OVERLAP = GRAM
 #: Penalty of a further language, in units of log(n) / 2 as in the Bayesian information criterion.
 PENALTY = 2.0
+#: A language below this proportion of the first estimate is not tried.
+LEAST_SHARE = 0.01
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -39,7 +41,8 @@ _CELLS[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, count) of the n-grams of each text in lower case, by row."""
-    lowered = [b" " + x.decode("utf-8").lower().encode("utf-8") + b" " for x in texts]
+    edge = b" " * (GRAM - 1)  # so that a single letter has n-grams
+    lowered = [edge + x.decode("utf-8").lower().encode("utf-8") + edge for x in texts]
     data = _CELLS[np.frombuffer(b"".join(lowered), np.uint8)]
     sizes = np.array([len(x) for x in lowered])
     n = len(data) - GRAM + 1
@@ -58,6 +61,27 @@ def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return key >> BITS, key & ((1 << BITS) - 1), count
 
 
+def _estimate(
+    p: np.ndarray, row: np.ndarray, count: np.ndarray, share: np.ndarray, rounds: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of each text after some rounds, and the log-likelihood of those before the last one.
+
+    `p` has the likelihoods of each text's n-grams, `row` names the text and never falls.
+    """
+    n = len(share)
+    total = np.maximum(np.bincount(row, count, n), 1.0)[:, None]
+    begins = np.searchsorted(row, np.arange(n))
+    empty = np.append(begins[1:], len(row)) == begins
+    for _ in range(rounds):
+        joint = p * share[row]
+        each = joint.sum(axis=1)
+        joint *= (count / each)[:, None]
+        sums = np.add.reduceat(np.concatenate([joint, np.zeros((1, joint.shape[1]))]), begins, axis=0)
+        sums[empty] = 0
+        share = sums / total
+    return share, np.bincount(row, count * np.log(each), n)
+
+
 class Languages:
     """Log-likelihoods of the cells in each language."""
 
@@ -73,40 +97,34 @@ class Languages:
         has = np.zeros(n, bool)
         has[row] = True
         has &= np.array([bool(_LETTER.search(x.decode("utf-8"))) for x in texts], bool)
-        total = np.maximum(np.bincount(row, count, n), 1.0)
-        begins = np.searchsorted(row, np.arange(n))
-        p = self.likelihood[cell] if size else np.zeros((len(cell), 0))
-
-        def sums(x: np.ndarray) -> np.ndarray:
-            """Sums over the n-grams of each text."""
-            out = np.add.reduceat(np.concatenate([x, np.zeros((1, *x.shape[1:]))]), begins, axis=0)
-            out[np.append(begins[1:], len(row)) == begins] = 0
-            return out
-
-        def estimate(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Proportions after some rounds, and the log-likelihood of the last but one."""
-            for _ in range(ROUNDS):
-                joint = p * share[row]
-                each = joint.sum(axis=1)
-                share = sums(joint * (count / each)[:, None]) / total[:, None]
-            return share, sums(count * np.log(each))
-
         if not size or not len(row):
             return [UNKNOWN] * n, np.zeros(n), [[] for _ in texts], [[] for _ in texts]
-        share, _ = estimate(np.full((n, size), 1.0 / size))
-        rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-        best, result = np.full(n, -np.inf), share
+        total = np.maximum(np.bincount(row, count, n), 1.0)
+        p = self.likelihood[cell]
+        share, _ = _estimate(p, row, count, np.full((n, size), 1.0 / size), ROUNDS)
+        order = np.argsort(-share, axis=1, kind="stable")
+        result = np.zeros((n, size))
+        result[np.arange(n), order[:, 0]] = 1.0
+        # One language has nothing to estimate: its likelihood is a plain sum.
+        best = np.bincount(row, count * np.log(p[np.arange(len(row)), order[row, 0]]), n) / OVERLAP
+        best -= PENALTY * np.log(total) / 2
         growing = has.copy()
-        for k in range(1, size + 1):
-            chosen = (rank < k).astype(float)
-            proportions, fit = estimate(chosen / k)
-            value = fit / OVERLAP - PENALTY * k * np.log(total) / 2
-            better = growing & (value > best)
-            best = np.where(better, value, best)
-            result = np.where(better[:, None], proportions, result)
-            growing = better
-            if not growing.any():
+        for k in range(2, size + 1):
+            # A language that has next to nothing of the mixture cannot pay for its penalty.
+            growing &= np.take_along_axis(share, order[:, k - 1 : k], axis=1)[:, 0] >= LEAST_SHARE
+            chosen = np.flatnonzero(growing)
+            if not len(chosen):
                 break
+            inside = growing[row]
+            place = np.searchsorted(chosen, row[inside])
+            start = np.zeros((len(chosen), size))
+            np.put_along_axis(start, order[chosen, :k], 1.0 / k, axis=1)
+            proportions, fit = _estimate(p[inside], place, count[inside], start, ROUNDS)
+            value = fit / OVERLAP - PENALTY * k * np.log(total[chosen]) / 2
+            better = value > best[chosen]
+            best[chosen[better]] = value[better]
+            result[chosen[better]] = proportions[better]
+            growing[chosen[~better]] = False
         order = np.argsort(-result, axis=1, kind="stable")
         names, score, sets, parts = [], np.zeros(n), [], []
         for i in range(n):
