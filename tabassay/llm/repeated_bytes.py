@@ -14,8 +14,8 @@ only the last bytes and the interleave before. After SPAN refinements the suffix
 that still share a block share SPAN bytes: a repeated interval.
 
 An anchor with more different runs than a bucket should hold (the edge of a
-passage that very many documents share) is spread over tasks instead: its strings
-are grouped one by one by a 128-bit hash.
+passage that very many documents share) is spread over tasks instead: its runs are
+cut into short stretches, which are grouped by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,21 +34,21 @@ from tabassay.llm.shingles import mix, span_hashes
 SPAN = 100
 GRAM = 20
 #: Bytes of a bucket's runs and of a shard.
-BUCKET_BYTES = 400_000
-SHARD_BYTES = 100_000
-#: Different runs of one anchor beyond which its strings are grouped one by one.
+BUCKET_BYTES = 200_000
+SHARD_BYTES = 50_000
+#: Different runs of one anchor beyond which they are cut into stretches of so many strings.
 MOST_RUNS = 1_000
+SEGMENT = 8
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place on."""
     wide = data.astype(np.uint64)
-    eight = wide[:-7].copy()
-    for k in range(1, 8):
-        eight |= wide[k : len(wide) - 7 + k] << np.uint64(8 * k)
+    for k in (1, 2, 4):  # two, four, then eight bytes from each place on
+        wide = wide[:-k] | wide[k:] << np.uint64(8 * k)
     n = len(data) - GRAM + 1
-    x = eight[:n] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8 : n + 8])
-    return mix(x * np.uint64(0xD6E8FEB86659FD93) + eight[12 : n + 12])
+    x = wide[:n] * np.uint64(0x9E3779B97F4A7C15) + wide[8 : n + 8] * np.uint64(0xD6E8FEB86659FD93)
+    return mix(x + wide[12 : n + 12] * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def _smallest(x: np.ndarray, width: int) -> np.ndarray:
@@ -94,21 +94,23 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def _suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The order of the suffixes of strings that end at `ends`; every end is a byte of its own."""
     n = len(text)
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    _, rank = np.unique(rank, return_inverse=True)
-    step = 1
-    while True:
+    key = text.astype(np.int64) + len(ends) + 1
+    key[ends] = np.arange(1, len(ends) + 1)
+    step, width = 1, int(key.max()) + 1
+    while width**2 < 2**62:  # so many bytes fit into one number
         second = np.zeros(n, np.int64)
-        second[:-step] = rank[step:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        second[:-step] = key[step:]
+        key, step, width = key * width + second, 2 * step, width**2
+    while True:
+        order = np.argsort(key)
         sorted_ = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
         if rank[order[-1]] == n - 1:
             return order
-        step *= 2
+        second = np.zeros(n, np.int64)
+        second[:-step] = rank[step:] + 1
+        key, step = rank * (n + 1) + second, 2 * step
 
 
 def merged_blocks(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,9 +119,11 @@ def merged_blocks(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np
     `string` counts over all shards. A suffix shorter than `depth` is a block of
     its own.
     """
-    last, string, offset, source = [], [], [], []
-    before = 0
-    for s, strings in enumerate(shards):
+    last, string, offset, step, heads = [], [], [], [], []
+    count = rows = 0
+    # Small integers sort fastest. UTF-8 has no byte 255, but nothing here relies on it.
+    byte = np.uint16 if any(b"\xff" in x for strings in shards for x in strings) else np.uint8
+    for strings in shards:
         sizes = np.array([len(x) + 1 for x in strings], np.int64)
         text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -127,38 +131,37 @@ def merged_blocks(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np
         order = _suffix_order(text, ends)
         owner = np.repeat(np.arange(len(strings)), sizes)[order]
         # The byte before each suffix, 0 for the end that stands before a whole string.
-        shifted = text.astype(np.uint16) + 1
+        shifted = text.astype(byte) + byte(1)
         shifted[ends] = 0
-        last.append(np.where(order == begins[owner], 0, shifted[order - 1]))
-        string.append(owner + before)
+        own = np.where(order == begins[owner], byte(0), shifted[order - 1])
+        last.append(own)
+        string.append(owner + count)
         offset.append(order - begins[owner])
-        source.append(np.full(len(text), s, np.uint16))
-        before += len(strings)
-    last, string, offset = (np.concatenate(x) for x in (last, string, offset))
-    interleave = np.concatenate(source)
-    n, count = len(interleave), before
-    # Suffixes of no bytes come first, in the order of the shards, each for itself.
-    heads = np.concatenate([np.full(len(x), s, np.uint16) for s, x in enumerate(shards)])
-    block = np.zeros(n, np.int32)
+        # Where the suffix longer by that byte stands in this shard's order.
+        longer = np.empty(len(own), np.int32)
+        longer[np.argsort(own, kind="stable")] = np.arange(rows, rows + len(own), dtype=np.int32)
+        step.append(longer)
+        heads.append(np.arange(rows, rows + len(strings), dtype=np.int32))
+        count += len(strings)
+        rows += len(own)
+    last, string, offset, step, heads = (np.concatenate(x) for x in (last, string, offset, step, heads))
+    # The interleave: which shard's next row stands at each place, by the number of that row.
+    interleave = np.arange(rows, dtype=np.int32)
+    block = np.zeros(rows, np.int32)
+    new = np.empty(rows, bool)
     for _ in range(depth):
-        # Each shard's bytes, taken in its own order, stand where the interleave names it.
-        places = np.argsort(interleave, kind="stable")
-        merged = np.empty(n, np.uint16)
-        merged[places] = last
-        order = np.argsort(merged, kind="stable")
-        interleave, old, byte = interleave[order], block[order], merged[order]
-        new = np.empty(n, bool)
+        byte_before = last[interleave]
+        order = np.argsort(byte_before, kind="stable")
+        interleave, old, head = step[interleave[order]], block[order], byte_before[order]
         new[0] = True
-        new[1:] = (byte[1:] != byte[:-1]) | (old[1:] != old[:-1])
+        new[1:] = (head[1:] != head[:-1]) | (old[1:] != old[:-1])
+        # Suffixes of no bytes come first, in the order of the shards, each for itself.
         new[:count] = True
         interleave[:count] = heads
         block = np.cumsum(new, dtype=np.int32)
-        if block[-1] == n:
+        if block[-1] == rows:
             break
-    places = np.argsort(interleave, kind="stable")
-    out = np.empty(n, np.int64), np.empty(n, np.int64)
-    out[0][places], out[1][places] = string, offset
-    return out[0], out[1], block
+    return string[interleave], offset[interleave], block
 
 
 def later_starts(strings: list[bytes], lengths: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,30 +280,77 @@ def _by_transforms(texts: DataFrame, buckets: int) -> DataFrame:
     return bucketed.groupBy("bucket").applyInArrow(run, f"doc {kind}, first long, end long")
 
 
-def _by_strings(texts: DataFrame) -> DataFrame:
-    """(doc, first, end) for anchors with very many runs: every string is a row, grouped by its hash."""
+def _segments(part: bytes, length: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(offset, starts, core, text) of a run's stretches of up to SEGMENT starts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    Stretches are counted from the anchor, so equal strings of two runs fall into
+    the same one. `core` is what all strings of a whole stretch have in common,
+    whichever of them the run holds, with its place.
+    """
+    grams = _gram_hashes(np.frombuffer(part, np.uint8))
+    anchor = int(np.argmin(grams[: SPAN - GRAM + 1]))
+    offset = 0
+    while offset < length:
+        stretch = (anchor - offset) // SEGMENT
+        last = min(anchor - stretch * SEGMENT, length - 1)
+        core = part[anchor - stretch * SEGMENT : anchor - stretch * SEGMENT + SPAN - SEGMENT + 1]
+        text = part[offset : last + SPAN]
+        yield offset, last - offset + 1, b"%d:" % stretch + core, b"%d:" % (anchor - offset) + text
+        offset = last + 1
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _by_segments(texts: DataFrame) -> DataFrame:
+    """(doc, first, end) for anchors with very many runs.
+
+    Their runs are cut into short stretches. Equal stretches are one; only different
+    stretches with the same core are looked at string by string. All groups are
+    hashes summed up in each task first, so none has to fit a task.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, parts in slices(batches, "bytes"):
-            starts = np.array([len(x) - SPAN + 1 for x in parts], np.int64)
-            row = np.repeat(np.arange(len(parts)), starts)
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
-            keys = [
-                hashlib.blake2b(parts[i][k : k + SPAN], digest_size=16).digest()
-                for i, k in zip(row.tolist(), offset.tolist(), strict=True)
-            ]
-            yield {
-                "doc": rows.column("doc").take(pa.array(row, pa.int64())),
-                "start": rows.column("at").to_numpy()[row] // 128 + offset,
-                "key": keys,
-            }
+            row, start, starts, core, own, data = [], [], [], [], [], []
+            for i, (part, at) in enumerate(zip(parts, rows.column("at").to_pylist(), strict=True)):
+                for offset, n, inner, text in _segments(part, at % 128):
+                    row.append(i)
+                    start.append(at // 128 + offset)
+                    starts.append(n)
+                    core.append(_digest(inner))
+                    own.append(_digest(text))
+                    data.append(part[offset : offset + n + SPAN - 1])
+            doc = rows.column("doc").take(pa.array(row, pa.int64()))
+            yield {"doc": doc, "start": start, "starts": starts, "core": core, "own": own, "bytes": data}
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for rows, parts in slices(batches, "bytes"):
+            found = [(i, k, _digest(x[k : k + SPAN])) for i, x in enumerate(parts) for k in range(len(x) - SPAN + 1)]
+            row = np.array([x[0] for x in found], np.int64)
+            start = rows.column("start").to_numpy()[row] + np.array([x[1] for x in found], np.int64)
+            doc = rows.column("doc").take(pa.array(row, pa.int64()))
+            yield {"doc": doc, "start": start, "key": [x[2] for x in found]}
 
     kind = texts.schema["doc"].dataType.simpleString()
-    strings = written(map_batches(texts, run, f"doc {kind}, start long, key binary"), "strings")
-    firsts = strings.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("x"), F.count(F.lit(1)).alias("c"))
-    firsts = written(firsts.filter("c > 1").select(F.col("key").alias("_key"), "x"), "firsts")
-    late = strings.join(firsts, F.col("key") == F.col("_key")).filter(~same(F.struct("doc", "start"), F.col("x")))
-    return late.select("doc", F.col("start").alias("first"), (F.col("start") + SPAN).alias("end"))
+    schema = f"doc {kind}, start long, starts long, core binary, own binary, bytes binary"
+    cuts = written(map_batches(texts, cut, schema), "segments")
+    place = F.struct("doc", "start")
+    same_text = [F.first(c).alias(c) for c in ("starts", "core", "bytes")]
+    firsts = cuts.groupBy("own").agg(F.min(place).alias("x"), F.count(F.lit(1)).alias("c"), *same_text)
+    firsts = written(firsts, "firsts")
+    repeated = written(firsts.filter("c > 1").select(F.col("own").alias("_own"), "x"), "repeated")
+    copies = cuts.join(repeated, F.col("own") == F.col("_own")).filter(~same(place, F.col("x")))
+    spans = copies.select("doc", F.col("start").alias("first"), (F.col("start") + F.col("starts") + SPAN - 1).alias("end"))
+    several = firsts.groupBy(F.col("core").alias("_core")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    open_ = firsts.join(written(several.select("_core"), "several"), F.col("core") == F.col("_core"))
+    single = map_batches(open_.select("x.doc", "x.start", "bytes"), strings, f"doc {kind}, start long, key binary")
+    single = written(single, "strings")
+    found = single.groupBy("key").agg(F.min(place).alias("x"), F.count(F.lit(1)).alias("c"))
+    found = written(found.filter("c > 1").select(F.col("key").alias("_key"), "x"), "found")
+    late = single.join(found, F.col("key") == F.col("_key")).filter(~same(place, F.col("x")))
+    return spans.union(late.select("doc", "start", F.col("start") + SPAN))
 
 
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,7 +388,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     merged = _by_transforms(few, size // BUCKET_BYTES + 1)
     spans = copies.unionByName(merged)
     if not many.isEmpty():
-        spans = spans.unionByName(_by_strings(rest))
+        spans = spans.unionByName(_by_segments(rest))
     return written(spans, "spans")
 
 
