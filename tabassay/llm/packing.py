@@ -11,6 +11,7 @@ then finds its place by its rank among the pieces of its length.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from tabassay.llm.shared import Recent, map_batches, slices, written
 WINDOW = 1024
 SEPARATOR = 0
 #: About so many chunks' ids a Python worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 #: Pieces of one length are ranked in groups of about this many rows, at most MAX_BUCKETS groups.
 BUCKET_ROWS = 512
 MAX_BUCKETS = 8192
@@ -52,7 +53,7 @@ class ChunkEncoder:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         cut: list[list[str] | None] = []
