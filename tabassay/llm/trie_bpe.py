@@ -28,6 +28,8 @@ from tabassay.llm.shared import Recent, map_batches, slices
 
 #: About so many chunks, words and pairs of tokens a Python worker remembers each.
 CACHE = 400_000
+#: Bytes of text whose new words go through one trie.
+SLICE = 8_000_000
 
 #: How the vocabulary's file cuts words, and the white space it ignores.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -41,6 +43,25 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
+def trie(words: Iterable[str]) -> dict:
+    """Nodes by character; the part of a word that no other shares is one string, "" marks a word's end."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for i, character in enumerate(word):
+            child = node.get(character)
+            if child is None:
+                node[character] = word[i + 1 :]
+                break
+            if child.__class__ is str:
+                # Another word has ended its path here: its rest moves one node down.
+                child = node[character] = {child[0]: child[1:]} if child else {"": ""}
+            node = child
+        else:
+            node[""] = ""
+    return root
+
+
 class WordEncoder:
     """The vocabulary file's model: ids of single words, over a trie."""
 
@@ -104,24 +125,24 @@ class WordEncoder:
 
     def encode(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each distinct word with its ids. Words are strings of byte characters."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for character in word:
-                node = node.setdefault(character, {})
-            node[""] = word
         # last[d]: last token of the first d characters of the path.
-        last: list[str] = [""]
-        walk = [(0, "", root)]
+        last: list[str] = []
+        walk: list[tuple[int, str, dict]] = [(0, "", trie(words))]
         while walk:
             depth, path, node = walk.pop()
             del last[depth:]
-            last.append(self._last(path, last, "") if depth and len(node) > ("" in node) else "")
+            last.append(self._last(path, last, "") if depth else "")
             for character, child in node.items():
-                if character:
+                if not character:
+                    yield path, self._back(path, last)
+                elif child.__class__ is dict:
                     walk.append((depth + 1, path + character, child))
                 else:
-                    yield child, self._back(path, last)
+                    word = path + character + child
+                    for d in range(depth + 1, len(word)):
+                        last.append(self._last(word[:d], last, ""))
+                    yield word, self._back(word, last)
+                    del last[depth + 1 :]
 
     def _back(self, word: str, last: list[str]) -> list[int]:
         token = self._last(word, last, self.end)
@@ -181,22 +202,26 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Per text the ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        parts: list[list] = []
+        parts: list[list[str]] = []
         wanted: set[str] = set()
         for text in texts:
-            pieces: list = []
-            at = 0
+            if not self.special.search(text):
+                parts.append(self._cut(text))
+                wanted.update(parts[-1])
+                continue
+            pieces, at = [], 0
             for found in self.special.finditer(text):
-                pieces.extend([*self._cut(text[at : found.start()]), (found.group(),)])
+                # A space cannot be in a chunk, so it marks the vocabulary's own tokens.
+                pieces += [*self._cut(text[at : found.start()]), " " + found.group()]
                 at = found.end()
-            pieces.extend(self._cut(text[at:]))
-            parts.append(pieces)
-            wanted.update(x for x in pieces if x.__class__ is str)
+            parts.append(pieces + self._cut(text[at:]))
+            wanted.update(x for x in parts[-1] if x[0] != " ")
         self.learn(wanted)
+        known = self.chunks.now
+        known.update((" " + x, self._special(x)) for x in self.model.special)
         for pieces in parts:
-            # A chunk of format characters alone may have no ids.
-            known = self.chunks.now
-            found = [known[x] if x.__class__ is str else self._special(x[0]) for x in pieces]
+            found = [known[x] for x in pieces]
+            # A chunk of characters that the vocabulary ignores has no ids.
             yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
 
     def _special(self, token: str) -> tuple[bytes, str]:
@@ -212,7 +237,7 @@ def encode_texts(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encoder = _encoder(vocabulary)
-        for rows, texts in slices(batches, "text"):
+        for rows, texts in slices(batches, "text", SLICE):
             both = list(encoder.encode([x.decode("utf-8") for x in texts]))
             yield {
                 "doc": rows.column("doc"),
@@ -233,7 +258,7 @@ def encode_digests(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encoder = _encoder(vocabulary)
-        for rows, texts in slices(batches, "text"):
+        for rows, texts in slices(batches, "text", SLICE):
             counts, ids, decoded = [], [], []
             for packed, string in encoder.encode([x.decode("utf-8") for x in texts]):
                 counts.append(len(packed) // 4)
