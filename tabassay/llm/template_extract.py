@@ -6,7 +6,10 @@ page form an equivalence class. A class is valid if its tokens come in the same
 order on all pages. The valid classes nest: one lies between two tokens of
 another. The outermost class is the template's frame; what lies between its tokens
 are the slots, and a text that belongs to a valid class itself is part of the
-template, not data. The slots that hold the article are read from every page.
+template, not data, wherever it stands. The slots that hold the article are read
+from every page: those that tags or classes mark on some page, or without any mark
+those with most of the data. Where most of the text is equal on all pages, the
+pages are copies of one article, and equal texts say nothing.
 
 A host with very many pages is cut into blocks by a hash of the page, so no task
 gets a whole host, and a block is deduced for itself.
@@ -197,40 +200,43 @@ class Template:
 
     def _article_slots(self, pages: list[Page]) -> set[int]:
         """Slots that lie in an article on some page; without any, those with most of the data."""
-        marked, sizes = set(), Counter()
+        marked, lengths, sizes = set(), Counter(), Counter()
         for page in pages:
-            for k, (_, text, _), outside, inside in zip(
+            for k, (place, text, _), outside, inside in zip(
                 self.slot_numbers(page), page.texts, page.outside, page.inside, strict=True
             ):
                 if not outside and text.strip():
                     if inside:
                         marked.add(k)
-                    sizes[k] += len(text)
-        if marked or not sizes:
-            return marked
-        most = max(sizes.values())
-        return {k for k, n in sizes.items() if 5 * n >= most}
+                    sizes[inside, page.keys[place] in self.texts] += len(text)
+                    lengths[k] += len(text)
+        # Articles, or else all that may be one: mostly equal texts are copies and no template.
+        kinds = (True,) if marked else (False, True)
+        equal, own = (sum(sizes[i, same_] for i in kinds) for same_ in (True, False))
+        if equal >= own:
+            self.texts = set()
+            return marked or set(lengths)
+        most = max(lengths.values(), default=0)
+        return marked or {k for k, n in lengths.items() if 5 * n >= most}
 
 
 def extract(page: Page, template: Template) -> str:
     """The data in the article's slots; blocks are joined by one space."""
-    any_article = any(i and not o for i, o in zip(page.inside, page.outside, strict=True))
+    numbers = template.slot_numbers(page)
+    # Where a page marks its article, the rest of that slot is none of it.
+    marked = {
+        k for k, i, o, (_, x, _) in zip(numbers, page.inside, page.outside, page.texts, strict=True)
+        if i and not o and x.strip()
+    }
     parts: list[str] = []
     pending = False
     previous = -1
-    for k, (place, text, _), outside, inside in zip(
-        template.slot_numbers(page), page.texts, page.outside, page.inside, strict=True
-    ):
+    for k, (place, text, _), outside, inside in zip(numbers, page.texts, page.outside, page.inside, strict=True):
         # A block border anywhere since the last text taken separates the two.
         pending |= _breaks(page, previous, place)
         previous = place
-        if outside or (k not in template.slots and template.slots and not inside):
-            pending = True
-            continue
-        if any_article and not inside:
-            pending = True
-            continue
-        if not any_article and page.keys[place] in template.texts:
+        other = (template.slots and k not in template.slots) or (k in marked and not inside)
+        if outside or other or page.keys[place] in template.texts:
             pending = True
             continue
         parts.append((" " if pending else "") + html.unescape(text))

@@ -443,6 +443,22 @@ def test_extraction_without_articles():
     assert extract_block(plain) == [(f"cell{i} " * 40).strip() for i in range(9)]
 
 
+def test_extraction_drops_template_texts_within_articles():
+    body = (
+        "<article><h1>Head {0}</h1><p>Read our other stories</p><p>" + "own text {0} " * 30 + "</p>"
+        "<p>Share this story with <b>friends</b> today</p><p>end {0}</p></article>"
+    )
+    pages = [PAGE.format(i, body.format(i)) for i in range(9)]
+    assert extract_block(pages) == [f"Head {i} " + f"own text {i} " * 30 + f"end {i}" for i in range(9)]
+
+
+def test_extraction_reads_the_articles_slot_where_a_page_has_no_mark():
+    body = "<div{1}><h2>Head {0}</h2><p>" + "own text {0} " * 20 + "</p></div>"
+    pages = [PAGE.format(i, body.format(i, " class='story'")) for i in range(40)]
+    pages.append(PAGE.format(40, body.format(40, "")))
+    assert extract_block(pages) == [(f"Head {i} " + f"own text {i} " * 20).strip() for i in range(41)]
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [
         (1, None, None, "u"),
