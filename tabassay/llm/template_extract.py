@@ -8,8 +8,8 @@ another. The outermost class is the template's frame; what lies between its toke
 are the slots, and a text that belongs to a valid class itself is part of the
 template, not data, wherever it stands. The slots that hold the article are read
 from every page: those that tags or classes mark on some page, or without any mark
-those with most of the data. Where most of the text is equal on all pages, the
-pages are copies of one article, and equal texts say nothing.
+those whose text differs between pages. Where most of the text is equal on all
+pages, the pages are copies of one article, and equal texts say nothing.
 
 A host with very many pages is cut into blocks by a hash of the page, so no task
 gets a whole host, and a block is deduced for itself.
@@ -44,7 +44,7 @@ BLOCKS = frozenset(
 RAW = frozenset("script style noscript template iframe svg textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, and words in a class or id, that hold no part of an article.
-OUTSIDE = RAW | frozenset("nav footer aside form head menu dialog button select object canvas audio video".split())
+OUTSIDE = RAW | frozenset("nav footer aside head menu dialog button select object canvas audio video".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies copyright "
     "disqus footer header menu menubar modal nav navbar navigation newsletter notice notices pager pagination "
@@ -76,10 +76,35 @@ class Page:
         #: Per text: whether it lies outside any article, and whether it lies in one.
         self.outside: list[bool] = []
         self.inside: list[bool] = []
+        #: Per text: whether only a class around an article puts it outside, and the outermost form around it.
+        self._wrapped: list[bool] = []
+        self._form: list[int] = []
+        self._forms = 0
         self._read(source)
+        self._settle()
+
+    def _settle(self) -> None:
+        """A form with most of the page's text is a wrapper; so is a class around the only article."""
+        sizes, total = Counter(), 0
+        for (_, text, _), outside, wrapped, form in zip(
+            self.texts, self.outside, self._wrapped, self._form, strict=True
+        ):
+            if not outside or wrapped:
+                sizes[form] += len(text.strip())
+                total += len(text.strip())
+        forms = {form for form, n in sizes.items() if form and 2 * n <= total}
+        for i, form in enumerate(self._form):
+            if form in forms:
+                self.outside[i], self._wrapped[i] = True, False
+        free = any(
+            inside and not outside and text.strip()
+            for (_, text, _), inside, outside in zip(self.texts, self.inside, self.outside, strict=True)
+        )
+        if not free:
+            self.outside = [o and not w for o, w in zip(self.outside, self._wrapped, strict=True)]
 
     def _read(self, source: str) -> None:
-        open_: list[tuple[str, bool, bool]] = []
+        open_: list[tuple[str, bool, bool, bool, int]] = []
         block = True
         for found in _TOKEN.finditer(source):
             token = found.group()
@@ -91,7 +116,7 @@ class Page:
             name = _NAME.match(token)
             if raw:
                 self.keys.append(f"<{raw.lower()}>")
-                open_.append((raw.lower(), True, False))
+                open_.append((raw.lower(), True, False, False, 0))
                 block = True
                 continue
             if not name:
@@ -102,41 +127,60 @@ class Page:
                 self.keys.append(f"</{tag}>")
                 self._close(tag, open_)
                 continue
-            words = _attribute_words(token)
-            self.keys.append(f"<{tag} {' '.join(sorted(words))}>" if words else f"<{tag}>")
+            names = _attribute_names(token)
+            words = sorted(frozenset().union(*names))
+            self.keys.append(f"<{tag} {' '.join(words)}>" if words else f"<{tag}>")
             if tag not in VOID and not token.endswith("/>"):
-                self._open(tag, words, open_)
-
-    def _open(self, tag: str, words: frozenset[str], open_: list[tuple[str, bool, bool]]) -> None:
-        outside, inside = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
-        starts = tag in ARTICLES or bool(words & ARTICLE_WORDS and tag not in ("body", "html"))
+                self._open(tag, names, open_)
+
+    def _open(self, tag: str, names: list[frozenset[str]], open_: list[tuple[str, bool, bool, bool, int]]) -> None:
+        # `wrapped`: outside by a class alone, with an article begun within it.
+        _, outside, inside, wrapped, form = open_[-1] if open_ else ("", False, False, False, 0)
+        by_tag = any(x[0] in OUTSIDE for x in open_) if tag in ARTICLES and outside else False
+        named = any(_outside_name(x) for x in names)
+        starts = tag in ARTICLES or (tag not in ("body", "html") and any(_article_name(x) for x in names))
         # A header within an article belongs to it.
-        unwanted = tag in OUTSIDE or (tag == "header" and not inside) or bool(words & OUTSIDE_WORDS)
-        if tag in ("body", "html"):
+        unwanted = tag in OUTSIDE or (tag == "header" and not inside) or named
+        if tag in ("body", "html") or (tag in ARTICLES and not named):
             unwanted = False
-        if tag in ARTICLES and not words & OUTSIDE_WORDS:
-            unwanted = False
-        open_.append((tag, outside or unwanted, inside or starts))
+        if tag == "form" and not form:
+            self._forms += 1
+            form = self._forms
+        wrapped = not unwanted and (wrapped or (outside and tag in ARTICLES and not by_tag))
+        open_.append((tag, outside or unwanted, inside or starts, wrapped, form))
 
     @staticmethod
-    def _close(tag: str, open_: list[tuple[str, bool, bool]]) -> None:
+    def _close(tag: str, open_: list[tuple[str, bool, bool, bool, int]]) -> None:
         # An end without a beginning ends nothing; what was left open inside ends too.
         for k in range(len(open_) - 1, -1, -1):
             if open_[k][0] == tag:
                 del open_[k:]
                 return
 
-    def _text(self, token: str, block: bool, open_: list[tuple[str, bool, bool]]) -> None:
+    def _text(self, token: str, block: bool, open_: list[tuple[str, bool, bool, bool, int]]) -> None:
         self.texts.append((len(self.keys), token, block))
         self.outside.append(bool(open_) and open_[-1][1])
         self.inside.append(bool(open_) and open_[-1][2])
+        self._wrapped.append(bool(open_) and open_[-1][3])
+        self._form.append(open_[-1][4] if open_ else 0)
         self.keys.append("'" + " ".join(token.split()))
 
 
-def _attribute_words(tag: str) -> frozenset[str]:
+def _attribute_names(tag: str) -> list[frozenset[str]]:
+    """The words of each class, id and role."""
     if "=" not in tag:
-        return frozenset()
-    return frozenset(w for x in _ATTRIBUTE.findall(tag) for w in _WORD.findall("".join(x).lower()))
+        return []
+    return [frozenset(_WORD.findall(x)) for found in _ATTRIBUTE.findall(tag) for x in "".join(found).lower().split()]
+
+
+def _outside_name(words: frozenset[str]) -> bool:
+    """A whole name of such words; `has-sidebar` or `social-history` say nothing, `entry-header` is the article's."""
+    own = words - ARTICLE_WORDS
+    return bool(own) and own <= OUTSIDE_WORDS and (own == words or own != {"header"})
+
+
+def _article_name(words: frozenset[str]) -> bool:
+    return bool(words & ARTICLE_WORDS) and words & OUTSIDE_WORDS <= {"header"}
 
 
 def equivalence_classes(pages: list[Page]) -> list[list[str]]:
@@ -199,9 +243,11 @@ class Template:
         return numbers
 
     def _article_slots(self, pages: list[Page]) -> set[int]:
-        """Slots that lie in an article on some page; without any, those with most of the data."""
-        marked, lengths, sizes = set(), Counter(), Counter()
+        """Slots that lie in an article on some page; without any, those whose text differs between pages."""
+        marked, seen = set(), defaultdict(list)
+        sizes = Counter()
         for page in pages:
+            parts: dict[int, list[str]] = defaultdict(list)
             for k, (place, text, _), outside, inside in zip(
                 self.slot_numbers(page), page.texts, page.outside, page.inside, strict=True
             ):
@@ -209,15 +255,16 @@ class Template:
                     if inside:
                         marked.add(k)
                     sizes[inside, page.keys[place] in self.texts] += len(text)
-                    lengths[k] += len(text)
+                    parts[k].append(page.keys[place])
+            for k, own in parts.items():
+                seen[k].append(tuple(own))
         # Articles, or else all that may be one: mostly equal texts are copies and no template.
         kinds = (True,) if marked else (False, True)
         equal, own = (sum(sizes[i, same_] for i in kinds) for same_ in (True, False))
         if equal >= own:
             self.texts = set()
-            return marked or set(lengths)
-        most = max(lengths.values(), default=0)
-        return marked or {k for k, n in lengths.items() if 5 * n >= most}
+            return marked or set(seen)
+        return marked or {k for k, texts in seen.items() if len(texts) == 1 or len(set(texts)) > 1}
 
 
 def extract(page: Page, template: Template) -> str:

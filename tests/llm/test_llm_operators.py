@@ -459,6 +459,37 @@ def test_extraction_reads_the_articles_slot_where_a_page_has_no_mark():
     assert extract_block(pages) == [(f"Head {i} " + f"own text {i} " * 20).strip() for i in range(41)]
 
 
+def test_extraction_keeps_short_parts_of_unmarked_pages():
+    page = (
+        "<html><body><h1>Head {0}</h1><h2>lede {0}</h2><table><tr><td>" + "long text {0} " * 50 + "</td></tr></table>"
+        "<h3>end {0}</h3><h4>Read more</h4></body></html>"
+    )
+    texts = extract_block([page.format(i) for i in range(9)])
+    assert texts == [f"Head {i} lede {i} " + f"long text {i} " * 50 + f"end {i}" for i in range(9)]
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='layout has-sidebar'>{}</div>", "<div class='with-comments'>{}</div>", "<form action='/'>{}</form>",
+    "<div id='no-header'>{}</div>", "<div class='widget'>{}</div>", "<section class='social-history'>{}</section>",
+])
+@pytest.mark.parametrize("copies", [1, 9])
+def test_extraction_within_wrappers(wrapper, copies):
+    body = "<article><header class='entry-header'><h1>Head {0}</h1></header><p>" + "text {0} " * 30 + "</p></article>"
+    pages = [wrapper.format("<nav>Menu</nav>" + body.format(i) + "<footer>End</footer>") for i in range(copies)]
+    assert extract_block(pages) == [(f"Head {i} " + f"text {i} " * 30).strip() for i in range(copies)]
+
+
+def test_extraction_of_a_page_in_one_form():
+    page = "<body><form><nav>Menu</nav><h1>Head {0}</h1><p>" + "text {0} " * 30 + "</p><footer>End</footer></form></body>"
+    assert extract_block([page.format(i) for i in range(9)]) == [(f"Head {i} " + f"text {i} " * 30).strip() for i in range(9)]
+
+
+def test_extraction_leaves_out_articles_of_other_pages():
+    page = "<article><p>own {0}</p></article><div class='related'><article>other {0}</article></div><aside><article>x {0}</article></aside>"
+    assert extract_block([page.format(i) for i in range(9)]) == [f"own {i}" for i in range(9)]
+    assert extract_block([page.format(0)]) == ["own 0"]
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [
         (1, None, None, "u"),
