@@ -6,6 +6,11 @@ each labels the unlabelled documents it is most sure of, and the other one learn
 from them too. In the end both are calibrated on labelled rows that neither has
 learnt from, and every document gets the two calibrated scores and their
 combination.
+
+Every unlabelled row takes part. What a row was told in earlier rounds follows from
+its features and those rounds' weights and limits, so tasks keep nothing: they
+count the surest rows in histograms, which give the next limits, and add up
+gradients and curvatures, which give the next weights.
 """
 
 from __future__ import annotations
@@ -16,15 +21,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabassay.llm.shared import map_batches, same, slices
-from tabassay.llm.shingles import words_of
+from tabassay.llm.shared import map_batches, same, slices, written
+from tabassay.llm.shingles import mix, words_of
 
-#: Labelled rows, and unlabelled rows that may get a pseudo-label, which the classifiers learn from at most.
+#: Labelled rows which the classifiers learn from at most.
 LABELLED_ROWS = 8_000
-POOL_ROWS = 8_000
 #: Rounds, the share of the pool that each classifier may label per round, and how sure it must be.
 ROUNDS = 4
 SHARE = 0.05
@@ -33,6 +38,12 @@ SURE = 0.9
 CALIBRATION = 4
 WORD_CELLS = 256
 META_CELLS = 128
+#: Cells of the histograms of scores, and of the hashes by which rows of one cell are told apart.
+SCORE_CELLS = 4096
+HASH_CELLS = 4096
+#: Newton steps of a fit at most, and the change that ends it.
+STEPS = 8
+STILL = 1e-4
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>!=~^_@{}[]\\"]] = True
@@ -91,12 +102,11 @@ class Logistic:
         ridge = np.full(x.shape[1], self.strength)
         ridge[-1] = 1e-3
         w = np.zeros(x.shape[1])
-        for _ in range(8):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            curve = p * (1 - p) + 1e-6
-            step = np.linalg.solve((x * curve[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        for _ in range(STEPS):
+            sums = newton_sums(x, y, w)
+            step = np.linalg.solve(sums[:, :-1] + np.diag(ridge), sums[:, -1] - ridge * w)
             w += step
-            if np.abs(step).max() < 1e-4:
+            if np.abs(step).max() < STILL:
                 break
         self.weights = w
         return self
@@ -105,6 +115,13 @@ class Logistic:
         return np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)
 
 
+def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The curvature, and in the last column the gradient, of the rows' likelihood; sums of rows add up."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    curve = p * (1 - p) + 1e-6
+    return np.hstack([(x * curve[:, None]).T @ x, (x.T @ (y - p))[:, None]])
+
+
 def _probability(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-logit))
 
@@ -128,38 +145,199 @@ class Pair:
         return _probability(logits[0]), _probability(logits[1]), _probability(both)
 
 
-def cotrain(
-    features: tuple[np.ndarray, np.ndarray], labels: np.ndarray, pool: tuple[np.ndarray, np.ndarray]
-) -> Pair:
-    """Learns from labelled rows (labels 0 and 1) and a pool of unlabelled ones, both in a fixed order."""
+@dataclass(frozen=True)
+class Turn:
+    """A round: the classifiers that told, and per view and label the limit from which they did.
+
+    A limit is a cell of the score and a cell of the hash: rows in higher cells of the
+    score are told, and of the cell itself those in lower cells of the hash.
+    """
+
+    views: tuple[Logistic, Logistic]
+    limits: dict[tuple[int, int], tuple[int, int]]
+
+
+def _score_cells(logit: np.ndarray, label: int) -> np.ndarray:
+    """Cells of how sure a row has the label, -1 below SURE."""
+    least = np.log(SURE / (1 - SURE))
+    sure = (logit if label else -logit) - least
+    cell = np.minimum(sure / (30 - least) * SCORE_CELLS, SCORE_CELLS - 1)
+    return np.where(sure >= 0, cell, -1).astype(np.int64)
+
+
+def _hash_cells(place: np.ndarray) -> np.ndarray:
+    return (mix(place.view(np.uint64)) % np.uint64(HASH_CELLS)).astype(np.int64)
+
+
+def _told(turns: list[Turn], x: tuple[np.ndarray, np.ndarray], place: np.ndarray) -> np.ndarray:
+    """The label that each view (first axis) was told of each row, -1 for none."""
+    given = np.full((2, len(place)), -1)
+    for turn in turns:
+        for v in (0, 1):
+            logit = turn.views[v].logit(x[v])
+            free = given[1 - v] < 0
+            for label in (1, 0):
+                edge, below = turn.limits[v, label]
+                cell = _score_cells(logit, label)
+                given[1 - v][free & ((cell > edge) | ((cell == edge) & (_hash_cells(place) < below)))] = label
+    return given
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]]:
+    """Features of both views, and hashes, of rows of `_features`."""
+    for batch in batches:
+        if batch.num_rows:
+            yield _arrays(batch), batch.column("place").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _arrays(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    words, meta = (
+        np.frombuffer(b"".join(rows.column(c).to_pylist()), np.float32).astype(float).reshape(rows.num_rows, n)
+        for c, n in (("words", WORD_CELLS + 7), ("meta", META_CELLS))
+    )
+    return words, meta
+
+
+def _histogram(
+    pool: DataFrame, turns: list[Turn], views: tuple[Logistic, Logistic], within: dict | None = None
+) -> dict[tuple[int, int], np.ndarray]:
+    """Per view and label, how many rows not yet told of fall into each cell of the score.
+
+    With `within`, a cell of the score per view and label: into each cell of the hash
+    in that one.
+    """
+    size = SCORE_CELLS if within is None else HASH_CELLS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        total = np.zeros((2, 2, size), np.int64)
+        for x, place in _rows(batches):
+            given = _told(turns, x, place)
+            for v in (0, 1):
+                free = given[1 - v] < 0
+                logit = views[v].logit(x[v])
+                for label in (0, 1):
+                    cell = _score_cells(logit, label)
+                    if within is None:
+                        cell = cell[free & (cell >= 0)]
+                    else:
+                        cell = _hash_cells(place)[free & (cell == within.get((v, label), -2))]
+                    total[v, label] += np.bincount(cell, minlength=size)
+        view, label, cell = np.nonzero(total)
+        yield {"view": view, "label": label, "cell": cell, "n": total[view, label, cell]}
+
+    counted = map_batches(pool, run, "view int, label int, cell int, n long").groupBy("view", "label", "cell")
+    found = {(v, label): np.zeros(size, np.int64) for v in (0, 1) for label in (0, 1)}
+    for row in counted.agg(F.sum("n").alias("n")).toPandas().itertuples():
+        found[row.view, row.label][row.cell] = row.n
+    return found
+
+
+def _turn(pool: DataFrame, rows: int, rate: float, turns: list[Turn], views: tuple[Logistic, Logistic]) -> Turn:
+    """Limits so that each view tells its share of the pool's rows, the surest first."""
+    quota = max(int(SHARE * rows), 1)
+    limits, edges, rest = {}, {}, {}
+    for key, counts in _histogram(pool, turns, views).items():
+        most = max(round(quota * (rate if key[1] else 1 - rate)), 1)
+        above = np.cumsum(counts[::-1])[::-1]
+        if above[0] <= most:
+            limits[key] = (0, HASH_CELLS)
+            continue
+        # The highest cell that does not fit any more is taken in part.
+        edge = int(np.flatnonzero(above > most)[-1])
+        edges[key], rest[key] = edge, most - int(above[edge] - counts[edge])
+    if edges:
+        hashed = _histogram(pool, turns, views, edges)
+        for key, edge in edges.items():
+            limits[key] = (edge, int((np.cumsum(hashed[key]) <= rest[key]).sum()))
+    return Turn(views, limits)
+
+
+def _pool_sums(
+    pool: DataFrame, turns: list[Turn], weights: list[np.ndarray]
+) -> tuple[list[np.ndarray], tuple[int, int]]:
+    """`newton_sums` of either view over the rows it was told of, and how many those are."""
+    sizes = [len(w) for w in weights]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        total = [np.zeros((n, n + 1)) for n in sizes]
+        told = [0, 0]
+        for x, place in _rows(batches):
+            given = _told(turns, x, place)
+            for v in (0, 1):
+                has = given[v] >= 0
+                if has.any():
+                    own = np.hstack([x[v][has], np.ones((int(has.sum()), 1))])
+                    total[v] += newton_sums(own, given[v][has], weights[v])
+                    told[v] += int(has.sum())
+        part = TaskContext.get().partitionId()
+        for v in (0, 1):
+            if told[v]:
+                n = sizes[v]
+                yield {
+                    "view": [v] * n, "line": np.arange(n), "part": [part] * n, "told": [told[v]] * n,
+                    "sums": [x.tobytes() for x in total[v]],
+                }
+
+    def add(rows: pa.Table) -> pa.Table:
+        # In the order of the tasks, so that a sum is the same on every run.
+        rows = rows.sort_by("part")
+        sums = np.frombuffer(b"".join(rows["sums"].to_pylist())).reshape(rows.num_rows, -1)
+        return pa.table({
+            "view": rows["view"][:1], "line": rows["line"][:1], "told": pa.array([sum(rows["told"].to_pylist())]),
+            "sums": pa.array([sums.sum(axis=0).tobytes()], pa.binary()),
+        })
+
+    each = map_batches(pool, run, "view int, line int, part int, told long, sums binary")
+    found = each.groupBy("view", "line").applyInArrow(add, "view int, line int, told long, sums binary").toPandas()
+    total = [np.zeros((n, n + 1)) for n in sizes]
+    told = [0, 0]
+    for row in found.itertuples():
+        total[row.view][row.line] = np.frombuffer(row.sums)
+        told[row.view] = row.told
+    return total, (told[0], told[1])
+
+
+def _fit(
+    features: tuple[np.ndarray, np.ndarray], labels: np.ndarray, pool: DataFrame, turns: list[Turn]
+) -> tuple[tuple[Logistic, Logistic], tuple[int, int]]:
+    """Both views fitted to the labelled rows and what they were told, from the weights of the last round."""
+    if not turns:
+        return (Logistic().fit(features[0], labels), Logistic().fit(features[1], labels)), (0, 0)
+    own = [np.hstack([x, np.ones((len(x), 1))]) for x in features]
+    weights = [view.weights.copy() for view in turns[-1].views]
+    told = (0, 0)
+    for _ in range(STEPS):
+        sums, told = _pool_sums(pool, turns, weights)
+        moved = 0.0
+        for v in (0, 1):
+            ridge = np.full(len(weights[v]), Logistic.strength)
+            ridge[-1] = 1e-3
+            both = sums[v] + newton_sums(own[v], labels, weights[v])
+            step = np.linalg.solve(both[:, :-1] + np.diag(ridge), both[:, -1] - ridge * weights[v])
+            weights[v] = weights[v] + step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < STILL:
+            break
+    return (Logistic(weights=weights[0]), Logistic(weights=weights[1])), told
+
+
+def cotrain(features: tuple[np.ndarray, np.ndarray], labels: np.ndarray, pool: DataFrame) -> Pair:
+    """Learns from labelled rows (labels 0 and 1) in a fixed order and all rows of `pool`, as of `_features`."""
     held = np.arange(len(labels)) % CALIBRATION == 0
     if held.all() or len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
         held = np.zeros(len(labels), bool)  # too few labels: calibrate on what was learnt from
     learn = ~held
     check = held if held.any() else learn
     rate = min(max(float(labels[learn].mean()), 0.01), 0.99) if len(labels) else 0.5
-    given = np.full((2, len(pool[0])), -1)
-    views = (Logistic(), Logistic())
+    known = (features[0][learn], features[1][learn])
+    rows = pool.count()
+    turns: list[Turn] = []
     exchanged = []
-    for turn in range(ROUNDS + 1):
-        for v in (0, 1):
-            has = given[v] >= 0
-            views[v].fit(
-                np.vstack([features[v][learn], pool[v][has]]), np.concatenate([labels[learn], given[v][has]])
-            )
-        if turn == ROUNDS or not len(pool[0]):
-            break
-        told = []
-        for v in (0, 1):
-            p = _probability(views[v].logit(pool[v]))
-            free = given[1 - v] < 0
-            quota = max(int(SHARE * len(p)), 1)
-            for label, sure, part in ((1, p, rate), (0, 1 - p, 1 - rate)):
-                order = np.argsort(-np.where(free, sure, -1), kind="stable")[: max(round(quota * part), 1)]
-                order = order[(sure[order] >= SURE) & free[order]]
-                given[1 - v][order] = label
-            told.append(int((given[1 - v] >= 0).sum()))
-        exchanged.append(tuple(told))
+    views, _ = _fit(known, labels[learn], pool, turns)
+    for _ in range(ROUNDS if rows else 0):
+        turns.append(_turn(pool, rows, rate, turns, views))
+        views, told = _fit(known, labels[learn], pool, turns)
+        exchanged.append((told[1], told[0]))
     calibration = tuple(
         Logistic(1e-2).fit(views[v].logit(features[v][check])[:, None], labels[check]) for v in (0, 1)
     )
@@ -167,25 +345,27 @@ def cotrain(
 
 
 def _features(df: DataFrame) -> DataFrame:
-    """(label, text, meta): the features of (label, text, lang, source, size)."""
+    """(id, place, words, meta): the features of (id, place, text, lang, source, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, texts in slices(batches, "text"):
             meta = meta_features(*(rows.column(c).to_pylist() for c in ("lang", "source", "size")))
             yield {
+                "id": rows.column("id"),
                 "place": rows.column("place"),
-                "label": rows.column("label"),
                 "words": [x.astype(np.float32).tobytes() for x in text_features(texts)],
                 "meta": [x.astype(np.float32).tobytes() for x in meta],
             }
 
-    return map_batches(df, run, "place long, label int, words binary, meta binary")
+    kind = df.schema["id"].dataType.simpleString()
+    return map_batches(df, run, f"id {kind}, place long, words binary, meta binary")
 
 
 def train(
     df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> Pair:
-    """Fits the pair on at most LABELLED_ROWS and POOL_ROWS rows, those with the smallest hashes of their ids.
+    """Fits the pair on at most LABELLED_ROWS labelled rows, those with the smallest hashes of their ids, and
+    all unlabelled ones.
 
     A document with several labels takes the more frequent one, 1 if they are even;
     NULL labels do not count. Without labels of both kinds there is nothing to learn.
@@ -194,25 +374,20 @@ def train(
     votes = votes.groupBy(F.col(doc_id).alias("_id")).agg(
         (F.avg(F.col(label)) >= 0.5).cast("int").alias("label")
     )
-    hashed = F.xxhash64(doc_id)
-    ids = df.select(F.col(doc_id).alias("id"), hashed.alias("place")).join(votes, F.col("id") == F.col("_id"), "left")
-    # Only ids are ordered; the texts of the chosen rows are fetched afterwards.
-    chosen = (
-        ids.filter("label IS NOT NULL").orderBy("place").limit(LABELLED_ROWS)
-        .union(ids.filter("label IS NULL").orderBy("place").limit(POOL_ROWS))
-        .select(F.col("id").alias("_id"), "label", "place").distinct()
-    )
-    rows = _view(df, doc_id, text).join(F.broadcast(chosen), same(F.col("id"), F.col("_id"))).drop("_id", "id")
-    found = _features(rows).toPandas().sort_values(["place", "words", "meta"], kind="stable")
-    x = tuple(
-        np.stack([np.frombuffer(v, np.float32) for v in found[c]]).astype(float) if len(found) else np.zeros((0, n))
-        for c, n in (("words", WORD_CELLS + 7), ("meta", META_CELLS))
+    # Features are smaller than texts, so they are joined and kept.
+    rows = _features(_view(df, doc_id, text).withColumn("place", F.xxhash64("id", "text")))
+    rows = written(rows.join(votes, F.col("id") == F.col("_id"), "left").drop("_id"), "features")
+    # Only ids are ordered; the rows of the chosen ones are fetched afterwards.
+    chosen = rows.filter("label IS NOT NULL").select(F.col("id").alias("_id"), F.xxhash64("id").alias("order"))
+    chosen = chosen.orderBy("order").limit(LABELLED_ROWS).distinct()
+    found = rows.filter("label IS NOT NULL").join(F.broadcast(chosen), F.col("id") == F.col("_id"))
+    found = found.select("order", "label", "words", "meta").toArrow().sort_by(
+        [("order", "ascending"), ("words", "ascending"), ("meta", "ascending")]
     )
-    has = found["label"].notna().to_numpy()
-    y = found["label"][has].to_numpy(float)
+    y = found["label"].to_numpy().astype(float)
     if len(set(y)) < 2:
         raise ValueError("labels of both kinds are needed")
-    return cotrain((x[0][has], x[1][has]), y, (x[0][~has], x[1][~has]))
+    return cotrain(_arrays(found), y, rows.filter("label IS NULL").select("place", "words", "meta"))
 
 
 def _view(df: DataFrame, doc_id: str, text: str) -> DataFrame:

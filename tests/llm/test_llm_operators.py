@@ -14,7 +14,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabassay.llm import repeated_bytes
+from tabassay.llm import cotraining, repeated_bytes
 from tabassay.llm.block_naming import exact_groups
 from tabassay.llm.cotraining import score, train
 from tabassay.llm.graph import components
@@ -421,6 +421,53 @@ def test_cotraining(spark):
         train(docs, spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int"))
 
 
+def test_cotraining_tells_from_the_whole_pool(spark):
+    # More unlabelled rows than any sample of 8,000; the rare kind is in all of them.
+    good = "SELECT id AS doc_id, concat('plain words ', id % 97, ' of prose ', id % 89) AS text, 'aa' AS lang, 's' AS source"
+    bad = "SELECT 1000000 + id AS doc_id, concat('buy### ', id % 97, ' now%%%') AS text, 'aa' AS lang, 't' AS source"
+    docs = spark.sql(f"{good} FROM range(16000) UNION ALL {bad} FROM range(8000)").withColumn("n_chars", F.length("text"))
+    labels = docs.filter("doc_id % 100 = 0").selectExpr("doc_id", "int(doc_id < 1000000) AS quality")
+    pair = train(docs, labels)
+    quota = 24_000 * 99 // 100 // 20
+    for turn, told in enumerate(pair.exchanged, 1):
+        for n in told:
+            assert 0.97 * turn * quota <= n <= turn * quota + 2
+    assert len(pair.exchanged) == 4
+    found = {r["doc"]: r["score"] for r in score(docs, pair).collect()}
+    assert len(found) == 24_000 and all((s > 0.5) == (i < 1_000_000) for i, s in found.items())
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_pool_sums_are_those_of_one_task(spark, parts):
+    docs = spark.createDataFrame(
+        [(i, _prose(i, 30) + " ###" * (i % 7), "aa", "s", i) for i in range(200)],
+        "doc_id int, text string, lang string, source string, n_chars int",
+    )
+    rows = cotraining._features(
+        cotraining._view(docs, "doc_id", "text").withColumn("place", F.xxhash64("id"))
+    ).cache()
+    table = rows.toArrow()
+    x, place = cotraining._arrays(table), table["place"].to_numpy()
+    rng = np.random.default_rng(1)
+    views = tuple(cotraining.Logistic(weights=rng.normal(0, 3, a.shape[1] + 1)) for a in x)
+    turn = cotraining._turn(rows, 200, 0.5, [], views)
+    given = cotraining._told([turn], x, place)
+    for v in (0, 1):
+        logit = views[v].logit(x[v])
+        for label, sign in ((1, 1), (0, -1)):
+            told = set(np.flatnonzero(given[1 - v] == label))
+            sure = np.flatnonzero(sign * logit >= np.log(9))
+            assert len(told) == min(5, len(sure)) and told <= set(sure)
+            if told and len(told) < len(sure):
+                assert min(sign * logit[list(told)]) >= max(sign * logit[list(set(sure) - told)]) - 0.01
+    weights = [view.weights for view in views]
+    sums, told = cotraining._pool_sums(rows.repartition(parts), [turn], weights)
+    for v in (0, 1):
+        has = given[v] >= 0
+        own = np.hstack([x[v][has], np.ones((has.sum(), 1))])
+        assert told[v] == has.sum() and np.allclose(sums[v], cotraining.newton_sums(own, given[v][has], weights[v]))
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T{0}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>"
     "<header><h1>Site name</h1></header><nav><ul><li><a href='/x{0}'>Menu {0}</a></li></ul></nav>"
