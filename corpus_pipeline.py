@@ -36,8 +36,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are similar to an earlier line of the corpus are cut out."""
-    return _measured(remove_lines(docs), docs.columns)
+    """Lines that are similar to an earlier line of the corpus are cut out, short ones if they repeat it."""
+    return _measured(remove_lines(docs, short=True), docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

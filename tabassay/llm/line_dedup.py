@@ -5,7 +5,8 @@ the whole table. Two similar sets share one of the first members of both (prefix
 filter); the sizes and the places of that member rule out most other pairs, and
 the rest is verified. A line goes if it is similar to an earlier one, whether that
 one stays or not. Lines with fewer words than a shingle have no token, so they
-match nothing.
+match nothing; with `short`, all their words are one token, so they match their
+exact repeats.
 
 Only whether an earlier line exists is asked, so equal lines become one, every
 line is first compared with the earliest line that shares its prefix, and only
@@ -38,12 +39,12 @@ from tabassay.llm.shingles import (
 HOT_ROWS = 500
 
 
-def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lines(texts: list[bytes], short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and number in its text of every line with a shingle; place in that list and hash of every shingle."""
     words = words_of(texts)
     breaks = np.flatnonzero(words.data == 10)
     line = np.searchsorted(breaks, words.start)
-    segment, hashes = shingles_of(words.hash, line, short=False)
+    segment, hashes = shingles_of(words.hash, line, short)
     found, place = np.unique(segment, return_inverse=True)
     # The break after each text counts as one, so a text's first line follows from its end.
     ends = np.cumsum([len(x) + 1 for x in texts]) - 1
@@ -53,7 +54,7 @@ def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return row, found - first[row], place, hashes
 
 
-def _signatures(docs: DataFrame) -> tuple[DataFrame, Rarity]:
+def _signatures(docs: DataFrame, short: bool) -> tuple[DataFrame, Rarity]:
     """(doc, line, n, s1, s2) of every line with a token, and the tokens' rarity, from one pass.
 
     A task's counts travel as rows with n = 0, a bucket for `line` and the count in `s1`.
@@ -62,7 +63,7 @@ def _signatures(docs: DataFrame) -> tuple[DataFrame, Rarity]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for rows, texts in slices(batches, "text"):
-            row, line, segment, hashes = _lines(texts)
+            row, line, segment, hashes = _lines(texts, short)
             keys, begins = sorted_sets(segment, hashes, len(row))
             s1, s2 = digests(keys, begins)
             doc = rows.column("doc").take(pa.array(row, pa.int64()))
@@ -80,7 +81,7 @@ def _signatures(docs: DataFrame) -> tuple[DataFrame, Rarity]:
     return both.filter("n > 0"), Rarity(table)
 
 
-def _prefixes(docs: DataFrame, rarity: Rarity) -> DataFrame:
+def _prefixes(docs: DataFrame, rarity: Rarity, short: bool) -> DataFrame:
     """(token, salt, doc, line, at): a row per prefix member; `at` packs set size and place.
 
     Tokens that the sketch shows to be frequent are dealt out by a salt of 0 and
@@ -89,7 +90,7 @@ def _prefixes(docs: DataFrame, rarity: Rarity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, texts in slices(batches, "text"):
-            row, line, segment, hashes = _lines(texts)
+            row, line, segment, hashes = _lines(texts, short)
             keys, begins = sorted_sets(segment, rarity.keys(hashes), len(row))
             size = np.diff(begins)
             length = size - -(-PERCENT * size // 100) + 1
@@ -145,13 +146,13 @@ def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
     return map_batches(joined, run, schema)
 
 
-def _matched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _matched(docs: DataFrame, pairs: DataFrame, short: bool) -> DataFrame:
     """(doc, line) of the pairs (a, b) of lines whose first is similar to its second."""
     ship_package(docs.sparkSession)
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
-        row, _, segment, hashes = _lines(rows["bytes"].to_pylist())
+        row, _, segment, hashes = _lines(rows["bytes"].to_pylist(), short)
         keys, begins = sorted_sets(segment, hashes, len(row))
         keys, begins = keys.tolist(), begins.tolist()
         sets = [frozenset()] * rows.num_rows
@@ -182,12 +183,12 @@ def _similar(a: frozenset, b: frozenset) -> bool:
     return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """(doc, line): the lines that are similar to an earlier one, by id, then by place in the text."""
     docs = df.selectExpr(f"`{doc_id}` AS doc", f"`{text}` AS text")
     place = F.struct("doc", "line")
     # Equal sets: the first line stands for all.
-    signed, rarity = _signatures(docs)
+    signed, rarity = _signatures(docs, short)
     classes = signed.groupBy("n", "s1", "s2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
     several = classes.filter("c > 1").select(*(F.col(c).alias(f"_{c}") for c in ("n", "s1", "s2")), "first")
     copies = signed.join(
@@ -197,7 +198,7 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     copies = written(copies.filter(~same(place, F.col("first"))).select("doc", "line").distinct(), "copies")
 
     together = W.partitionBy("token", "salt")
-    members = _prefixes(docs, rarity).withColumns(
+    members = _prefixes(docs, rarity, short).withColumns(
         {"c": F.count(F.lit(1)).over(together), "first": F.min(F.struct("doc", "line", "at")).over(together)}
     )
     postings = members.filter("c > 1 OR salt >= 0").select("token", "salt", place.alias("a"), "at", "first")
@@ -221,7 +222,7 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     best = best.agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
     equal = copies.select(place.alias("_a"))
     best = best.join(equal, same(F.col("a"), F.col("_a")), "left_anti")
-    matched = _matched(docs, best)
+    matched = _matched(docs, best, short)
 
     settled = written(copies.union(matched).select(place.alias("_a")).distinct(), "settled")
     rest = postings.select("token", "a", "at").join(settled, same(F.col("a"), F.col("_a")), "left_anti")
@@ -233,7 +234,7 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         firsts.select(F.col("token").alias("r_token"), F.col("a").alias("r"), F.col("at").alias("r_at")),
         (F.col("l_token") == F.col("r_token")) & (F.col("l") > F.col("r")) & _possible("l_at", "r_at"),
     )
-    more = _matched(docs, _enough_shared(pairs))
+    more = _matched(docs, _enough_shared(pairs), short)
     return copies.union(matched).union(more).distinct()
 
 
@@ -251,13 +252,15 @@ def _enough_shared(met: DataFrame) -> DataFrame:
     return counted.filter(F.col("c") >= least).select("a", "b").distinct()
 
 
-def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """`df` with the later matches cut out of its texts, and the columns _lines and _removed (counts).
 
     Lines are cut at \\n; the lines that stay are joined by it again. A text that
     loses every line becomes empty. NULL stays NULL, with no lines. Rows that share
     an id are one document: a line is removed from all or none of them, by its
-    place. A NULL id comes before all others. An empty table gives no rows.
+    place. A NULL id comes before all others. An empty table gives no rows. With
+    `short`, a line with fewer words than a shingle goes if an earlier one has the
+    same words; without, it always stays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -274,7 +277,7 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             own = {name: rows.column(name) for name in inner}
             yield own | {"_text": bodies, "_lines": lines, "_removed": removed}
 
-    gone = written(later_matches(df, doc_id, text), "later").groupBy("doc").agg(F.collect_set("line").alias("_gone"))
+    gone = written(later_matches(df, doc_id, text, short), "later").groupBy("doc").agg(F.collect_set("line").alias("_gone"))
     # Own names, so that no column of the table clashes with the ones added here.
     inner = [f"c{i}" for i, c in enumerate(df.columns) if c != text]
     named = df.select(*(F.col(f"`{c}`").alias("_text" if c == text else f"c{i}") for i, c in enumerate(df.columns)))

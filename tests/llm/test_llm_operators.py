@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -190,6 +191,28 @@ def test_line_removal(docs, empty):
     assert remove_lines(empty).count() == 0
 
 
+def test_pipeline_removes_repeated_short_lines(spark):
+    texts = {
+        1: "Read more\n" + _prose(1, 24) + "\none two three four",
+        2: "READ  more\n" + _prose(2, 24) + "\none two three\n\nfour one two three",
+        3: "read\nRead more\n" + _prose(1, 24) + "\none two three four\nread more now\n",
+        4: "read",
+    }
+    rows = [(i, t, len(t)) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int").repartition(3)
+    lines = {
+        (i, k): _shingles(WORD.findall(x.translate(LOWER)), True)
+        for i, t in texts.items()
+        for k, x in enumerate(t.encode().split(b"\n"))
+    }
+    order = sorted(lines)
+    gone = {b for n, b in enumerate(order) if any(_similar(lines[a], lines[b]) for a in order[:n])}
+    left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts.items()}
+    found = {r["doc_id"]: r for r in _rows(corpus_pipeline.line_dedup(spark, docs, ""))}
+    assert {i: (r["text"], r["n_chars"]) for i, r in found.items()} == {i: (t, len(t)) for i, t in left.items()}
+    assert left[4] == "" and left[3] == "read\nread more now\n" and "READ" not in left[2]
+
+
 def _components(sets: dict) -> dict:
     parent = {i: i for i in sets}
 
