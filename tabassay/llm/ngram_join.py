@@ -185,6 +185,10 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
         (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")),
     )
     copies = written(copies.filter("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")), "copies")
+    # An id may also have a set that it has first; that one is still compared.
+    leading = classes.select(F.col("first").alias("_first"))
+    settled = copies.select(F.col("a").alias("_a")).distinct().join(leading, F.col("_a") == F.col("_first"), "left_anti")
+    settled = written(settled, "settled")
 
     rarity = Rarity(frequencies(docs, "text", text_segments))
     together = W.partitionBy("token", "salt")
@@ -209,12 +213,12 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     counted = written(counted, "counted")
     # Each document is first compared with the one that leads most of its prefix.
     best = counted.filter("shared > 0").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select("a", "x.b")
-    best = best.join(copies.select(F.col("a").alias("_a")), F.col("a") == F.col("_a"), "left_anti")
+    best = best.join(settled, F.col("a") == F.col("_a"), "left_anti")
     links = _linked(docs, best).union(copies)
 
     # From here on only pairs whose ends are in different components can matter.
     known = written(components(links), "components")
-    known = known.join(copies.select(F.col("a").alias("_a"), F.lit(True).alias("copy")), F.col("node") == F.col("_a"), "left")
+    known = known.join(settled.withColumn("copy", F.lit(True)), F.col("node") == F.col("_a"), "left")
     known = written(known.select("node", "component", F.coalesce("copy", F.lit(False)).alias("copy")), "known")
     x, y = (known.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_in")) for c in "xy")
     apart = counted.join(x, F.col("a") == F.col("x_node"), "left").join(y, F.col("b") == F.col("y_node"), "left")

@@ -258,6 +258,15 @@ def test_near_duplicates_in_chains(spark):
     assert found == expected
 
 
+def test_near_duplicates_of_an_id_with_a_copied_and_a_similar_text(spark):
+    copied, other = _prose(21, 90), _prose(22, 90)
+    near = other.replace(other.split()[80], "changed", 1)
+    rows = [(0, copied), (2, other), (5, copied), (5, near), (7, copied), (8, _prose(23, 90))]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    found = {(r["doc"], r["component"]) for r in _rows(near_duplicates(df))}
+    assert found == {(0, 0), (2, 0), (5, 0), (7, 0), (8, 8)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(40, 41), (42, 41), (50, 50)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a int, b int")).collect()}
