@@ -14,6 +14,7 @@ from tabassay.llm.language_mixture import held_out_identify
 from tabassay.llm.line_dedup import remove_lines
 from tabassay.llm.ngram_join import near_duplicates
 from tabassay.llm.packing import pack_documents
+from tabassay.llm.piece_table import piece_digests
 from tabassay.llm.quality_rules import judge
 from tabassay.llm.repeated_bytes import remove_repeats
 from tabassay.llm.shared import documents, table
@@ -93,3 +94,9 @@ def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.withColumnRenamed("doc", "doc_id").withColumn("kept", F.col("score") >= 0.5)
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return digests.withColumnRenamed("doc", "doc_id")
