@@ -188,3 +188,48 @@ SQL["op10_suffix_dedup"] = """
       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
     FROM bodies LEFT JOIN cut USING (doc_id)
 """
+
+SQL["op12_source_divergence"] = f"""
+    WITH rows AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        {_LOWER.format('text')} AS body
+      FROM documents
+    ),
+    found AS (
+      SELECT r, lang, source, unnest(regexp_extract_all(body, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM rows
+    ),
+    kept AS (
+      SELECT lang, term, count(*) AS n FROM found GROUP BY ALL HAVING count(DISTINCT r) >= 10
+    ),
+    langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+    pairs AS (SELECT DISTINCT lang, source FROM rows),
+    counts AS (
+      SELECT found.lang, found.source, found.term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL
+    ),
+    sizes AS (
+      SELECT pairs.lang, pairs.source, coalesce(sum(n), 0) AS total FROM pairs LEFT JOIN counts USING (lang, source)
+      GROUP BY ALL
+    ),
+    shares AS (
+      SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+        1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (s.total + 2 * l.v) AS p,
+        1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * l.v) AS q
+      FROM sizes s JOIN kept k USING (lang) JOIN langs l USING (lang)
+      LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+    ),
+    sums AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ),
+    listed AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM pairs a JOIN pairs b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM listed
+    )
+    WHERE part = 'pair' OR rank <= 10
+"""

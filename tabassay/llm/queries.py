@@ -18,6 +18,7 @@ from tabassay.llm.piece_table import piece_digests
 from tabassay.llm.quality_rules import judge
 from tabassay.llm.repeated_bytes import remove_repeats
 from tabassay.llm.shared import documents, table
+from tabassay.llm.source_audit import audit
 from tabassay.llm.template_extract import main_text
 from tabassay.llm.trie_bpe import encode_digests
 
@@ -100,3 +101,8 @@ def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return digests.withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(documents(spark, sf_dir))

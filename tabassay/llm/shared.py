@@ -35,13 +35,21 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table as Parquet in the shared folder: computed once, whatever is lost afterwards.
 
-    The files go when the Python process ends.
+    The files go with `discard`, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._tabassay_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of written tables whose last reader has been written itself."""
+    for df in tables:
+        _remove(df.sparkSession, df._tabassay_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
