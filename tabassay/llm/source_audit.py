@@ -2,7 +2,7 @@
 
 Texts are counted once per task into (language, source, term) rows that stay where
 they are, as files. From there only digests of the terms are shuffled: 64 bits
-each, beside a number for the group and two counts. Strings of terms that are kept
+each, beside a 64-bit number for the group and two counts. Strings of terms that are kept
 are gathered once per task and term, their smallest and largest per digest: where
 the two differ, terms share a digest, and the rows of that digest alone are counted
 again by their strings. At the end strings are joined to the rows of the result.
@@ -31,12 +31,14 @@ TOP = 10
 #: Probabilities are in parts of so much.
 UNIT = 1_000_000_000
 #: Counted (group, term) entries a task holds before it writes them out.
-HELD = 500_000
+HELD = 1_000_000
 #: Sources of a block and kept terms of a bucket in the sums over pairs.
 BLOCK = 64
 BUCKET = 512
 #: Groups of (lang, source) up to which their numbers are broadcast.
 FEW_GROUPS = 50_000
+#: Digests of kept terms up to which they are broadcast.
+FEW_TERMS = 1_000_000
 
 #: Letters stay, A to Z in lower case, as do all bytes of other characters; the rest separates.
 _LETTERS = bytes(
@@ -45,46 +47,40 @@ _LETTERS = bytes(
 
 
 def _count_terms(most: int) -> Callable:
-    """Counts terms and their documents per group, and writes out at `most` entries."""
+    """Occurrences of terms and documents with them per group, written out at `most` entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        return _counted(batches, most)
+        counts: dict[int, tuple[Counter, Counter]] = {}
+
+        def out() -> Iterator[dict]:
+            for group, (n, docs) in counts.items():
+                yield {
+                    "grp": np.full(len(n), group, np.int64),
+                    "term": pa.array(list(n), pa.binary()).cast(pa.string()),
+                    "n": list(n.values()),
+                    "docs": list(map(docs.__getitem__, n)),
+                }
+            counts.clear()
+
+        held = 0
+        for rows, texts in slices(batches, "text"):
+            for group, text in zip(rows.column("grp").to_pylist(), texts, strict=True):
+                words = text.translate(_LETTERS).split()
+                if group not in counts:
+                    counts[group] = (Counter(), Counter())
+                n, docs = counts[group]
+                held -= len(n)
+                n.update(words)
+                docs.update(set(words))
+                held += len(n)
+            if held >= most:
+                yield from out()
+                held = 0
+        yield from out()
 
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict]:
-    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def out() -> Iterator[dict]:
-        for (lang, source), (n, docs) in counts.items():
-            yield {
-                "lang": pa.repeat(pa.scalar(lang), len(n)),
-                "source": pa.repeat(pa.scalar(source), len(n)),
-                "term": pa.array(list(n), pa.binary()).cast(pa.string()),
-                "n": list(n.values()),
-                "docs": [docs[t] for t in n],
-            }
-        counts.clear()
-
-    held = 0
-    for rows, texts in slices(batches, "text"):
-        groups = zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist(), strict=True)
-        for group, text in zip(groups, texts, strict=True):
-            words = text.translate(_LETTERS).split()
-            if group not in counts:
-                counts[group] = (Counter(), Counter())
-            n, docs = counts[group]
-            held -= len(n)
-            n.update(words)
-            docs.update(set(words))
-            held += len(n)
-        if held >= most:
-            yield from out()
-            held = 0
-    yield from out()
-
-
 def _divergence(p: Column, q: Column) -> Column:
     """floor((p - q)^2 / (p + q)) of whole numbers."""
     return _div((p - q) * (p - q), p + q)
@@ -115,26 +111,34 @@ def audit(
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         F.col(text).alias("text"),
     )
-    counted = map_batches(narrow, _count_terms(HELD), "lang string, source string, term string, n long, docs long")
-    parts = written(counted.withColumn("digest", digest(F.col("term"))), "audit-parts")
-    groups = _groups(narrow)
+    groups, number = _groups(narrow)
     few = groups.count() <= FEW_GROUPS
-    number = F.broadcast(groups) if few else groups
-    numbered = parts.join(number, ["lang", "source"])
+    counted = map_batches(
+        narrow.select(number, "text"), _count_terms(HELD), "grp long, term string, n long, docs long"
+    )
+    stored = written(counted, "audit-parts")
+    parts = stored.withColumn("digest", digest(F.col("term")).cast("long"))
+    tongues = groups.select("grp", "tongue")
+    tongues = F.broadcast(tongues) if few else tongues
 
     # The main shuffle: a number for the group, a digest, two counts.
     counts = written(
-        numbered.groupBy("grp", "tongue", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        .withColumn("twin", F.lit(0)),
+        parts.groupBy("grp", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        .join(tongues, "grp").withColumn("twin", F.lit(0)),
         "audit-counts",
     )
-    likely = counts.groupBy("tongue", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= LEAST_DOCS)
-    texts = written(
-        parts.select("digest", "term").join(likely.select("digest").distinct(), "digest", "left_semi")
-        .groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")),
-        "audit-names",
+    likely = written(
+        counts.groupBy("tongue", "digest").agg(F.sum("docs").alias("docs"))
+        .filter(F.col("docs") >= LEAST_DOCS).select("digest").distinct(),
+        "audit-likely",
     )
-    made = [parts, counts, texts]
+    texts = parts.select("digest", "term")
+    some = likely.count() <= FEW_TERMS
+    if some:  # strings of other terms stay where they are
+        texts = texts.join(F.broadcast(likely), "digest", "left_semi")
+    texts = texts.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    texts = written(texts if some else texts.join(likely, "digest", "left_semi"), "audit-texts")
+    early, late = [stored, counts, likely], [texts]
     names = texts.filter("term = last").select("digest", F.lit(0).alias("twin"), "term")
     shared = texts.filter("term <> last").select("digest")
     if not shared.isEmpty():
@@ -143,14 +147,15 @@ def audit(
         by_term = Window.partitionBy("digest").orderBy("term")
         twins = written(torn.withColumn("twin", F.row_number().over(by_term)), "audit-twins")
         again = (
-            numbered.join(twins, ["digest", "term"]).groupBy("grp", "tongue", "digest", "twin")
-            .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+            parts.join(twins, ["digest", "term"]).groupBy("grp", "digest", "twin")
+            .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).join(tongues, "grp")
         )
         counts = written(
             counts.join(shared, "digest", "left_anti").unionByName(again.select(*counts.columns)), "audit-split"
         )
         names = names.unionByName(twins.select("digest", "twin", "term"))
-        made += [twins, counts]
+        early.append(counts)
+        late.append(twins)
 
     kept = written(
         counts.groupBy("tongue", "digest", "twin").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
@@ -158,21 +163,32 @@ def audit(
         "audit-kept",
     )
     used = written(counts.join(kept, ["tongue", "digest", "twin"]).drop("docs"), "audit-used")
+    discard(*early)
     totals = written(_totals(groups, kept, used), "audit-totals")
     result = _pairs(totals, used, few).unionByName(_terms(totals, used, names, few))
     result = written(result.select("lang", "source", "part", "item", "value", "rank"), "audit")
-    discard(*made, kept, used, totals, groups)
+    discard(*late, kept, used, totals, groups)
     return result
 
 
-def _groups(narrow: DataFrame) -> DataFrame:
-    """(lang, source, grp, tongue): a number for each group, and one for its language."""
-    pairs = narrow.select("lang", "source").distinct()
-    numbers = written(pairs.withColumn("grp", F.monotonically_increasing_id()), "audit-numbers")
-    tongues = numbers.groupBy("lang").agg(F.min("grp").alias("tongue"))
-    groups = written(numbers.join(tongues, "lang"), "audit-groups")
-    discard(numbers)
-    return groups
+def _groups(narrow: DataFrame) -> tuple[DataFrame, Column]:
+    """(lang, source, grp, tongue), and the column that gives a row the number of its group.
+
+    Numbers are hashes, of which no two are equal: with another seed if need be.
+    """
+    seed = 0
+    while True:
+        number = F.xxhash64(F.lit(seed), "lang", "source").alias("grp")
+        tongue = F.xxhash64(F.lit(seed), "lang").alias("tongue")
+        groups = written(narrow.select("lang", "source").distinct().select("*", number, tongue), "audit-groups")
+        clash = [
+            groups.groupBy(key).agg(F.count_distinct(of).alias("n")).filter("n > 1")
+            for key, of in (("grp", F.struct("lang", "source")), ("tongue", F.col("lang")))
+        ]
+        if clash[0].isEmpty() and clash[1].isEmpty():
+            return groups, number
+        discard(groups)
+        seed += 1
 
 
 def _totals(groups: DataFrame, kept: DataFrame, used: DataFrame) -> DataFrame:

@@ -89,5 +89,6 @@ def test_blocks_and_buckets(spark, rows, monkeypatch):
     monkeypatch.setattr(source_audit, "BUCKET", 7)
     monkeypatch.setattr(source_audit, "HELD", 50)
     monkeypatch.setattr(source_audit, "FEW_GROUPS", 0)
+    monkeypatch.setattr(source_audit, "FEW_TERMS", 0)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     assert _found(audit(df)) == _plain(rows)
