@@ -233,3 +233,27 @@ SQL["op12_source_divergence"] = f"""
     )
     WHERE part = 'pair' OR rank <= 10
 """
+
+_TERMS = f"unnest(regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term"
+
+SQL["op11_lexical_search"] = f"""
+    WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+    bags AS (SELECT r, term, count(*) AS tf FROM (SELECT r, {_TERMS} FROM rows) GROUP BY ALL),
+    sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM bags GROUP BY r),
+    whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM sizes),
+    asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} FROM benchmark)),
+    weights AS (
+      SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM bags GROUP BY term), whole
+    ),
+    scored AS (
+      SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))))::BIGINT AS score
+      FROM asked JOIN bags USING (term) JOIN weights USING (term) JOIN sizes USING (r), whole
+      GROUP BY ALL
+    )
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+      SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM scored JOIN rows USING (r) WHERE score > 0
+    )
+    WHERE rank <= 50
+"""

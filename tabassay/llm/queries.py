@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabassay.llm.block_naming import exact_groups
 from tabassay.llm.cotraining import score, train
+from tabassay.llm.impact_search import search
 from tabassay.llm.language_mixture import held_out_identify
 from tabassay.llm.line_dedup import remove_lines
 from tabassay.llm.ngram_join import near_duplicates
@@ -106,3 +107,9 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(documents(spark, sf_dir))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
