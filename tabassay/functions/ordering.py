@@ -18,6 +18,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 # Cells of one interval in one round.
 CELLS = 4096
 # Intervals counted in one scan.
@@ -235,6 +237,32 @@ def rank_cuts(
     return predicates
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Add the 0-based place of each row in a total order, without bringing the rows together.
+
+    Range partitions are sorted side by side and stored, so that their limits are
+    fixed; the sizes of the earlier partitions, one row each, then shift the places.
+    """
+    bits = 33  # monotonically_increasing_id is partition << 33 plus row in partition
+    keys = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(keys, order)))
+    parts = stored(
+        keyed.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .drop(*keys)
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumns({"_part": F.shiftright("_id", bits), "_row": F.col("_id").bitwiseAND(F.lit((1 << bits) - 1))})
+        .drop("_id")
+    )
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
+    )  # one row per partition
+    return parts.join(F.broadcast(shifts), "_part").withColumn(name, F.col("_row") + F.col("_shift")).drop(
+        "_part", "_row", "_shift"
+    )
+
+
 def _cut_key(value: Column, level: int) -> Column:
     """A long that grows with the value: its octave, then ``level`` digits of the place in it."""
     width = CUT_CELLS**level

@@ -4,6 +4,9 @@ All seven metrics depend on the rows through sums only. Rows are first summed
 into a bounded number of units by the hash of their key, then the units are
 resampled with Poisson(1) weights. The cost after that first pass is units times
 replicates, whatever the size of the table. The rule is the same for every size.
+
+``method="exact"`` resamples rows instead: as many draws with replacement as there are
+rows, per replicate. Its cost is rows times replicates.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..functions.hashing import poisson1, uniform
+from ..functions.hashing import key_text, poisson1, uniform
+from ..functions.ordering import numbered
 from .metrics import CLASSIFICATION, _labels, _r2, error_sums, metrics_of_cells
 
 # Replicates, confidence and seed of an interval.
@@ -22,6 +26,9 @@ REPLICATES = 1000
 CONFIDENCE = 0.95
 SEED = 42
 UNITS = 1000
+METHODS = ("poisson", "exact")
+# Weights up to which they are drawn once and broadcast.
+BROADCAST_WEIGHTS = 4_000_000
 
 METRICS = ("accuracy", "f1_score", "precision", "recall", "mae", "rmse", "r2")
 
@@ -36,15 +43,19 @@ def _units(
     return unit.alias("unit"), df.sparkSession.range(units).select(F.col("id").cast("string").alias("unit"))
 
 
-def _weighted(sums: DataFrame, units: DataFrame, replicates: int, seed: int) -> DataFrame:
+def _weighted(sums: DataFrame, units: DataFrame, n_units: int, replicates: int, seed: int) -> DataFrame:
     """Each row of a table of units once per replicate, with the weight of its unit there.
 
-    Weights are drawn once per unit and replicate and broadcast: at most
-    ``units * replicates`` small integers, both chosen by the caller. Both tables are small enough to end up in one partition, so
-    they are spread over the cores before they multiply.
+    Weights are drawn once per unit and replicate and broadcast, up to BROADCAST_WEIGHTS
+    small integers; beyond that each row draws its own, by the same rule. Both tables
+    are small enough to end up in one partition, so they are spread over the cores
+    before they multiply.
     """
     cores = sums.sparkSession.sparkContext.defaultParallelism
     draw = lambda r: poisson1(uniform(["unit", r], seed, "weight"))
+    if n_units * replicates > BROADCAST_WEIGHTS:
+        each = sums.repartition(cores).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+        return each.withColumn("weight", draw(F.col("replicate")))
     weights = units.repartition(cores).select(
         "unit", F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), draw).alias("weights")
     )
@@ -52,6 +63,31 @@ def _weighted(sums: DataFrame, units: DataFrame, replicates: int, seed: int) ->
     return drawn.select("*", F.posexplode("weights").alias("replicate", "weight")).drop("weights")
 
 
+def exact_weights(rows: DataFrame, keys: Sequence[Column | str], replicates: int, seed: int) -> DataFrame:
+    """Each row once per replicate that draws it, with how often: as many draws as rows, with replacement.
+
+    Rows are numbered by the hash of their key, a draw is the hash of replicate and
+    draw number. Draws are made where they are counted, and meet the rows by their
+    number: nothing but counts is shuffled twice.
+    """
+    return _drawn(rows, key_text(keys), replicates, seed)
+
+
+def _drawn(rows: DataFrame, key: Column, replicates: int, seed: int) -> DataFrame:
+    placed = numbered(rows, [uniform([key], seed, "place"), uniform([key], seed, "place tie"), key])
+    n = placed.count()
+    spark = rows.sparkSession
+    spots = F.floor(uniform(["replicate", "draw"], seed, "draw") * n).cast("bigint")
+    draws = (
+        spark.range(n * replicates)
+        .select((F.col("id") % replicates).alias("replicate"), F.floor(F.col("id") / replicates).alias("draw"))
+        .select(F.col("replicate").cast("int").alias("replicate"), spots.alias("position"))
+        .groupBy("replicate", "position")
+        .agg(F.count(F.lit(1)).alias("weight"))
+    )
+    return draws.join(placed, "position").drop("position")
+
+
 def bootstrap_scores(
     df: DataFrame,
     keys: Sequence[Column | str],
@@ -61,24 +97,24 @@ def bootstrap_scores(
     replicates: int = REPLICATES,
     seed: int = SEED,
     units: int = UNITS,
+    method: str = "poisson",
 ) -> DataFrame:
-    """``replicate, score``: the metric of each resample."""
+    """``replicate, score``: the metric of each resample, by either method."""
     if metric not in METRICS:
         raise ValueError(f"Unknown metric: {metric}")
+    if method not in METHODS:
+        raise ValueError(f"Resampling is one of {', '.join(METHODS)}, not {method!r}")
     unit, all_units = _units(df, keys, units, seed)
     if metric in CLASSIFICATION:
         truth, guess = _labels(df, y, yhat)
-        cells = (
-            df.select(unit, truth.alias("y"), guess.alias("yhat"))
-            .where(F.col("y").isNotNull())
-            .groupBy("unit", "y", "yhat")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        resampled = (
-            _weighted(cells, all_units, replicates, seed)
-            .groupBy("replicate", "y", "yhat")
-            .agg(F.sum(F.col("weight") * F.col("n")).alias("n"))
-        )
+        pairs = lambda *by: df.select(*by, truth.alias("y"), guess.alias("yhat")).where(F.col("y").isNotNull())
+        if method == "exact":
+            named = pairs(key_text(keys).alias("key"))
+            drawn = _drawn(named, F.col("key"), replicates, seed).drop("key").withColumn("n", F.lit(1))
+        else:
+            cells = pairs(unit).groupBy("unit", "y", "yhat").agg(F.count(F.lit(1)).alias("n"))
+            drawn = _weighted(cells, all_units, units, replicates, seed)
+        resampled = drawn.groupBy("replicate", "y", "yhat").agg(F.sum(F.col("weight") * F.col("n")).alias("n"))
         return metrics_of_cells(resampled, ["replicate"]).select(
             "replicate", F.col(metric).alias("score")
         )
@@ -87,8 +123,12 @@ def bootstrap_scores(
     # Squares are summed around the mean: no digits are lost to a large offset.
     center = F.lit(kept.agg(F.avg(truth)).first()[0]).cast("double") if metric == "r2" else F.lit(0.0)
     terms = error_sums(truth, guess) | {"y": truth - center, "yy": (truth - center) * (truth - center)}
-    sums = kept.groupBy(unit).agg(*[F.sum(t).alias(name) for name, t in terms.items()])
-    drawn = _weighted(sums, all_units, replicates, seed)
+    if method == "exact":
+        named = kept.select(key_text(keys).alias("key"), *[t.alias(name) for name, t in terms.items()])
+        drawn = _drawn(named, F.col("key"), replicates, seed).drop("key")
+    else:
+        sums = kept.groupBy(unit).agg(*[F.sum(t).alias(name) for name, t in terms.items()])
+        drawn = _weighted(sums, all_units, units, replicates, seed)
     total = drawn.groupBy("replicate").agg(
         *[F.sum(F.col(name) * F.col("weight")).alias(name) for name in terms]
     )
@@ -111,9 +151,10 @@ def bootstrap_ci(
     confidence: float = CONFIDENCE,
     seed: int = SEED,
     units: int = UNITS,
+    method: str = "poisson",
 ) -> DataFrame:
     """One row: mean, lower, upper (interpolated percentiles), population std, n_bootstrap."""
-    scores = bootstrap_scores(df, keys, metric, y, yhat, replicates, seed, units)
+    scores = bootstrap_scores(df, keys, metric, y, yhat, replicates, seed, units, method)
     alpha = 1 - confidence
     ends = F.percentile("score", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return scores.agg(  # as many scores as replicates

@@ -14,6 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, columns_of, distinct_up_to
 from .bootstrap import REPLICATES, bootstrap_ci
 from .metrics import classification_metrics, evaluate, rank_models, regression_metrics
-from .splits import infer_task
+from .splits import fold_sides, infer_task
 
 CLASSIFIERS = ("logistic_regression", "random_forest_classifier")
 REGRESSORS = ("linear_regression", "random_forest_regressor", "ridge_regression")
@@ -52,6 +53,7 @@ FOLDS = 3
 # MLlib grows a tree to at most 30 levels and keeps it on the driver, so a tree
 # without a stated depth gets the depth below and not the largest one.
 DEFAULT_DEPTH = 12
+MOST_CLASSES = 1000
 MAX_DEPTH = 30
 
 
@@ -65,6 +67,7 @@ class TrainedModel:
     features: list[str]
     task: str
     labels: list = field(default_factory=list)
+    widths: list[int] = field(default_factory=list)
     train_seconds: float = 0.0
     val_metrics: dict[str, float] = field(default_factory=dict)
 
@@ -89,22 +92,38 @@ class TrainedModel:
         return out.select(*[col(c) for c in kept], *columns)
 
     def importances(self) -> dict[str, float]:
-        """Weight of each feature in a forest; empty for a linear model."""
+        """Weight of each feature in a forest, summed over the slots of a vector; empty for a linear model."""
         if not hasattr(self.model, "featureImportances"):
             return {}
         weights = self.model.featureImportances.toArray()
-        return {c: float(w) for c, w in zip(self.features, weights)}
+        widths = self.widths or [1] * len(self.features)
+        ends = [sum(widths[: i + 1]) for i in range(len(widths))]
+        return {c: float(weights[e - w : e].sum()) for c, w, e in zip(self.features, widths, ends)}
 
 
 def model_features(df: DataFrame, target: str, skip: Sequence[str] = ()) -> list[str]:
-    """Columns a vector can hold: numbers and booleans."""
+    """Columns a vector can hold: numbers, booleans and vectors."""
     left_out = {target, "split", "fold", *skip}
-    return [c for c in columns_of(df, "numeric", "boolean") if c not in left_out]
+    fit_in = {*columns_of(df, "numeric", "boolean"), *(c for c in df.columns if is_vector(df, c))}
+    return [c for c in df.columns if c in fit_in and c not in left_out]
+
+
+def is_vector(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, VectorUDT)
+
+
+def feature_widths(df: DataFrame, features: Sequence[str]) -> list[int]:
+    """Slots of each feature: one for a number, as many as its metadata tells for a vector."""
+    return [
+        int(df.schema[c].metadata.get("ml_attr", {}).get("num_attrs", 1)) if is_vector(df, c) else 1 for c in features
+    ]
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add the ``features`` vector."""
-    doubles = df.withColumns({f"_f{i}": col(c).cast("double") for i, c in enumerate(features)})
+    doubles = df.withColumns(
+        {f"_f{i}": col(c) if is_vector(df, c) else col(c).cast("double") for i, c in enumerate(features)}
+    )
     vectors = VectorAssembler(
         inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features", handleInvalid="error"
     ).transform(doubles)
@@ -171,10 +190,12 @@ def _labelled(df: DataFrame, target: str, labels: Sequence | None) -> DataFrame:
     return df.withColumn("label", (F.array_position(known, col(target)) - 1).cast("double"))
 
 
-def class_labels(df: DataFrame, target: str) -> list:
-    """All classes in order; a classifier has a set of weights for each, so the driver can hold them."""
-    found = df.select(col(target).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return sorted(r["label"] for r in found.collect())
+def class_labels(df: DataFrame, target: str, most: int = MOST_CLASSES) -> list:
+    """All classes in order; an error beyond ``most``, which a classifier has a set of weights for each."""
+    found = distinct_up_to(df, col(target), most)
+    if found is None:
+        raise ValueError(f"Target {target!r} has more than {most} classes; is it a number to predict?")
+    return found
 
 
 def fit_model(
@@ -188,7 +209,8 @@ def fit_model(
         labels = class_labels(train, target)
     if name in REGRESSORS:
         labels = None
-    ready = _labelled(assemble(train, features), target, labels).select("features", "label")
+    vectors = train if "features" in train.columns and "features" not in features else assemble(train, features)
+    ready = _labelled(vectors, target, labels).select("features", "label")
     n_rows, sample_std, std = 0, None, None
     if name in ("logistic_regression", "ridge_regression"):  # their penalty depends on the rows
         n_rows, sample_std, std = (
@@ -197,7 +219,9 @@ def fit_model(
             .first()
         )
     started = time.monotonic()
-    model = estimator(spec, n_rows, len(features), (sample_std or 1.0, std or 1.0)).fit(ready)
+    widths = feature_widths(train, features) if vectors is not train else []
+    width = sum(widths) or len(features)
+    model = estimator(spec, n_rows, width, (sample_std or 1.0, std or 1.0)).fit(ready)
     return TrainedModel(
         model_id=f"{name}_{model.uid[-8:]}",
         spec=dict(spec),
@@ -205,6 +229,7 @@ def fit_model(
         features=list(features),
         task="regression" if labels is None else "classification",
         labels=list(labels or []),
+        widths=widths,
         train_seconds=time.monotonic() - started,
     )
 
@@ -318,9 +343,13 @@ def grid_search(
     task: str | None = None,
     space: Mapping[str, Sequence] | None = None,
     parallelism: int = 4,
+    roles: DataFrame | None = None,
 ) -> DataFrame:
     """``trial_id, name, params, score, rank`` by cross-validation on the ``fold`` column.
 
+    With ``roles`` (``splits.rolling_roles``) the column ``stretch`` decides instead: each
+    fold trains and tests on the stretches of time that its roles name.
+
     Accuracy for classification, negative mae for regression; equal scores share
     a rank. A linear family on a continuous target becomes ridge regression.
     Each trial fits its own penalty scale, because that depends on the rows of
@@ -339,15 +368,22 @@ def grid_search(
     else:
         name, default = "ridge_regression", SEARCH_SPACES["ridge"]
     labels = class_labels(folded, target) if task == "classification" else None
-    rows = folded.select("fold", *{*features, target}).persist()  # read by every trial
+    part = "fold" if roles is None else "stretch"
+    # Read by every trial, so the vector is put together once.
+    rows = assemble(folded.select(part, *{*features, target}), features).select(part, "features", *{target}).persist()
     trials = _grid(space if space is not None else default)
     try:
-        folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+        if roles is None:
+            folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+            sides = {f: (F.col("fold") != f, F.col("fold") == f) for f in folds}
+        else:
+            sides = fold_sides(roles)
+            folds = sorted(sides)
 
         def fold_score(params: Mapping, fold: int) -> float:
-            rest, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+            rest, held = (rows.where(side) for side in sides[fold])
             spec = {"name": name, "params": params}
-            scored = fit_model(spec, rest, target, features, labels).score(held)
+            scored = fit_model(spec, rest, target, features, labels).score_vectors(held)
             if task == "classification":
                 return classification_metrics(scored, target, "yhat").first()["accuracy"]
             return -regression_metrics(scored, target, "yhat").first()["mae"]

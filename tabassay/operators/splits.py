@@ -93,7 +93,7 @@ def random_split(
     ``keys`` must identify a row.
     """
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found")
+        raise ValueError(f"The table has no target column {target!r}")
     strata = _strata(df, target)
     sizes = {s: n for s, (_, n) in strata.items()}
     total = sum(sizes.values())
@@ -188,14 +188,14 @@ def make_splits(
 ) -> DataFrame:
     """``iid`` or ``time`` split. An unknown policy raises ``ValueError``."""
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found")
+        raise ValueError(f"The table has no target column {target!r}")
     if policy == "iid":
         return random_split(df, target, keys, test_size, val_size, seed)
     if policy == "time":
         if time_col is None:
             raise ValueError("A time split needs time_col")
         return time_split(df, time_col, keys, test_size, val_size, seed)
-    raise ValueError(f"Unknown split policy: {policy}")
+    raise ValueError(f"No split is made by {policy!r}: choose 'iid' or 'time'")
 
 
 def split_rows(df: DataFrame, name: str) -> DataFrame:
@@ -287,6 +287,76 @@ def time_folds(
     return df.withColumn("fold", fold)
 
 
+def stretches(
+    df: DataFrame, time_col: str, keys: Sequence[Column | str], count: int, seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """Add ``stretch``: ``count`` parts of equal size along time, 0 the oldest."""
+    if count < 2:
+        raise ValueError("a rolling split needs two stretches or more")
+    return time_folds(df, time_col, keys, count - 1, seed).withColumnRenamed("fold", "stretch")
+
+
+def rolling_roles(
+    df: DataFrame, folds: int = 3, window: int | None = None, gap: int = 0, test: int = 1, val: int = 0, first: int = 1
+) -> DataFrame:
+    """``fold, role, first, last``: which stretches each fold trains, validates and tests on.
+
+    Fold k trains on the stretches up to ``first + k - 1``, all of them or the last
+    ``window``; after ``gap`` stretches that are left out come ``val`` stretches of
+    validation and ``test`` of test. A row belongs to several folds, so roles are
+    intervals of stretches and rows are never copied.
+    """
+    if min(folds, first, test) < 1 or min(gap, val) < 0 or (window is not None and window < 1):
+        raise ValueError("folds, first, test and window must be positive, gap and val not negative")
+    rows = []
+    for k in range(folds):
+        end = first + k
+        rows.append((k, "train", 0 if window is None else max(end - window, 0), end - 1))
+        if val:
+            rows.append((k, "val", end + gap, end + gap + val - 1))
+        rows.append((k, "test", end + gap + val, end + gap + val + test - 1))
+    return df.sparkSession.createDataFrame(rows, "fold int, role string, first int, last int")
+
+
+def stretch_count(folds: int = 3, gap: int = 0, test: int = 1, val: int = 0, first: int = 1) -> int:
+    """How many stretches ``rolling_roles`` speaks of."""
+    return first + folds - 1 + gap + val + test
+
+
+def rolling_split(
+    df: DataFrame, time_col: str, keys: Sequence[Column | str], folds: int = 3, window: int | None = None,
+    gap: int = 0, test: int = 1, val: int = 0, first: int = 1, seed: int = DEFAULT_SEED,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with their stretch, and the roles of the stretches in each fold."""
+    count = stretch_count(folds, gap, test, val, first)
+    return stretches(df, time_col, keys, count, seed), rolling_roles(df, folds, window, gap, test, val, first)
+
+
+def fold_sides(roles: DataFrame, held: str = "test") -> dict[int, tuple[Column, Column]]:
+    """Per fold the condition of training rows and of held-out rows; one row of roles per fold and role."""
+    found = {(r["fold"], r["role"]): F.col("stretch").between(r["first"], r["last"]) for r in roles.collect()}
+    return {fold: (found[fold, "train"], found[fold, held]) for fold, role in found if role == "train"}
+
+
+def rolling_rows(df: DataFrame, roles: DataFrame, fold: int, role: str) -> DataFrame:
+    """The rows of one role in one fold."""
+    train, held = fold_sides(roles, role)[fold] if role != "train" else fold_sides(roles)[fold]
+    return df.where(train if role == "train" else held)
+
+
+def rolling_summary(df: DataFrame, roles: DataFrame, time_col: str) -> DataFrame:
+    """``fold, role, n_rows, start, end``: sizes and time ranges, from one row per stretch."""
+    per = df.groupBy("stretch").agg(
+        F.count(F.lit(1)).alias("n"), F.min(col(time_col)).alias("start"), F.max(col(time_col)).alias("end")
+    )  # one row per stretch
+    within = (F.col("stretch") >= F.col("first")) & (F.col("stretch") <= F.col("last"))
+    return (
+        F.broadcast(roles).join(per, within, "left")
+        .groupBy("fold", "role")
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.min("start").alias("start"), F.max("end").alias("end"))
+    )
+
+
 def stratified_sample(
     df: DataFrame, target: str, keys: Sequence[Column | str], n: int, seed: int = DEFAULT_SEED
 ) -> DataFrame:

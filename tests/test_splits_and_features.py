@@ -81,9 +81,9 @@ def test_time_split_with_one_hot_instant(spark, kind):
 
 
 def test_bad_split_arguments(labelled):
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no target column"):
         splits.make_splits(labelled, "nope", "iid", ["id"])
-    with pytest.raises(ValueError, match="Unknown split policy"):
+    with pytest.raises(ValueError, match="No split is made by"):
         splits.make_splits(labelled, "y", "other", ["id"])
     with pytest.raises(ValueError):
         splits.make_splits(labelled, "y", "time", ["id"])
