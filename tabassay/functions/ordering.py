@@ -1,11 +1,11 @@
 """Exact order statistics, rank cuts and running totals without a global sort.
 
 A window without PARTITION BY, and the percentile aggregates, pull a whole column
-or all its sketches into one task. Here values are counted in cells of an interval:
-a plain grouped sum, of which each task keeps a few thousand rows and which any
-number of reducers adds up. The cell with the wanted rank is the next interval. A
-double has 64 bits, so a handful of rounds ends at a single value, whatever the
-number of rows.
+or all its sketches into one task. Here quantile sketches, merged by groups of
+partitions, tell about where a rank lies; the rows below that interval are counted
+and those inside are counted in its cells: plain sums, of which each task keeps a few
+thousand rows. The cell with the wanted rank is the next interval, until it holds one
+value. A sketch that was wrong costs a search by powers of two, never a wrong result.
 """
 
 from __future__ import annotations
@@ -13,20 +13,23 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import kept, stored
 
 # Cells of one interval in one round.
 CELLS = 4096
 # Intervals counted in one scan.
 INTERVALS_PER_SCAN = 32
-# Rows aimed at per bucket of a running total, and cells that one level of its search adds per cell.
-BUCKET_ROWS = 2_000_000
-CUT_CELLS = 256
+# Size of a quantile sketch, the share of the rows it may be off, and how many are merged first.
+SKETCH = 4000
+SKETCH_ERROR = 0.001
+SKETCH_GROUPS = 64
+# Columns sketched in one scan.
+SKETCHES_PER_SCAN = 64
 # Octaves of a double lie well inside these bounds; infinities and NaN get cells outside.
 OCTAVES = 3000
 
@@ -42,13 +45,14 @@ class Ranked:
 
 @dataclass
 class _Search:
-    """Closed interval [low, high] of values present that holds the one at ``rank``."""
+    """Closed interval [low, high] of values that holds the one at ``rank``, or is likely to if ``guessed``."""
 
     name: str
     rank: int
     below: int
     low: float | None = None
     high: float | None = None
+    guessed: bool = False
 
 
 def counts(df: DataFrame, values: Mapping[str, Column]) -> dict[str, int]:
@@ -74,6 +78,8 @@ def _cell(value: Column, low: float | None, high: float | None) -> Column:
     """The cell of a value in an interval, NULL outside. Never falls as the value grows."""
     if low is None:
         return F.when(value.isNotNull(), _octave(value))
+    if low == high:
+        return F.when(value == F.lit(low), F.lit(0))
     inside = (value >= F.lit(low)) & (value <= F.lit(high))
     return F.when(inside, F.floor((value - F.lit(low)) / F.lit(high - low) * CELLS).cast("int"))
 
@@ -87,28 +93,76 @@ def order_statistics(
     """The value at each 0-based rank of each double column expression. Exact.
 
     ``values`` names the expressions, ``ranks`` the ranks wanted of each; nulls
-    are left out. ``sizes`` may pass non-null counts already known. The first
-    round counts by sign and power of two, each further one by 4,096 equal cells
-    between the smallest and the largest value of the cell before. The search of a
-    rank ends at a cell with one value, which a value with very many copies soon
-    has to itself.
+    are left out. ``sizes`` may pass non-null counts already known. The expressions
+    are computed once and kept while the search lasts. Sketches bracket the ranks, then
+    each round counts 4,096 equal cells between the smallest and the largest value of
+    the interval before. The search of a rank ends at a cell with one value, which a
+    value with very many copies soon has to itself.
     """
-    sizes = dict(sizes) if sizes is not None else counts(df, values)
-    searches = [
-        _Search(name, rank, 0)
-        for name, wanted in ranks.items()
-        for rank in sorted(set(wanted))
-        if 0 <= rank < sizes[name]
-    ]
-    found: dict[tuple[str, int], Ranked] = {}
-    while searches:
-        groups = _by_interval(searches)
-        for start in range(0, len(groups), INTERVALS_PER_SCAN):
-            _narrow(df, values, groups[start : start + INTERVALS_PER_SCAN], found)
-        searches = [s for s in searches if (s.name, s.rank) not in found]
+    names = [n for n in values if ranks.get(n)]
+    if not names:
+        return {}
+    narrow = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    with kept(narrow) as rows:
+        cells = {n: F.col(f"v{i}") for i, n in enumerate(names)}
+        sizes = dict(sizes) if sizes is not None else counts(rows, cells)
+        searches = [
+            _Search(name, rank, 0) for name in names for rank in sorted(set(ranks[name])) if 0 <= rank < sizes[name]
+        ]
+        found: dict[tuple[str, int], Ranked] = {}
+        _bracket(rows, cells, searches, sizes)
+        while searches:
+            groups = _by_interval(searches)
+            for start in range(0, len(groups), INTERVALS_PER_SCAN):
+                _narrow(rows, cells, groups[start : start + INTERVALS_PER_SCAN], found)
+            searches = [s for s in searches if (s.name, s.rank) not in found]
     return found
 
 
+def _bracket(
+    rows: DataFrame, cells: Mapping[str, Column], searches: Sequence[_Search], sizes: Mapping[str, int]
+) -> None:
+    """Likely intervals of the ranks from sketches, and how many values lie below them.
+
+    A sketch per task, merged by groups of partitions and then once more: no task gets
+    more than so many sketches. Columns of few rows need none.
+    """
+    near: list[list[_Search]] = []
+    for s in searches:
+        slack = SKETCH_ERROR * sizes[s.name]
+        if sizes[s.name] <= CELLS:
+            continue
+        if near and near[-1][0].name == s.name and s.rank - near[-1][-1].rank <= 2 * slack:
+            near[-1].append(s)
+        else:
+            near.append([s])
+    columns = list(dict.fromkeys(g[0].name for g in near))
+    for start in range(0, len(columns), SKETCHES_PER_SCAN):
+        some = columns[start : start + SKETCHES_PER_SCAN]
+        spans = [g for g in near if g[0].name in set(some)]
+        size = F.lit(SKETCH)
+        first = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")).agg(
+            *[F.kll_sketch_agg_double(cells[c], size).alias(f"k{i}") for i, c in enumerate(some)]
+        )
+        merged = first.groupBy(F.pmod("g", F.lit(1)).alias("g")).agg(
+            *[F.kll_merge_agg_double(f"k{i}", size).alias(f"k{i}") for i in range(len(some))]
+        )
+        ends = []
+        for g in spans:
+            n, sketch = sizes[g[0].name], f"k{some.index(g[0].name)}"
+            shares = [max(g[0].rank / n - SKETCH_ERROR, 0.0), min((g[-1].rank + 1) / n + SKETCH_ERROR, 1.0)]
+            values = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(x) for x in shares]))
+            ends.append(F.when(F.kll_sketch_get_n_double(sketch) > 0, values))
+        guesses = merged.select(*[e.alias(f"e{i}") for i, e in enumerate(ends)]).first()
+        good = [(g, e) for g, e in zip(spans, guesses) if e is not None and all(map(math.isfinite, e)) and e[0] <= e[1]]
+        if not good:
+            continue
+        below = rows.agg(*[F.count_if(cells[g[0].name] < F.lit(low)) for g, (low, _) in good]).first()
+        for (g, (low, high)), n in zip(good, below):
+            for s in g:
+                s.low, s.high, s.below, s.guessed = low, high, n, True
+
+
 def _by_interval(searches: Sequence[_Search]) -> list[list[_Search]]:
     """Searches of one column that are down to the same interval share their work."""
     groups: dict[tuple, list[_Search]] = {}
@@ -117,6 +171,21 @@ def _by_interval(searches: Sequence[_Search]) -> list[list[_Search]]:
     return list(groups.values())
 
 
+def _layers(values: Mapping[str, Column], groups: Sequence[list[_Search]]) -> list[list[tuple[int, Column]]]:
+    """The cells of intervals of one column that do not overlap, together: a value is in one of them at most."""
+    layers: list[tuple[str, float, list]] = []
+    order = sorted(range(len(groups)), key=lambda i: (groups[i][0].name, groups[i][0].low or 0.0))
+    for i in order:
+        s = groups[i][0]
+        cell = (i, _cell(values[s.name], s.low, s.high))
+        free = [k for k, (name, high, _) in enumerate(layers) if name == s.name and s.low is not None and high < s.low]
+        if free:
+            layers[free[0]] = (s.name, s.high, [*layers[free[0]][2], cell])
+        else:
+            layers.append((s.name, math.inf if s.low is None else s.high, [cell]))
+    return [cells for _, _, cells in layers]
+
+
 def _narrow(
     df: DataFrame,
     values: Mapping[str, Column],
@@ -126,12 +195,15 @@ def _narrow(
     """One scan counts the cells of all the intervals; each search moves into its cell."""
     pairs = [
         F.struct(
-            F.lit(i).alias("span"),
-            _cell(values[g[0].name], g[0].low, g[0].high).alias("cell"),
-            values[g[0].name].alias("value"),
+            reduce(F.coalesce, [F.when(c.isNotNull(), F.lit(i)) for i, c in layer]).alias("span"),
+            reduce(F.coalesce, [c for _, c in layer]).alias("cell"),
+            values[groups[layer[0][0]][0].name].alias("value"),
         )
-        for i, g in enumerate(groups)
+        for layer in _layers(values, groups)
     ]
+    if all(g[0].low is not None for g in groups):  # most rows are in no interval
+        inside = [values[g[0].name].between(F.lit(g[0].low), F.lit(g[0].high)) for g in groups]
+        df = df.where(reduce(Column.__or__, inside))
     cells = (
         df.select(F.inline(F.filter(F.array(*pairs), lambda x: x["cell"].isNotNull())))
         .groupBy("span", "cell")
@@ -143,14 +215,20 @@ def _narrow(
         by_span.setdefault(row["span"], []).append(row)
     for i, g in enumerate(groups):
         for s in g:
-            for row in by_span[i]:
-                if s.rank < s.below + row["n"]:
+            below, at = s.below, None
+            for row in by_span.get(i, []):
+                if below <= s.rank < below + row["n"]:
+                    at = row
                     break
-                s.below += row["n"]
-            if row["low"] == row["high"] or row["low"] != row["low"]:
-                found[(s.name, s.rank)] = Ranked(row["low"], s.below, s.below + row["n"])
+                below += row["n"]
+            if at is None:  # the sketch was off: begin with all values
+                if not s.guessed:
+                    raise ValueError(f"{s.name} has fewer values than its size tells")
+                s.below, s.low, s.high, s.guessed = 0, None, None, False
+            elif at["low"] == at["high"] or at["low"] != at["low"]:
+                found[(s.name, s.rank)] = Ranked(at["low"], below, below + at["n"])
             else:
-                s.low, s.high = row["low"], row["high"]
+                s.below, s.low, s.high, s.guessed = below, at["low"], at["high"], False
 
 
 def quantiles(
@@ -263,88 +341,32 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     )
 
 
-def _cut_key(value: Column, level: int) -> Column:
-    """A long that grows with the value: its octave, then ``level`` digits of the place in it."""
-    width = CUT_CELLS**level
-    place = F.floor((F.abs(value) / F.pow(F.lit(2.0), F.floor(F.log2(F.abs(value)))) - 1) * width)
-    signed = F.when(F.abs(value) < float("inf"), F.coalesce(F.signum(value) * place, F.lit(0)))
-    return _octave(value).cast("long") * (2 * width) + F.coalesce(signed.cast("long"), F.lit(0))
-
-
-def value_cuts(df: DataFrame, value: Column, bucket_rows: int = BUCKET_ROWS) -> list[float]:
-    """Values that cut a column into buckets of about ``bucket_rows`` rows.
-
-    Cells of the values' leading digits are counted; a cell with more rows than a
-    bucket is counted by one more digit, until it has one value or six digits. The
-    driver sees the cells that are split, not the rows.
-    """
-    value = value.cast("double")
-    rows = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    cells, level = rows, 0
-    sized: list[tuple[float, int]] = []
-    while True:
-        counted = (
-            cells.groupBy(_cut_key(F.col("v"), level).alias("k"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-            .collect()
-        )
-        heavy = [r["k"] for r in counted if r["n"] > bucket_rows and r["low"] < r["high"]] if level < 6 else []
-        wide = set(heavy)
-        sized.extend((r["high"], r["n"]) for r in counted if r["k"] not in wide)
-        if not heavy:
-            break
-        cells = rows.where(_cut_key(F.col("v"), level).isin(heavy))
-        level += 1
-    cuts, total = [], 0
-    for high, n in sorted(sized):
-        if total and total + n > bucket_rows:
-            cuts.append(last)
-            total = 0
-        total, last = total + n, high
-    # A cut begins the next bucket: the smallest double above the last value of this one.
-    return [math.nextafter(c, math.inf) for c in cuts]
-
-
 def running_totals(
     points: DataFrame,
     order: str,
     totals: Mapping[str, str],
-    cuts: Sequence[float],
     descending: bool = False,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Running sums over a double column, one window per bucket of its values.
-
-    ``points`` must hold one row per value of ``order`` (aggregate first, so that
-    a value with many copies is one row). ``totals`` maps new column to summed
-    column. Totals of whole buckets, one row per ``BUCKET_ROWS`` rows, give each
-    bucket its starting value.
+    """Running sums along a column, on two levels.
+
+    Range partitions of the column are stored, so that their limits are fixed, and
+    summed each for itself; the sums of whole partitions, one row each, then give every
+    partition its start. There are ``buckets`` of them, or as many as the session
+    shuffles into. ``points`` must hold one row per value of ``order`` (aggregate
+    first, so that a value with many copies is one row). ``totals`` maps new column to
+    summed column.
     """
-    if cuts:
-        bucketed = Bucketizer(
-            splits=[float("-inf"), *cuts, float("inf")], inputCol=order, outputCol="_bucket"
-        ).transform(points)
-    else:
-        bucketed = points.withColumn("_bucket", F.lit(0.0))
+    dealt = points.repartitionByRange(order) if buckets is None else points.repartitionByRange(buckets, order)
+    parts = stored(dealt.withColumn("_part", F.spark_partition_id()))
     direction = F.desc if descending else F.asc
-    within = Window.partitionBy("_bucket").orderBy(direction(order))
-    running = bucketed.select(
-        "*", *[F.sum(source).over(within).alias(name) for name, source in totals.items()]
+    within = Window.partitionBy("_part").orderBy(direction(order))
+    running = parts.select("*", *[F.sum(source).over(within).alias(name) for name, source in totals.items()])
+    earlier = Window.orderBy(direction("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").agg(*[F.sum(source).alias(name) for name, source in totals.items()]).select(
+        "_part", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in totals]
     )
-    if not cuts:
-        return running.drop("_bucket")
-    earlier = Window.orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        bucketed.groupBy("_bucket")
-        .agg(*[F.sum(source).alias(f"_{name}") for name, source in totals.items()])
-        .select(
-            "_bucket",
-            *[
-                F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}")
-                for name in totals
-            ],
-        )
+    joined = running.join(F.broadcast(starts), "_part")
+    return joined.withColumns({name: F.col(name) + F.col(f"_{name}") for name in totals}).drop(
+        "_part", *[f"_{name}" for name in totals]
     )
-    joined = running.join(F.broadcast(starts), "_bucket")
-    for name in totals:
-        joined = joined.withColumn(name, F.col(name) + F.col(f"_{name}"))
-    return joined.drop("_bucket", *[f"_{name}" for name in totals])

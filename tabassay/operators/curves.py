@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..functions.hashing import uniform
-from ..functions.ordering import BUCKET_ROWS, rank_cuts
+from ..functions.ordering import rank_cuts
 from ..functions.storage import kept
 from .metrics import score_points, two_labels
 
@@ -20,15 +20,16 @@ BINS = 10
 
 
 def pr_curve(
-    df: DataFrame, y: str = "y", p: str = "p", bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, y: str = "y", p: str = "p", buckets: int | None = None
 ) -> DataFrame:
     """``threshold, precision, recall`` at each distinct score. Empty unless binary."""
-    labels = two_labels(df.where(col(y).isNotNull() & col(p).isNotNull()), y)
-    if labels is None:
+    found = score_points(df, y, p, buckets)
+    if found is None:
         return df.sparkSession.createDataFrame(
             [], "threshold double, precision double, recall double"
         )
-    return score_points(df, labels, y, p, bucket_rows).select(
+    points, labels = found
+    return points.select(
         F.col("p").alias("threshold"),
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
         (F.col("cum_pos") / F.lit(labels.n_pos)).alias("recall"),

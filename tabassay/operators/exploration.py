@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import columns_of, number
@@ -14,8 +18,48 @@ from ..functions.ordering import quantiles
 # Pairs above this size are listed, and the reach of the outlier rule.
 PAIR_THRESHOLD = 0.7
 IQR_REACH = 1.5
-# Pairs measured by one aggregate; a wide table takes several scans.
-PAIRS_PER_SCAN = 300
+# Columns of a block; two blocks are compared in one scan.
+BLOCK = 500
+
+
+def pair_correlations(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> np.ndarray:
+    """Pearson correlation of every pair of columns over the rows where both are present.
+
+    Per column three numbers go into a vector: the value less the column's mean, its
+    square, and whether it is present, all 0 where it is missing. The products of these
+    with each other, summed over the rows, hold the sums over common rows of every pair
+    at once. They are added up by MLlib in one scan, a block of columns against itself
+    or another one. NaN where a pair has no spread.
+    """
+    names = list(columns)
+    values = {c: number(df, c) for c in names}
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values.values())]).first()
+    out = np.full((len(names), len(names)), np.nan)
+    blocks = [range(i, min(i + block, len(names))) for i in range(0, len(names), block)]
+    # With several blocks, two at a time make up a scan.
+    for rows in combinations(blocks, 2) if len(blocks) > 1 else [(blocks[0],)]:
+        at = [i for part in rows for i in part]
+        cells: list[Column] = []
+        gaps = [values[names[i]] - F.lit(means[i] or 0.0) for i in at]
+        cells += [F.coalesce(g, F.lit(0.0)) for g in gaps]
+        cells += [F.coalesce(g * g, F.lit(0.0)) for g in gaps]
+        cells += [g.isNotNull().cast("double") for g in gaps]
+        vectors = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*cells)).alias("v")), "v")
+        gram = RowMatrix(vectors).computeGramianMatrix().toArray()
+        d = len(at)
+        value, square, mask = slice(0, d), slice(d, 2 * d), slice(2 * d, 3 * d)
+        n = gram[mask, mask]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = gram[value, mask] / n  # of the row's column where the other one is present
+            variance = gram[square, mask] / n - mean * mean
+            covariance = gram[value, value] / n - mean * mean.T
+            spread = np.sqrt(np.maximum(variance, 0) * np.maximum(variance.T, 0))
+            # What rounding leaves of a constant column is no spread.
+            size = gram[square, mask] / n
+            flat = (variance <= 1e-13 * size) | (variance.T <= 1e-13 * size.T)
+            r = np.where(flat, np.nan, covariance / spread)
+        out[np.ix_(at, at)] = r
+    return out
 
 
 def feature_correlations(
@@ -23,23 +67,16 @@ def feature_correlations(
 ) -> DataFrame:
     """``feature1, feature2, correlation`` of pairs with a Pearson size above the threshold."""
     columns = list(columns if columns is not None else columns_of(df, "numeric"))
-    pairs = list(combinations(columns, 2))
-    found = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        batch = pairs[start : start + PAIRS_PER_SCAN]
-        measured = []
-        for a, b in batch:
-            x = F.when(number(df, b).isNotNull(), number(df, a))
-            y = F.when(number(df, a).isNotNull(), number(df, b))
-            spread = F.stddev_pop(x) * F.stddev_pop(y)
-            measured.append(F.try_divide(F.covar_pop(x, y), spread))
-        row = df.agg(*[m.alias(f"r{i}") for i, m in enumerate(measured)]).first()
-        found += [
-            (a, b, r) for (a, b), r in zip(batch, row) if r is not None and abs(r) > threshold
-        ]
-    return df.sparkSession.createDataFrame(
-        found, "feature1 string, feature2 string, correlation double"
-    )
+    schema = "feature1 string, feature2 string, correlation double"
+    if len(columns) < 2 or df.isEmpty():
+        return df.sparkSession.createDataFrame([], schema)
+    r = pair_correlations(df, columns)
+    found = [
+        (a, b, float(r[i, j]))
+        for (i, a), (j, b) in combinations(enumerate(columns), 2)
+        if abs(r[i, j]) > threshold
+    ]
+    return df.sparkSession.createDataFrame(found, schema)
 
 
 def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
-from ..functions.ordering import BUCKET_ROWS, running_totals, value_cuts
+from ..functions.ordering import running_totals
+from ..functions.storage import stored
 
 CLASSIFICATION = ("accuracy", "f1_score", "precision", "recall")
 REGRESSION = ("mae", "rmse", "r2", "mape")
@@ -176,41 +177,38 @@ def _scored(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def score_points(
-    df: DataFrame, labels: Labels, y: str = "y", p: str = "p", bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """``p, pos, neg, cum_pos, cum_neg`` per distinct score, highest score first.
+    df: DataFrame, y: str = "y", p: str = "p", buckets: int | None = None
+) -> tuple[DataFrame, Labels] | None:
+    """``p, pos, neg, cum_pos, cum_neg`` per distinct score, highest score first, and the labels.
 
-    Copies of a score are combined before anything is ordered.
+    The rows are read once, into a count per score and label; all else works on these.
+    None unless there are two labels.
     """
-    score = col(p).cast("double")
-    hit = (col(y) == F.lit(labels.positive)).cast("bigint")
-    points = (
-        df.select(score.alias("p"), hit.alias("hit"))
-        .groupBy("p")
-        .agg(
-            F.coalesce(F.sum("hit"), F.lit(0)).alias("pos"),
-            F.coalesce(F.sum(1 - F.col("hit")), F.lit(0)).alias("neg"),
-            F.count("p").alias("n"),
-        )
-        .where((F.col("n") > 0) & (F.col("pos") + F.col("neg") > 0))
-    )
-    cuts = value_cuts(df, score, bucket_rows)
-    return running_totals(
-        points, "p", {"cum_pos": "pos", "cum_neg": "neg"}, cuts, descending=True
+    counted = stored(
+        _scored(df, y, p).groupBy(col(p).cast("double").alias("p"), col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     )
+    tally = counted.groupBy("y").agg(F.sum("n").alias("n")).limit(3).collect()
+    found = sorted((r["y"], r["n"]) for r in tally)
+    if len(found) != 2:
+        return None
+    labels = Labels(found[1][0], found[1][1], found[0][1])
+    hit = F.col("y") == F.lit(labels.positive)
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    points = counted.groupBy("p").agg(count(hit).alias("pos"), count(~hit).alias("neg"))
+    return running_totals(points, "p", {"cum_pos": "pos", "cum_neg": "neg"}, True, buckets), labels
 
 
 def ranking_metrics(
-    df: DataFrame, y: str = "y", p: str = "p", bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, y: str = "y", p: str = "p", buckets: int | None = None
 ) -> DataFrame:
     """One row ``roc_auc, pr_auc``; tied scores count one half, pr_auc is average precision.
 
     NULL for both unless there are exactly two labels.
     """
-    labels = two_labels(_scored(df, y, p), y)
-    if labels is None:
+    found = score_points(df, y, p, buckets)
+    if found is None:
         return df.sparkSession.createDataFrame([(None, None)], "roc_auc double, pr_auc double")
-    points = score_points(df, labels, y, p, bucket_rows)
+    points, labels = found
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     higher = F.col("cum_pos") - F.col("pos")

@@ -512,7 +512,7 @@ def ranking_metrics(spark, sf):
 @query
 def ranking_metrics_buckets(spark, sf):
     """The same areas with running totals over many buckets."""
-    return rounded(metrics.ranking_metrics(scored_binary(spark, sf), bucket_rows=500))
+    return rounded(metrics.ranking_metrics(scored_binary(spark, sf), buckets=5))
 
 
 @query
@@ -622,7 +622,7 @@ def pr_curve(spark, sf):
 @query
 def pr_curve_buckets(spark, sf):
     """The same curve with running totals over many buckets."""
-    return rounded(curves.pr_curve(scored_binary(spark, sf), bucket_rows=500))
+    return rounded(curves.pr_curve(scored_binary(spark, sf), buckets=5))
 
 
 @query

@@ -64,24 +64,40 @@ def test_rank_cuts_take_exactly_k_rows_in_order(spark):
             assert got == {d[0] for d in ordered[:k]}
 
 
-def test_running_totals_across_buckets(spark):
+@pytest.mark.parametrize("buckets", [1, 9, None])
+def test_running_totals_across_buckets(spark, buckets):
     values = np.unique(skewed_values(3000))
     data = [(float(v), i % 7) for i, v in enumerate(values)]
     df = spark.createDataFrame(data, "p double, n long")
-    cuts = ordering.value_cuts(df, F.col("p"), bucket_rows=100)
-    assert len(cuts) > 5
     for descending in (False, True):
-        got = ordering.running_totals(df, "p", {"upto": "n"}, cuts, descending)
+        got = ordering.running_totals(df, "p", {"upto": "n"}, descending, buckets)
         ordered = sorted(data, reverse=descending)
         expected = dict(zip([p for p, _ in ordered], np.cumsum([n for _, n in ordered])))
         assert {r["p"]: r["upto"] for r in rows(got)} == expected
 
 
-def test_a_small_table_needs_one_bucket(spark):
+def test_running_totals_of_few_rows(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 5)], "p double, n long")
-    assert ordering.value_cuts(df, F.col("p")) == []
-    got = ordering.running_totals(df, "p", {"upto": "n"}, [])
+    got = ordering.running_totals(df, "p", {"upto": "n"})
     assert [(r["p"], r["upto"]) for r in rows(got.orderBy("p"))] == [(1.0, 1), (2.0, 6)]
+    assert rows(ordering.running_totals(df.limit(0), "p", {"upto": "n"})) == []
+
+
+@pytest.mark.parametrize("off", [0.0, -500.0, 500.0])
+def test_a_wrong_sketch_costs_time_only(spark, monkeypatch, off):
+    values = np.sort(skewed_values(30000))
+    df = spark.createDataFrame([(float(v), None if i % 2 else float(-v)) for i, v in enumerate(values)], "x double, y double")
+    real = F.kll_sketch_get_quantile_double
+
+    def shifted(sketch, shares):
+        return F.transform(real(sketch, shares), lambda v: v + off)
+
+    monkeypatch.setattr(ordering.F, "kll_sketch_get_quantile_double", shifted)
+    ranks = [0, 1, 2999, 15000, 15001, 29999]
+    found = ordering.order_statistics(df.repartition(7), {"x": F.col("x"), "y": F.col("y")}, {"x": ranks, "y": [7000]})
+    assert [found["x", r].value for r in ranks] == [values[r] for r in ranks]
+    assert found["y", 7000].value == np.sort(-values[::2])[7000]
+    assert all(found["x", r].below == (values < values[r]).sum() for r in ranks)
 
 
 def test_no_task_gets_a_whole_column(spark):
@@ -96,18 +112,11 @@ def test_no_task_gets_a_whole_column(spark):
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(type(df), "collect", spy)
         ordering.order_statistics(df, {"x": F.col("x")}, {"x": [500]}, {"x": 1000})
-        ordering.value_cuts(df, F.col("x"), bucket_rows=10)
+        ordering.order_statistics(spark.range(9000).select(F.col("id").cast("double").alias("x")), {"x": F.col("x")}, {"x": [8]})
     assert plans
-    assert not any("percentile" in p or "SinglePartition" in p for p in plans)
-
-
-@pytest.mark.parametrize("scale", [1.0, -1e-12, 1e200])
-def test_value_cuts_bound_the_buckets(spark, scale):
-    values = np.unique(skewed_values(4000)) * scale
-    df = spark.createDataFrame([(float(v),) for v in values], "p double")
-    cuts = ordering.value_cuts(df, F.col("p"), bucket_rows=50)
-    sizes = np.histogram(values, [-np.inf, *cuts, np.inf])[0]
-    assert sizes.max() <= 50 and len(cuts) < len(values) / 20
+    assert not any("percentile" in p for p in plans)
+    # What meets in one task are counts that every task has summed up before.
+    assert all("partial_count" in p for p in plans if "SinglePartition" in p)
 
 
 def test_hash_depends_on_the_key_only(spark):

@@ -1,5 +1,7 @@
 import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import by, rows
 from pyspark.sql import functions as F
@@ -148,3 +150,28 @@ def test_feature_pairs_and_outliers(spark):
     got = rows(exploration.feature_correlations(df))
     assert [(r["feature1"], r["feature2"]) for r in got] == [("a", "b")]
     assert [(r["column"], r["n_outliers"]) for r in rows(exploration.outliers(df))] == [("d", 1)]
+
+
+@pytest.mark.parametrize("block", [2, 3, 500])
+def test_correlations_of_columns_with_gaps(spark, block):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(400, 6)) @ rng.normal(size=(6, 6)) + [0, 1e6, 5, -3, 0, 0]
+    data[:, 4] = 7.0
+    table = [tuple(None if rng.random() < 0.2 else float(v) for v in row) + (None,) for row in data]
+    table[0] = (*table[0][:5], float("nan"), None)
+    names = [f"c{i}" for i in range(6)] + ["void"]
+    df = spark.createDataFrame(table, ", ".join(f"{c} double" for c in names)).repartition(3)
+    got = exploration.pair_correlations(df, names, block)
+    plain = pd.DataFrame(table, columns=names).astype(float).corr().to_numpy()
+    plain[4, :] = plain[:, 4] = np.nan
+    off = ~np.eye(7, dtype=bool)
+    assert np.allclose(got[off], plain[off], equal_nan=True, atol=1e-9)
+
+
+def test_five_hundred_columns_in_one_scan(spark):
+    names = [f"c{i}" for i in range(500)]
+    df = spark.range(40).select(*[F.sin(F.col("id") * (i + 1)).alias(c) for i, c in enumerate(names)])
+    found = exploration.feature_correlations(df, names, 0.999999)
+    assert found.count() == sum(
+        abs(r) > 0.999999 for i, row in enumerate(df.toPandas().corr().to_numpy()) for r in row[i + 1 :]
+    )
