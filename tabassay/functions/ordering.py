@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,27 +209,27 @@ def _narrow(
         df.select(F.inline(F.filter(F.array(*pairs), lambda x: x["cell"].isNotNull())))
         .groupBy("span", "cell")
         .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .collect()  # at most CELLS rows per interval
+        .toArrow()  # at most CELLS rows per interval
     )
-    by_span: dict[int, list] = {}
-    for row in sorted(cells, key=lambda r: (r["span"], r["cell"])):
-        by_span.setdefault(row["span"], []).append(row)
+    span, cell, n, lows, highs = (c.to_numpy() for c in cells.columns)
+    order = np.lexsort((cell, span))
+    span, n, lows, highs = span[order], n[order], lows[order], highs[order]
     for i, g in enumerate(groups):
+        first, last = np.searchsorted(span, [i, i + 1])
+        upto = np.cumsum(n[first:last])
         for s in g:
-            below, at = s.below, None
-            for row in by_span.get(i, []):
-                if below <= s.rank < below + row["n"]:
-                    at = row
-                    break
-                below += row["n"]
-            if at is None:  # the sketch was off: begin with all values
+            at = int(np.searchsorted(upto, s.rank - s.below, "right"))
+            if s.rank < s.below or at == last - first:  # the sketch was off: begin with all values
                 if not s.guessed:
                     raise ValueError(f"{s.name} has fewer values than its size tells")
                 s.below, s.low, s.high, s.guessed = 0, None, None, False
-            elif at["low"] == at["high"] or at["low"] != at["low"]:
-                found[(s.name, s.rank)] = Ranked(at["low"], below, below + at["n"])
+                continue
+            end = s.below + int(upto[at])
+            below, low, high = end - int(n[first + at]), float(lows[first + at]), float(highs[first + at])
+            if low == high or math.isnan(low):
+                found[(s.name, s.rank)] = Ranked(low, below, end)
             else:
-                s.below, s.low, s.high, s.guessed = below, at["low"], at["high"], False
+                s.below, s.low, s.high, s.guessed = below, low, high, False
 
 
 def quantiles(
