@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabassay.llm.shared import written
+from tabassay.llm.shared import discard, scratch, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,9 +25,11 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-        both = edges.union(edges.select("b", "a"))
-        edges = _to_smallest(both, "b > a")
-        edges = _to_smallest(edges.select(up, down), None)
+        with scratch() as keep:
+            both = edges.union(edges.select("b", "a"))
+            nearer = keep(_to_smallest(_to_smallest(both, "b > a").select(up, down), None))
+        discard(edges)
+        edges = nearer
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select("b", "b").distinct()
     )

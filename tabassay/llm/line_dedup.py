@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabassay.llm.pair_groups import deal
-from tabassay.llm.shared import map_batches, row_hashes, same, ship_package, slices, written
+from tabassay.llm.shared import discard, map_batches, row_hashes, same, scratch, ship_package, slices, written
 from tabassay.llm.shingles import (
     BUCKET_BITS,
     PERCENT,
@@ -173,9 +173,10 @@ def _matched(docs: DataFrame, pairs: DataFrame, short: bool) -> DataFrame:
         take = pa.array(good, pa.int64())
         return pa.table({"doc": rows["doc"].take(take), "line": rows["line"].take(take)})
 
-    texts = _texts_of(docs, deal(pairs))
-    found = texts.groupBy("g").applyInArrow(run, f"doc {kind}, line long")
-    return written(found.distinct(), "matched")
+    with scratch() as keep:
+        texts = _texts_of(docs, deal(pairs))
+        found = texts.groupBy("g").applyInArrow(run, f"doc {kind}, line long")
+        return keep(written(found.distinct(), "matched"))
 
 
 def _similar(a: frozenset, b: frozenset) -> bool:
@@ -230,7 +231,9 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
     # Equal lines need not be met twice: the first of them is earlier than all.
     firsts = postings.select("token", "a", "at").join(equal, same(F.col("a"), F.col("_a")), "left_anti")
     firsts = written(firsts, "firsts")
-    pairs = written(rest, "rest").join(
+    rest = written(rest, "rest")
+    discard(postings)
+    pairs = rest.join(
         firsts.select(F.col("token").alias("r_token"), F.col("a").alias("r"), F.col("at").alias("r_at")),
         (F.col("l_token") == F.col("r_token")) & (F.col("l") > F.col("r")) & _possible("l_at", "r_at"),
     )
@@ -277,7 +280,9 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shor
             own = {name: rows.column(name) for name in inner}
             yield own | {"_text": bodies, "_lines": lines, "_removed": removed}
 
-    gone = written(later_matches(df, doc_id, text, short), "later").groupBy("doc").agg(F.collect_set("line").alias("_gone"))
+    with scratch() as keep:
+        later = keep(written(later_matches(df, doc_id, text, short), "later"))
+    gone = later.groupBy("doc").agg(F.collect_set("line").alias("_gone"))
     # Own names, so that no column of the table clashes with the ones added here.
     inner = [f"c{i}" for i, c in enumerate(df.columns) if c != text]
     named = df.select(*(F.col(f"`{c}`").alias("_text" if c == text else f"c{i}") for i, c in enumerate(df.columns)))

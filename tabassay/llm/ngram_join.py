@@ -25,7 +25,16 @@ from pyspark.sql import functions as F
 
 from tabassay.llm.graph import components
 from tabassay.llm.pair_groups import deal
-from tabassay.llm.shared import map_batches, row_hashes, runs_of_bytes, ship_package, slices, written
+from tabassay.llm.shared import (
+    discard,
+    map_batches,
+    row_hashes,
+    runs_of_bytes,
+    scratch,
+    ship_package,
+    slices,
+    written,
+)
 from tabassay.llm.shingles import (
     PERCENT,
     Rarity,
@@ -169,8 +178,9 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         kinds = rows["doc"].type
         return pa.table({"a": pa.array([x for x, _ in good], kinds), "b": pa.array([y for _, y in good], kinds)})
 
-    rows = docs.join(deal(pairs, GROUP_PAIRS), F.col("doc") == F.col("at")).drop("at")
-    return written(rows.groupBy("g").applyInArrow(run, f"a {kind}, b {kind}").distinct(), "linked")
+    with scratch() as keep:
+        rows = docs.join(deal(pairs, GROUP_PAIRS), F.col("doc") == F.col("at")).drop("at")
+        return keep(written(rows.groupBy("g").applyInArrow(run, f"a {kind}, b {kind}").distinct(), "linked"))
 
 
 def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -206,6 +216,7 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     whole = written(whole.select(F.col("token").alias("_t"), F.col("x.a").alias("b"), F.col("x.at").alias("lead_at")), "whole")
     parts = parts.join(whole, F.col("token") == F.col("_t"))
     parts = written(parts.filter("a <> b").select("token", "a", "at", "b", "lead_at"), "parts")
+    last_read = [postings, whole, parts]
     met = met.union(parts)
     counted = met.groupBy("a", "b").agg(
         F.sum(_possible("at", "lead_at").cast("long")).alias("shared")
@@ -231,6 +242,7 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     open_ = open_.join(known, F.col("doc") == F.col("node"), "left").filter("copy IS NULL OR NOT copy")
     open_ = open_.select("token", "doc", "at", F.coalesce("component", "doc").alias("component"))
     open_ = written(open_, "open")
+    discard(*last_read, counted)
     l, r = (open_.select(*(F.col(c).alias(f"{s}_{c}") for c in open_.columns)) for s in "lr")
     crossing = l.join(
         r,
@@ -258,8 +270,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     component. An empty table gives no rows.
     """
     docs = _narrow(df, doc_id, text)
-    signed = written(signatures(docs), "signatures")
-    found = similar_components(docs.filter("doc IS NOT NULL"), signed.filter("doc IS NOT NULL"))
+    with scratch() as keep:
+        signed = keep(written(signatures(docs), "signatures"))
+        found = keep(similar_components(docs.filter("doc IS NOT NULL"), signed.filter("doc IS NOT NULL")))
     joined = signed.alias("d").join(
         found.alias("f"),
         (F.col("d.n") == F.col("f.n")) & (F.col("d.s1") == F.col("f.s1")) & (F.col("d.s2") == F.col("f.s2"))

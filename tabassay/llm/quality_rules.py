@@ -50,6 +50,8 @@ RULES = (
 )
 #: A group with fewer rows takes the sketch of its language, or of all rows.
 MIN_GROUP = 100
+#: Groups up to which their fences are broadcast.
+FEW_GROUPS = 100_000
 
 
 def _minus(text: Column, characters: str) -> Column:
@@ -225,7 +227,9 @@ def judge(
     key = {c: f"c_{keep.index(c)}" for c in (lang, source)}
     measured = text_counts(df.select(*own, F.col(text).alias("c_text")), "c_text").drop("c_text")
     measured = written(measured.withColumn("base_failed", base_failed()), "counts")
-    limits = fences(measured.filter(~F.col("base_failed")), key[lang], key[source], rules)
+    limits = written(fences(measured.filter(~F.col("base_failed")), key[lang], key[source], rules), "fences")
+    # Known to be few, they need not be met by a shuffle of all rows.
+    limits = F.broadcast(limits) if limits.count() <= FEW_GROUPS else limits
     limits = limits.withColumnsRenamed({key[lang]: "_l", key[source]: "_s"})
     judged = measured.join(
         limits, same(F.col(key[lang]), F.col("_l")) & same(F.col(key[source]), F.col("_s")), "left"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabassay.llm.shared import map_batches, same, ship_package, slices, written
+from tabassay.llm.shared import map_batches, same, scratch, ship_package, slices, written
 from tabassay.llm.shingles import mix, span_hashes
 
 SPAN = 100
@@ -430,7 +430,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
                 "n_spans": spans,
             }
 
-    spans = repeated_spans(df, doc_id, text)
+    with scratch() as keep:
+        spans = keep(repeated_spans(df, doc_id, text))
     lists = spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     columns = {"doc": doc_id, "text": text, **inner}
     named = df.select(*(F.col(f"`{c}`").alias(n) for n, c in columns.items()))

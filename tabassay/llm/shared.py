@@ -32,20 +32,77 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{spark._local_checkpoints}"
 
 
+#: Deletes the shuffle files of a job when it has ended, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables written in the blocks of `scratch` and `collected` that are open, innermost last.
+_open: list[dict[str, SparkSession]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table as Parquet in the shared folder: computed once, whatever is lost afterwards.
 
-    The files go with `discard`, or when the Python process ends.
+    The files go with `discard`, at the end of a `scratch` block, or when the Python
+    process ends; the shuffle files of the job go as soon as it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
+    if _open:
+        _open[-1][path] = spark
     found = spark.read.schema(df.schema).parquet(path)
     found._tabassay_path = path
     return found
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables written in the block at its end, but for those given to the function it yields.
+
+    These belong to the block around it. A table must not be read after the block
+    unless it was kept, nor may a result that has yet to read it.
+    """
+    own: dict[str, SparkSession] = {}
+
+    def keep(df: DataFrame) -> DataFrame:
+        spark = own.pop(df._tabassay_path)
+        if _open:
+            outer = next(i for i, x in enumerate(_open) if x is own) - 1
+            if outer >= 0:
+                _open[outer][df._tabassay_path] = spark
+        return df
+
+    _open.append(own)
+    try:
+        yield keep
+    finally:
+        _open[:] = [x for x in _open if x is not own]
+        for path, spark in own.items():
+            _remove(spark, path)
+
+
+@contextlib.contextmanager
+def collected(into: dict[str, SparkSession]) -> Iterator[None]:
+    """Notes the tables that are written in the block and left when it ends."""
+    _open.append(into)
+    try:
+        yield
+    finally:
+        _open[:] = [x for x in _open if x is not into]
+
+
+def drop(tables: dict[str, SparkSession]) -> None:
+    """Deletes noted tables."""
+    for path, spark in tables.items():
+        _remove(spark, path)
+    tables.clear()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of written tables whose last reader has been written itself."""
     for df in tables:
