@@ -7,6 +7,9 @@ to the shared folder, so a lost executor costs no more than its own stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,22 @@ from tabassay.llm.ngram_join import near_duplicates
 from tabassay.llm.packing import pack_documents
 from tabassay.llm.quality_rules import judge
 from tabassay.llm.repeated_bytes import remove_repeats
-from tabassay.llm.shared import documents, same, written
+from tabassay.llm.shared import collected, discard, documents, drop, same, written
+
+#: Tables of the stage before, which its rows were read from until they were written.
+_left: dict[str, SparkSession] = {}
+
+
+def stage(function: Callable) -> Callable:
+    """A stage begins when the rows of the one before have been written: what that one left can go."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(_left)
+        with collected(_left):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -27,6 +45,7 @@ def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the fences of their language and source reject go."""
     judged = judge(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}),
@@ -35,11 +54,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.withColumnsRenamed({f"in_{c}": c for c in docs.columns})
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are similar to an earlier line of the corpus are cut out, short ones if they repeat it."""
     return _measured(remove_lines(docs, short=True), docs.columns)
 
 
+@stage
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest id stays."""
     found = near_duplicates(docs)
@@ -47,6 +68,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(stay, same(F.col("doc_id"), F.col("_doc")), "left_semi")
 
 
+@stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes or more that stand earlier in the corpus are cut out."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
@@ -54,6 +76,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _measured(cut, docs.columns)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces of token sequences."""
     packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -68,12 +91,17 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The stages from the third on cannot be told in SQL; tests hold them against brute force.
+#: The stages from the third on cannot be told in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = documents(spark, sf_dir), None
+    for name, function in STAGES[:-1]:
+        docs = written(function(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    _left.clear()  # what the result has yet to read stays until the process ends
+    return packed
