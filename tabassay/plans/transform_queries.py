@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions.columns import col
 from ..functions.hashing import uniform
-from ..functions.storage import prepared
-from ..operators import bootstrap, encoders, features, models, splits, transforms
+from ..functions.storage import prepared, shared_folder
+from ..operators import (
+    bootstrap,
+    encoders,
+    exploration,
+    fairness,
+    features,
+    leakage,
+    models,
+    pii,
+    splits,
+    transforms,
+)
 from .catalog_queries import PRICE_FEATURES, _parts, lineitem, price_table, query, rounded
 
 
@@ -231,3 +244,70 @@ def exact_draws(spark, sf):
     """How many rows each replicate draws, and how many of them are different."""
     drawn = bootstrap.exact_weights(balances(spark, sf), ["c_custkey"], 50, bootstrap.SEED)
     return drawn.groupBy("replicate").agg(F.sum("weight").alias("draws"), F.count(F.lit(1)).alias("rows"))
+
+
+# --- sinks and gates
+
+
+@query
+def split_sink(spark, sf):
+    """Rows written in a folder per split and read back, as counts and sums."""
+    folder = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    path = sources.write_splits(supplied(spark, sf), f"{folder}/tabassay-splits-{uuid.uuid4().hex}")
+    back = spark.read.parquet(path)
+    totals = back.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price")
+    )
+    return totals.select("split", "n", F.col("price").cast("double").alias("price"))
+
+
+@query
+def deny_list(spark, sf):
+    """Columns of lineitem that a twin of the target makes unfit as features."""
+    price = F.col("l_extendedprice")
+    rows = lineitem(spark, sf).select(
+        "l_quantity", "l_discount", price, (2 * price + 1).alias("price_twin"), (price * 1.5).alias("target_price")
+    )
+    names = leakage.deny_list(leakage.leakage_findings(rows, "l_extendedprice"))
+    return spark.createDataFrame([(c,) for c in names], "column string")
+
+
+@query
+def gate_redacts(spark, sf):
+    """Documents as intake lets them through: redacted, because their risk is not low."""
+    docs = sources.read_table(spark, sf, "documents").select("doc_id", "text")
+    return pii.gate(docs).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+@query
+def gates_block(spark, sf):
+    """Which gates refuse: personal data in documents, and a gap between slices."""
+    docs = sources.read_table(spark, sf, "documents").select("doc_id", "text")
+    labels = sources.read_table(spark, sf, "labels")
+    scored = sources.read_table(spark, sf, "documents").join(labels, "doc_id").select(
+        F.col("source"), F.col("quality").alias("y"), (F.col("n_chars") >= 300).cast("int").alias("yhat")
+    )
+    slices = fairness.slice_metrics(scored, ["source"], "classification")
+
+    def refused(run) -> bool:
+        try:
+            run()
+        except ValueError:
+            return True
+        return False
+
+    found = [
+        ("personal_data", refused(lambda: pii.gate(docs, "block"))),
+        ("personal_data_let_pass", refused(lambda: pii.gate(docs, "none"))),
+        ("fairness", refused(lambda: fairness.require_fair(slices, "block"))),
+    ]
+    return spark.createDataFrame(found, "gate string, refused boolean")
+
+
+@query
+def outliers_whole(spark, sf):
+    """All number columns of orders, keys included."""
+    orders = sources.read_table(spark, sf, "orders")
+    return rounded(
+        exploration.outliers(orders.withColumn("skewed", F.pow(F.col("o_totalprice") / 500000, F.lit(6.0))))
+    )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.transforms import CANDIDATES, EXPONENTS, EXPONENT_STEP
-from .duckdb_sql import LINEITEM, _errors, cell, u
+from .duckdb_sql import LINEITEM, _errors, _redacted, cell, u
 from .model_sql import FEATURES, PRICE, fit, predicted
 
 TRANSFORM_SQL: dict[str, str] = {}
@@ -218,3 +218,21 @@ SELECT replicate::INTEGER AS replicate, round(sum(weight) FILTER ((c_acctbal > 0
 FROM drawn GROUP BY replicate"""
 TRANSFORM_SQL["exact_draws"] = f"""WITH {_drawn(cell('c_custkey'))}
 SELECT replicate::INTEGER AS replicate, sum(weight)::BIGINT AS draws, count(*) AS rows FROM drawn GROUP BY replicate"""
+
+TRANSFORM_SQL["split_sink"] = f"""WITH {SUPPLIED} SELECT split, count(*) AS n,
+  sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS price FROM supplied GROUP BY split"""
+TRANSFORM_SQL["deny_list"] = """WITH r AS (SELECT l_extendedprice AS y, l_quantity, l_discount,
+  2 * l_extendedprice + 1 AS price_twin, l_extendedprice * 1.5 AS target_price FROM lineitem),
+c AS (SELECT unnest(['l_quantity', 'l_discount', 'price_twin', 'target_price']) AS "column",
+  unnest([corr(l_quantity, y), corr(l_discount, y), corr(price_twin, y), corr(target_price, y)]) AS r FROM r)
+SELECT "column" FROM c WHERE abs(r) > 0.95"""
+TRANSFORM_SQL["gate_redacts"] = f"SELECT doc_id, md5(coalesce({_redacted('text')}, '')) AS digest FROM documents"
+_FENCES = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", lo AS low, hi AS high, count(*) FILTER (v < lo OR v > hi) AS n_outliers
+FROM (SELECT {c}::DOUBLE AS v FROM o), (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
+  FROM (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM o)) GROUP BY lo, hi"""
+    for c in ("o_orderkey", "o_custkey", "o_totalprice", "skewed")
+)
+TRANSFORM_SQL["outliers_whole"] = f"""WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice,
+  pow(o_totalprice / 500000, 6.0) AS skewed FROM orders), f AS ({_FENCES})
+SELECT "column", round(low, 6) AS low, round(high, 6) AS high, n_outliers FROM f WHERE n_outliers > 0"""
