@@ -44,12 +44,13 @@ SQL = {
             (value >> w) << w AS bucket
           FROM (
             SELECT *, greatest(length(bin(value)) - 6, 0) AS w FROM (
-              SELECT r, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS rule,
+              SELECT r, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length', 'n_words', 'n_lines']) AS rule,
                 unnest([
                   CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END,
                   CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END,
                   CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END,
-                  CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END
+                  CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END,
+                  n_words, n_lines
                 ]) AS value
               FROM judged
             )
@@ -57,29 +58,41 @@ SQL = {
         ),
         good AS (SELECT * FROM ratios WHERE NOT base_failed),
         fine AS (
-          SELECT lang, source, rule, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3
+          SELECT lang, source, rule, count(*) AS n, quantile_disc(bucket, 0.25) AS q1,
+            quantile_disc(bucket, 0.5) AS q2, quantile_disc(bucket, 0.75) AS q3
           FROM good GROUP BY ALL
         ),
         coarse AS (
-          SELECT lang, rule, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3
+          SELECT lang, rule, count(*) AS n, quantile_disc(bucket, 0.25) AS q1,
+            quantile_disc(bucket, 0.5) AS q2, quantile_disc(bucket, 0.75) AS q3
           FROM good GROUP BY ALL
         ),
         whole AS (
-          SELECT rule, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM good GROUP BY ALL
+          SELECT rule, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.5) AS q2,
+            quantile_disc(bucket, 0.75) AS q3
+          FROM good GROUP BY ALL
+        ),
+        mixed AS (
+          SELECT lang, rule, (n * coarse.q1 + 20 * whole.q1) // (n + 20) AS q1,
+            (n * coarse.q2 + 20 * whole.q2) // (n + 20) AS q2, (n * coarse.q3 + 20 * whole.q3) // (n + 20) AS q3
+          FROM coarse JOIN whole USING (rule)
         ),
         picked AS (
-          SELECT fine.lang, fine.source, fine.rule,
-            CASE WHEN fine.n >= 100 THEN fine.q1 WHEN coarse.n >= 100 THEN coarse.q1 ELSE whole.q1 END AS q1,
-            CASE WHEN fine.n >= 100 THEN fine.q3 WHEN coarse.n >= 100 THEN coarse.q3 ELSE whole.q3 END AS q3
-          FROM fine
-          JOIN coarse ON fine.lang IS NOT DISTINCT FROM coarse.lang AND fine.rule = coarse.rule
-          JOIN whole ON fine.rule = whole.rule
+          SELECT fine.lang, fine.source, fine.rule, (n * fine.q1 + 20 * mixed.q1) // (n + 20) AS q1,
+            (n * fine.q2 + 20 * mixed.q2) // (n + 20) AS q2, (n * fine.q3 + 20 * mixed.q3) // (n + 20) AS q3
+          FROM fine JOIN mixed ON fine.lang IS NOT DISTINCT FROM mixed.lang AND fine.rule = mixed.rule
+        ),
+        rules (rule, size, events) AS (
+          VALUES ('symbols', 'n_words', 10), ('dup_lines', 'n_lines', 1), ('repeats', 'n_words', 20),
+            ('word_length', 'n_words', 40)
         ),
         fences AS (
           SELECT lang, source, rule, q1 - step AS low, q3 + step AS high
           FROM (
-            SELECT *, 4 * greatest(q3 - q1, CASE rule WHEN 'symbols' THEN 50 WHEN 'word_length' THEN 1000 ELSE 75 END) AS step
-            FROM picked
+            SELECT x.*, 4 * greatest(x.q3 - x.q1, 1000 * events // (m.q2 + events)) AS step
+            FROM picked x JOIN rules USING (rule)
+            JOIN picked m ON m.rule = size AND m.lang IS NOT DISTINCT FROM x.lang
+              AND m.source IS NOT DISTINCT FROM x.source
           )
         ),
         refused AS (

@@ -5,6 +5,10 @@ histograms with buckets of a fixed relative width. Such a histogram is a quantil
 sketch that merges by adding counts, so any number of tasks fills it and the
 result never depends on their order. The quartiles read from the sketches give
 fences, and documents outside the fences of their group are rejected.
+
+No fence is a fixed value. It starts at the group's own quartile, and its distance
+is the group's own spread. Where most values are equal the spread says nothing;
+what a few events change in a document of the group's median size stands in for it.
 """
 
 from __future__ import annotations
@@ -29,27 +33,30 @@ MAX_REPEAT_PERCENT = 50
 class Rule:
     """A ratio in parts per thousand; a value outside the fences is refused.
 
-    The fences lie `reach` quartile distances outside the quartiles. `least` is
-    the smallest quartile distance assumed, so that a group in which nearly all
-    values are equal does not reject its slightest deviation.
+    The fences lie `reach` spreads outside the quartiles. The spread is the distance
+    of the quartiles or, if larger, what `events` more in the numerator change in a
+    document of the median size of its group: events / (median + events).
     """
 
     name: str
     numerator: str
     denominator: str
-    least: int
+    events: int
     lower: bool = False
     reach: int = 4
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", 50),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 75),
-    Rule("repeats", "n_repeat_words", "n_words", 75),
-    Rule("word_length", "word_chars", "n_words", 1000, lower=True),
+    Rule("symbols", "n_symbols", "n_words", 10),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 1),
+    # A sentence of ten words that stands twice.
+    Rule("repeats", "n_repeat_words", "n_words", 20),
+    # About what chance adds to or takes from the characters of some hundred words.
+    Rule("word_length", "word_chars", "n_words", 40, lower=True),
 )
-#: A group with fewer rows takes the sketch of its language, or of all rows.
-MIN_GROUP = 100
+#: A group's quartiles are averaged with those of its language, which count as this many rows, and these with
+#: those of all rows in the same way.
+PRIOR_ROWS = 20
 #: Groups up to which their fences are broadcast.
 FEW_GROUPS = 100_000
 
@@ -140,10 +147,15 @@ def sketch_bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, width), width)
 
 
+def _sizes(rules: Sequence[Rule]) -> list[str]:
+    return list(dict.fromkeys(r.denominator for r in rules))
+
+
 def quantile_sketches(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = RULES) -> DataFrame:
-    """(keys, rule, bucket, n): a histogram per key and rule, filled by partial sums."""
+    """(keys, rule, bucket, n): a histogram per key and rule, and per key and denominator, filled by partial sums."""
+    values = {r.name: ratio(r) for r in rules} | {c: F.col(c) for c in _sizes(rules)}
     each = F.explode(
-        F.array(*(F.struct(F.lit(r.name).alias("rule"), sketch_bucket(ratio(r)).alias("bucket")) for r in rules))
+        F.array(*(F.struct(F.lit(k).alias("rule"), sketch_bucket(v).alias("bucket")) for k, v in values.items()))
     )
     return (
         df.select(*keys, each.alias("x"))
@@ -153,14 +165,14 @@ def quantile_sketches(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule]
 
 
 def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rule, rows, q1, q3); a sketch has at most some thousand buckets, whatever the rows."""
+    """(keys, rule, rows, q1, q2, q3); a sketch has at most some thousand buckets, whatever the rows."""
     up = W.partitionBy(*keys, "rule").orderBy("bucket")
     cum = sketch.withColumn("upto", F.sum("n").over(up)).withColumn(
         "rows", F.sum("n").over(W.partitionBy(*keys, "rule"))
     )
     reached = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("rows"), F.col("bucket")))
     return cum.groupBy(*keys, "rule").agg(
-        F.max("rows").alias("rows"), reached(1).alias("q1"), reached(3).alias("q3")
+        F.max("rows").alias("rows"), *(reached(i).alias(f"q{i}") for i in (1, 2, 3))
     )
 
 
@@ -169,42 +181,42 @@ def fences(
 ) -> DataFrame:
     """(lang, source, then low_<rule> and high_<rule>): one row per language and source.
 
-    Sketches of single sources are added up to those of languages and of all rows,
-    which serve groups with fewer than MIN_GROUP rows.
+    Sketches of single sources are added up to those of languages and of all rows.
+    The fewer rows a group has, the more the quartiles of its language decide, without
+    a jump at any size.
     """
     fine = quantile_sketches(df, [lang, source], rules)
     # A few thousand buckets per group: what follows is small whatever the table's size.
     fine = written(fine, "sketches")
     coarse = fine.groupBy(lang, "rule", "bucket").agg(F.sum("n").alias("n"))
     whole = fine.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
+    marks = ("q1", "q2", "q3")
     a = _quartiles(fine, [lang, source])
     b = _quartiles(coarse, [lang]).select(
-        F.col(lang).alias("_lang"), F.col("rule").alias("_rule"), *(F.col(c).alias(f"b_{c}") for c in ("rows", "q1", "q3"))
-    )
-    c = _quartiles(whole, []).select(
-        F.col("rule").alias("_all"), F.col("q1").alias("c_q1"), F.col("q3").alias("c_q3")
+        F.col(lang).alias("_lang"), F.col("rule").alias("_rule"), *(F.col(c).alias(f"b_{c}") for c in ("rows", *marks))
     )
+    c = _quartiles(whole, []).select(F.col("rule").alias("_all"), *(F.col(q).alias(f"c_{q}") for q in marks))
     joined = a.join(b, same(F.col(lang), F.col("_lang")) & (F.col("rule") == F.col("_rule"))).join(
         c, F.col("rule") == F.col("_all")
     )
-
-    def pick(q: str) -> Column:
-        return (
-            F.when(F.col("rows") >= MIN_GROUP, F.col(q))
-            .when(F.col("b_rows") >= MIN_GROUP, F.col(f"b_{q}"))
-            .otherwise(F.col(f"c_{q}"))
-        )
-
-    least = F.create_map(*(x for r in rules for x in (F.lit(r.name), F.lit(r.least))))
-    reach = F.create_map(*(x for r in rules for x in (F.lit(r.name), F.lit(r.reach))))
-    joined = joined.withColumns({"p1": pick("q1"), "p3": pick("q3")}).withColumn(
-        "step", F.greatest(F.col("p3") - F.col("p1"), least[F.col("rule")]) * reach[F.col("rule")]
-    )
-    of = lambda r, value: F.max(F.when(F.col("rule") == r.name, value))
-    return joined.groupBy(lang, source).agg(
-        *(of(r, F.col("p3") + F.col("step")).alias(f"high_{r.name}") for r in rules),
-        *(of(r, F.col("p1") - F.col("step")).alias(f"low_{r.name}") for r in rules if r.lower),
+    mixed = "({1} * {0} + {prior} * {2}) div ({0} + {prior})"
+    for q in marks:
+        joined = joined.withColumn(f"l_{q}", F.expr(mixed.format("b_rows", f"b_{q}", f"c_{q}", prior=PRIOR_ROWS)))
+        joined = joined.withColumn(f"p_{q}", F.expr(mixed.format("rows", q, f"l_{q}", prior=PRIOR_ROWS)))
+    of = lambda name, value: F.max(F.when(F.col("rule") == name, F.col(value)))
+    found = joined.groupBy(lang, source).agg(
+        *(of(r.name, f"p_{q}").alias(f"{q}_{r.name}") for r in rules for q in ("q1", "q3")),
+        *(of(c, "p_q2").alias(f"median_{c}") for c in _sizes(rules)),
     )
+    limits = []
+    for r in rules:
+        low, high = F.col(f"q1_{r.name}"), F.col(f"q3_{r.name}")
+        event = F.expr(f"(1000 * {r.events}L) div (median_{r.denominator} + {r.events})")
+        step = r.reach * F.greatest(high - low, event)
+        limits.append((high + step).alias(f"high_{r.name}"))
+        if r.lower:
+            limits.append((low - step).alias(f"low_{r.name}"))
+    return found.select(lang, source, *limits)
 
 
 def judge(

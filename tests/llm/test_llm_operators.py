@@ -23,7 +23,7 @@ from tabassay.llm.language_mixture import identify, learn
 from tabassay.llm.line_dedup import remove_lines
 from tabassay.llm.ngram_join import near_duplicates
 from tabassay.llm.packing import combinations, pack_documents, plan
-from tabassay.llm.quality_rules import judge, sketch_bucket
+from tabassay.llm.quality_rules import PRIOR_ROWS, RULES, fences, judge, sketch_bucket
 from tabassay.llm.repeated_bytes import merged_blocks, remove_repeats
 from tabassay.llm.template_extract import extract_block, main_text
 from tabassay.llm.trie_bpe import TextEncoder, encode_digests, encode_texts
@@ -153,6 +153,54 @@ def test_fences_follow_their_group(spark):
     assert kept == {r[0] for r in clean + busy}
 
 
+def test_fences_come_from_the_rows(spark):
+    """Every fence against plain quartiles, mixed by rows; groups of other sizes and spreads have other fences."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for lang, source, count, words, share in (
+        ("aa", "short", 180, 60, 0.05), ("aa", "long", 150, 600, 0.05), ("aa", "signs", 160, 60, 0.4),
+        ("bb", "few", 3, 100, 0.1), ("bb", None, 40, 300, 0.0),
+    ):
+        for _ in range(count):
+            n = int(words * rng.uniform(0.8, 1.3))
+            symbols, chars = int(n * share * rng.uniform(0, 2)), int(n * rng.uniform(4.7, 5.3))
+            lines = max(n // 12, 1)
+            rows.append((lang, source, n, chars, symbols, lines, int(rng.integers(0, 2)), int(rng.integers(0, 9))))
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{c} long" for c in names))
+
+    def bucket(v):
+        w = max(v.bit_length() - 6, 0)
+        return v >> w << w
+
+    def marks(chosen, value):
+        held = sorted(bucket(value(dict(zip(names, r[2:], strict=True)))) for r in chosen)
+        return len(held), [held[-(-q * len(held) // 4) - 1] for q in (1, 2, 3)]
+
+    def mixed(mine, other):
+        return [(mine[0] * x + PRIOR_ROWS * y) // (mine[0] + PRIOR_ROWS) for x, y in zip(mine[1], other, strict=True)]
+
+    found = {(r["lang"], r["source"]): r for r in _rows(fences(df))}
+    assert set(found) == {r[:2] for r in rows}
+    for (lang, source), limits in found.items():
+
+        def quartiles(value):
+            own, wide = [r for r in rows if r[:2] == (lang, source)], [r for r in rows if r[0] == lang]
+            return mixed(marks(own, value), mixed(marks(wide, value), marks(rows, value)[1]))
+
+        for rule in RULES:
+            q1, _, q3 = quartiles(lambda r: 1000 * r[rule.numerator] // r[rule.denominator])
+            size = quartiles(lambda r: r[rule.denominator])[1]
+            step = rule.reach * max(q3 - q1, 1000 * rule.events // (size + rule.events))
+            assert limits[f"high_{rule.name}"] == q3 + step
+            assert not rule.lower or limits[f"low_{rule.name}"] == q1 - step
+    for name in ("high_symbols", "high_dup_lines", "high_repeats", "high_word_length", "low_word_length"):
+        assert len({r[name] for r in found.values()}) >= 4, name
+    # Each fence lies where a value can pass it.
+    assert all(r["low_word_length"] > 1000 for r in found.values())
+    assert all(found[k]["high_repeats"] < 1000 and found[k]["high_dup_lines"] < 1000 for k in [("aa", "long"), ("bb", None)])
+
+
 def test_sketch_buckets(spark):
     df = spark.range(0, 5000).withColumn("b", sketch_bucket(F.col("id")))
     for r in df.collect():
