@@ -37,6 +37,7 @@ SURE = 0.9
 #: One labelled row in so many is kept for the calibration.
 CALIBRATION = 4
 WORD_CELLS = 256
+FORM_CELLS = 7
 META_CELLS = 128
 #: Cells of the histograms of scores, and of the hashes by which rows of one cell are told apart.
 SCORE_CELLS = 4096
@@ -344,6 +345,14 @@ def cotrain(features: tuple[np.ndarray, np.ndarray], labels: np.ndarray, pool: D
     return Pair(views, calibration, float(np.log(rate / (1 - rate))), exchanged)
 
 
+def _unlearned(y: np.ndarray) -> Pair:
+    """A pair that knows the labels' rate only."""
+    odds = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    views = tuple(Logistic(weights=np.zeros(n + 1)) for n in (WORD_CELLS + FORM_CELLS, META_CELLS))
+    calibration = tuple(Logistic(weights=np.array([0.0, odds])) for _ in views)
+    return Pair(views, calibration, odds, [])
+
+
 def _features(df: DataFrame) -> DataFrame:
     """(id, place, words, meta): the features of (id, place, text, lang, source, size)."""
 
@@ -368,7 +377,10 @@ def train(
     all unlabelled ones.
 
     A document with several labels takes the more frequent one, 1 if they are even;
-    NULL labels do not count. Without labels of both kinds there is nothing to learn.
+    NULL labels do not count. Without labels of both kinds, or of an empty table, there
+    is nothing to learn: then all rows score the labels' rate, with one label of each
+    kind added, in both views. Labelled rows beyond LABELLED_ROWS are scored, but are
+    neither labels nor part of the pool.
     """
     votes = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     votes = votes.groupBy(F.col(doc_id).alias("_id")).agg(
@@ -386,7 +398,7 @@ def train(
     )
     y = found["label"].to_numpy().astype(float)
     if len(set(y)) < 2:
-        raise ValueError("labels of both kinds are needed")
+        return _unlearned(y)
     return cotrain(_arrays(found), y, rows.filter("label IS NULL").select("place", "words", "meta"))
 
 
