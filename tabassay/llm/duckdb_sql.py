@@ -120,7 +120,7 @@ SQL["op4_line_dedup"] = f"""
     words AS (SELECT doc_id, k, {_WORDS.format('line')} AS ws FROM lines),
     tokens AS (
       SELECT DISTINCT doc_id, k, array_to_string(ws[i:i + 4], ' ') AS t
-      FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - 3)) AS i FROM words WHERE len(ws) >= 5)
+      FROM (SELECT doc_id, k, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) >= 1)
     ),
     sizes AS (SELECT doc_id, k, count(*) AS n FROM tokens GROUP BY ALL),
     met AS (

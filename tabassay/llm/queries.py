@@ -63,7 +63,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = remove_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    cleaned = remove_lines(documents(spark, sf_dir).select("doc_id", "text"), short=True)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return cleaned.select(
         "doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), digest.alias("kept_sha256")

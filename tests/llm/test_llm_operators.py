@@ -157,13 +157,13 @@ def test_fences_come_from_the_rows(spark):
     """Every fence against plain quartiles, mixed by rows; groups of other sizes and spreads have other fences."""
     rng = np.random.default_rng(7)
     rows = []
-    for lang, source, count, words, share in (
-        ("aa", "short", 180, 60, 0.05), ("aa", "long", 150, 600, 0.05), ("aa", "signs", 160, 60, 0.4),
-        ("bb", "few", 3, 100, 0.1), ("bb", None, 40, 300, 0.0),
+    for lang, source, count, words, share, letters in (
+        ("aa", "short", 180, 60, 0.05, 4.5), ("aa", "long", 150, 600, 0.05, 5.5), ("aa", "signs", 160, 60, 0.4, 6.5),
+        ("bb", "few", 3, 100, 0.1, 5), ("bb", None, 40, 300, 0.0, 7.5),
     ):
         for _ in range(count):
             n = int(words * rng.uniform(0.8, 1.3))
-            symbols, chars = int(n * share * rng.uniform(0, 2)), int(n * rng.uniform(4.7, 5.3))
+            symbols, chars = int(n * share * rng.uniform(0, 2)), int(n * letters * rng.uniform(0.95, 1.05))
             lines = max(n // 12, 1)
             rows.append((lang, source, n, chars, symbols, lines, int(rng.integers(0, 2)), int(rng.integers(0, 9))))
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -217,16 +217,17 @@ def _similar(a: frozenset, b: frozenset) -> bool:
     return bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b)
 
 
-def test_line_removal(docs, empty):
+@pytest.mark.parametrize("short", [False, True])
+def test_line_removal(docs, empty, short):
     texts = {r[0]: r[1] for r in _texts()}
     lines = {
-        (i, k): _shingles(WORD.findall(x.translate(LOWER)), False)
+        (i, k): _shingles(WORD.findall(x.translate(LOWER)), short)
         for i, t in texts.items()
         for k, x in enumerate((t or "").encode().split(b"\n"))
     }
     order = sorted(lines)
     gone = {b for n, b in enumerate(order) if any(_similar(lines[a], lines[b]) for a in order[:n])}
-    found = _rows(remove_lines(docs))
+    found = _rows(remove_lines(docs, short=short))
     assert len(found) == len(_texts())
     for r in found:
         t = texts[r["doc_id"]]
@@ -497,8 +498,22 @@ def test_cotraining(spark):
     assert all(found[1000 + i]["score"] < 0.5 for i in range(60))
     assert pair.exchanged and sum(pair.exchanged[-1]) > 0
     assert score(docs.limit(0), pair).count() == 0
-    with pytest.raises(ValueError):
-        train(docs, spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int"))
+    # Repeated rows are judged each for itself, and alike.
+    again = score(docs.union(docs), pair).collect()
+    assert len(again) == 442 and all(r["score"] == found[r["doc"]]["score"] for r in again)
+
+
+@pytest.mark.parametrize("kept, rate", [([(1, 1), (2, 1), (3, None)], 3 / 4), ([(1, 0)], 1 / 3), ([], 1 / 2)])
+def test_cotraining_without_both_labels(docs, empty, spark, kept, rate):
+    labels = spark.createDataFrame(kept, "doc_id bigint, quality int")
+    for df in (docs, empty):
+        known = {i for i, y in kept if y is not None} & {r["doc_id"] for r in df.collect()}
+        found = score(df, train(df, labels)).collect()
+        assert len(found) == df.count()
+        assert len(known) in (0, len([y for _, y in kept if y is not None]))
+        for r in found:
+            assert r["score_text"] == r["score_meta"]
+            assert abs(r["score"] - rate) < 1e-9
 
 
 def test_cotraining_tells_from_the_whole_pool(spark):
