@@ -10,73 +10,97 @@ then finds its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabassay.llm.shared import Recent, map_batches, slices, written
+from tabassay.llm.shared import map_batches, slices, written
+from tabassay.llm.trie_bpe import byte_characters
 
 WINDOW = 1024
 SEPARATOR = 0
-#: About so many chunks' ids a Python worker remembers.
-CACHE = 200_000
+#: Fixed value: how the vocabulary's file cuts texts into words.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+LONG_SPACE = 10_000
 #: Pieces of one length are ranked in groups of about this many rows, at most MAX_BUCKETS groups.
 BUCKET_ROWS = 512
 MAX_BUCKETS = 8192
 
 
-class ChunkEncoder:
-    """The tokenizers library behind a memory of chunks.
-
-    The vocabulary's rule never joins a character that is not white space with a
-    space behind it, so a text between two single spaces, with the space before
-    it, has the same ids wherever it stands.
+@lru_cache(maxsize=2)
+def vocabulary_ids(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ids of the file's byte strings, and of its special tokens.
+
+    A plain encoder merges two neighbours if their bytes together are in the
+    vocabulary, the one with the smallest id first. That is what the file says only if
+    ids rise with the merges and every token comes out of merging its own bytes: then
+    no other two tokens ever stand side by side that make up the same bytes. A file
+    for which it does not hold is refused.
     """
-
-    def __init__(self, path: str) -> None:
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    special = {x["content"]: x["id"] for x in content["added_tokens"]}
+    ids = {t: i for t, i in content["model"]["vocab"].items() if t not in special}
+    pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in content["model"]["merges"]]
+    ranks = {pair: rank for rank, pair in enumerate(pairs)}
+    made = [ids[a + b] for a, b in pairs]
+    if any(x >= y for x, y in zip(made, made[1:], strict=False)) or any(merged(t, ranks) != [t] for t in ids):
+        raise ValueError(f"the merges of {path} do not follow from its tokens")
+    back = {c: b for b, c in enumerate(byte_characters())}
+    return {bytes(back[c] for c in t): i for t, i in ids.items()}, special
+
+
+def merged(token: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The characters of a token, merged by the lowest rank first."""
+    parts = list(token)
+    while len(parts) > 1:
+        rank, at = min((ranks.get(p, len(ranks)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == len(ranks):
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+class ByteEncoder:
+    """Ids of whole texts as bytes, with nothing remembered between them."""
+
+    def __init__(self, path: str, ids: dict[bytes, int], special: dict[str, int]) -> None:
+        import tiktoken
+
+        self.path = path
+        self.plain = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ids, special_tokens={})
+        # Special tokens within a text, and runs of white space that a pattern may give up on, are for the library.
+        self.odd = re.compile("|".join([*map(re.escape, special), rf"\s{{{LONG_SPACE},}}"]))
+
+    @cached_property
+    def library(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # White space beside a space, or a special token: such a text is encoded in one piece.
-        self.whole = re.compile(r" \s|\s |" + "|".join(map(re.escape, special)) if special else r" \s|\s ")
-        self.chunks: Recent[str, bytes] = Recent(CACHE)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+        return Tokenizer.from_file(self.path)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut: list[list[str] | None] = []
-        wanted: set[str] = set()
         for text in texts:
-            if self.whole.search(text):
-                cut.append(None)
+            if self.odd.search(text):
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                yield struct.pack(f"<{len(ids)}I", *ids)
             else:
-                # Chunks but the first have lost the space before them; the first is marked by one.
-                first, *rest = text.split(" ")
-                cut.append([" " + first, *rest])
-                wanted.update(cut[-1])
-        new = list(self.chunks.missing(wanted))
-        spaced = [x[1:] if x.startswith(" ") else " " + x for x in new]
-        self.chunks.now.update(zip(new, self._ids(spaced), strict=True))
-        find = self.chunks.now.__getitem__
-        for text, parts in zip(texts, cut, strict=True):
-            yield self._ids([text])[0] if parts is None else b"".join(map(find, parts))
+                yield self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def _encoder(path: str, shared: Broadcast) -> ByteEncoder:
+    return ByteEncoder(path, *shared.value)
 
 
 def pieces(
@@ -93,8 +117,11 @@ def pieces(
     of one id. Every row is cut for itself, repeated rows too.
     """
 
+    # Checked once; its size is that of the vocabulary.
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary_ids(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(vocabulary, shared)
         end = SEPARATOR.to_bytes(4, "little")
         for rows, texts in slices(batches, "text"):
             at, start, length, crc, tokens, ids = [], [], [], [], [], []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -22,7 +23,7 @@ from tabassay.llm.graph import components
 from tabassay.llm.language_mixture import identify, learn
 from tabassay.llm.line_dedup import remove_lines
 from tabassay.llm.ngram_join import near_duplicates
-from tabassay.llm.packing import combinations, pack_documents, plan
+from tabassay.llm.packing import ByteEncoder, combinations, pack_documents, plan, vocabulary_ids
 from tabassay.llm.quality_rules import PRIOR_ROWS, RULES, fences, judge, sketch_bucket
 from tabassay.llm.repeated_bytes import merged_blocks, remove_repeats
 from tabassay.llm.template_extract import extract_block, main_text
@@ -483,6 +484,29 @@ def test_language_mixture(spark, empty):
     assert {r["lang_pred"] for r in identify(train_, none).collect()} == {"und"}
 
 
+def test_byte_encoder_is_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = ByteEncoder(path, *vocabulary_ids(path)), Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [
+        f"a{x}1{x} {x}, {x}{x}" for x in points
+    ] + ["", "a" + " " * 9_999 + "b", "a" + " " * 20_000 + "b", "x" * 20_000, "a <|endoftext|> b", "\n\n a", "it's I'LL", _prose(5, 500)]
+    for first in range(0, len(texts), 50_000):
+        part = texts[first : first + 50_000]
+        found = library.encode_batch_fast(part, add_special_tokens=False)
+        assert list(encoder.encode(part)) == [np.array(x.ids, "<u4").tobytes() for x in found]
+
+
+def test_vocabularies_that_do_not_follow_from_their_tokens_are_refused(tmp_path):
+    # "bc" is merged before "ab", so "abc" never comes from "ab" and "c".
+    vocab = {"a": 0, "b": 1, "c": 2, "bc": 3, "ab": 4, "abc": 5}
+    content = {"added_tokens": [], "model": {"vocab": vocab, "merges": ["b c", "a b", "ab c"]}}
+    file = tmp_path / "odd.json"
+    file.write_text(json.dumps(content))
+    with pytest.raises(ValueError):
+        vocabulary_ids(str(file))
+
+
 def test_cotraining(spark):
     good = [(i, _prose(i, 90), "aa", "s") for i in range(160)]
     bad = [(1000 + i, " | ".join(["buy###", "now%%%"] * 40), "aa", "t") for i in range(60)]
