@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabassay.llm.pair_groups import deal
-from tabassay.llm.shared import discard, map_batches, row_hashes, same, scratch, ship_package, slices, written
+from tabassay.llm.postings import Members, shared_members
+from tabassay.llm.shared import discard, map_batches, same, scratch, ship_package, slices, written
 from tabassay.llm.shingles import (
     BUCKET_BITS,
     PERCENT,
@@ -35,9 +35,6 @@ from tabassay.llm.shingles import (
     words_of,
 )
 
-#: Rows of a frequent token that are looked at together.
-HOT_ROWS = 500
-
 
 def _lines(texts: list[bytes], short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and number in its text of every line with a shingle; place in that list and hash of every shingle."""
@@ -45,7 +42,9 @@ def _lines(texts: list[bytes], short: bool) -> tuple[np.ndarray, np.ndarray, np.
     breaks = np.flatnonzero(words.data == 10)
     line = np.searchsorted(breaks, words.start)
     segment, hashes = shingles_of(words.hash, line, short)
-    found, place = np.unique(segment, return_inverse=True)
+    new = np.ones(len(segment), bool)
+    new[1:] = segment[1:] != segment[:-1]
+    found, place = segment[new], np.cumsum(new) - 1
     # The break after each text counts as one, so a text's first line follows from its end.
     ends = np.cumsum([len(x) + 1 for x in texts]) - 1
     last = np.searchsorted(breaks, ends)
@@ -78,38 +77,31 @@ def _signatures(docs: DataFrame, short: bool) -> tuple[DataFrame, Rarity]:
     counts = both.filter("n = 0").groupBy("line").agg(F.sum("s1").alias("n")).toPandas()
     table = np.zeros(1 << BUCKET_BITS, np.int64)
     table[counts["line"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return both.filter("n > 0"), Rarity(table)
+    lines = both.filter("n > 0")
+    lines._tabassay_path = both._tabassay_path
+    return lines, Rarity(table)
 
 
-def _prefixes(docs: DataFrame, rarity: Rarity, short: bool) -> DataFrame:
-    """(token, salt, doc, line, at): a row per prefix member; `at` packs set size and place.
+def _shared_prefixes(docs: DataFrame, rarity: Rarity, short: bool) -> DataFrame:
+    """(token, owner, at): prefix members that different sets share; `at` packs set size and place.
 
-    Tokens that the sketch shows to be frequent are dealt out by a salt of 0 and
-    more, others have -1.
+    `owner` is the first half of the set's digest.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for rows, texts in slices(batches, "text"):
-            row, line, segment, hashes = _lines(texts, short)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Members]:
+        for _, texts in slices(batches, "text"):
+            row, _, segment, hashes = _lines(texts, short)
             keys, begins = sorted_sets(segment, rarity.keys(hashes), len(row))
             size = np.diff(begins)
             length = size - -(-PERCENT * size // 100) + 1
             own = np.repeat(np.arange(len(row)), length)
             place = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
-            member = begins[:-1][own] + place
-            salts = np.ceil(rarity.expected(keys[member]) / HOT_ROWS).astype(np.int64)
-            lines = row_hashes(rows.column("doc"))[row] + line.astype(np.uint64)
-            dealt = (lines[own] % np.maximum(salts, 1).astype(np.uint64)).astype(np.int64)
-            yield {
-                "token": keys[member].view(np.int64),
-                "salt": np.where(salts > 1, dealt, -1),
-                "doc": rows.column("doc").take(pa.array(row[own], pa.int64())),
-                "line": line[own],
-                "at": size[own] << 32 | place,
-            }
+            token = keys[begins[:-1][own] + place]
+            # The digest is that of the hashes themselves, as in `_signatures`.
+            owner = digests(*sorted_sets(segment, hashes, len(row)))[0][own]
+            yield token.view(np.int64), owner, size[own] << 32 | place, rarity.expected(token)
 
-    kind = docs.schema["doc"].dataType.simpleString()
-    return map_batches(docs, run, f"token long, salt int, doc {kind}, line long, at long")
+    return shared_members(docs, run, rarity.total * (100 - PERCENT) // 100)
 
 
 def _possible(a: str, b: str) -> Column:
@@ -191,50 +183,34 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
     # Equal sets: the first line stands for all.
     signed, rarity = _signatures(docs, short)
     classes = signed.groupBy("n", "s1", "s2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+    classes = written(classes, "classes")
     several = classes.filter("c > 1").select(*(F.col(c).alias(f"_{c}") for c in ("n", "s1", "s2")), "first")
     copies = signed.join(
-        written(several, "several"),
-        (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")),
+        several, (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))
     )
     copies = written(copies.filter(~same(place, F.col("first"))).select("doc", "line").distinct(), "copies")
+    discard(signed)
 
-    together = W.partitionBy("token", "salt")
-    members = _prefixes(docs, rarity, short).withColumns(
-        {"c": F.count(F.lit(1)).over(together), "first": F.min(F.struct("doc", "line", "at")).over(together)}
-    )
-    postings = members.filter("c > 1 OR salt >= 0").select("token", "salt", place.alias("a"), "at", "first")
+    members = written(_shared_prefixes(docs, rarity, short), "members")
+    postings = members.join(
+        classes.select("s1", "first"), F.col("owner") == F.col("s1")
+    ).select("token", F.col("first").alias("a"), "at")
     postings = written(postings, "postings")
-    met = postings.select(
-        "token", "a", "at", F.struct("first.doc", "first.line").alias("b"), F.col("first.at").alias("b_at")
-    )
-    # The first lines of a frequent token's parts meet the first of all.
-    parts = postings.filter("salt >= 0").select("token", "first").distinct()
-    whole = parts.groupBy(F.col("token").alias("_t")).agg(F.min("first").alias("x"))
-    parts = parts.join(written(whole, "whole"), F.col("token") == F.col("_t")).select(
-        "token",
-        F.struct("first.doc", "first.line").alias("a"),
-        "first.at",
-        F.struct("x.doc", "x.line").alias("b"),
-        F.col("x.at").alias("b_at"),
-    )
+    discard(members, classes)
     # Each line is first compared with the one that leads most of its prefix.
-    met = met.union(parts).filter(~same(F.col("a"), F.col("b")) & _possible("at", "b_at"))
+    leads = postings.groupBy(F.col("token").alias("_t")).agg(F.min(F.struct("a", "at")).alias("x"))
+    met = postings.join(leads, F.col("token") == F.col("_t"))
+    met = met.select("a", "at", F.col("x.a").alias("b"), F.col("x.at").alias("b_at"))
+    met = met.filter(~same(F.col("a"), F.col("b")) & _possible("at", "b_at"))
     best = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("a")
     best = best.agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
-    equal = copies.select(place.alias("_a"))
-    best = best.join(equal, same(F.col("a"), F.col("_a")), "left_anti")
     matched = _matched(docs, best, short)
 
     settled = written(copies.union(matched).select(place.alias("_a")).distinct(), "settled")
-    rest = postings.select("token", "a", "at").join(settled, same(F.col("a"), F.col("_a")), "left_anti")
+    rest = postings.join(settled, same(F.col("a"), F.col("_a")), "left_anti")
     rest = rest.select(F.col("token").alias("l_token"), F.col("a").alias("l"), F.col("at").alias("l_at"))
-    # Equal lines need not be met twice: the first of them is earlier than all.
-    firsts = postings.select("token", "a", "at").join(equal, same(F.col("a"), F.col("_a")), "left_anti")
-    firsts = written(firsts, "firsts")
-    rest = written(rest, "rest")
-    discard(postings)
-    pairs = rest.join(
-        firsts.select(F.col("token").alias("r_token"), F.col("a").alias("r"), F.col("at").alias("r_at")),
+    pairs = written(rest, "rest").join(
+        postings.select(F.col("token").alias("r_token"), F.col("a").alias("r"), F.col("at").alias("r_at")),
         (F.col("l_token") == F.col("r_token")) & (F.col("l") > F.col("r")) & _possible("l_at", "r_at"),
     )
     more = _matched(docs, _enough_shared(pairs), short)

@@ -145,6 +145,7 @@ class Rarity:
     """An order of shingles, rare ones first: a total order, whatever the sketch mixes up."""
 
     def __init__(self, table: np.ndarray) -> None:
+        self.total = int(table.sum())
         usual = max(float(np.median(table)), 1.0)
         # What a bucket holds beyond the usual, less its scatter, comes from frequent shingles.
         self.excess = np.maximum(table - usual - 4 * np.sqrt(usual), 0)
@@ -162,13 +163,25 @@ class Rarity:
 
 def sorted_sets(segment: np.ndarray, keys: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of each segment in order, and where each of `count` segments begins."""
-    order = np.lexsort((keys, segment))
+    order = _by_segment_and_key(segment, keys, count)
     segment, keys = segment[order], keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = (segment[1:] != segment[:-1]) | (keys[1:] != keys[:-1])
     return keys[new], np.searchsorted(segment[new], np.arange(count + 1))
 
 
+def _by_segment_and_key(segment: np.ndarray, keys: np.ndarray, count: int) -> np.ndarray:
+    """The order by segment, then key; of one packed number, where no two keys of a segment begin alike."""
+    if count < 1 << 20:
+        low = np.uint64(20)
+        order = np.argsort(segment.astype(np.uint64) << np.uint64(44) | keys >> low)
+        s, k = segment[order], keys[order]
+        alike = (s[1:] == s[:-1]) & (k[1:] >> low == k[:-1] >> low) & (k[1:] != k[:-1])
+        if not alike.any():
+            return order
+    return np.lexsort((keys, segment))
+
+
 def digests(keys: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that stand for each segment's set, in two parts; 0 for an empty set."""
     parts = []
