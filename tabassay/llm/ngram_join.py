@@ -8,9 +8,9 @@ the k that promises the least work, given how frequent its first shingles are;
 a pair is held to the smaller k of its two documents.
 
 Links are wanted up to reachability, so a group of n copies needs no n * n pairs:
-equal sets become one class, every class is first compared with the earliest class
-that shares most of its prefix, and later only pairs in different components are
-looked at. No pair that could join two components is left out.
+equal sets become one class, in a few turns every class is compared with one leader
+that shares most of its prefix and is in another component, and then all pairs left in
+different components are looked at. No pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -20,15 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabassay.llm.graph import components
 from tabassay.llm.pair_groups import deal
+from tabassay.llm.postings import Members, shared_members
 from tabassay.llm.shared import (
     discard,
     map_batches,
-    row_hashes,
     runs_of_bytes,
     scratch,
     ship_package,
@@ -50,8 +49,10 @@ from tabassay.llm.shingles import (
 MOST_SHARED = 8
 #: What verifying a candidate costs per member of the set, in rows of the prefix table.
 VERIFY_COST = 1 / 16
-#: Rows of a frequent token that are looked at together.
-HOT_ROWS = 500
+#: Times every document is compared with a leader of its prefix before the pairs left are met token by token.
+LEADER_TURNS = 4
+#: Pairs for each posting up to which the pairs left are met at once.
+MEETINGS = 2
 #: Pairs verified together on average: their whole texts are in one task's memory.
 GROUP_PAIRS = 500
 
@@ -86,16 +87,14 @@ def signatures(df: DataFrame) -> DataFrame:
     return map_batches(df, run, f"doc {kind}, n long, s1 long, s2 long")
 
 
-def prefixes(df: DataFrame, rarity: Rarity) -> DataFrame:
-    """(token, salt, doc, at): a row per prefix member; `at` packs set size, place and k.
+def shared_prefixes(df: DataFrame, rarity: Rarity) -> DataFrame:
+    """(token, owner, at): prefix members that different sets share; `at` packs set size, place and k.
 
-    The sketch shows which tokens are frequent. Their rows are dealt out by a salt
-    of 0 and more; other tokens have -1. A token that the sketch cannot tell from
-    the rest has fewer rows than its scatter, which is little against a partition.
+    `owner` is the first half of the set's digest.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for rows, texts in slices(batches, "text"):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Members]:
+        for _, texts in slices(batches, "text"):
             _, segment, hashes = text_segments(texts)
             keys, begins = sorted_sets(segment, rarity.keys(hashes), len(texts))
             expected = rarity.expected(keys)
@@ -107,17 +106,11 @@ def prefixes(df: DataFrame, rarity: Rarity) -> DataFrame:
             row = np.repeat(np.arange(len(texts)), length)
             place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
             member = begins[:-1][row] + place
-            salts = np.ceil(expected[member] / HOT_ROWS).astype(np.int64)
-            dealt = (row_hashes(rows.column("doc"))[row] % np.maximum(salts, 1).astype(np.uint64)).astype(np.int64)
-            yield {
-                "token": keys[member].view(np.int64),
-                "salt": np.where(salts > 1, dealt, -1),
-                "doc": rows.column("doc").take(pa.array(row, pa.int64())),
-                "at": size[row] << 32 | place << 4 | k[row],
-            }
+            # The digest is that of the hashes themselves, as in `signatures`.
+            owner = digests(*sorted_sets(segment, hashes, len(texts)))[0][row]
+            yield keys[member].view(np.int64), owner, size[row] << 32 | place << 4 | k[row], expected[member]
 
-    kind = df.schema["doc"].dataType.simpleString()
-    return map_batches(df, run, f"token long, salt int, doc {kind}, at long")
+    return shared_members(df, run, rarity.total * (100 - PERCENT) // 100)
 
 
 def _possible(a: str, b: str) -> Column:
@@ -191,58 +184,30 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     several = classes.filter("c > 1").select(*(F.col(c).alias(f"_{c}") for c in ("n", "s1", "s2")), "first")
     # Equal sets are linked to the first document that has them; only that one is compared further.
     copies = some.join(
-        written(several, "several"),
+        several,
         (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")),
     )
     copies = written(copies.filter("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")), "copies")
-    # An id may also have a set that it has first; that one is still compared.
-    leading = classes.select(F.col("first").alias("_first"))
-    settled = copies.select(F.col("a").alias("_a")).distinct().join(leading, F.col("_a") == F.col("_first"), "left_anti")
-    settled = written(settled, "settled")
-
     rarity = Rarity(frequencies(docs, "text", text_segments))
-    together = W.partitionBy("token", "salt")
-    members = prefixes(docs, rarity).withColumns(
-        {"c": F.count(F.lit(1)).over(together), "first": F.min(F.struct("doc", "at")).over(together)}
-    )
-    postings = members.filter("c > 1 OR salt >= 0").select(
-        "token", "salt", "doc", "at", F.col("first.doc").alias("lead"), F.col("first.at").alias("lead_at")
-    )
-    postings = written(postings, "postings")
-    met = postings.filter("doc <> lead").select("token", F.col("doc").alias("a"), "at", F.col("lead").alias("b"), "lead_at")
-    # The first documents of a frequent token's parts meet the first of all.
-    parts = postings.filter("salt >= 0").select("token", F.col("lead").alias("a"), F.col("lead_at").alias("at")).distinct()
-    whole = parts.groupBy("token").agg(F.min(F.struct("a", "at")).alias("x"))
-    whole = written(whole.select(F.col("token").alias("_t"), F.col("x.a").alias("b"), F.col("x.at").alias("lead_at")), "whole")
-    parts = parts.join(whole, F.col("token") == F.col("_t"))
-    parts = written(parts.filter("a <> b").select("token", "a", "at", "b", "lead_at"), "parts")
-    last_read = [postings, whole, parts]
-    met = met.union(parts)
-    counted = met.groupBy("a", "b").agg(
-        F.sum(_possible("at", "lead_at").cast("long")).alias("shared")
-    )
-    counted = written(counted, "counted")
-    # Each document is first compared with the one that leads most of its prefix.
-    best = counted.filter("shared > 0").groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select("a", "x.b")
-    best = best.join(settled, F.col("a") == F.col("_a"), "left_anti")
-    links = _linked(docs, best).union(copies)
-
-    # From here on only pairs whose ends are in different components can matter.
-    known = written(components(links), "components")
-    known = known.join(settled.withColumn("copy", F.lit(True)), F.col("node") == F.col("_a"), "left")
-    known = written(known.select("node", "component", F.coalesce("copy", F.lit(False)).alias("copy")), "known")
-    x, y = (known.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_in")) for c in "xy")
-    apart = counted.join(x, F.col("a") == F.col("x_node"), "left").join(y, F.col("b") == F.col("y_node"), "left")
-    apart = apart.filter(F.coalesce("x_in", "a") != F.coalesce("y_in", "b")).select(
-        F.col("a").alias("_a"), F.col("b").alias("_b")
-    )
-    mixed = met.join(written(apart, "apart"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_semi")
-    mixed = written(mixed.select(F.col("token").alias("_token")).distinct(), "mixed")
-    open_ = postings.select("token", "doc", "at").join(mixed, F.col("token") == F.col("_token")).drop("_token")
-    open_ = open_.join(known, F.col("doc") == F.col("node"), "left").filter("copy IS NULL OR NOT copy")
-    open_ = open_.select("token", "doc", "at", F.coalesce("component", "doc").alias("component"))
-    open_ = written(open_, "open")
-    discard(*last_read, counted)
+    members = written(shared_prefixes(docs, rarity), "members")
+    # A set's first document stands for it from here on.
+    postings = members.join(classes.select("s1", "first"), F.col("owner") == F.col("s1"))
+    postings = written(postings.select("token", F.col("first").alias("doc"), "at"), "postings")
+    discard(members)
+    rows = postings.count()
+    links, known = copies, None
+    for turn in range(LEADER_TURNS):
+        open_ = written(_open(postings, known), "open")
+        if turn and _meetings(open_) <= MEETINGS * rows:
+            break
+        best = written(_best_leaders(open_, turn), "best")
+        if best.isEmpty():
+            break
+        links = links.union(_linked(docs, best))
+        known = written(components(links), "components")
+    # What is left: pairs of different components.
+    open_ = written(_open(postings, known), "open")
+    discard(postings)
     l, r = (open_.select(*(F.col(c).alias(f"{s}_{c}") for c in open_.columns)) for s in "lr")
     crossing = l.join(
         r,
@@ -251,8 +216,7 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
         & (F.col("l_component") != F.col("r_component"))
         & _possible("l_at", "r_at"),
     )
-    enough = _enough_shared(crossing)
-    more = _linked(docs, enough)
+    more = _linked(docs, _enough_shared(crossing))
     final = written(components(links.union(more)), "components")
     found = classes.join(final, F.col("first") == F.col("node"), "left")
     return written(
@@ -260,6 +224,41 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     )
 
 
+def _open(postings: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(token, doc, at, component): postings of tokens that still stand in several components."""
+    if known is None:
+        return postings.withColumn("component", F.col("doc"))
+    placed = postings.join(known, F.col("doc") == F.col("node"), "left")
+    placed = written(
+        placed.select("token", "doc", "at", F.coalesce("component", "doc").alias("component")), "placed"
+    )
+    ends = placed.groupBy(F.col("token").alias("_token")).agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    mixed = written(ends.filter("x <> y").select("_token"), "mixed")
+    return placed.join(mixed, F.col("token") == F.col("_token"), "left_semi")
+
+
+def _meetings(open_: DataFrame) -> int:
+    """How many pairs of postings have the same token."""
+    counts = open_.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    return int(counts.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0)
+
+
+def _best_leaders(open_: DataFrame, turn: int) -> DataFrame:
+    """(a, b): every document with the one that leads most of its open prefix members, if that is in another component.
+
+    In the first turn the smallest document leads a token, later another in an order
+    by hash, the same for all tokens.
+    """
+    rank = F.xxhash64("doc", F.lit(turn)) if turn else F.lit(0).cast("long")
+    leads = open_.groupBy(F.col("token").alias("_token")).agg(
+        F.min(F.struct(rank.alias("rank"), "doc", "at", "component")).alias("x")
+    )
+    met = open_.join(leads, F.col("token") == F.col("_token")).filter(F.col("component") != F.col("x.component"))
+    met = met.select(F.col("doc").alias("a"), "at", F.col("x.doc").alias("b"), F.col("x.at").alias("lead_at"))
+    counted = met.filter(_possible("at", "lead_at")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return counted.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select("a", "x.b")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_shingles, component): one row per row of `df`.
 
