@@ -203,9 +203,12 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
         best = written(_best_leaders(open_, turn), "best")
         if best.isEmpty():
             break
-        links = links.union(_linked(docs, best))
+        found = _linked(docs, best)
+        links = links.union(found)
+        if turn and 100 * found.count() < best.count():  # the documents that meet are not similar
+            break
         known = written(components(links), "components")
-    # What is left: pairs of different components.
+    # What is left: pairs of different components, by the links counted so far.
     open_ = written(_open(postings, known), "open")
     discard(postings)
     l, r = (open_.select(*(F.col(c).alias(f"{s}_{c}") for c in open_.columns)) for s in "lr")
