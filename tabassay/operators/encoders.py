@@ -158,6 +158,14 @@ def one_hot(
     return _replace(df, _slots(df, sizes).transform(numbers), columns)
 
 
+def hot_slot(name: str) -> Column:
+    """The slot that is set in a one-hot vector; NULL if none is.
+
+    It is read from the sparse vector, which has one entry however many slots there are.
+    """
+    return F.get(F.unwrap_udt(col(name)).getField("indices"), F.lit(0)).cast("bigint")
+
+
 def hash_slot(name: str, value: Column, width: int) -> tuple[Column, Column]:
     """Slot and sign of a value: from the md5 of column name and value, each with its length."""
     digest = F.md5(F.concat(cell_text(F.lit(name)), cell_text(value)))

@@ -71,8 +71,7 @@ def _one_hot(spark, sf, small_rows=None):
     vocabulary, small = features.fit_vocabulary(teach, ["supplier", "l_linestatus"], small_rows)
     out = encoders.one_hot(rows, vocabulary, ["supplier", "l_linestatus"], small)
     shown = lambda c: F.array_join(F.transform(vector_to_array(c), lambda x: x.cast("int").cast("string")), "")
-    slot = F.array_position(vector_to_array("supplier"), 1.0).cast("bigint") - 1
-    return out.select("key", slot.alias("slot"), shown("l_linestatus").alias("status"))
+    return out.select("key", encoders.hot_slot("supplier").alias("slot"), shown("l_linestatus").alias("status"))
 
 
 @query

@@ -77,6 +77,18 @@ def test_one_hot(spark, table, small_rows, drop):
     assert all(r["v"] == want[texts[r["id"]]["small"]] for r in rows(out))
 
 
+def test_slot_of_a_wide_vector_is_read_from_its_one_entry(spark):
+    words = [(i, f"w{i:05d}") for i in range(5000)] + [(5000, None)]
+    df = spark.createDataFrame(words, "id int, c string")
+    vocabulary, small = features.fit_vocabulary(df.where("id % 2 = 0"), ["c"])
+    out = encoders.one_hot(df, vocabulary, ["c"], small).select("id", encoders.hot_slot("c").alias("slot"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "unwrap_udt" in plan.lower() or "UnwrapUDT" in plan
+    got = {r["id"]: r["slot"] for r in rows(out)}
+    # 'missing' sorts before 'w'; odd ones are unseen
+    assert got == {i: None if i % 2 else i // 2 + 1 for i in range(5000)} | {5000: 0}
+
+
 def test_vectors_train_a_forest(table):
     plan = {"small": ["one_hot_encode"], "grp": ["high_cardinality_encode"], "pos": ["standard_scale"]}
     params = transforms.fit_plan(table, plan, options=transforms.Options(hash_width=8))
