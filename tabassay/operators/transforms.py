@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, kinds, melt, number
 from ..functions.ordering import quantiles
+from ..functions.storage import kept
 from .encoders import (
     HASH_WIDTH,
     SMOOTHING,
@@ -41,6 +42,8 @@ PRODUCT = ("polynomial_features", "interaction_features")
 # The exponent is searched for between these ends, by so many candidates per scan.
 EXPONENTS = (-5.0, 5.0)
 CANDIDATES = 33
+# Candidates that one row is added to at once; more aggregates than Spark compiles together are slower.
+TOGETHER = 11
 EXPONENT_STEP = 1e-4
 # The grid of exponents meets 0 up to rounding.
 ZERO = 1e-9
@@ -151,13 +154,21 @@ def box_cox_exponents(
     if not values:
         return {}
     names = list(values)
+    cells = {c: F.col(f"v{i}") for i, c in enumerate(names)}
+    with kept(df.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())])) as narrow:
+        return _exponents(narrow, cells, step)
+
+
+def _exponents(
+    df: DataFrame, values: Mapping[str, Column], step: float
+) -> dict[str, tuple[float, float, float]]:
     row = df.agg(*[
         F.struct(F.count(v), F.min(v), F.max(v), F.avg(F.ln(v))).alias(f"s{i}")
         for i, v in enumerate(values.values())
     ]).first()
     found: dict[str, tuple[float, float, float]] = {}
     logs: dict[str, float] = {}
-    for i, c in enumerate(names):
+    for i, c in enumerate(values):
         n, low, high, log = row[i]
         if n and low <= 0:
             raise ValueError(f"Box-Cox needs positive values, column {c!r} has {low}")
@@ -173,33 +184,41 @@ def box_cox_exponents(
         unit = [
             F.struct(
                 F.lit(c).alias("column"),
-                (values[c] / F.lit(math.exp(logs[c]))).alias("unit"),
-                F.array(*[F.lit(e) for e in grid]).alias("grid"),
+                F.lit(first).alias("first"),
+                (F.ln(values[c]) - F.lit(logs[c])).alias("log"),
+                F.array(*[F.lit(e) for e in grid[first : first + TOGETHER]]).alias("grid"),
             )
             for c, grid in tried.items()
+            for first in range(0, CANDIDATES, TOGETHER)
         ]
-        # A narrow map and a partial sum per candidate: no more than a row per candidate leaves a task.
-        curve = F.when(F.abs("e") < ZERO, F.ln("unit")).otherwise((F.pow("unit", "e") - 1) / F.col("e"))
-        rows = (
-            melt(df, unit).select("column", "unit", F.posexplode("grid").alias("k", "e"))
-            .groupBy("column", "k").agg(F.avg(curve).alias("mean"), F.var_pop(curve).alias("variance")).collect()
-        )
-        moments = {(r["column"], r["k"]): (r["mean"], r["variance"]) for r in rows}
+        # A row per value and so many candidates: each is added to all of them at once.
+        curves = [_curve(F.col("log"), F.get("grid", F.lit(k))) for k in range(TOGETHER)]
+        pairs = F.array(*[F.struct(F.avg(v).alias("mean"), F.var_pop(v).alias("variance")) for v in curves])
+        moments = {
+            (r["column"], r["first"] + k): pair
+            for r in melt(df, unit).groupBy("column", "first").agg(pairs.alias("pairs")).collect()
+            for k, pair in enumerate(r["pairs"])
+        }
         for c, grid in tried.items():
             here = [moments[c, k] for k in range(CANDIDATES)]
-            best = min(range(CANDIDATES), key=lambda k: here[k][1])
+            best = min(range(CANDIDATES), key=lambda k: here[k]["variance"])
             e = grid[best]
             low, high = grid[max(best - 1, 0)], grid[min(best + 1, CANDIDATES - 1)]
             if grid[1] - grid[0] <= step:
                 grown = math.exp(logs[c] * e)
                 base = logs[c] if abs(e) < ZERO else (grown - 1) / e
-                found[c] = (e, grown * here[best][0] + base, grown * grown * here[best][1])
+                found[c] = (e, grown * here[best]["mean"] + base, grown * grown * here[best]["variance"])
                 del spans[c]
             else:
                 spans[c] = (low, high)
     return found
 
 
+def _curve(log: Column, exponent: Column) -> Column:
+    """Box-Cox of the value whose logarithm is given."""
+    return F.when(F.abs(exponent) < ZERO, log).otherwise((F.exp(exponent * log) - 1) / exponent)
+
+
 # --- fitting -----------------------------------------------------------------
 
 

@@ -130,6 +130,20 @@ def test_box_cox_exponent(table):
     assert (mean, variance) == (pytest.approx(y.mean()), pytest.approx(y.var()))
 
 
+@pytest.mark.parametrize("e", [-2.0, 0.0, 0.3, 3.0])
+def test_box_cox_from_logarithms(spark, e):
+    df = spark.createDataFrame([(0.5,), (1.0,), (7.0,), (None,)], "x double")
+    curve = transforms._curve(F.ln("x"), F.lit(e))
+    got = rows(df.select(curve.alias("a"), transforms.box_cox(F.col("x"), e).alias("b")))
+    assert all(r["a"] == (None if r["b"] is None else pytest.approx(r["b"], rel=1e-12)) for r in got)
+
+
+def test_box_cox_candidates_are_compiled_together(spark):
+    # mean and variance keep five numbers per candidate, beside the two keys
+    most = int(spark.conf.get("spark.sql.codegen.maxFields"))
+    assert transforms.CANDIDATES % transforms.TOGETHER == 0 and 5 * transforms.TOGETHER + 2 <= most
+
+
 def test_box_cox_of_odd_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 2.0, None)], "a double, b double, c double")
     found = transforms.box_cox_exponents(df.where("a > 0"), {"b": F.col("b"), "c": F.col("c")})
