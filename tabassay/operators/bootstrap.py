@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..functions.hashing import key_text, poisson1, uniform
 from ..functions.ordering import numbered
+from ..functions.storage import stored
 from .metrics import CLASSIFICATION, _labels, _r2, error_sums, metrics_of_cells
 
 # Replicates, confidence and seed of an interval.
@@ -88,6 +89,28 @@ def _drawn(rows: DataFrame, key: Column, replicates: int, seed: int) -> DataFram
     return draws.join(placed, "position").drop("position")
 
 
+def _error_units(df: DataFrame, unit: Column, truth: Column, guess: Column, around: bool) -> DataFrame:
+    """Error sums per unit in one scan, with sums and squares of the truth ``around`` its mean if asked.
+
+    Rows without truth or guess are left out by NULL terms and not by a filter, which
+    would compute the guess of each row once more. Squares are summed around the mean of
+    the unit and then moved to that of all: no digits are lost to a large offset.
+    """
+    both = F.col("_truth").isNotNull() & F.col("_guess").isNotNull()
+    sums = [F.sum(F.when(both, t)).alias(name) for name, t in error_sums(F.col("_truth"), F.col("_guess")).items()]
+    own = F.when(both, F.col("_truth"))
+    moments = [F.avg(own).alias("_mean"), F.var_pop(own).alias("_variance")] if around else []
+    rows = df.select(unit, truth.alias("_truth"), guess.alias("_guess"))
+    # Stored, so that no condition of a later join is checked on the hash of every row.
+    found = stored(rows.groupBy("unit").agg(*sums, *moments).where(F.col("n") > 0))  # one row per unit
+    if not around:
+        return found
+    center = found.agg(F.try_divide(F.sum(F.col("n") * F.col("_mean")), F.sum("n"))).first()[0]
+    off = F.col("_mean") - F.lit(center).cast("double")
+    squares = F.col("n") * (F.col("_variance") + off * off)
+    return found.withColumns({"y": F.col("n") * off, "yy": squares}).drop("_mean", "_variance")
+
+
 def bootstrap_scores(
     df: DataFrame,
     keys: Sequence[Column | str],
@@ -119,16 +142,16 @@ def bootstrap_scores(
             "replicate", F.col(metric).alias("score")
         )
     truth, guess = col(y).cast("double"), col(yhat).cast("double")
-    kept = df.where(truth.isNotNull() & guess.isNotNull())
-    # Squares are summed around the mean: no digits are lost to a large offset.
-    center = F.lit(kept.agg(F.avg(truth)).first()[0]).cast("double") if metric == "r2" else F.lit(0.0)
-    terms = error_sums(truth, guess) | {"y": truth - center, "yy": (truth - center) * (truth - center)}
     if method == "exact":
+        kept = df.where(truth.isNotNull() & guess.isNotNull())
+        # Squares are summed around the mean: no digits are lost to a large offset.
+        center = F.lit(kept.agg(F.avg(truth)).first()[0]).cast("double") if metric == "r2" else F.lit(0.0)
+        terms = error_sums(truth, guess) | {"y": truth - center, "yy": (truth - center) * (truth - center)}
         named = kept.select(key_text(keys).alias("key"), *[t.alias(name) for name, t in terms.items()])
         drawn = _drawn(named, F.col("key"), replicates, seed).drop("key")
     else:
-        sums = kept.groupBy(unit).agg(*[F.sum(t).alias(name) for name, t in terms.items()])
-        drawn = _weighted(sums, all_units, units, replicates, seed)
+        drawn = _weighted(_error_units(df, unit, truth, guess, metric == "r2"), all_units, units, replicates, seed)
+        terms = [c for c in drawn.columns if c not in ("unit", "replicate", "weight")]
     total = drawn.groupBy("replicate").agg(
         *[F.sum(F.col(name) * F.col("weight")).alias(name) for name in terms]
     )

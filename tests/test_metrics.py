@@ -257,3 +257,21 @@ def test_fairness_summary(spark, sliced):
     assert fairness.require_fair(slices).count() == 1
     with pytest.raises(ValueError, match="High disparity"):
         fairness.require_fair(slices, "block")
+
+
+@pytest.mark.parametrize("metric", ["mae", "r2"])
+def test_error_units_take_the_guess_once(spark, metric):
+    rng = np.random.default_rng(5)
+    y, g = 1e9 + rng.normal(size=300), 1e9 + rng.normal(size=300)
+    data = [(i, None if i % 10 == 0 else float(y[i]), None if i % 7 == 0 else float(g[i])) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, y double, yhat double")
+    unit = bootstrap._units(df, ["id"], 8, 42)[0]
+    found = rows(bootstrap._error_units(df, unit, F.col("y"), F.col("yhat"), metric == "r2"))
+    used = np.array([i for i in range(300) if i % 10 and i % 7])
+    assert sum(r["n"] for r in found) == len(used)
+    assert sum(r["abs"] for r in found) == pytest.approx(np.abs(y - g)[used].sum())
+    if metric == "r2":
+        assert sum(r["yy"] for r in found) == pytest.approx(((y[used] - y[used].mean()) ** 2).sum(), rel=1e-6)
+        assert sum(r["y"] for r in found) == pytest.approx(0.0, abs=1e-4)
+    plan = bootstrap.bootstrap_scores(df, ["id"], metric)._jdf.queryExecution().optimizedPlan().toString()
+    assert "yhat" not in plan  # the units are stored: nothing of a row is computed twice
