@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions.columns import col
 from ..functions.hashing import uniform
-from ..functions.storage import prepared, shared_folder
+from ..functions.storage import prepared, shared_folder, stored
 from ..operators import (
     bootstrap,
     encoders,
@@ -208,7 +208,7 @@ def rolling_windows(spark, sf):
 def grid_rolling(spark, sf):
     """Ridge strengths compared on windows that move along the ship date."""
     dates = lineitem(spark, sf).select("key", "l_shipdate")
-    rows = price_table(spark, sf).join(dates, "key")
+    rows = stored(price_table(spark, sf).join(dates, "key"))  # joined once, not in every pass over it
     parted, roles = splits.rolling_split(rows, "l_shipdate", ["key"], folds=3)
     found = models.grid_search(
         parted, "total", PRICE_FEATURES, "logistic_regression", "regression", {"alpha": [0.1, 10.0, 1000.0]}, roles=roles

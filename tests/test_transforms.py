@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabassay.functions.ordering import numbered
 from tabassay.operators import bootstrap, encoders, features, models, splits, transforms
+from tabassay.plans import transform_queries
 
 
 @pytest.fixture(scope="module")
@@ -302,3 +303,10 @@ def test_weights_drawn_row_by_row(spark, monkeypatch):
 def test_too_many_classes(spark):
     with pytest.raises(ValueError, match="classes"):
         models.class_labels(spark.range(50).withColumnRenamed("id", "y"), "y", most=20)
+
+
+def test_rolling_rows_are_joined_once(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(transform_queries.models, "grid_search", lambda df, *_, **__: seen.append(df) or spark.range(1))
+    transform_queries.grid_rolling(spark, sf)
+    assert "Join Inner" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
