@@ -235,3 +235,19 @@ def test_grades(spark, passed, grade):
 def test_ablate_text_takes_the_mode(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "t string")
     assert {r["t"] for r in rows(robustness.ablate(df, "t"))} == {"a"}
+
+
+def test_a_forest_gets_partitions_by_its_rows(spark, monkeypatch):
+    few = spark.range(4000).select((F.col("id") % 13).alias("x"), (F.col("id") % 2).alias("y")).coalesce(1).cache()
+    assert models.dealt(few, 10, 1).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "TASK_BYTES", 64_000)
+    out = models.dealt(few, 10, 1)
+    assert out.rdd.getNumPartitions() == 9 and out.count() == 4000
+    seen = []
+    monkeypatch.setattr(models, "dealt", lambda df, trees, width: seen.append((trees, width)) or df)
+    models.fit_model({"name": "random_forest_classifier", "params": {"n_estimators": 3, "max_depth": 2}}, few, "y", ["x"])
+    folded = few.withColumn("fold", (F.col("x") % 2).cast("int"))
+    models.grid_search(folded, "y", ["x"], "random_forest", "classification", {"n_estimators": [2, 4], "max_depth": [2]})
+    assert seen == [(3, 1), (4, 1)]
+    models.fit_model({"name": "logistic_regression"}, few, "y", ["x"])
+    assert len(seen) == 2
