@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from tabassay.llm.pair_groups import deal
 from tabassay.llm.postings import Members, shared_members
-from tabassay.llm.shared import discard, map_batches, same, scratch, ship_package, slices, written
+from tabassay.llm.shared import discard, map_batches, perhaps_in, same, scratch, ship_package, slices, written
 from tabassay.llm.shingles import (
     BUCKET_BITS,
+    HASH_BITS,
     PERCENT,
     Rarity,
+    digest,
     digests,
     shingles_of,
     sorted_sets,
@@ -63,7 +65,8 @@ def _signatures(docs: DataFrame, short: bool) -> tuple[DataFrame, Rarity]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for rows, texts in slices(batches, "text"):
             row, line, segment, hashes = _lines(texts, short)
-            keys, begins = sorted_sets(segment, hashes, len(row))
+            # As many bits as the keys of `Rarity` hold, which give the same digests.
+            keys, begins = sorted_sets(segment, hashes >> np.uint64(8), len(row))
             s1, s2 = digests(keys, begins)
             doc = rows.column("doc").take(pa.array(row, pa.int64()))
             yield {"doc": doc, "line": line, "n": np.diff(begins), "s1": s1, "s2": s2}
@@ -98,7 +101,7 @@ def _shared_prefixes(docs: DataFrame, rarity: Rarity, short: bool) -> DataFrame:
             place = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
             token = keys[begins[:-1][own] + place]
             # The digest is that of the hashes themselves, as in `_signatures`.
-            owner = digests(*sorted_sets(segment, hashes, len(row)))[0][own]
+            owner = digest(keys & HASH_BITS, begins, 1)[own]
             yield token.view(np.int64), owner, size[own] << 32 | place, rarity.expected(token)
 
     return shared_members(docs, run, rarity.total * (100 - PERCENT) // 100)
@@ -114,28 +117,16 @@ def _possible(a: str, b: str) -> Column:
 
 
 def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """(doc, line, mates, g, bytes): `ends` with the text of its lines."""
+    """(doc, line, mates, g, bytes): `ends` with the text of its lines.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for rows, texts in slices(batches, "text"):
-            at, wanted, parts = [], [], []
-            for i, (text, asked) in enumerate(zip(texts, rows.column("lines").to_pylist(), strict=True)):
-                cut = text.split(b"\n")
-                for w in asked:
-                    if w["line"] < len(cut):  # rows may share an id
-                        at.append(i)
-                        wanted.append(w)
-                        parts.append(cut[w["line"]])
-            columns = {c: [w[c] for w in wanted] for c in ("line", "mates", "g")}
-            yield columns | {"doc": rows.column("doc").take(pa.array(at, pa.int64())), "bytes": parts}
-
-    kind = docs.schema["doc"].dataType.simpleString()
-    lists = ends.groupBy(F.col("at.doc").alias("_doc")).agg(
-        F.collect_list(F.struct("at.line", "mates", "g")).alias("lines")
-    )
-    joined = docs.join(lists, same(F.col("doc"), F.col("_doc"))).drop("_doc")
-    schema = f"doc {kind}, line long, mates array<struct<doc:{kind},line:bigint>>, g long, bytes binary"
-    return map_batches(joined, run, schema)
+    Only lines that are asked for are shuffled, and few others. Rows may share an id.
+    """
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "bytes"))
+    lines = lines.select("doc", F.col("line").cast("long").alias("line"), F.col("bytes").cast("binary").alias("bytes"))
+    asked = ends.select(F.col("at.doc").alias("_doc"), F.col("at.line").alias("_line"), "mates", "g")
+    lines = perhaps_in(lines, [F.col("doc"), F.col("line")], asked, [F.col("_doc"), F.col("_line")])
+    joined = lines.join(asked, same(F.col("doc"), F.col("_doc")) & (F.col("line") == F.col("_line")))
+    return joined.select("doc", "line", "mates", "g", "bytes")
 
 
 def _matched(docs: DataFrame, pairs: DataFrame, short: bool) -> DataFrame:

@@ -18,6 +18,9 @@ PERCENT = 75
 #: Buckets of the frequency sketch: its size is the same for every table.
 BUCKET_BITS = 16
 
+#: The bits of a `Rarity` key that are the shingle's hash.
+HASH_BITS = np.uint64(2**56 - 1)
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -182,14 +185,16 @@ def _by_segment_and_key(segment: np.ndarray, keys: np.ndarray, count: int) -> np
     return np.lexsort((keys, segment))
 
 
+def digest(keys: np.ndarray, begins: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits that stand for each segment's set, whatever the order of its keys; 0 for an empty set."""
+    sums = np.zeros(len(keys) + 1, np.uint64)
+    np.cumsum(mix(keys + np.uint64(salt * _BASE % 2**64)), out=sums[1:])
+    return (sums[begins[1:]] - sums[begins[:-1]]).view(np.int64)
+
+
 def digests(keys: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that stand for each segment's set, in two parts; 0 for an empty set."""
-    parts = []
-    for salt in (1, 2):
-        sums = np.zeros(len(keys) + 1, np.uint64)
-        np.cumsum(mix(keys + np.uint64(salt * _BASE % 2**64)), out=sums[1:])
-        parts.append((sums[begins[1:]] - sums[begins[:-1]]).view(np.int64))
-    return parts[0], parts[1]
+    return digest(keys, begins, 1), digest(keys, begins, 2)
 
 
 def prefix_length(n: int) -> int:
