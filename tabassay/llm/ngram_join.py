@@ -28,6 +28,7 @@ from tabassay.llm.postings import Members, shared_members
 from tabassay.llm.shared import (
     discard,
     map_batches,
+    perhaps_in,
     runs_of_bytes,
     scratch,
     ship_package,
@@ -37,6 +38,7 @@ from tabassay.llm.shared import (
 from tabassay.llm.shingles import (
     PERCENT,
     Rarity,
+    digest,
     digests,
     frequencies,
     prefix_length,
@@ -107,7 +109,7 @@ def shared_prefixes(df: DataFrame, rarity: Rarity) -> DataFrame:
             place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
             member = begins[:-1][row] + place
             # The digest is that of the hashes themselves, as in `signatures`.
-            owner = digests(*sorted_sets(segment, hashes, len(texts)))[0][row]
+            owner = digest(*sorted_sets(segment, hashes, len(texts)), 1)[row]
             yield keys[member].view(np.int64), owner, size[row] << 32 | place << 4 | k[row], expected[member]
 
     return shared_members(df, run, rarity.total * (100 - PERCENT) // 100)
@@ -172,7 +174,9 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array([x for x, _ in good], kinds), "b": pa.array([y for _, y in good], kinds)})
 
     with scratch() as keep:
-        rows = docs.join(deal(pairs, GROUP_PAIRS), F.col("doc") == F.col("at")).drop("at")
+        ends = deal(pairs, GROUP_PAIRS)
+        some = perhaps_in(docs, [F.col("doc")], ends, [F.col("at")])
+        rows = some.join(ends, F.col("doc") == F.col("at")).drop("at")
         return keep(written(rows.groupBy("g").applyInArrow(run, f"a {kind}, b {kind}").distinct(), "linked"))
 
 
