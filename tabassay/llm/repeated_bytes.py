@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ GRAM = 20
 #: Bytes of a bucket's runs and of a shard.
 BUCKET_BYTES = 200_000
 SHARD_BYTES = 50_000
+#: Bytes that a refinement of the interleave adds.
+STEP = 5
 #: Different runs of one anchor beyond which they are cut into stretches of so many strings.
 MOST_RUNS = 1_000
 SEGMENT = 8
@@ -113,51 +116,78 @@ def _suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         key, step = rank * (n + 1) + second, 2 * step
 
 
+def _stable_order(keys: np.ndarray) -> np.ndarray:
+    """The order by key, equal keys as they stand; 16 bits at a time, which numpy sorts by counting."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    if len(keys) and keys.max() >> 16:
+        order = order[_stable_order(keys[order] >> 16)]
+    return order
+
+
+def _grams(letters: np.ndarray, width: int, own: np.ndarray, bits: int) -> np.ndarray:
+    """A number for the `width` letters from each place on, in their order; 0 ends a string.
+
+    One that meets its string's end holds the string's number `own` too, in `bits` bits, so no other equals it.
+    """
+    out, open_ = letters.copy(), letters > 0
+    for k in range(1, width):
+        out <<= 9
+        out[:-k] |= np.where(open_[:-k], letters[k:], 0)
+        open_[:-k] &= letters[k:] > 0
+    return out << bits | np.where(open_, 0, own)
+
+
 def merged_blocks(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, block) of all suffixes in merged order; one block has equal first `depth` bytes.
 
     `string` counts over all shards. A suffix shorter than `depth` is a block of
-    its own.
+    its own. Each refinement adds the `STEP` last bytes before all suffixes, or what is left.
     """
-    last, string, offset, step, heads = [], [], [], [], []
+    total = sum(len(x) for x in shards)
+    bits = (total + 1).bit_length()
+    width = min(STEP, (63 - bits) // 9)
+    widths = [width] * (depth // width) + [depth % width] * (depth % width > 0)
+    string, offset, grams, steps = [], [], {w: [] for w in widths}, {w: [] for w in widths}
     count = rows = 0
-    # Small integers sort fastest. UTF-8 has no byte 255, but nothing here relies on it.
-    byte = np.uint16 if any(b"\xff" in x for strings in shards for x in strings) else np.uint8
     for strings in shards:
         sizes = np.array([len(x) + 1 for x in strings], np.int64)
         text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         ends = begins + sizes - 1
         order = _suffix_order(text, ends)
-        owner = np.repeat(np.arange(len(strings)), sizes)[order]
-        # The byte before each suffix, 0 for the end that stands before a whole string.
-        shifted = text.astype(byte) + byte(1)
-        shifted[ends] = 0
-        own = np.where(order == begins[owner], byte(0), shifted[order - 1])
-        last.append(own)
-        string.append(owner + count)
-        offset.append(order - begins[owner])
-        # Where the suffix longer by that byte stands in this shard's order.
-        longer = np.empty(len(own), np.int32)
-        longer[np.argsort(own, kind="stable")] = np.arange(rows, rows + len(own), dtype=np.int32)
-        step.append(longer)
-        heads.append(np.arange(rows, rows + len(strings), dtype=np.int32))
+        owner = np.repeat(np.arange(len(strings)), sizes)
+        letters = text.astype(np.int64) + 1
+        letters[ends] = 0
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(rows, rows + len(order), dtype=np.int32)
+        own = owner[order]
+        string.append(own + count)
+        offset.append(order - begins[own])
+        for w in grams:
+            grams[w].append(_grams(letters, w, owner + count + 1, bits)[order])
+            # Where the suffix longer by w bytes stands in this shard's order. Before a string's
+            # beginning come its last suffixes: their grams are like no other, so any of them will do.
+            steps[w].append(place[begins[own] + (offset[-1] - w) % sizes[own]])
         count += len(strings)
-        rows += len(own)
-    last, string, offset, step, heads = (np.concatenate(x) for x in (last, string, offset, step, heads))
+        rows += len(order)
+    string, offset = np.concatenate(string), np.concatenate(offset)
     # The interleave: which shard's next row stands at each place, by the number of that row.
     interleave = np.arange(rows, dtype=np.int32)
     block = np.zeros(rows, np.int32)
-    new = np.empty(rows, bool)
-    for _ in range(depth):
-        byte_before = last[interleave]
-        order = np.argsort(byte_before, kind="stable")
-        interleave, old, head = step[interleave[order]], block[order], byte_before[order]
-        new[0] = True
-        new[1:] = (head[1:] != head[:-1]) | (old[1:] != old[:-1])
-        # Suffixes of no bytes come first, in the order of the shards, each for itself.
-        new[:count] = True
-        interleave[:count] = heads
+    new = np.ones(rows, bool)
+    before = None
+    for w in widths:
+        if w != before:
+            step = np.concatenate(steps[w])
+            _, gram = np.unique(np.concatenate(grams[w]), return_inverse=True)
+            gram = gram.astype(np.uint32)[step]
+            # Every refinement sorts the same grams.
+            heads = np.sort(gram)
+            heads = heads[1:] != heads[:-1]
+            before = w
+        order = _stable_order(gram[interleave])
+        interleave, old = step[interleave[order]], block[order]
+        new[1:] = heads | (old[1:] != old[:-1])
         block = np.cumsum(new, dtype=np.int32)
         if block[-1] == rows:
             break
@@ -232,21 +262,21 @@ def _texts(df: DataFrame, runs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, texts in slices(batches, "text"):
-            doc, found, cut = [], [], []
-            for i, (text, wanted) in enumerate(zip(texts, rows.column("runs").to_pylist(), strict=True)):
-                for w in wanted:
-                    start, length = divmod(w["at"], 128)
-                    part = text[start : start + length + SPAN - 1]
-                    data = np.frombuffer(part, np.uint8)
-                    ends = np.array([len(data)])
-                    # Rows may share an id: the run belongs to the text that has it.
-                    if len(data) and int(span_hashes(data, ends * 0, ends).view(np.int64)[0]) == w["hash"]:
-                        doc.append(i)
-                        found.append(w)
-                        cut.append(part)
-            yield {"doc": rows.column("doc").take(pa.array(doc, pa.int64())), "bytes": cut} | {
-                c: [w[c] for w in found] for c in ("at", "anchor", "hash")
-            }
+            at, anchor, hashes = rows.column("runs").flatten().flatten()
+            row = np.repeat(np.arange(len(texts)), pc.list_value_length(rows.column("runs")).to_numpy())
+            start, length = np.divmod(at.to_numpy(), 128)
+            size = np.array([len(x) for x in texts], np.int64)
+            begin = np.cumsum(size) - size
+            end = np.minimum(start + length + SPAN - 1, size[row])
+            start = np.minimum(start, end)
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            own = span_hashes(data, begin[row] + start, begin[row] + end).view(np.int64)
+            # Rows may share an id: the run belongs to the text that has it.
+            good = np.flatnonzero((end > start) & (own == hashes.to_numpy()))
+            cut = [texts[i][x:y] for i, x, y in zip(row[good].tolist(), start[good].tolist(), end[good].tolist())]
+            doc, good = pa.array(row[good], pa.int64()), pa.array(good, pa.int64())
+            found = {"at": at, "anchor": anchor, "hash": hashes}
+            yield {"doc": rows.column("doc").take(doc), "bytes": cut} | {c: x.take(good) for c, x in found.items()}
 
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("at", "anchor", "hash")).alias("runs"))
     kind = df.schema["doc"].dataType.simpleString()
@@ -392,6 +422,18 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return written(spans, "spans")
 
 
+def _sums(flags: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many flags each stretch of `size` from `begin` has set."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[begin + size] - total[begin]
+
+
+def _cut(data: bytes, size: np.ndarray) -> list[bytes]:
+    """The bytes in pieces of these sizes."""
+    ends = np.cumsum(size).tolist()
+    return [data[x:y] for x, y in zip([0, *ends[:-1]], ends)]
+
+
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc, kept, text, n_bytes, n_removed, n_spans): one row per row of `df`, with the columns in `carry`.
 
@@ -405,27 +447,29 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, texts in slices(batches, "text"):
-            kept, strings, sizes, removed, spans = [], [], [], [], []
             known = rows.column("text").is_valid().to_pylist()
-            for body, found, has in zip(texts, rows.column("spans").to_pylist(), known, strict=True):
-                gone = np.zeros(len(body) + 1, np.int32)
-                for s in found or ():
-                    gone[min(s["first"], len(body))] += 1
-                    gone[min(s["end"], len(body))] -= 1
-                out = np.cumsum(gone)[:-1] > 0
-                data = np.frombuffer(body, np.uint8)
-                kept.append(data[~out].tobytes())
-                lead = np.flatnonzero((data & 0xC0) != 0x80)
-                whole = np.minimum.reduceat(out, lead) if len(lead) else out
-                letters = np.repeat(whole, np.diff(np.append(lead, len(data)))) if len(lead) else out
-                strings.append(data[~letters].tobytes().decode("utf-8") if has else None)
-                sizes.append(len(body))
-                removed.append(int(out.sum()))
-                spans.append(int((np.diff(np.concatenate([[0], out.astype(np.int8)])) == 1).sum()))
+            size = np.array([len(x) for x in texts], np.int64)
+            begin = np.cumsum(size) - size
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            first, end = (x.to_numpy() for x in rows.column("spans").flatten().flatten())
+            row = np.repeat(np.arange(len(texts)), pc.list_value_length(rows.column("spans")).fill_null(0).to_numpy())
+            # Each text's spans end with it, so the sums of all texts at once are those of each.
+            gone = np.bincount(begin[row] + np.minimum(first, size[row]), minlength=len(data) + 1)
+            gone -= np.bincount(begin[row] + np.minimum(end, size[row]), minlength=len(data) + 1)
+            out = np.cumsum(gone)[:-1] > 0
+            lead = np.flatnonzero((data & 0xC0) != 0x80)
+            whole = np.minimum.reduceat(out, lead) if len(lead) else out
+            letters = np.repeat(whole, np.diff(np.append(lead, len(data)))) if len(lead) else out
+            heads = out.copy()
+            heads[1:] &= ~out[:-1]
+            heads[begin[size > 0]] = out[begin[size > 0]]
+            removed, spans, less = (_sums(x, begin, size) for x in (out, heads, letters))
+            kept = _cut(data[~out].tobytes(), size - removed)
+            strings = [x.decode("utf-8") if has else None for x, has in zip(_cut(data[~letters].tobytes(), size - less), known)]
             yield {c: rows.column(c) for c in ("doc", *inner)} | {
                 "kept": kept,
                 "text": strings,
-                "n_bytes": sizes,
+                "n_bytes": size,
                 "n_removed": removed,
                 "n_spans": spans,
             }

@@ -1,4 +1,4 @@
-"""Rows left out before a shuffle, and digests in any order."""
+"""Rows left out before a shuffle, digests in any order, and refinements of several bytes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tabassay.llm.line_dedup import _texts_of
+from tabassay.llm.repeated_bytes import _grams, _stable_order
 from tabassay.llm.shared import perhaps_in
 from tabassay.llm.shingles import HASH_BITS, Rarity, digest, digests, sorted_sets
 
@@ -40,3 +41,13 @@ def test_digest_from_keys_of_rarity():
     by_hash = digests(*sorted_sets(segment, hashes >> np.uint64(8), 20))[0]
     keys, begins = sorted_sets(segment, Rarity(rng.integers(0, 9999, 1 << 16)).keys(hashes), 20)
     assert (digest(keys & HASH_BITS, begins, 1) == by_hash).all()
+
+
+def test_grams_are_in_the_order_of_the_suffixes():
+    letters = np.array([3, 1, 2, 0, 3, 1, 2, 9, 0], np.int64)
+    grams = _grams(letters, 3, np.array([1] * 4 + [2] * 5), 2)
+    assert grams[0] == grams[4] and len(set(grams.tolist())) == len(grams) - 1
+    key = [tuple(letters[i : i + 3]) for i in range(9)]
+    assert grams[1] < grams[5] and key[1][:2] == key[5][:2]
+    keys = np.array([70_000, 1, 70_000, 65_536, 1, 0], np.uint32)
+    assert _stable_order(keys).tolist() == [5, 1, 4, 3, 0, 2]
