@@ -9,9 +9,9 @@ apart from all others. Equal runs are one run with its first place.
 Runs that share an anchor but differ go, many anchors together, into buckets of
 bounded size. In a bucket the runs form shards. Each shard's suffixes are sorted
 once, which gives its transform; the transforms are merged by refining an
-interleave: the k-th refinement orders all suffixes by their first k bytes, using
-only the last bytes and the interleave before. After SPAN refinements the suffixes
-that still share a block share SPAN bytes: a repeated interval.
+interleave: the k-th refinement orders all suffixes by their first k * STEP bytes,
+using only the last bytes and the interleave before. When SPAN bytes are reached the
+suffixes that still share a block share SPAN bytes: a repeated interval.
 
 An anchor with more different runs than a bucket should hold (the edge of a
 passage that very many documents share) is spread over tasks instead: its runs are
@@ -38,7 +38,7 @@ GRAM = 20
 BUCKET_BYTES = 200_000
 SHARD_BYTES = 50_000
 #: Bytes that a refinement of the interleave adds.
-STEP = 5
+STEP = 20
 #: Different runs of one anchor beyond which they are cut into stretches of so many strings.
 MOST_RUNS = 1_000
 SEGMENT = 8
@@ -63,20 +63,20 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, length, anchor, hash) of every run; `length` counts the strings that start in it.
+def _cuts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, where each begins, and (row, start in the bytes, length, anchor) of every run.
 
     A run ends where the place of the smallest hash changes, so two strings of one
     run are never equal.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(x) for x in texts], np.int64)
+    begins = np.cumsum(sizes) - sizes
     empty = np.zeros(0, np.int64)
     if len(data) < SPAN:
-        return empty, empty, empty, empty, empty
+        return data, begins, empty, empty, empty, empty
     grams = _gram_hashes(data)
     least = _smallest(grams, SPAN - GRAM + 1)
-    sizes = np.array([len(x) for x in texts], np.int64)
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     new = np.ones(len(least) + 1, bool)
     new[1:-1] = (least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1])
     long = sizes >= SPAN
@@ -90,30 +90,30 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     # Texts without bytes begin where their successor does; the last of them owns the place.
     inside = start < ends[row]
     row, start, length = row[inside], start[inside], length[inside]
+    return data, begins, row, start, length, mix(least[start]).view(np.int64)
+
+
+def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, length, anchor, hash) of every run; `length` counts the strings that start in it."""
+    data, begins, row, start, length, anchor = _cuts(texts)
     hashes = span_hashes(data, start, start + length + SPAN - 1)
-    return row, start - begins[row], length, mix(least[start]).view(np.int64), hashes.view(np.int64)
+    return row, start - begins[row], length, anchor, hashes.view(np.int64)
 
 
-def _suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of strings that end at `ends`; every end is a byte of its own."""
-    n = len(text)
-    key = text.astype(np.int64) + len(ends) + 1
-    key[ends] = np.arange(1, len(ends) + 1)
-    step, width = 1, int(key.max()) + 1
-    while width**2 < 2**62:  # so many bytes fit into one number
-        second = np.zeros(n, np.int64)
-        second[:-step] = key[step:]
-        key, step, width = key * width + second, 2 * step, width**2
+def _suffix_order(rank: np.ndarray, step: int) -> np.ndarray:
+    """The order of suffixes, given their ranks by the first `step` bytes; each ends with a byte of its own."""
+    n = len(rank)
+    order = _stable_order(rank)
     while True:
-        order = np.argsort(key)
-        sorted_ = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
-        if rank[order[-1]] == n - 1:
+        sorted_ = rank[order]
+        new = np.empty(n, np.int64)
+        new[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+        if new[order[-1]] == n - 1:
             return order
         second = np.zeros(n, np.int64)
-        second[:-step] = rank[step:] + 1
-        key, step = rank * (n + 1) + second, 2 * step
+        second[:-step] = new[step:] + 1
+        rank, step = new * (n + 1) + second, 2 * step
+        order = np.argsort(rank)
 
 
 def _stable_order(keys: np.ndarray) -> np.ndarray:
@@ -137,40 +137,49 @@ def _grams(letters: np.ndarray, width: int, own: np.ndarray, bits: int) -> np.nd
     return out << bits | np.where(open_, 0, own)
 
 
+def _ranks(letters: np.ndarray, own: np.ndarray, bits: int, widths: set[int]) -> dict[int, np.ndarray]:
+    """The rank of the letters from each place on, for each number of letters: those of halves give the whole's."""
+    known: dict[int, np.ndarray] = {}
+
+    def rank(width: int) -> np.ndarray:
+        if width not in known:
+            if 9 * width + bits <= 63:
+                key = _grams(letters, width, own, bits)
+            else:
+                first, second = rank(width - width // 2), rank(width // 2)
+                # Letters that meet their string's end have a rank of their own, whatever comes second.
+                key = first * len(letters)
+                key[: width // 2 - width] += second[width - width // 2 :]
+            known[width] = np.unique(key, return_inverse=True)[1]
+        return known[width]
+
+    return {w: rank(w) for w in widths}
+
+
 def merged_blocks(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, block) of all suffixes in merged order; one block has equal first `depth` bytes.
 
     `string` counts over all shards. A suffix shorter than `depth` is a block of
     its own. Each refinement adds the `STEP` last bytes before all suffixes, or what is left.
     """
-    total = sum(len(x) for x in shards)
-    bits = (total + 1).bit_length()
-    width = min(STEP, (63 - bits) // 9)
-    widths = [width] * (depth // width) + [depth % width] * (depth % width > 0)
-    string, offset, grams, steps = [], [], {w: [] for w in widths}, {w: [] for w in widths}
-    count = rows = 0
-    for strings in shards:
-        sizes = np.array([len(x) + 1 for x in strings], np.int64)
-        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        ends = begins + sizes - 1
-        order = _suffix_order(text, ends)
-        owner = np.repeat(np.arange(len(strings)), sizes)
-        letters = text.astype(np.int64) + 1
-        letters[ends] = 0
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(rows, rows + len(order), dtype=np.int32)
-        own = owner[order]
-        string.append(own + count)
-        offset.append(order - begins[own])
-        for w in grams:
-            grams[w].append(_grams(letters, w, owner + count + 1, bits)[order])
-            # Where the suffix longer by w bytes stands in this shard's order. Before a string's
-            # beginning come its last suffixes: their grams are like no other, so any of them will do.
-            steps[w].append(place[begins[own] + (offset[-1] - w) % sizes[own]])
-        count += len(strings)
-        rows += len(order)
-    string, offset = np.concatenate(string), np.concatenate(offset)
+    strings = [x for shard in shards for x in shard]
+    widths = [STEP] * (depth // STEP) + [depth % STEP] * (depth % STEP > 0)
+    sizes = np.array([len(x) + 1 for x in strings], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(strings)), sizes)
+    letters = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+    letters[begins + sizes - 1] = 0
+    ranks = _ranks(letters, owner + 1, (len(strings) + 1).bit_length(), set(widths))
+    orders, rows = [], 0
+    for shard in shards:
+        size = sum(len(x) + 1 for x in shard)
+        orders.append(rows + _suffix_order(ranks[widths[0]][rows : rows + size], widths[0]))
+        rows += size
+    order = np.concatenate(orders)
+    place = np.empty(rows, np.int32)
+    place[order] = np.arange(rows, dtype=np.int32)
+    string = owner[order]
+    offset = order - begins[string]
     # The interleave: which shard's next row stands at each place, by the number of that row.
     interleave = np.arange(rows, dtype=np.int32)
     block = np.zeros(rows, np.int32)
@@ -178,15 +187,16 @@ def merged_blocks(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np
     before = None
     for w in widths:
         if w != before:
-            step = np.concatenate(steps[w])
-            _, gram = np.unique(np.concatenate(grams[w]), return_inverse=True)
-            gram = gram.astype(np.uint32)[step]
-            # Every refinement sorts the same grams.
+            # Where the suffix longer by w bytes stands in its shard's order. Before a string's
+            # beginning come its last suffixes: their ranks are like no other, so any of them will do.
+            step = place[begins[string] + (offset - w) % sizes[string]]
+            gram = ranks[w].astype(np.uint32)[order][step]
+            # Every refinement sorts the same ranks.
             heads = np.sort(gram)
             heads = heads[1:] != heads[:-1]
             before = w
-        order = _stable_order(gram[interleave])
-        interleave, old = step[interleave[order]], block[order]
+        found = _stable_order(gram[interleave])
+        interleave, old = step[interleave[found]], block[found]
         new[1:] = heads | (old[1:] != old[:-1])
         block = np.cumsum(new, dtype=np.int32)
         if block[-1] == rows:
@@ -234,7 +244,7 @@ def _anchors(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for _, texts in slices(batches, "text"):
-            yield {"_anchor": runs_of(texts)[3]}
+            yield {"_anchor": _cuts(texts)[5]}
 
     counted = map_batches(df.select("text"), run, "_anchor long").groupBy("_anchor")
     return written(counted.agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("_anchor"), "anchors")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tabassay.llm.line_dedup import _texts_of
+from tabassay.llm import repeated_bytes
 from tabassay.llm.repeated_bytes import _grams, _stable_order
 from tabassay.llm.shared import perhaps_in
 from tabassay.llm.shingles import HASH_BITS, Rarity, digest, digests, sorted_sets
@@ -51,3 +52,39 @@ def test_grams_are_in_the_order_of_the_suffixes():
     assert grams[1] < grams[5] and key[1][:2] == key[5][:2]
     keys = np.array([70_000, 1, 70_000, 65_536, 1, 0], np.uint32)
     assert _stable_order(keys).tolist() == [5, 1, 4, 3, 0, 2]
+
+
+def test_ranks_of_many_letters_are_in_the_order_of_the_suffixes():
+    strings = [b"abcabcabcabcabcabcabcabcabc", b"bcabcabcabcabcabcabcabcabca", b"abcabcabcabc", b"c", b""]
+    letters, own, suffixes = [], [], []
+    for i, x in enumerate(strings):
+        letters += [*(c + 1 for c in x), 0]
+        own += [i + 1] * (len(x) + 1)
+        suffixes += [(*x[k:], -100 + i) for k in range(len(x) + 1)]
+    for width in (1, 5, 7, 20):
+        rank = repeated_bytes._ranks(np.array(letters), np.array(own), 3, {width})[width]
+        first = [x[:width] for x in suffixes]
+        places = sorted(set(first))
+        assert rank.tolist() == [places.index(x) for x in first]
+
+
+def test_five_refinements_reach_the_length_sought(monkeypatch):
+    sorts, ordered = [], repeated_bytes._stable_order
+    monkeypatch.setattr(repeated_bytes, "_stable_order", lambda keys: sorts.append(len(keys)) or ordered(keys))
+    part = bytes(np.random.default_rng(1).integers(65, 91, 150, np.uint8))
+    shards = [[b"x" + part, part + b"y"], [b"z" + part]]
+    string, offset, block = repeated_bytes.merged_blocks(shards, repeated_bytes.SPAN)
+    texts = [x for shard in shards for x in shard]
+    found = {}
+    for s, o, b in zip(string.tolist(), offset.tolist(), block.tolist()):
+        found.setdefault(b, []).append(texts[s][o : o + 100])
+    assert all(len(set(x)) == 1 for x in found.values())
+    assert sorted(len(x) for x in found.values())[-51:] == [3] * 51
+    assert len(sorts) <= len(shards) + 5
+
+
+def test_anchors_need_no_hashes_of_whole_runs(monkeypatch):
+    texts = [b"", bytes(range(1, 250)), b"short", bytes(range(1, 250))]
+    expected = repeated_bytes.runs_of(texts)[3].tolist()
+    monkeypatch.setattr(repeated_bytes, "span_hashes", None)
+    assert repeated_bytes._cuts(texts)[5].tolist() == expected
