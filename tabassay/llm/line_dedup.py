@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabassay.llm.pair_groups import deal
 from tabassay.llm.postings import Members, shared_members
-from tabassay.llm.shared import discard, map_batches, perhaps_in, same, scratch, ship_package, slices, written
+from tabassay.llm.shared import discard, map_batches, parted, perhaps_in, same, scratch, ship_package, slices, written
 from tabassay.llm.shingles import (
     BUCKET_BITS,
     HASH_BITS,
@@ -32,6 +32,7 @@ from tabassay.llm.shingles import (
     Rarity,
     digest,
     digests,
+    parts_of,
     shingles_of,
     sorted_sets,
     words_of,
@@ -42,7 +43,7 @@ def _lines(texts: list[bytes], short: bool) -> tuple[np.ndarray, np.ndarray, np.
     """Row and number in its text of every line with a shingle; place in that list and hash of every shingle."""
     words = words_of(texts)
     breaks = np.flatnonzero(words.data == 10)
-    line = np.searchsorted(breaks, words.start)
+    line = parts_of(words.start, breaks)
     segment, hashes = shingles_of(words.hash, line, short)
     new = np.ones(len(segment), bool)
     new[1:] = segment[1:] != segment[:-1]
@@ -254,9 +255,12 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shor
     inner = [f"c{i}" for i, c in enumerate(df.columns) if c != text]
     named = df.select(*(F.col(f"`{c}`").alias("_text" if c == text else f"c{i}") for i, c in enumerate(df.columns)))
     key = f"c{df.columns.index(doc_id)}"
-    rows = named.join(gone.withColumnRenamed("doc", "_doc"), same(F.col(key), F.col("_doc")), "left")
+    # A text that loses no line needs no join, so few of those are shuffled.
+    cut, whole = parted(named, [F.col(key)], later, [F.col("doc")])
+    cut = cut.join(gone.withColumnRenamed("doc", "_doc"), same(F.col(key), F.col("_doc")), "left").drop("_doc")
+    rows = cut.unionByName(whole.withColumn("_gone", F.lit(None).cast(gone.schema["_gone"].dataType)))
     kinds = {f"c{i}": f.dataType.simpleString() for i, f in enumerate(df.schema)}
     schema = ", ".join(f"{c} {kinds[c]}" for c in inner) + ", _text string, _lines long, _removed long"
-    result = map_batches(rows.drop("_doc"), run, schema)
+    result = map_batches(rows, run, schema)
     back = [F.col("_text" if c == text else f"c{i}").alias(c) for i, c in enumerate(df.columns)]
     return result.select(*back, "_lines", "_removed")

@@ -21,10 +21,8 @@ BUCKET_BITS = 16
 #: The bits of a `Rarity` key that are the shingle's hash.
 HASH_BITS = np.uint64(2**56 - 1)
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_SPACE = bytes(x == 32 or 9 <= x < 14 for x in range(256))
+_LOWER = bytes(range(256)).lower()
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -62,20 +60,29 @@ class Words:
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span, from sums over all bytes: one step per byte and per span."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTERS[data] * _power("up", len(data)), out=sums[1:])
+    letters = _LETTERS[data]
+    letters *= _power("up", len(data))
+    np.cumsum(letters, out=sums[1:])
     return mix((sums[end] - sums[start]) * _power("down", len(data) + 1)[start])
 
 
 def words_of(texts: list[bytes], lower: bool = True) -> Words:
     """Runs of bytes other than space and \\t to \\r; A-Z count as a-z if `lower`."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    data = b"\n".join(texts) + b"\n"
     if lower:
-        data = _LOWER[data]
-    space = np.concatenate([[True], _SPACE[data]])
+        data = data.translate(_LOWER)
+    space = np.frombuffer(b"\1" + data.translate(_SPACE), np.uint8)
     flips = np.flatnonzero(space[1:] != space[:-1])
     start, end = flips[0::2], flips[1::2]
     ends = np.cumsum([len(x) + 1 for x in texts])
-    return Words(data, np.searchsorted(ends, start, "right"), start, span_hashes(data, start, end))
+    data = np.frombuffer(data, np.uint8)
+    return Words(data, parts_of(start, ends), start, span_hashes(data, start, end))
+
+
+def parts_of(start: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The number of `ends` at or before each start; both rise, so only the ends are looked up."""
+    first = np.searchsorted(start, ends)
+    return np.repeat(np.arange(len(ends) + 1), np.diff(first, prepend=0, append=len(start)))
 
 
 def shingles_of(words: np.ndarray, segment: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray]:

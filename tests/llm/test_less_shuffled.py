@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tabassay.llm.line_dedup import _texts_of
 from tabassay.llm import repeated_bytes
 from tabassay.llm.repeated_bytes import _grams, _stable_order
-from tabassay.llm.shared import perhaps_in
-from tabassay.llm.shingles import HASH_BITS, Rarity, digest, digests, sorted_sets
+from tabassay.llm.shared import parted, perhaps_in
+from tabassay.llm.shingles import HASH_BITS, Rarity, digest, digests, parts_of, sorted_sets
 
 
 def test_rows_asked_for_stay_and_most_others_go(spark):
@@ -88,3 +88,20 @@ def test_anchors_need_no_hashes_of_whole_runs(monkeypatch):
     expected = repeated_bytes.runs_of(texts)[3].tolist()
     monkeypatch.setattr(repeated_bytes, "span_hashes", None)
     assert repeated_bytes._cuts(texts)[5].tolist() == expected
+
+
+def test_rows_that_no_join_needs_are_parted_from_the_others(spark):
+    rows = spark.range(5_000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc"))
+    asked = rows.filter("doc % 100 = 0 OR doc IS NULL").union(rows.filter("doc = 300"))
+    some, rest = ([r["doc"] for r in x.collect()] for x in parted(rows, [F.col("doc")], asked, [F.col("doc")]))
+    assert len(some) + len(rest) == 5_000 and len(set(some) | set(rest)) == 5_000
+    assert {None, *range(100, 5_000, 100)} <= set(some) and len(some) < 100
+    empty = asked.filter("doc < 0")
+    assert parted(rows, [F.col("doc")], empty, [F.col("doc")])[1].count() == 5_000
+
+
+def test_parts_are_those_of_a_search_for_each_start():
+    ends = np.array([3, 3, 7, 20])
+    start = np.array([0, 1, 3, 6, 7, 19, 20, 25])
+    assert parts_of(start, ends).tolist() == np.searchsorted(ends, start, "right").tolist()
+    assert parts_of(start[:0], ends).tolist() == [] and parts_of(start, ends[:0]).tolist() == [0] * 8
