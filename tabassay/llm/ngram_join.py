@@ -16,10 +16,11 @@ different components are looked at. No pair that could join two components is le
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabassay.llm.graph import components
@@ -55,6 +56,8 @@ VERIFY_COST = 1 / 16
 LEADER_TURNS = 4
 #: Pairs for each posting up to which the pairs left are met at once.
 MEETINGS = 2
+#: Words of 64 bits in the bitmap of a set's open members, which every row of the meeting carries.
+WORDS = 4
 #: Pairs verified together on average: their whole texts are in one task's memory.
 GROUP_PAIRS = 500
 
@@ -75,18 +78,43 @@ def _narrow(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.selectExpr(f"`{doc_id}` AS doc", f"`{text}` AS text")
 
 
+def bitmaps(segment: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A bit for the hash of each member of a segment, among 2 to 4 times as many bits as it has members."""
+    width = 1 << np.ceil(np.log2(np.maximum(2 * size, 64))).astype(np.int64)
+    end = np.cumsum(width)
+    flags = np.zeros(int(width.sum()), bool)
+    flags[(end - width)[segment] + (hashes & (width[segment] - 1).astype(np.uint64)).astype(np.int64)] = True
+    packed = np.packbits(flags, bitorder="little").tobytes()
+    return [packed[x:y] for x, y in zip((end - width) // 8, end // 8, strict=True)]
+
+
+def may_be_similar(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """False only for sets that cannot be similar, by their bitmaps and sizes.
+
+    A bit that one has and the other lacks is at least one member that is not shared.
+    """
+    if len(a) > len(b):
+        a, n, b, m = b, m, a, n
+    width, x, y = 8 * len(a), int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    while y >> width:  # the larger one, as it would be with fewer bits
+        y = y >> width | y & (1 << width) - 1
+    most = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
+    return (100 + PERCENT) * most >= PERCENT * (n + m)
+
+
 def signatures(df: DataFrame) -> DataFrame:
-    """(doc, n, s1, s2): set size and 128 bits that stand for the set, from (doc, text)."""
+    """(doc, n, s1, s2, bits): set size, 128 bits that stand for the set, and its bitmap, from (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, texts in slices(batches, "text"):
             _, segment, hashes = text_segments(texts)
             keys, begins = sorted_sets(segment, hashes, len(texts))
             s1, s2 = digests(keys, begins)
-            yield {"doc": rows.column("doc"), "n": np.diff(begins), "s1": s1, "s2": s2}
+            n = np.diff(begins)
+            yield {"doc": rows.column("doc"), "n": n, "s1": s1, "s2": s2, "bits": bitmaps(segment, hashes, n)}
 
     kind = df.schema["doc"].dataType.simpleString()
-    return map_batches(df, run, f"doc {kind}, n long, s1 long, s2 long")
+    return map_batches(df, run, f"doc {kind}, n long, s1 long, s2 long, bits binary")
 
 
 def shared_prefixes(df: DataFrame, rarity: Rarity) -> DataFrame:
@@ -147,8 +175,25 @@ def _enough_shared(met: DataFrame) -> DataFrame:
     return counted.filter(F.col("shared") >= F.greatest("k", least)).select("a", "b").distinct()
 
 
-def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _unlike_left_out(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) but for those whose bitmaps show that no sets of theirs are similar."""
+    kind = signed.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for rows in batches:
+            sets = zip(*(rows.column(c).to_pylist() for c in ("x", "n", "y", "m")), strict=True)
+            some = pa.array([i for i, x in enumerate(sets) if may_be_similar(*x)], pa.int64())
+            yield {c: rows.column(c).take(some) for c in "ab"}
+
+    ends = pairs.select("a").union(pairs.select("b"))
+    sets = perhaps_in(signed.select("doc", "n", "bits"), [F.col("doc")], ends, [F.col("a")])
+    left = pairs.join(sets.toDF("_a", "n", "x"), F.col("a") == F.col("_a")).drop("_a")
+    both = left.join(sets.toDF("_b", "m", "y"), F.col("b") == F.col("_b")).drop("_b")
+    return written(map_batches(both, run, f"a {kind}, b {kind}").distinct(), "like")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; only texts of pairs that their bitmaps do not rule out are shuffled."""
     ship_package(docs.sparkSession)
     kind = docs.schema["doc"].dataType.simpleString()
 
@@ -174,7 +219,7 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array([x for x, _ in good], kinds), "b": pa.array([y for _, y in good], kinds)})
 
     with scratch() as keep:
-        ends = deal(pairs, GROUP_PAIRS)
+        ends = deal(_unlike_left_out(pairs, signed), GROUP_PAIRS)
         some = perhaps_in(docs, [F.col("doc")], ends, [F.col("at")])
         rows = some.join(ends, F.col("doc") == F.col("at")).drop("at")
         return keep(written(rows.groupBy("g").applyInArrow(run, f"a {kind}, b {kind}").distinct(), "linked"))
@@ -207,13 +252,13 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
         best = written(_best_leaders(open_, turn), "best")
         if best.isEmpty():
             break
-        found = _linked(docs, best)
+        found = _linked(docs, best, some)
         links = links.union(found)
         if turn and 100 * found.count() < best.count():  # the documents that meet are not similar
             break
         known = written(components(links), "components")
     # What is left: pairs of different components, by the links counted so far.
-    open_ = written(_open(postings, known), "open")
+    open_ = written(_bounded(_open(postings, known)), "open")
     discard(postings)
     l, r = (open_.select(*(F.col(c).alias(f"{s}_{c}") for c in open_.columns)) for s in "lr")
     crossing = l.join(
@@ -221,9 +266,10 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
         (F.col("l_token") == F.col("r_token"))
         & (F.col("l_doc") > F.col("r_doc"))
         & (F.col("l_component") != F.col("r_component"))
-        & _possible("l_at", "r_at"),
+        & _possible("l_at", "r_at")
+        & _enough_open(),
     )
-    more = _linked(docs, _enough_shared(crossing))
+    more = _linked(docs, written(_enough_shared(crossing), "pairs"), some)
     final = written(components(links.union(more)), "components")
     found = classes.join(final, F.col("first") == F.col("node"), "left")
     return written(
@@ -244,6 +290,33 @@ def _open(postings: DataFrame, known: DataFrame | None) -> DataFrame:
     return placed.join(mixed, F.col("token") == F.col("_token"), "left_semi")
 
 
+def _bounded(open_: DataFrame) -> DataFrame:
+    """`open_` with what bounds the members that a set shares with one of another component.
+
+    `most` counts those after its prefix and its open ones; `w0` and on are a bitmap of the open ones.
+    """
+    n, k, own = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(15)), Window.partitionBy("doc")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("token").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.pmod(F.shiftright("token", 6), F.lit(WORDS))
+    words = {f"w{i}": F.bit_or(F.when(word == i, bit).otherwise(0)).over(own) for i in range(WORDS)}
+    return open_.withColumns({"most": F.ceil(PERCENT * n / 100) - k + F.count(F.lit(1)).over(own)} | words)
+
+
+def _enough_open() -> Column:
+    """Whether two sets can be similar by their open members.
+
+    All members up to the end of the prefix that ends first are known in both sets, so the
+    bound holds for that set, whichever it is. A bit that only one has is a member not shared.
+    """
+
+    def most(a: str, b: str) -> Column:
+        lacking = (F.col(f"{a}_w{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}_w{i}"))) for i in range(WORDS))
+        return reduce(lambda rest, x: rest - F.bit_count(x), lacking, F.col(f"{a}_most"))
+
+    n, m = (F.shiftright(x, 32) for x in ("l_at", "r_at"))
+    return (100 + PERCENT) * F.greatest(most("l", "r"), most("r", "l")) >= PERCENT * (n + m)
+
+
 def _meetings(open_: DataFrame) -> int:
     """How many pairs of postings have the same token."""
     counts = open_.groupBy("token").agg(F.count(F.lit(1)).alias("c"))

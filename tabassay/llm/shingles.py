@@ -8,15 +8,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tabassay.llm.shared import map_batches, slices
+from tabassay.llm.shared import map_batches, ship_package, slices
 
 #: Words of a shingle, and the least similarity in hundredths.
 WIDTH = 5
 PERCENT = 75
 #: Buckets of the frequency sketch: its size is the same for every table.
 BUCKET_BITS = 16
+#: Rows in which a task's counts of these buckets travel.
+COUNT_PARTS = 16
 
 #: The bits of a `Rarity` key that are the shingle's hash.
 HASH_BITS = np.uint64(2**56 - 1)
@@ -132,7 +133,7 @@ def frequencies(df: DataFrame, text: str, segments: Segments) -> np.ndarray:
     """How many shingles fall into each of 2^BUCKET_BITS buckets of their hash, over all rows.
 
     Tasks count for themselves and Spark adds up, so the result does not depend on
-    how the rows are dealt out. The driver gets one number per bucket.
+    how the rows are dealt out. The driver gets the sums, as many as there are buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -140,15 +141,31 @@ def frequencies(df: DataFrame, text: str, segments: Segments) -> np.ndarray:
         for _, texts in slices(batches, "text"):
             bucket = (segments(texts)[2] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
             total += np.bincount(bucket, minlength=len(total))
-        found = np.flatnonzero(total)
-        yield {"bucket": found, "n": total[found]}
+        yield dict(zip(("part", "counts"), packed_counts(total), strict=True))
 
     narrow = df.selectExpr(f"`{text}` AS text")
-    counted = map_batches(narrow, run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = counted.toPandas()
-    table = np.zeros(1 << BUCKET_BITS, np.int64)
-    table[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return table
+    return summed_counts(map_batches(narrow, run, "part int, counts binary"))
+
+
+def packed_counts(total: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A task's counts as few rows: the numbers and the bytes of parts of the table that are not all zero."""
+    parts = [(i, x) for i, x in enumerate(total.reshape(COUNT_PARTS, -1)) if x.any()]
+    return [i for i, _ in parts], [x.tobytes() for _, x in parts]
+
+
+def summed_counts(packed: DataFrame) -> np.ndarray:
+    """The sum of the tables of all tasks, from (part, counts)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist())
+        return pa.table({"part": rows["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    ship_package(packed.sparkSession)
+    rows = packed.groupBy("part").applyInArrow(run, "part int, counts binary").collect()
+    table = np.zeros((COUNT_PARTS, (1 << BUCKET_BITS) // COUNT_PARTS), np.int64)
+    for part, counts in rows:
+        table[part] = np.frombuffer(counts, np.int64)
+    return table.ravel()
 
 
 class Rarity:
