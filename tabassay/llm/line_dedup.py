@@ -16,6 +16,8 @@ those still unmatched are compared with all earlier lines they share a member wi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,11 @@ from tabassay.llm.shingles import (
     Rarity,
     digest,
     digests,
+    packed_counts,
     parts_of,
     shingles_of,
     sorted_sets,
+    summed_counts,
     words_of,
 )
 
@@ -57,9 +61,10 @@ def _lines(texts: list[bytes], short: bool) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _signatures(docs: DataFrame, short: bool) -> tuple[DataFrame, Rarity]:
-    """(doc, line, n, s1, s2) of every line with a token, and the tokens' rarity, from one pass.
+    """(doc, line, n, s1, s2, bits) of every line with a token, and the tokens' rarity, from one pass.
 
-    A task's counts travel as rows with n = 0, a bucket for `line` and the count in `s1`.
+    `bits` has a bit for each token. A task's counts travel as rows with n = 0, a part's number in
+    `line` and its bytes in `counts`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -70,18 +75,21 @@ def _signatures(docs: DataFrame, short: bool) -> tuple[DataFrame, Rarity]:
             keys, begins = sorted_sets(segment, hashes >> np.uint64(8), len(row))
             s1, s2 = digests(keys, begins)
             doc = rows.column("doc").take(pa.array(row, pa.int64()))
-            yield {"doc": doc, "line": line, "n": np.diff(begins), "s1": s1, "s2": s2}
+            bits = np.uint64(1) << (keys & np.uint64(63))
+            bits = np.bitwise_or.reduceat(bits, begins[:-1]).view(np.int64) if len(row) else bits.view(np.int64)
+            none = pa.nulls(len(row), pa.binary())
+            yield {"doc": doc, "line": line, "n": np.diff(begins), "s1": s1, "s2": s2, "bits": bits, "counts": none}
             total += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
-        found = np.flatnonzero(total)
-        none = np.zeros(len(found), np.int64)
-        yield {"doc": [None] * len(found), "line": found, "n": none, "s1": total[found], "s2": none}
+        part, counts = packed_counts(total)
+        none = np.zeros(len(part), np.int64)
+        own = {c: none for c in ("n", "s1", "s2", "bits")}
+        yield own | {"doc": [None] * len(part), "line": part, "counts": counts}
 
     kind = docs.schema["doc"].dataType.simpleString()
-    both = written(map_batches(docs, run, f"doc {kind}, line long, n int, s1 long, s2 long"), "lines")
-    counts = both.filter("n = 0").groupBy("line").agg(F.sum("s1").alias("n")).toPandas()
-    table = np.zeros(1 << BUCKET_BITS, np.int64)
-    table[counts["line"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    lines = both.filter("n > 0")
+    schema = f"doc {kind}, line long, n int, s1 long, s2 long, bits long, counts binary"
+    both = written(map_batches(docs, run, schema), "lines")
+    table = summed_counts(both.filter("n = 0").select(F.col("line").cast("int").alias("part"), "counts"))
+    lines = both.filter("n > 0").drop("counts")
     lines._tabassay_path = both._tabassay_path
     return lines, Rarity(table)
 
@@ -108,12 +116,15 @@ def _shared_prefixes(docs: DataFrame, rarity: Rarity, short: bool) -> DataFrame:
     return shared_members(docs, run, rarity.total * (100 - PERCENT) // 100)
 
 
-def _possible(a: str, b: str) -> Column:
-    """Length and positional filter for two sets that share a prefix member."""
+def _possible(a: str, b: str, a_bits: str, b_bits: str) -> Column:
+    """Length, positional and bitmap filter for two sets that share a prefix member."""
     n, m = (F.shiftright(x, 32) for x in (a, b))
     i, j = (F.col(x).bitwiseAND(F.lit(2**32 - 1)) for x in (a, b))
     # At most so many members are shared before this one and after it.
     most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    # A bit that only one of them has is a member, at least, that is not shared.
+    lacking = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    most = F.least(most, n - lacking(a_bits, b_bits), m - lacking(b_bits, a_bits))
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * most >= PERCENT * (n + m))
 
 
@@ -174,36 +185,52 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
     place = F.struct("doc", "line")
     # Equal sets: the first line stands for all.
     signed, rarity = _signatures(docs, short)
-    classes = signed.groupBy("n", "s1", "s2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
-    classes = written(classes, "classes")
-    several = classes.filter("c > 1").select(*(F.col(c).alias(f"_{c}") for c in ("n", "s1", "s2")), "first")
-    copies = signed.join(
-        several, (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))
+    sets = ["n", "s1", "s2"]
+    found = signed.groupBy(*sets).agg(
+        *(F.min(c).alias(c) for c in ("doc", "line")), F.max("bits").alias("bits"), F.count(F.lit(1)).alias("c")
     )
-    copies = written(copies.filter(~same(place, F.col("first"))).select("doc", "line").distinct(), "copies")
-    discard(signed)
+    found = written(found, "classes")
+
+    def met_by_set(df: DataFrame, other: DataFrame) -> DataFrame:
+        other = other.withColumnsRenamed({c: f"_{c}" for c in sets})
+        return df.join(other, reduce(and_, (F.col(c) == F.col(f"_{c}") for c in sets))).drop(*(f"_{c}" for c in sets))
+
+    # The first line is looked for only among those that have equals; a set alone has one line and one text.
+    several = written(met_by_set(signed, found.filter("c > 1").select(*sets)), "several")
+    firsts = several.groupBy(*sets).agg(F.min(place).alias("first"), F.max("bits").alias("bits"))
+    firsts = written(firsts, "firsts")
+    copies = met_by_set(several, firsts.drop("bits")).filter(~same(place, F.col("first")))
+    copies = written(copies.select("doc", "line").distinct(), "copies")
+    alone = found.filter("c = 1").select("s1", place.alias("first"), "bits")
+    classes = alone.union(firsts.select("s1", "first", "bits"))
+    discard(signed, several)
 
     members = written(_shared_prefixes(docs, rarity, short), "members")
     postings = members.join(
-        classes.select("s1", "first"), F.col("owner") == F.col("s1")
-    ).select("token", F.col("first").alias("a"), "at")
+        classes, F.col("owner") == F.col("s1")
+    ).select("token", F.col("first").alias("a"), "at", "bits")
     postings = written(postings, "postings")
-    discard(members, classes)
+    discard(members, found, firsts)
     # Each line is first compared with the one that leads most of its prefix.
-    leads = postings.groupBy(F.col("token").alias("_t")).agg(F.min(F.struct("a", "at")).alias("x"))
+    leads = postings.groupBy(F.col("token").alias("_t")).agg(F.min(F.struct("a", "at", "bits")).alias("x"))
     met = postings.join(leads, F.col("token") == F.col("_t"))
-    met = met.select("a", "at", F.col("x.a").alias("b"), F.col("x.at").alias("b_at"))
-    met = met.filter(~same(F.col("a"), F.col("b")) & _possible("at", "b_at"))
+    met = met.select("a", "at", "bits", *(F.col(f"x.{c}").alias(d) for c, d in (("a", "b"), ("at", "b_at"), ("bits", "b_bits"))))
+    met = met.filter(~same(F.col("a"), F.col("b")) & _possible("at", "b_at", "bits", "b_bits"))
     best = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("a")
     best = best.agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
     matched = _matched(docs, best, short)
 
     settled = written(copies.union(matched).select(place.alias("_a")).distinct(), "settled")
     rest = postings.join(settled, same(F.col("a"), F.col("_a")), "left_anti")
-    rest = rest.select(F.col("token").alias("l_token"), F.col("a").alias("l"), F.col("at").alias("l_at"))
-    pairs = written(rest, "rest").join(
-        postings.select(F.col("token").alias("r_token"), F.col("a").alias("r"), F.col("at").alias("r_at")),
-        (F.col("l_token") == F.col("r_token")) & (F.col("l") > F.col("r")) & _possible("l_at", "r_at"),
+    l, r = (
+        [F.col(c).alias(d) for c, d in (("token", f"{s}_token"), ("a", s), ("at", f"{s}_at"), ("bits", f"{s}_bits"))]
+        for s in "lr"
+    )
+    pairs = written(rest.select(*l), "rest").join(
+        postings.select(*r),
+        (F.col("l_token") == F.col("r_token"))
+        & (F.col("l") > F.col("r"))
+        & _possible("l_at", "r_at", "l_bits", "r_bits"),
     )
     more = _matched(docs, _enough_shared(pairs), short)
     return copies.union(matched).union(more).distinct()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from tabassay.llm import ngram_join
+from tabassay.llm import line_dedup, ngram_join
+from tabassay.llm.line_dedup import later_matches
 from tabassay.llm.ngram_join import bitmaps, may_be_similar, near_duplicates
 from tabassay.llm.shingles import BUCKET_BITS, packed_counts, similar, summed_counts
 
@@ -51,6 +52,16 @@ def test_only_texts_of_pairs_that_may_be_similar_are_verified(spark, monkeypatch
     assert sum(verified) == 1
 
 
+def test_only_lines_that_may_be_similar_are_verified(spark, monkeypatch):
+    texts = [(i, f"{_words(f'c{i % 60}x', 5)} {_words(f'u{i}x', 4)}\n{_words('same', 9)}") for i in range(120)]
+    texts.append((200, _words("u7x", 2) + "\n" + texts[7][1].split("\n")[0].replace("c7x0", "else")))
+    verified, dealt = [], line_dedup.deal
+    monkeypatch.setattr(line_dedup, "deal", lambda pairs: (verified.append(pairs.count()), dealt(pairs))[1])
+    found = later_matches(spark.createDataFrame(texts, "doc_id long, text string"), short=True)
+    assert sorted((r["doc"], r["line"]) for r in found.collect()) == [(i, 1) for i in range(1, 120)]
+    assert sum(verified) <= 2  # line 200 is like 7 in four of six shingles
+
+
 def test_counts_of_tasks_are_added_up(spark):
     tables = np.zeros((3, 1 << BUCKET_BITS), np.int64)
     tables[0, [0, 5, 65_535]], tables[1, [5, 40_000]] = [1, 2**40, 3], [7, 9]
