@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.llm.pair_groups import deal
-from tabassay.llm.postings import Members, shared_members
+from tabassay.llm.postings import WORDS, Members, bounded, enough_open, shared_members
 from tabassay.llm.shared import discard, map_batches, parted, perhaps_in, same, scratch, ship_package, slices, written
 from tabassay.llm.shingles import (
     BUCKET_BITS,
@@ -209,7 +209,8 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
     postings = members.join(
         classes, F.col("owner") == F.col("s1")
     ).select("token", F.col("first").alias("a"), "at", "bits")
-    postings = written(postings, "postings")
+    after = F.ceil(PERCENT * F.shiftright("at", 32) / 100) - 1
+    postings = written(bounded(postings, "a", after), "postings")
     discard(members, found, firsts)
     # Each line is first compared with the one that leads most of its prefix.
     leads = postings.groupBy(F.col("token").alias("_t")).agg(F.min(F.struct("a", "at", "bits")).alias("x"))
@@ -222,15 +223,14 @@ def later_matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
 
     settled = written(copies.union(matched).select(place.alias("_a")).distinct(), "settled")
     rest = postings.join(settled, same(F.col("a"), F.col("_a")), "left_anti")
-    l, r = (
-        [F.col(c).alias(d) for c, d in (("token", f"{s}_token"), ("a", s), ("at", f"{s}_at"), ("bits", f"{s}_bits"))]
-        for s in "lr"
-    )
+    carried = ("token", "at", "bits", "most", *(f"w{i}" for i in range(WORDS)))
+    l, r = ([F.col("a").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in carried)] for s in "lr")
     pairs = written(rest.select(*l), "rest").join(
         postings.select(*r),
         (F.col("l_token") == F.col("r_token"))
         & (F.col("l") > F.col("r"))
-        & _possible("l_at", "r_at", "l_bits", "r_bits"),
+        & _possible("l_at", "r_at", "l_bits", "r_bits")
+        & enough_open(),
     )
     more = _matched(docs, _enough_shared(pairs), short)
     return copies.union(matched).union(more).distinct()

@@ -16,16 +16,15 @@ different components are looked at. No pair that could join two components is le
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.llm.graph import components
 from tabassay.llm.pair_groups import deal
-from tabassay.llm.postings import Members, shared_members
+from tabassay.llm.postings import Members, bounded, enough_open, shared_members
 from tabassay.llm.shared import (
     discard,
     map_batches,
@@ -56,8 +55,6 @@ VERIFY_COST = 1 / 16
 LEADER_TURNS = 4
 #: Pairs for each posting up to which the pairs left are met at once.
 MEETINGS = 2
-#: Words of 64 bits in the bitmap of a set's open members, which every row of the meeting carries.
-WORDS = 4
 #: Pairs verified together on average: their whole texts are in one task's memory.
 GROUP_PAIRS = 500
 
@@ -258,7 +255,8 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
             break
         known = written(components(links), "components")
     # What is left: pairs of different components, by the links counted so far.
-    open_ = written(_bounded(_open(postings, known)), "open")
+    rest = F.ceil(PERCENT * F.shiftright("at", 32) / 100) - F.col("at").bitwiseAND(F.lit(15))
+    open_ = written(bounded(_open(postings, known), "doc", rest), "open")
     discard(postings)
     l, r = (open_.select(*(F.col(c).alias(f"{s}_{c}") for c in open_.columns)) for s in "lr")
     crossing = l.join(
@@ -267,7 +265,7 @@ def similar_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
         & (F.col("l_doc") > F.col("r_doc"))
         & (F.col("l_component") != F.col("r_component"))
         & _possible("l_at", "r_at")
-        & _enough_open(),
+        & enough_open(),
     )
     more = _linked(docs, written(_enough_shared(crossing), "pairs"), some)
     final = written(components(links.union(more)), "components")
@@ -290,33 +288,6 @@ def _open(postings: DataFrame, known: DataFrame | None) -> DataFrame:
     return placed.join(mixed, F.col("token") == F.col("_token"), "left_semi")
 
 
-def _bounded(open_: DataFrame) -> DataFrame:
-    """`open_` with what bounds the members that a set shares with one of another component.
-
-    `most` counts those after its prefix and its open ones; `w0` and on are a bitmap of the open ones.
-    """
-    n, k, own = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(15)), Window.partitionBy("doc")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("token").bitwiseAND(F.lit(63)).cast("int"))
-    word = F.pmod(F.shiftright("token", 6), F.lit(WORDS))
-    words = {f"w{i}": F.bit_or(F.when(word == i, bit).otherwise(0)).over(own) for i in range(WORDS)}
-    return open_.withColumns({"most": F.ceil(PERCENT * n / 100) - k + F.count(F.lit(1)).over(own)} | words)
-
-
-def _enough_open() -> Column:
-    """Whether two sets can be similar by their open members.
-
-    All members up to the end of the prefix that ends first are known in both sets, so the
-    bound holds for that set, whichever it is. A bit that only one has is a member not shared.
-    """
-
-    def most(a: str, b: str) -> Column:
-        lacking = (F.col(f"{a}_w{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}_w{i}"))) for i in range(WORDS))
-        return reduce(lambda rest, x: rest - F.bit_count(x), lacking, F.col(f"{a}_most"))
-
-    n, m = (F.shiftright(x, 32) for x in ("l_at", "r_at"))
-    return (100 + PERCENT) * F.greatest(most("l", "r"), most("r", "l")) >= PERCENT * (n + m)
-
-
 def _meetings(open_: DataFrame) -> int:
     """How many pairs of postings have the same token."""
     counts = open_.groupBy("token").agg(F.count(F.lit(1)).alias("c"))

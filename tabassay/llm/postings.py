@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from tabassay.llm.shared import map_batches, ship_package
-from tabassay.llm.shingles import mix
+from tabassay.llm.shingles import PERCENT, mix
 
 #: Members that a task packs together, and members of a bucket on average.
-CHUNK = 500_000
+CHUNK = 250_000
 BUCKET_MEMBERS = 500_000
 #: Expected members of a token beyond which they are dealt to several buckets.
 HOT_MEMBERS = 50_000
+#: Words of 64 bits in the bitmap of a set's open members, which every row of a meeting carries.
+WORDS = 4
 
 #: Token, set, place in it (not negative) and expected number of equal tokens, of each member of some sets.
 Members = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -95,3 +99,30 @@ def shared_members(
 
     packs = map_batches(df, run, "bucket long, tokens binary, sets binary, places binary")
     return packs.groupBy("bucket").applyInArrow(_shared, "token long, owner long, at long")
+
+
+def bounded(open_: DataFrame, owner: str, rest: Column) -> DataFrame:
+    """`open_`, the prefix members that another set may have, with what bounds the members a set shares.
+
+    `most` counts those after its prefix (`rest`) and its open ones; `w0` and on are a bitmap of the open ones.
+    """
+    own = Window.partitionBy(owner)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("token").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.pmod(F.shiftright("token", 6), F.lit(WORDS))
+    words = {f"w{i}": F.bit_or(F.when(word == i, bit).otherwise(0)).over(own) for i in range(WORDS)}
+    return open_.withColumns({"most": rest + F.count(F.lit(1)).over(own)} | words)
+
+
+def enough_open() -> Column:
+    """Whether two sets (l_, r_) that meet can be similar by their open members.
+
+    All members up to the end of the prefix that ends first are known in both sets, so the
+    bound holds for that set, whichever it is. A bit that only one has is a member not shared.
+    """
+
+    def most(a: str, b: str) -> Column:
+        lacking = (F.col(f"{a}_w{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}_w{i}"))) for i in range(WORDS))
+        return reduce(lambda left, x: left - F.bit_count(x), lacking, F.col(f"{a}_most"))
+
+    n, m = (F.shiftright(x, 32) for x in ("l_at", "r_at"))
+    return (100 + PERCENT) * F.greatest(most("l", "r"), most("r", "l")) >= PERCENT * (n + m)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from tabassay.llm import line_dedup, ngram_join
 from tabassay.llm.line_dedup import later_matches
 from tabassay.llm.ngram_join import bitmaps, may_be_similar, near_duplicates
+from tabassay.llm.shared import slices
 from tabassay.llm.shingles import BUCKET_BITS, packed_counts, similar, summed_counts
 
 
@@ -70,3 +74,30 @@ def test_counts_of_tasks_are_added_up(spark):
     assert (summed_counts(spark.createDataFrame(rows, "part int, counts binary")) == tables.sum(axis=0)).all()
     none = spark.createDataFrame([], "part int, counts binary")
     assert not summed_counts(none).any()
+
+
+def test_slices_copy_only_the_texts_of_a_run():
+    texts = ["ab", None, "é" * 5, "", "x" * 30, "y"]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(6)), "t": texts})
+    asked = []
+    parts = slices(iter([batch, batch.slice(0, 0)]), "t", 12)
+    before = tracemalloc_peak(lambda: asked.append(next(parts)))
+    got = [*asked, *parts]
+    assert [(rows.column("i").to_pylist(), found) for rows, found in got] == [
+        ([0, 1], [b"ab", b""]),
+        ([2, 3], ["é".encode() * 5, b""]),
+        ([4], [b"x" * 30]),
+        ([5], [b"y"]),
+    ]
+    many = pa.RecordBatch.from_pydict({"t": ["z" * 1000] * 5000})
+    assert before < 100_000 and tracemalloc_peak(lambda: next(slices(iter([many]), "t", 50_000))) < 1_000_000
+
+
+def tracemalloc_peak(work) -> int:
+    """The most bytes that Python held at once during some work."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
