@@ -1,9 +1,13 @@
+import json
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from conftest import by, rows
 from pyspark.sql import functions as F
 
 from tabassay.operators import calibration, models, robustness, splits
+from tabassay.plans import catalog_queries
 
 
 @pytest.fixture(scope="module")
@@ -120,6 +124,28 @@ def test_default_spaces():
     assert len(models._grid(models.SEARCH_SPACES["ridge"])) == 3
 
 
+def test_forest_query_searches_the_whole_space(spark, sf, monkeypatch):
+    seen = []
+    model = SimpleNamespace(score_vectors=lambda held: held)
+    measured = SimpleNamespace(first=lambda: {"accuracy": 0.5})
+    monkeypatch.setattr(models, "fit_model", lambda spec, *_: seen.append(spec["params"]) or model)
+    monkeypatch.setattr(models, "classification_metrics", lambda *_: measured)
+    trials = rows(catalog_queries.QUERIES["grid_forest"](spark, sf).orderBy("trial_id"))
+    space = models._grid(models.SEARCH_SPACES["random_forest"])
+    assert [json.loads(t["params"]) for t in trials] == space
+    assert len(seen) == 108 and all(seen.count(params) == models.FOLDS for params in space)
+
+
+def test_deep_forest_is_the_same_with_kept_nodes(flags, monkeypatch):
+    _, _, df = flags
+    spec = {"name": "random_forest_classifier", "params": {"n_estimators": 4, "max_depth": models.KEPT_NODES_DEPTH}}
+    kept = models.fit_model(spec, df, "y", ["a", "b", "c"])
+    monkeypatch.setattr(models, "KEPT_NODES_DEPTH", 99)
+    sought = models.fit_model(spec, df, "y", ["a", "b", "c"])
+    assert kept.model.getCacheNodeIds() and not sought.model.getCacheNodeIds()
+    assert kept.model.toDebugString.split("\n")[1:] == sought.model.toDebugString.split("\n")[1:]
+
+
 # --- calibration ------------------------------------------------------------
 
 
