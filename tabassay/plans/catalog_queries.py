@@ -789,7 +789,7 @@ def ladder_classification(spark, sf):
         {"name": "logistic_regression", "params": {}},
         {"name": "random_forest_classifier", "params": {"n_estimators": 100, "max_depth": 6}},
     ]
-    trained, _ = models.train_ladder(train, val, "flag", PRICE_FEATURES, "classification", specs)
+    trained = models.whole_ladder(train, val, "flag", PRICE_FEATURES, "classification", specs)
     return rounded(models.leaderboard(train, trained).drop("train_seconds"))
 
 

@@ -4,6 +4,7 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 from conftest import by, rows
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tabassay.operators import calibration, models, robustness, splits
@@ -96,6 +97,36 @@ def test_regression_ladder_ranks_by_mae(numbers):
     assert rows(models.leaderboard(df, trained).orderBy("rank"))[0]["model_id"] == "linear_regression"
 
 
+@pytest.mark.parametrize("name", ["ladder_classification"])
+def test_ladder_queries_do_not_leave_out_a_candidate(spark, sf, monkeypatch, name):
+    def fit(spec, *_):
+        if "forest" in spec["name"]:
+            raise error
+        return models.TrainedModel("", spec, None, [], "", val_metrics=metrics)
+
+    monkeypatch.setattr(models, "train_model", fit)
+    metrics = {"accuracy": 0.5, "mae": 0.5}
+    for error in (ValueError("a forest too deep"), PySparkException("a lost task of a forest")):
+        with pytest.raises(Exception, match="forest"):
+            catalog_queries.QUERIES[name](spark, sf)
+    monkeypatch.setattr(models, "train_model", lambda spec, *_: models.TrainedModel("", spec, None, [], ""))
+    with pytest.raises(RuntimeError, match="no value"):
+        catalog_queries.QUERIES[name](spark, sf)
+
+
+def test_ladder_raises_what_is_not_a_candidates_own(spark, numbers):
+    _, _, df = numbers
+    specs = [{"name": "linear_regression"}, {"name": "random_forest_regressor", "params": {"n_estimators": 2}}]
+    gaps = df.withColumn("a", F.when(F.col("id") % 7 != 0, F.col("a")))
+    with pytest.raises(Exception, match="(?i)null"):
+        models.train_ladder(gaps, df, "y", ["a", "b"], "regression", specs)
+    specs = [{"name": "linear_regression"}, {"name": "random_forest_regressor", "params": {"n_estimators": 0}}]
+    trained, failed = models.train_ladder(df, df, "y", ["a", "b"], "regression", specs)
+    assert [m.model_id for m in trained] == ["linear_regression"] and list(failed) == ["random_forest_regressor"]
+    with pytest.raises(RuntimeError, match="No model"):
+        models.train_ladder(df, df, "y", ["a", "b"], "regression", specs[1:])
+
+
 def test_unknown_names(flags):
     _, _, df = flags
     with pytest.raises(ValueError, match="estimator"):
