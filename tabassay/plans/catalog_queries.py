@@ -800,7 +800,7 @@ def ladder_regression(spark, sf):
         {"name": "linear_regression", "params": {}},
         {"name": "random_forest_regressor", "params": {"n_estimators": 100, "max_depth": 6}},
     ]
-    trained, _ = models.train_ladder(train, val, "total", PRICE_FEATURES, "regression", specs)
+    trained = models.whole_ladder(train, val, "total", PRICE_FEATURES, "regression", specs)
     return rounded(models.leaderboard(train, trained).drop("train_seconds"))
 
 

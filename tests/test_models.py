@@ -97,7 +97,7 @@ def test_regression_ladder_ranks_by_mae(numbers):
     assert rows(models.leaderboard(df, trained).orderBy("rank"))[0]["model_id"] == "linear_regression"
 
 
-@pytest.mark.parametrize("name", ["ladder_classification"])
+@pytest.mark.parametrize("name", ["ladder_classification", "ladder_regression"])
 def test_ladder_queries_do_not_leave_out_a_candidate(spark, sf, monkeypatch, name):
     def fit(spec, *_):
         if "forest" in spec["name"]:
